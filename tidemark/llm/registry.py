@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, quality_rules
+from . import brown_lm, exact_dedup, mixing, quality_model, quality_rules, sentence_pieces, toxicity, warc
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
+    "op3_brown_lm": brown_lm.op3_brown_lm,
+    "op4_sentence_pieces": sentence_pieces.op4_sentence_pieces,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op6_warc_derivatives": warc.op6_warc_derivatives,
+    "op7_quality_model": quality_model.op7_quality_model,
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_mixing": mixing.op9_mixing,
 }

@@ -131,7 +131,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndar
     sizes, out = np.diff(counts), []
     roll = np.zeros(len(words), np.uint64)
     for j in range(k):
-        part = mix(words + np.uint64(j + 1) * np.uint64(0x9E3779B97F4A7C15))
+        part = mix(words + np.uint64((j + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
         roll[: len(words) - j] += part[j:]
     for i, n in enumerate(sizes):
         at = counts[i]

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import brown_lm, exact_dedup, mixing, quality_model, quality_rules, sentence_pieces, toxicity, warc
+from . import brown_lm, exact_dedup, jaccard_join, mixing, quality_model, quality_rules, sentence_pieces, suffix_dedup, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
+    "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op3_brown_lm": brown_lm.op3_brown_lm,
     "op4_sentence_pieces": sentence_pieces.op4_sentence_pieces,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
@@ -13,5 +14,6 @@ QUERIES = {
     "op7_quality_model": quality_model.op7_quality_model,
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_mixing": mixing.op9_mixing,
+    "op10_jaccard_join": jaccard_join.op10_jaccard_join,
 }
 SQL = {"op5_exact_dedup": exact_dedup.SQL, "op8_quality_rules": quality_rules.SQL, "op9_mixing": mixing.SQL}

@@ -62,16 +62,19 @@ def by_ratio(sentences: list[str], words: list[str]):
     at = 0
     for s in sentences:
         w, best, found = bare(s), LEAST_RATIO, None
-        wanted, own = " ".join(w), set(w)
+        own, m = set(w), SequenceMatcher()
+        m.set_seq2(" ".join(w))  # what it knows of the second text is kept
         for i in range(at, min(len(words), at + REACH + 2 * len(w))) if w else ():
-            if not own & set(words[i : i + len(w) + 4]):
-                continue  # no common word: the letters alone can't be trusted
+            if 2 * len(own.intersection(words[i : i + len(w) + 4])) < len(own):
+                continue  # too few common words: the letters alone can't be trusted
             for n in range(max(1, len(w) - 2), len(w) + 5):
                 if i + n > len(words):
                     break
-                m = SequenceMatcher(None, wanted, " ".join(words[i : i + n]))
+                m.set_seq1(" ".join(words[i : i + n]))
                 if m.real_quick_ratio() > best and m.quick_ratio() > best and (r := m.ratio()) > best:
                     best, found = r, (i, i + n - 1)
+            if best == 1.0:
+                break
         if found:
             at = found[1] + 1
         yield found

@@ -357,8 +357,9 @@ def html_text_search(spark, sf_dir):
 
 
 def _narrated(spark, sf_dir):
-    """Turns of conversations as sentences, and their words with times, of which each seventh is lost."""
-    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("chapter_id"), F.col("turn").cast("int").alias("index"), "text")
+    """Sentences of conversations, and their words with times, of which each seventh is lost."""
+    said = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("chapter_id"), "turn", F.posexplode(F.filter(F.split("text", r"[.!?\n]+"), lambda x: F.trim(x) != "")).alias("at", "text"))
+    turns = said.select("chapter_id", F.row_number().over(Window.partitionBy("chapter_id").orderBy("turn", "at")).alias("index"), "text")
     words = turns.select("chapter_id", "index", F.posexplode(text.tokens(F.col("text"))).alias("at", "word"))
     pos = F.row_number().over(Window.partitionBy("chapter_id").orderBy("index", "at"))
     timed = words.withColumn("pos", pos).filter("pos % 7 <> 0").select("chapter_id", "pos", "word", (F.col("pos") * 0.4).alias("start"), (F.col("pos") * 0.4 + 0.3).alias("end"))

@@ -13,7 +13,15 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def read_events(spark: SparkSession, path: str, time: str = "ts") -> DataFrame:
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path).withColumn(time, F.col(time).cast("timestamp"))
+    """Events of the Parquet files under the path, or of the one file it names; a stream reads folders alone."""
+    table = spark.read.parquet(path)
+    stream = spark.readStream.schema(table.schema)
+    folder, _, name = path.rpartition("/")
+    if any(f"/{name}/" in f for f in table.inputFiles()[:1]):
+        rows = stream.parquet(path)
+    else:
+        rows = stream.option("pathGlobFilter", name).parquet(folder)
+    return rows.withColumn(time, F.col(time).cast("timestamp"))
 
 
 def debounced_stream(events: DataFrame, keys: list[str], time: str, value: str, gap: str, late: str) -> DataFrame:

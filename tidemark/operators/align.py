@@ -108,6 +108,9 @@ def aligned(sentences: DataFrame, words: DataFrame, strategy: str = "fuzzy", cha
         return out
 
     columns = f"{chapter} {kind}, index int, start double, end double, estimated boolean"
+    # small tables, much work: a fixed number of partitions, which adaptive execution doesn't merge
+    n = int(sentences.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sentences, words = sentences.repartition(n, chapter), words.repartition(n, chapter)
     return sentences.groupBy(chapter).cogroup(words.groupBy(chapter)).applyInPandas(run, columns)
 
 

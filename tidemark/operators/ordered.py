@@ -37,7 +37,7 @@ def crossings(df: DataFrame, keys: list[str], time: str, value: str, thresholds:
 
 
 def debounced(df: DataFrame, keys: list[str], time: str, value: str, gap: str, blank: Column | None = None) -> DataFrame:
-    """The last value of each burst: rows that follow each other within less than the gap. A burst whose last value is
+    """The last value of each burst: rows that follow each other within the gap or less. A burst whose last value is
     blank gives none."""
     rows = df.groupBy(*keys, F.session_window(time, gap)).agg(F.max_by(value, F.struct(time, value)).alias(value), F.max(time).alias("last_at"), F.count("*").alias("n_events"))
     return (rows.filter(~blank) if blank is not None else rows).drop("session_window")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ENTRY = "id string, type string, chapterId string, chapterTitle string, promptLabel string, content string, timestamp string, meta struct<cardId: string, tier: string, confidence: int, pathway: string, step: string>"
+ENTRY = "struct<id: string, type: string, chapterId: string, chapterTitle: string, promptLabel: string, content: string, timestamp: string, meta: struct<cardId: string, tier: string, confidence: int, pathway: string, step: string>>"
 
 
 def identity(*extra: Column) -> Column:
@@ -71,7 +71,7 @@ def migrated(buckets: DataFrame) -> DataFrame:
 def all_entries(buckets: DataFrame, prefix: str) -> DataFrame:
     """Entries of every bucket whose key has the prefix; values that are no arrays or don't parse are skipped."""
     rows = buckets.filter(F.col("key").startswith(prefix) & F.trim("value").startswith("["))
-    return rows.select("key", F.inline(F.from_json("value", f"array<struct<{ENTRY.replace(' string', ': string').replace('meta struct', 'meta: struct')}>>")))
+    return rows.select("key", F.inline(F.from_json("value", f"array<{ENTRY}>")))
 
 
 def inserted_after(lines: DataFrame, marker: Column, text: Column, columns: list[str]) -> DataFrame:

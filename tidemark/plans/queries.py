@@ -175,7 +175,7 @@ def change_points(spark, sf_dir):
 
 _BURSTS = """
 WITH a AS (SELECT *, lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS before FROM events),
-b AS (SELECT *, sum(CASE WHEN before IS NULL OR ts - before >= INTERVAL 6 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS burst FROM a)
+b AS (SELECT *, sum(CASE WHEN before IS NULL OR ts - before > INTERVAL 6 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS burst FROM a)
 SELECT user_id, event_type, max_by(value, (ts, value)) AS value, max(ts) AS last_at, count(*) AS n_events FROM b GROUP BY user_id, event_type, burst"""
 
 

@@ -1,9 +1,11 @@
 """N-gram Jaccard join with signature trees.
 
-A set's rows go where its partners are: two sets of Jaccard similarity t or more share one of the first
-n - ceil(t * n) + 1 shingles in any fixed order. The order is by frequency class, from a sketch over all sets, then by hash,
-so common passages come last. Sets that share such a key are chained to the key's smallest set, and the connected groups
-of that are where links can be. Equal sets are one set from the start.
+A set's keys go where its partners are. Partners of Jaccard similarity t share at least g(n) of each one's first p(n)
+shingles in the order of their hashes, with p(n) = n - ceil(t * n) + l(n), l(n) = ceil((1 - t) * n) and
+g(n) = l(ceil(t * n)). Those keys are counted over all sets; a set with fewer than g keys that others have, too, has no
+partner, and of the others' shared keys the rarest, all but g - 1, must hit one of the partner's. Sets that share such a
+key are chained to the key's smallest set, and the connected groups of that are where links can be. Equal sets are one
+set from the start.
 
 Within a group, sets stand in a tree whose nodes hold the OR of their sets' bitmaps and their range of sizes. The tree
 is traversed against itself, level by level; a pair of nodes goes no further if its sizes or the bits it
@@ -28,40 +30,17 @@ from pyspark.sql import functions as F
 from .common import chunks, mix, shingle_sets, table, written
 from .components import components
 
-#: Buckets of the frequency sketch; times the mean from which a bucket is frequent.
-SKETCH, FREQUENT = 1 << 16, 1.5
 #: Shingles of a tile, sets of a leaf, children of a node, bits of a bitmap.
 TILE, LEAF, FAN, BITS = 1 << 21, 8, 8, 1 << 13
 #: Most documents that need their sets again for which their ids are broadcast.
 MAX_BROADCAST_IDS = 500_000
 
 
-def sketched(k: int):
-    def sketch(batches):
-        total = np.zeros(SKETCH, np.int64)
-        for _, data, offsets in chunks(batches):
-            sets, _ = shingle_sets(data, offsets, k)
-            total += np.bincount((sets % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"bucket": used.astype(np.int32), "n": total[used]})
-
-    return sketch
-
-
-def frequency_classes(docs: DataFrame, k: int) -> np.ndarray:
-    """0 for each bucket of shingles that isn't frequent, else the log of its count; SKETCH rows at most."""
-    rows = docs.select("text").mapInArrow(sketched(k), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    total = np.zeros(SKETCH)
-    total[rows["bucket"].to_numpy()] = rows["n"].to_numpy()
-    return np.where(total > FREQUENT * total.mean() + 8, np.log2(np.maximum(total, 1)) * 4, 0).astype(np.uint8)
-
-
-def prefix(shingles: np.ndarray, classes: np.ndarray, t: tuple[int, int]) -> np.ndarray:
-    """The shingles that a set must share with any partner, in the common order."""
-    n = len(shingles)
-    size = n - -(-t[0] * n // t[1]) + 1
-    kind = classes[(shingles % np.uint64(SKETCH)).astype(np.int64)]
-    return shingles[np.lexsort((shingles, kind))[:size]] if kind.any() else shingles[:size]
+def shares(n: int, t: tuple[int, int]) -> tuple[int, int]:
+    """p(n), the number of keys of a set of n shingles, and g(n), how many of them any partner has among its own."""
+    part = lambda m: max(1, -(-(t[1] - t[0]) * m // t[1]))
+    least = -(-t[0] * n // t[1])
+    return n - least + part(n), part(least)
 
 
 def outlined(k: int):
@@ -76,17 +55,18 @@ def outlined(k: int):
     return run
 
 
-def keyed(k: int, t: tuple[int, int], classes: np.ndarray):
-    """A row for each key of each set: key and doc_id."""
+def keyed(k: int, t: tuple[int, int]):
+    """A row for each key of each set: key (48 bits of the hash), doc_id and g."""
 
     def run(batches):
         for batch, data, offsets in chunks(batches):
             sets, ends = shingle_sets(data, offsets, k)
-            keys = [prefix(sets[a:b], classes, t) if b > a else sets[:0] for a, b in zip(ends[:-1], ends[1:])]
-            sizes = [len(x) for x in keys]
-            ids = np.repeat(batch.column("doc_id").to_numpy(zero_copy_only=False), sizes)
-            if len(ids):
-                yield pa.RecordBatch.from_pydict({"key": np.concatenate(keys).view(np.int64), "doc_id": ids.astype(np.int64)})
+            sizes = [shares(n, t) if n else (0, 0) for n in np.diff(ends).tolist()]
+            keys = [sets[a : a + p] for a, (p, _) in zip(ends, sizes)]
+            each = [p for p, _ in sizes]
+            if sum(each):
+                ids = np.repeat(batch.column("doc_id").to_numpy(), each).astype(np.int64)
+                yield pa.RecordBatch.from_pydict({"key": (np.concatenate(keys) >> np.uint64(16)).view(np.int64), "doc_id": ids, "g": np.repeat([g for _, g in sizes], each).astype(np.int32)})
 
     return run
 
@@ -258,11 +238,17 @@ def jaccard_components(docs: DataFrame, k: int = 4, t: tuple[int, int] = (85, 10
     classes_of = outline.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("_last"))
     heads = written(classes_of)
     copies = heads.filter("head < _last").select("digest", "head")
-    frequency = frequency_classes(docs, k)
     firsts = heads.select(F.col("head").alias("doc_id"))
-    keys = docs.filter("doc_id is not null").mapInArrow(keyed(k, t, frequency), "key long, doc_id long")
-    shared = keys.groupBy("key").agg(F.min("doc_id").alias("m"), F.max("doc_id").alias("_last")).filter("m < _last").select("key", "m")
-    star = keys.join(shared, "key").filter("doc_id <> m").select(F.col("doc_id").alias("a"), F.col("m").alias("b")).distinct()
+    later = written(outline.join(copies, "digest").filter("doc_id <> head").select("doc_id"))
+    known = docs.filter("doc_id is not null")
+    if later.count() <= MAX_BROADCAST_IDS:
+        known = known.join(F.broadcast(later), "doc_id", "left_anti")
+    keys = known.mapInArrow(keyed(k, t), "key long, doc_id long, g int")
+    counts = keys.groupBy("key").agg(F.count("*").alias("df")).filter("df > 1")
+    own = keys.join(counts, "key").groupBy("doc_id").agg(F.min("g").alias("g"), F.array_sort(F.collect_list(F.struct("df", "key"))).alias("keys")).filter("size(keys) >= g")
+    rare = written(own.select("doc_id", F.explode(F.slice("keys", F.lit(1), F.size("keys") - F.col("g") + 1)).alias("_k")).select("doc_id", "_k.key"))
+    shared = rare.groupBy("key").agg(F.min("doc_id").alias("m"), F.max("doc_id").alias("_last")).filter("m < _last").select("key", "m")
+    star = rare.join(shared, "key").filter("doc_id <> m").select(F.col("doc_id").alias("a"), F.col("m").alias("b")).distinct()
     near = components(star)  # where links can be
     near = written(near.join(firsts, near["id"] == firsts["doc_id"], "left_semi"))
     n = near.count()

@@ -284,7 +284,7 @@ def of_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """_id, _key and spans (low and high byte) of all texts of keyed() that have repeated strings; spans may touch."""
-    found = docs.mapInArrow(anchored, "anchor long, content long, strings int, _id long, _key long, start long")
+    found = written(docs.mapInArrow(anchored, "anchor long, content long, strings int, _id long, _key long, start long"))
     twice = found.groupBy("anchor").count().filter("count > 1").select("anchor")
     places = written(found.join(twice, "anchor"))
     distinct = places.groupBy("anchor", "content", "strings").agg(F.count("*").alias("copies"), F.min(F.struct("_id", "_key", "start")).alias("at"))

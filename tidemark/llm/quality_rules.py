@@ -35,6 +35,11 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def once(df: DataFrame, *columns: Column) -> DataFrame:
+    """df with more columns that are computed once: a generator of one row, into which no later filter is pushed."""
+    return df.select("*", F.inline(F.array(F.struct(*columns))))
+
+
 def repeat_words(words: Column) -> Column:
     """Number of words in windows of five that occur twice or more among the words."""
     windows = F.transform(F.sequence(F.lit(0), F.size(words) - 5), lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(5)]))
@@ -55,17 +60,17 @@ def repeat_words(words: Column) -> Column:
 def with_counts(docs: DataFrame) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_lines, n_dup_lines and n_repeat_words."""
     lines = F.filter(F.split(texts(docs), "\n"), lambda x: x.rlike(rf"[^\x20\x09-\x0D]"))
-    read = docs.withColumn("_words", F.regexp_extract_all(texts(docs), F.lit(WORD), F.lit(0))).withColumn("_lines", lines)
+    read = once(docs, F.regexp_extract_all(texts(docs), F.lit(WORD), F.lit(0)).alias("_words"), lines.alias("_lines"))
     words = F.col("_words")
-    return read.select(
-        *docs.columns,
+    return once(
+        read,
         F.size(words).cast("long").alias("n_words"),
         F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
         F.regexp_count(texts(docs), F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
         F.size("_lines").cast("long").alias("n_lines"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         repeat_words(words).alias("n_repeat_words"),
-    )
+    ).drop("_words", "_lines")
 
 
 def ordered(sample: DataFrame, rules: dict[str, str]) -> list[str]:

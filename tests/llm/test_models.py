@@ -52,7 +52,8 @@ def held_out(spark, name, query, label):
 
 def test_toxicity(spark, hard, none):
     right, rows = held_out(spark, "op1", toxicity.op1_toxicity, "toxic")
-    assert right > 0.95 and all(0 <= r.score <= 1 for r in rows)
+    assert not any(r.predicted and not r.toxic for r in rows) and right > 0.93  # 0.84 are not toxic
+    assert all(0 <= r.score <= 1 for r in rows)
     train = spark.createDataFrame([("you idiot " * 3, 1)] * 20 + [("a calm text", 0)] * 40, "text string, label int")
     out = toxicity.toxic_passages(hard, train)
     assert out.count() == len(HARD) and out.filter("score is null").count() == 0

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import remainder, table
 
 #: Labelled rows learned from, features kept, least z of a toxic feature, prior's share of all counts.
-MAX_LABELLED, MAX_FEATURES, MIN_Z, PRIOR = 60_000, 50_000, 3.5, 0.05
+MAX_LABELLED, MAX_FEATURES, MIN_Z, PRIOR = 60_000, 50_000, 3.0, 0.05
 #: Lengths of the prefixes that back off, score of other tokens, most expected chance segments of a significant one.
 PREFIXES, DRIFT, MAX_E = (6, 5, 4), -0.25, 0.05
 #: Distinct words whose scores a task remembers.

@@ -16,4 +16,4 @@ QUERIES = {
     "op9_mixing": mixing.op9_mixing,
     "op10_jaccard_join": jaccard_join.op10_jaccard_join,
 }
-SQL = {"op5_exact_dedup": exact_dedup.SQL, "op8_quality_rules": quality_rules.SQL, "op9_mixing": mixing.SQL}
+SQL = {"op5_exact_dedup": exact_dedup.SQL, "op8_quality_rules": quality_rules.SQL, "op9_mixing": mixing.SQL, "op10_jaccard_join": jaccard_join.SQL}

@@ -126,9 +126,9 @@ def test_store(spark):
     rows = spark.createDataFrame([("1", "commitment", ("a", 1)), ("1", "reflection", ("a", 1)), (None, "commitment", None)], e)
     assert store.deleted(rows, "id", "1").count() == 1
     assert [r.meta.confidence if r.meta else None for r in store.with_confidence(rows, 9).collect()] == [9, 1, None]
-    b = spark.createDataFrame([("wop-reflection-ch-1-2", '{"content": "hi", "timestamp": "t"}'), ("wop-reflection-ch-1-3", "{broken"), ("wop-reflection-ch-1", '[{"id": "9", "type": "reflection"}]'), ("other", "[]")], "key string, value string")
-    assert [(r.chapterId, r.promptLabel, r.content) for r in store.migrated(b).collect()] == [("ch-1", "Prompt 2", "hi")]
-    assert [r.id for r in store.all_entries(b, "wop-reflection-").collect()] == ["9"]
+    b = spark.createDataFrame([("notes-ch-1-2", '{"content": "hi", "timestamp": "t"}'), ("notes-ch-1-3", "{broken"), ("notes-ch-1", '[{"id": "9", "type": "reflection"}]'), ("other", "[]")], "key string, value string")
+    assert [(r.chapterId, r.promptLabel, r.content) for r in store.migrated(b, "notes-").collect()] == [("ch-1", "Prompt 2", "hi")]
+    assert [r.id for r in store.all_entries(b, "notes-").collect()] == ["9"]
 
 
 def test_readers(spark, tmp_path):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,11 +59,11 @@ def toggled(df: DataFrame, chosen: Column, now: Column, status: str = "status",
     return df.withColumns({done_at: at, status: state})
 
 
-def migrated(buckets: DataFrame) -> DataFrame:
-    """Entries from key and value rows of numbered reflections: keys reflection-<chapter>-<1..3>, values objects.
+def migrated(buckets: DataFrame, prefix: str) -> DataFrame:
+    """Entries from key and value rows of numbered reflections: keys <prefix><chapter>-<1..3>, values objects.
 
     Values that don't parse, or have no content, are dropped; arrays under unified keys are no objects and stay out."""
-    p = r"^wop-reflection-(.+)-([123])$"
+    p = rf"^{re.escape(prefix)}(.+)-([123])$"
     rows = buckets.filter(F.col("key").rlike(p)).withColumn("_v", F.from_json("value", "content string, timestamp string"))
     rows = rows.filter((F.col("_v.content") != "") & F.col("_v.content").isNotNull())
     chapter, number = F.regexp_extract("key", p, 1), F.regexp_extract("key", p, 2)

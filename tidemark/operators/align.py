@@ -10,7 +10,7 @@ import re
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 STRATEGIES = ("exact_prefix5", "exact_prefix4", "subsequence", "fuzzy")
@@ -97,6 +97,17 @@ def timed(sentences: list[tuple[int, str]], words: list[tuple[str, float, float]
     return out
 
 
+def words_of_characters(characters: DataFrame, chapter: str = "chapter_id") -> DataFrame:
+    """Words with times from timed characters (chapter, pos, character, start, end).
+
+    Characters keep their own times, so white space that a normalised text would lose shifts nothing."""
+    blank = F.col("character").rlike(r"^\s*$")
+    number = F.count_if(blank).over(Window.partitionBy(chapter).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    letters = characters.withColumn("pos_", number).filter(~blank)
+    spelled = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "character"))), lambda x: x["character"]), "")
+    return letters.groupBy(chapter, F.col("pos_").alias("pos")).agg(spelled.alias("word"), F.min("start").alias("start"), F.max("end").alias("end"))
+
+
 def aligned(sentences: DataFrame, words: DataFrame, strategy: str = "fuzzy", chapter: str = "chapter_id") -> DataFrame:
     kind = dict(sentences.dtypes)[chapter]
 

@@ -10,7 +10,7 @@ set from the start.
 Within a group, sets stand in a tree whose nodes hold the OR of their sets' bitmaps and their range of sizes. The tree
 is traversed against itself, level by level; a pair of nodes goes no further if its sizes or the bits it
 shares can't give the overlap, or if all its sets are joined already. What is left at the leaves is counted exactly. A group of more
-than TILE shingles is dealt out over tiles, and each pair of tiles is one task.
+than TILE shingles is dealt out over tiles, which are linked within and then by probes; see large_group_links().
 
 Defined cases: a null or empty text, or one without words, has the empty set and is linked with nothing; a text of
 fewer words than a shingle has its whole sequence as one shingle; rows that share a
@@ -31,7 +31,7 @@ from .common import chunks, mix, shingle_sets, table, written
 from .components import components
 
 #: Shingles of a tile, sets of a leaf, children of a node, bits of a bitmap.
-TILE, LEAF, FAN, BITS = 1 << 21, 8, 8, 1 << 13
+TILE, LEAF, FAN, BITS = 1 << 19, 8, 8, 1 << 13
 #: Most documents that need their sets again for which their ids are broadcast.
 MAX_BROADCAST_IDS = 500_000
 
@@ -213,16 +213,13 @@ def tree_links(sets: list[np.ndarray], t: tuple[int, int], first: int | None = N
 
 
 def grouped_links(t: tuple[int, int]):
-    """Links within one task's sets: of one tile with itself, or of two tiles with each other."""
+    """Links within one task's sets: those of a tile with each other or, if there are probes, with these alone."""
 
     def run(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks()
-        left, right = group["tile_a"][0].as_py(), group["tile_b"][0].as_py()
-        order = np.argsort(group["tile"].to_numpy() != left, kind="stable")
-        group = group.take(pa.array(order))
+        home = group["home"].to_numpy() == group["tile"].to_numpy()
+        group = group.take(pa.array(np.argsort(~home, kind="stable"))).combine_chunks()
         sets = [np.frombuffer(x.as_py(), np.uint64) for x in group["shingles"]]
-        first = None if left == right else int((group["tile"].to_numpy() == left).sum())
-        pairs = tree_links(sets, t, first) if len(sets) > 1 else []
+        pairs = tree_links(sets, t, None if home.all() else int(home.sum())) if len(sets) > 1 else []
         ids = group["doc_id"].to_numpy()
         a, b = (np.array([p[s] for p in pairs], np.int64) for s in (0, 1))
         return pa.table({"a": pa.array(ids[a], pa.int64()), "b": pa.array(ids[b], pa.int64())})
@@ -230,6 +227,43 @@ def grouped_links(t: tuple[int, int]):
     return run
 
 
+def task_links(rows: DataFrame, t: tuple[int, int]) -> DataFrame:
+    """Links from one task per component and tile: rows of the tile itself (home is the tile) and probes from others."""
+    return rows.select("component", "tile", "chunk", "home", "doc_id", "shingles").groupBy("component", "tile", "chunk").applyInArrow(grouped_links(t), "a long, b long")
+
+
+def large_group_links(sets: DataFrame, tiles: DataFrame, t: tuple[int, int], tile: int) -> DataFrame:
+    """Links of the groups that are dealt out over tiles.
+
+    Each tile is linked within itself; then the first set of each part that came out probes all tiles, which joins the
+    parts of near copies. What still isn't in the group's largest part after that probes all tiles in full. A link has
+    such a set at one end or joins two sets of the largest part, so none that matters is missed."""
+    own = sets.join(F.broadcast(tiles), "component").withColumn("tile", F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int"))
+    own = own.withColumn("home", F.col("tile"))
+
+    def probed(chosen: DataFrame) -> DataFrame:
+        """Links between the chosen sets, in chunks of a tile's size, and all tiles."""
+        n = F.ceil(F.sum(F.octet_length("shingles")) / 8 / tile).cast("int")
+        chunks_ = F.broadcast(chosen.groupBy("component").agg(n.alias("chunks")))
+        base = own.join(chunks_, "component").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        spread = chosen.join(chunks_, "component").withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).filter("tile <> home")
+        spread = spread.withColumns({"home": F.lit(-1), "chunk": F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("chunks")).cast("int")})
+        return written(task_links(base.unionByName(spread), t))
+
+    def labelled(links: DataFrame) -> DataFrame:
+        parts = components(links).withColumnRenamed("component", "part")
+        return written(own.join(parts, own["doc_id"] == parts["id"], "left").drop("id").withColumn("part", F.coalesce("part", "doc_id")).drop("shingles"))
+
+    within = written(task_links(own.withColumn("chunk", F.lit(0)), t))
+    parts = labelled(within)
+    heads = parts.groupBy("component", "tile", "part").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")).filter("n > 1").select("doc_id")
+    links = within.unionByName(probed(own.join(heads, "doc_id", "left_semi")))
+    parts = labelled(links)
+    largest = parts.groupBy("component", "part").agg(F.count("*").alias("n")).groupBy("component").agg(F.max_by("part", F.struct("n", "part")).alias("part"))
+    left = parts.join(F.broadcast(largest), ["component", "part"], "left_anti").select("doc_id")
+    return links.unionByName(probed(own.join(left, "doc_id", "left_semi")))
+
+
 def jaccard_components(docs: DataFrame, k: int = 4, t: tuple[int, int] = (85, 100), tile: int = TILE) -> DataFrame:
     """doc_id, n_shingles and component_id: the smallest doc_id that links reach. docs: doc_id (long) and text."""
     docs = docs.select("doc_id", "text")
@@ -257,13 +291,11 @@ def jaccard_components(docs: DataFrame, k: int = 4, t: tuple[int, int] = (85, 10
     wanted = near.select(F.col("id").alias("doc_id"), "component")
     chosen = docs.join(F.broadcast(wanted) if n <= MAX_BROADCAST_IDS else wanted, "doc_id")
     sets = written(chosen.mapInArrow(listed(k), "doc_id long, component long, shingles binary"))
-    sizes = sets.groupBy("component").agg((F.sum(F.octet_length("shingles")) / 8).alias("s")).filter(F.col("s") > tile)
-    tiles = sizes.select("component", F.ceil(F.col("s") / tile).cast("int").alias("tiles"))  # few: each has over tile shingles
-    dealt = sets.join(F.broadcast(tiles), "component", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
-    dealt = dealt.withColumn("tile", F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-    tasks = dealt.withColumn("_o", other).select("component", F.least("tile", "_o").alias("tile_a"), F.greatest("tile", "_o").alias("tile_b"), "tile", "doc_id", "shingles")
-    links = tasks.groupBy("component", "tile_a", "tile_b").applyInArrow(grouped_links(t), "a long, b long")
+    sizes = sets.groupBy("component").agg((F.sum(F.octet_length("shingles")) / 8).alias("s"))
+    tiles = written(sizes.filter(F.col("s") > tile).select("component", F.ceil(F.col("s") / tile).cast("int").alias("tiles")))  # few: each has over tile shingles
+    links = task_links(sets.join(F.broadcast(tiles.select("component")), "component", "left_anti").withColumns({"tile": F.lit(0), "chunk": F.lit(0), "home": F.lit(0)}), t)
+    if not tiles.isEmpty():
+        links = links.unionByName(large_group_links(sets, tiles, t, tile))
     reached = components(links)
     by_id = outline.join(copies, "digest", "left").withColumn("_head", F.coalesce("head", "doc_id"))
     out = by_id.join(reached, F.col("_head") == F.col("id"), "left")

@@ -107,14 +107,25 @@ def cut_out(batches):
             yield pa.RecordBatch.from_pylist(rows, kind)
 
 
-def eight(text: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The eight bytes from each position on, as big-endian numbers."""
-    return text[at[:, None] + np.arange(8)].view(">u8").ravel().astype(np.uint64)
+def eights(text: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on, as big-endian numbers; the text ends with seven zeros at least."""
+    n = len(text) - 7
+    keys = text[:n].astype(np.uint64)
+    for i in range(1, 8):
+        keys <<= np.uint64(8)
+        keys |= text[i : n + i]
+    return keys
 
 
-def sorted_directly(text: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
+def next_of(places: np.ndarray, n: int) -> np.ndarray:
+    """For each of n positions the first of the (sorted) places that isn't before it; at the end the last one."""
+    out = np.repeat(places, np.diff(places, prepend=-1))[:n]
+    return np.concatenate([out, np.full(n - len(out), places[-1])])
+
+
+def sorted_directly(keys: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
     """Suffixes at the positions in order, by as many bytes at least; equals stay in order."""
-    key = eight(text, at)
+    key = keys[at]
     order = np.argsort(key, kind="stable")
     at, key = at[order], key[order]
     group = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]])) if len(at) else np.zeros(0, np.int64)
@@ -126,32 +137,31 @@ def sorted_directly(text: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
         if not len(tied):
             break
         here = at[tied]
-        key = eight(text, here + d)
+        key = keys[np.minimum(here + d, len(keys) - 1)]
         order = np.lexsort((key, group))
         at[tied], key, group = here[order], key[order], group[order]
         group = np.cumsum(np.concatenate([[0], (key[1:] != key[:-1]) | (group[1:] != group[:-1])]))
     return at
 
 
-def suffix_array(text: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarray:
+def suffix_array(text: np.ndarray, wanted: np.ndarray, depth: int, keys: np.ndarray | None = None) -> np.ndarray:
     """The wanted positions (flags) in the order of their suffixes' first depth bytes, by two-stage sorting.
 
     text: bytes above 0 with a 0 after each string, and depth + 8 zeros at the end."""
     n = int(np.flatnonzero(text)[-1]) + 2  # with the last separator
     t = text[: n + 1]
     change = np.flatnonzero(t[1:] != t[:-1])
-    after = change[np.minimum(np.searchsorted(change, np.arange(n)), len(change) - 1)]  # the last place of each run of one byte
+    after = next_of(change, n)  # the last place of each run of one byte
     smaller = t[after] < t[after + 1]  # than its successor: sorted directly
     smaller[t[:n] == 0] = True
     # a suffix that isn't smaller is induced from its successor, so that is needed, up to the next smaller one
-    places = np.flatnonzero(smaller)
-    follow = places[np.minimum(np.searchsorted(places, np.arange(n)), len(places) - 1)]  # the next smaller one from here on
+    follow = next_of(np.flatnonzero(smaller), n)  # the next smaller one from here on
     needed = np.zeros(n + 1, np.int64)
     begin = np.flatnonzero(wanted[:n])
     np.add.at(needed, begin, 1)
     np.add.at(needed, follow[begin] + 1, -1)
     needed = np.cumsum(needed)[:n] > 0
-    direct = sorted_directly(text, np.flatnonzero(needed & smaller), depth)
+    direct = sorted_directly(eights(text) if keys is None else keys, np.flatnonzero(needed & smaller), depth)
     induced = needed & ~smaller
     heads = t[direct]
     edges = np.searchsorted(heads, np.arange(257))
@@ -181,12 +191,12 @@ def suffix_array(text: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarray
     return array[wanted[array]]
 
 
-def common_prefixes(text: np.ndarray, array: np.ndarray, limit: int) -> np.ndarray:
+def common_prefixes(keys: np.ndarray, array: np.ndarray, limit: int) -> np.ndarray:
     """Bytes that each suffix shares with the next one in the array, in eights, limit at most."""
     shared = np.zeros(max(0, len(array) - 1), np.int64)
     left = np.arange(len(shared))
     for d in range(0, limit, 8):
-        left = left[eight(text, array[left] + d) == eight(text, array[left + 1] + d)]
+        left = left[keys[array[left] + d] == keys[array[left + 1] + d]]
         shared[left] += 8
         if not len(left):
             break
@@ -202,8 +212,9 @@ def repeated_in_block(rows: list[tuple[np.ndarray, np.ndarray, int]]) -> list[np
     for (data, starts, _), at in zip(rows, begin):
         text[at : at + len(data)] = data + 1  # no byte of UTF-8 is 255
         wanted[at + starts] = True
-    array = suffix_array(text, wanted, LENGTH)
-    same = common_prefixes(text, array, LENGTH) >= LENGTH
+    keys = eights(text)
+    array = suffix_array(text, wanted, LENGTH, keys)
+    same = common_prefixes(keys, array, LENGTH) >= LENGTH
     again = np.zeros(len(text), bool)
     again[array[:-1][same]] = True
     again[array[1:][same]] = True

@@ -121,6 +121,35 @@ def test_exchange_raises_mutual_information():
     assert len({(w % 2, of[w]) for w in range(n)}) == 2
 
 
+def test_words_beyond_the_clustered_find_classes(spark, monkeypatch):
+    """Words of two roles, all with one ending and none among the clustered: a word keeps its role's company."""
+    monkeypatch.setattr(brown_lm, "KNOWN", 1100)
+    texts = [f"head{i:03d}x " * 40 for i in range(1000)]  # the clustered words
+    texts += ["head001x head010x head002x " * 2000, "head003x head011x head004x " * 2000]
+    one, two = ([f"{a}{i}zz" for i in range(100)] for a in "pq")
+    texts += [f"head001x {w} head002x head003x {v} head004x" for w, v in zip(one, two) for _ in range(4)]
+    train = spark.createDataFrame([(t,) for t in texts], "text string")
+    tried = [(i, t) for i in range(100) for t in (f"head001x {one[i]} head002x", f"head001x {two[i]} head002x")]
+    rows = brown_lm.scores(spark.createDataFrame([(2 * i + (t.split()[1] in two), t) for i, t in tried], "doc_id long, text string"), train).collect()
+    got = {r.doc_id: r.score for r in rows}
+    assert np.mean([got[2 * i] > got[2 * i + 1] + 0.1 for i in range(100)]) > 0.95
+
+
+def test_best_class_raises_information_most():
+    draw = np.random.default_rng(4)
+    joint = draw.integers(50, 99, (5, 5)).astype(float)
+    slot, n = np.array([0, 2, 6, 8]), np.array([9, 1, 2, 7])  # classes 0 and 2 after it, 1 and 3 before it
+
+    def moved(to):
+        table_ = joint.copy()
+        for c, sign in ((1, -1), (to, 1)):
+            for s, x in zip(slot, n):
+                table_[(c, s) if s < 5 else (s - 5, c)] += sign * x
+        return brown_lm.information(table_)
+
+    assert brown_lm.best_classes(joint, np.array([1]), np.zeros(4, int), slot, n)[0] == max(range(4), key=moved)
+
+
 def unigram_model(pieces):
     """The model file as a unigram model with these scores, for the library to read."""
 

@@ -1,13 +1,16 @@
 """Language-model scoring with Brown class-based n-grams.
 
 Exchange clustering assigns the CLUSTERED most frequent words, and the shape groups that hold all other words, to
-classes so that the mutual information of adjacent classes grows. A text's probability is the product of class
-transitions and word emissions. Transitions are smoothed towards class frequencies; a word beyond the clustered ones
-is emitted by its shape group, in which unknown words together have the Good-Turing mass of words seen once.
+classes so that the mutual information of adjacent classes grows. That is the start: then every other word seen LEAST
+times or more moves in SETTLE rounds from its shape group's class to its best one, by the classes it has before and
+after it; the words of a round move at once, and a round that does not raise the mutual information is not taken.
+Only words seen less often, and unknown ones, stay with their shape group. A text's probability is the product of class
+transitions and word emissions. Transitions are smoothed towards class frequencies; in a shape group, unknown words
+together have the Good-Turing mass of words seen once, half of the group at most.
 
-Counts of words and of adjacent words are taken over all training texts. The KNOWN most frequent words' counts are
-broadcast, a fixed number; rarer words of a text are joined with their counts. Tokens are words of A-Z lower-cased,
-and one end per text.
+Counts of words, of words beside classes and of adjacent classes are taken over all training texts. The KNOWN most
+frequent words' counts and classes are broadcast, a fixed number; those of a text's rarer words are joined. Tokens are
+words of A-Z lower-cased, and one end per text.
 
 Defined cases: a null text is empty and has the one token end; with no training text every token is unknown; a null
 doc_id counts as an empty id where rows are split, and stays null; repeated rows are scored one by one; an empty
@@ -31,9 +34,15 @@ from .common import chunks, remainder, table, texts, written
 CLUSTERED, SHAPES, CLASSES, ROUNDS = 1000, 32, 64, 8
 #: Most frequent words whose counts are broadcast, pseudo-count of class frequencies in a transition.
 KNOWN, BACK_OFF = 200_000, 50.0
+#: Occurrences from which a word has a class of its own, rounds in which the words beyond the clustered ones move.
+LEAST, SETTLE = 2, 2
 #: Distinct words that a task counts before it passes the counts on.
 FLUSH = 300_000
+#: Texts that numpy works on at once, words whose best classes are sought at once, pairs kept before they are passed on.
+TEXTS, WORDS, PAIRS = 1000, 500, 1 << 21
 END = CLUSTERED + SHAPES
+#: Places of a word's neighbours: a class after it, then a class before it.
+SLOTS = 2 * (CLASSES + 1)
 
 
 def split_words(batch: pa.RecordBatch) -> list[list[bytes]]:
@@ -65,6 +74,7 @@ class Vocabulary:
     """The most frequent words in order of their rank, with counts; the first CLUSTERED have a unit of their own."""
 
     def __init__(self, tokens: list[bytes], counts: np.ndarray):
+        self.tokens = tokens
         self.rank = {t: i for i, t in enumerate(tokens)}
         self.counts = counts
         self.units = np.array([i if i < CLUSTERED else CLUSTERED + shape(t) for i, t in enumerate(tokens)] or [0], np.int64)
@@ -72,12 +82,77 @@ class Vocabulary:
     def ranks(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.rank.get, words, repeat(-1)), np.int64, len(words))
 
-    def as_units(self, words: list[bytes], ranks: np.ndarray) -> np.ndarray:
-        units = self.units[ranks]
-        for i in np.flatnonzero(ranks < 0).tolist():
-            units[i] = CLUSTERED + shape(words[i])
+
+ENCODED = "ids array<int>, rare array<binary>, groups array<int>"
+
+
+def encoded(shared):
+    """Each text as ranks of its words, where below zero -1 less the place in rare; rare words with their shape groups.
+
+    The columns in front of text are kept."""
+    lists = {"ids": pa.list_(pa.int32()), "rare": pa.list_(pa.binary()), "groups": pa.list_(pa.int32())}
+
+    def encode(batches):
+        vocabulary = shared.value
+        for batch, _, _ in chunks(batches):
+            ids, rares, groups = [], [], []
+            for words in split_words(batch):
+                ranks, places = vocabulary.ranks(words), {}
+                for i in np.flatnonzero(ranks < 0).tolist():
+                    ranks[i] = -1 - places.setdefault(words[i], len(places))
+                ids.append(ranks.astype(np.int32))
+                rares.append(list(places))
+                groups.append([shape(w) for w in places])
+            keep = [n for n in batch.schema.names if n != "text"]
+            columns = [pa.array(c, k) for c, k in zip((ids, rares, groups), lists.values())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), *columns], names=[*keep, *lists])
+
+    return encode
+
+
+class Texts:
+    """Encoded texts end to end: ranks, place of rare words (-1: none), and the text that each word is of.
+
+    found, where it is there, has c and class of rare words (class -1: their shape group's)."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        lists = {n: pc.fill_null(batch.column(n), []) for n in batch.schema.names if n in ("ids", "rare", "groups", "found")}
+        flat = lambda n: lists[n].flatten()
+        sizes = lambda n: pc.list_value_length(lists[n]).to_numpy().astype(np.int64)
+        self.rows, self.sizes = batch.num_rows, sizes("ids")
+        self.of, self.ranks = np.repeat(np.arange(self.rows), self.sizes), flat("ids").to_numpy().astype(np.int64)
+        begin = np.cumsum(sizes("rare")) - sizes("rare")
+        self.tokens, self.groups = flat("rare"), flat("groups").to_numpy().astype(np.int64)
+        self.place = np.where(self.ranks < 0, begin[self.of] - 1 - self.ranks, -1)
+        self.rare_counts, self.rare_classes = np.zeros(len(self.groups), np.int64), np.full(len(self.groups), -1)
+        if "found" in lists:
+            found = flat("found")
+            at = np.repeat(begin, sizes("found")) + found.field("at").to_numpy()
+            self.rare_counts[at], self.rare_classes[at] = found.field("c").to_numpy(), found.field("class").to_numpy()
+
+    def units(self, vocabulary: Vocabulary) -> np.ndarray:
+        units = vocabulary.units[np.maximum(self.ranks, 0)]
+        rare = self.ranks < 0
+        units[rare] = CLUSTERED + self.groups[self.place[rare]]
         return units
 
+    def classes(self, classes: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """Of each word; classes: of ranks, of: of units."""
+        out = classes[np.maximum(self.ranks, 0)]
+        rare = self.ranks < 0
+        out[rare] = np.where(self.rare_classes < 0, of[CLUSTERED + self.groups], self.rare_classes)[self.place[rare]]
+        return out
+
+    def ended(self, values: np.ndarray, end) -> np.ndarray:
+        """values of the words, with the end's after each text."""
+        return np.insert(values, np.cumsum(self.sizes), end)
+
+
+def parts(batches):
+    for batch in batches:
+        for at in range(0, batch.num_rows, TEXTS):
+            yield Texts(batch.slice(at, TEXTS)), batch.slice(at, TEXTS)
+
 
 def adjacent(shared):
     """Counts of adjacent units, each text between two ends."""
@@ -85,11 +160,8 @@ def adjacent(shared):
     def count(batches):
         vocabulary, size = shared.value, END + 1
         total = np.zeros(size * size, np.int64)
-        for batch, _, _ in chunks(batches):
-            rows = split_words(batch)
-            flat = [w for words in rows for w in words]
-            units = vocabulary.as_units(flat, vocabulary.ranks(flat))
-            ends = np.insert(units, np.cumsum([len(w) for w in rows]), END)  # an end after each text
+        for t, _ in parts(batches):
+            ends = t.ended(t.units(vocabulary), END)
             total += np.bincount(np.concatenate([[END], ends[:-1]]) * size + ends, minlength=size * size)
         pairs = np.flatnonzero(total)
         for at in range(0, len(pairs), 1 << 16):
@@ -99,6 +171,96 @@ def adjacent(shared):
     return count
 
 
+def neighbours(shared, every: bool, last: bool):
+    """Counts of words beyond the clustered ones beside classes, unless last; under the empty word those of adjacent classes.
+
+    every: also of rare words whose counts aren't joined yet."""
+
+    def count(batches):
+        vocabulary, classes, of = shared.value
+        words, size = pa.array(vocabulary.tokens, pa.binary()), CLASSES + 1
+        total, kept, n = np.zeros(size * size, np.int64), [], 0
+        moving = vocabulary.counts >= LEAST
+        moving[:CLUSTERED] = False
+
+        def rows(tokens, codes, counts=None):
+            codes, counts = np.unique(codes, return_counts=True) if counts is None else (codes, counts)
+            for at in range(0, len(codes), 1 << 16):
+                word, slot = np.divmod(codes[at : at + (1 << 16)], SLOTS)
+                yield pa.RecordBatch.from_arrays([tokens.take(pa.array(word)), pa.array(slot.astype(np.int32)), pa.array(counts[at : at + (1 << 16)], pa.int64())], names=["token", "slot", "n"])
+
+        for t, _ in parts(batches):
+            ends = np.concatenate([[CLASSES], t.ended(t.classes(classes, of), CLASSES)])
+            total += np.bincount(ends[:-1] * size + ends[1:], minlength=size * size)
+            if last:
+                continue
+            at = np.arange(len(t.of)) + t.of + 1
+            for known in (True, False):
+                chosen = np.flatnonzero((t.ranks >= 0) & moving[np.maximum(t.ranks, 0)] if known else (t.ranks < 0) & (every | (t.rare_counts[t.place] >= LEAST) if len(t.groups) else False))
+                word = (t.ranks if known else t.place)[chosen] * SLOTS
+                codes = np.concatenate([word + ends[at[chosen] + 1], word + size + ends[at[chosen] - 1]])
+                if known:
+                    kept.append(codes)
+                    n += len(codes)
+                else:
+                    yield from rows(t.tokens, codes)
+            if n > PAIRS:
+                yield from rows(words, np.concatenate(kept))
+                kept, n = [], 0
+        if n:
+            yield from rows(words, np.concatenate(kept))
+        pairs = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array([b""] * len(pairs), pa.binary()), pa.array(pairs.astype(np.int32)), pa.array(total[pairs])], names=["token", "slot", "n"])
+
+    return count
+
+
+def xlx(x):
+    return x * np.log(np.maximum(x, 1.0))
+
+
+def information(joint: np.ndarray) -> float:
+    """What exchange raises: the mutual information of adjacent classes, up to constants."""
+    return float(xlx(joint).sum() - xlx(joint.sum(0)).sum() - xlx(joint.sum(1)).sum())
+
+
+def best_classes(joint: np.ndarray, was: np.ndarray, word: np.ndarray, slot: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The class that each word alone raises information() most in; word (in order), slot and n: its neighbours."""
+    classes, k, side = len(joint) - 1, slot % len(joint), slot // len(joint)
+    gain, every = np.zeros((len(was), classes)), np.arange(len(was))
+    for s, table_ in ((0, joint), (1, joint.T)):  # of each entry: the cell of a class and the neighbour's class
+        here = side == s
+        w, more = word[here], n[here].astype(float)
+        cells = table_[:classes, k[here]].T
+        own = was[w][:, None] == np.arange(classes)
+        cells = np.maximum(cells - own * more[:, None], 0)
+        change = xlx(cells + more[:, None]) - xlx(cells)
+        if len(w):
+            first = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
+            gain[w[first]] += np.add.reduceat(change, first)
+        whole = np.bincount(w, more, len(was))[:, None]
+        sums = np.maximum(table_.sum(1)[:classes] - (was[:, None] == np.arange(classes)) * whole, 0)
+        gain -= xlx(sums + whole) - xlx(sums)
+    to = gain.argmax(1)
+    return np.where(gain[every, to] > gain[every, was] + 1e-9, to, was)
+
+
+def settled(joint: np.ndarray, of: np.ndarray):
+    """token, c and class of each word, from what is counted beside it."""
+
+    def settle(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, WORDS):
+                batch = whole.slice(at, WORDS)
+                was = np.array([of[CLUSTERED + shape(t)] if c < 0 else c for t, c in zip(batch.column("token").to_pylist(), batch.column("class").to_pylist())], np.int64)
+                beside = batch.column("beside")
+                word, beside = np.repeat(np.arange(batch.num_rows), pc.list_value_length(beside).to_numpy()), beside.flatten()
+                to = best_classes(joint, was, word, beside.field("slot").to_numpy().astype(np.int64), beside.field("n").to_numpy())
+                yield pa.RecordBatch.from_arrays([batch.column("token"), batch.column("c"), pa.array(to.astype(np.int32))], names=["token", "c", "class"])
+
+    return settle
+
+
 def exchanged(pairs: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) -> np.ndarray:
     """The class of each unit; the last unit, the end, has the last class to itself.
 
@@ -109,7 +271,6 @@ def exchanged(pairs: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) -
     of = np.empty(n + 1, np.int64)
     of[order] = np.arange(n) % classes
     of[n] = classes
-    xlx = lambda x: x * np.log(np.maximum(x, 1.0))
     pairs = pairs.astype(float)
     hot = np.eye(classes + 1)[of]
     right, left = pairs @ hot, pairs.T @ hot  # unit -> class after it, class before it
@@ -149,13 +310,16 @@ def exchanged(pairs: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) -
 
 
 class Model:
-    """Log10 probabilities of class transitions, units within classes and, by shape group, of words."""
+    """Log10 probabilities of class transitions, units within classes and, by shape group, of words.
 
-    def __init__(self, pairs: np.ndarray, of: np.ndarray, group_size: np.ndarray, group_once: np.ndarray, classes: int = CLASSES):
+    joint and units, the counts of adjacent classes and of units, are those of pairs unless other words have classes too."""
+
+    def __init__(self, pairs: np.ndarray, of: np.ndarray, group_size: np.ndarray, group_once: np.ndarray, classes: int = CLASSES, joint: np.ndarray | None = None, units: np.ndarray | None = None):
         hot = np.eye(classes + 1)[of]
-        joint = hot.T @ pairs @ hot
-        units = pairs.sum(0) + 0.1  # each unit may occur
-        by_class = hot.T @ units
+        joint = hot.T @ pairs @ hot if joint is None else joint
+        units = (pairs.sum(0) if units is None else units) + 0.1  # each unit may occur
+        by_class = joint.sum(0) + 0.1 * hot.sum(0)
+        self.by_class = np.log10(np.maximum(by_class, 0.1))
         self.of, self.moves = of, np.log10((joint + BACK_OFF * by_class / by_class.sum()) / (joint.sum(1, keepdims=True) + BACK_OFF))
         self.emits = np.log10(units / by_class[of])
         unknown = np.clip((group_once + 0.5) / (group_size + 1.0), 1e-9, 0.5)
@@ -163,33 +327,39 @@ class Model:
 
 
 def scored(shared, words: int, types: int):
-    """Per text: everything but the counts of its rare words; these are taken as unknown, and listed with their number."""
+    """Per text: doc_id, n_tokens, n_known, base_score and score."""
     base_log = np.log10(float(words + types + 1))
 
     def score(batches):
-        vocabulary, model = shared.value
-        log_c, base = np.log10(np.maximum(vocabulary.counts, 1)), np.log10(vocabulary.counts + 1.0)
+        vocabulary, model, classes = shared.value
         end_count = vocabulary.ends
-        for batch, _, _ in chunks(batches):
-            rows = []
-            for row, w in zip(batch.column("_row").to_pylist(), split_words(batch)):
-                ranks = vocabulary.ranks(w)
-                units = np.append(vocabulary.as_units(w, ranks), END)
-                c = model.of[units]
-                total = model.moves[np.concatenate([[model.of[END]], c[:-1]]), c].sum() + model.emits[units].sum()
-                far, found = ranks >= CLUSTERED, ranks[ranks >= 0]
-                total += (log_c[ranks[far]] + model.known[units[:-1][far] - CLUSTERED]).sum()
-                rare = np.flatnonzero(ranks < 0)
-                total += model.unknown[units[rare] - CLUSTERED].sum()
-                seen = Counter([w[i] for i in rare.tolist()])
-                first = base[found].sum() + np.log10(end_count + 1.0) - base_log * (len(w) + 1)
-                rows.append({"_row": row, "n_tokens": len(w) + 1, "n_known": len(found) + (end_count > 0), "base_score": first, "score": total, "rare": [{"token": t, "n": n} for t, n in seen.items()]})
-            kind = pa.schema([("_row", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.struct([("token", pa.binary()), ("n", pa.int64())])))])
-            yield pa.RecordBatch.from_pylist(rows, kind)
+        for t, batch in parts(batches):
+            units, c, rare = t.units(vocabulary), t.classes(classes, model.of), t.ranks < 0
+            n = vocabulary.counts[np.maximum(t.ranks, 0)].astype(np.int64)
+            n[rare] = t.rare_counts[t.place[rare]]
+            log_n = np.log10(np.maximum(n, 1))
+            group = np.maximum(units - CLUSTERED, 0)
+            emits = np.where(units < CLUSTERED, model.emits[units], np.where(n >= LEAST, log_n - model.by_class[c], model.emits[units] + np.where(n > 0, log_n + model.known[group], model.unknown[group])))
+            ends = t.ended(c, CLASSES)
+            steps = model.moves[np.concatenate([[CLASSES], ends[:-1]]), ends] + t.ended(emits, model.emits[END])
+            sums = lambda of, x: np.bincount(of, x, t.rows)
+            base = sums(t.of, np.log10(n + 1.0)) + np.log10(end_count + 1.0) - base_log * (t.sizes + 1)
+            known = sums(t.of, n > 0).astype(np.int64) + (end_count > 0)
+            total = sums(np.repeat(np.arange(t.rows), t.sizes + 1), steps)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(t.sizes + 1), pa.array(known), pa.array(base), pa.array(total)], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
     return score
 
 
+def with_found(rows: DataFrame, words: DataFrame | None) -> DataFrame:
+    """Encoded texts with c and class of their rare words that are among words (token, c, class)."""
+    if words is None:
+        return rows
+    found = rows.select("_row", F.posexplode("rare").alias("at", "token")).join(words, "token")
+    found = found.groupBy("_row").agg(F.collect_list(F.struct("at", "c", "class")).alias("found"))
+    return rows.join(found, "_row", "left")
+
+
 def scores(docs: DataFrame, train: DataFrame) -> DataFrame:
     """docs' doc_id with n_tokens, n_known, train_tokens, base_score (add-one unigrams) and score, learning from train."""
     spark = docs.sparkSession
@@ -203,43 +373,56 @@ def scores(docs: DataFrame, train: DataFrame) -> DataFrame:
     vocabulary = Vocabulary(tokens, top_counts if len(tokens) else np.zeros(1))
     vocabulary.ends = ends
     shared = spark.sparkContext.broadcast(vocabulary)
-    cells = train.select("text").mapInArrow(adjacent(shared), "a int, b int, c long").groupBy("a", "b").agg(F.sum("c").alias("c")).toArrow()  # (END + 1) ** 2 cells at most
+    row = F.monotonically_increasing_id().alias("_row")
+    learnt = written(train.select(row, "text").mapInArrow(encoded(shared), f"_row long, {ENCODED}"))
+    cells = learnt.mapInArrow(adjacent(shared), "a int, b int, c long").groupBy("a", "b").agg(F.sum("c").alias("c")).toArrow()  # (END + 1) ** 2 cells at most
     pairs = np.zeros((END + 1, END + 1))
     pairs[cells["a"].to_numpy(), cells["b"].to_numpy()] = cells["c"].to_numpy()
-    last = (int(top_counts[CLUSTERED - 1]), tokens[CLUSTERED - 1]) if len(tokens) >= CLUSTERED else (0, b"")
-    beyond = (F.col("c") < last[0]) | ((F.col("c") == last[0]) & (F.col("token") > F.lit(last[1])))
-    size, once = np.zeros(SHAPES), np.zeros(SHAPES)
-    for r in counts.filter(beyond).groupBy(F.expr(SHAPE_SQL).alias("g")).agg(F.sum("c").alias("c"), F.count_if(F.col("c") == 1).alias("once")).collect():
-        size[r.g], once[r.g] = r.c, r.once
-    model = Model(pairs, exchanged(pairs), size, once)
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
-    first = written(rows.select("_row", "text", "doc_id").mapInArrow(with_id(scored(spark.sparkContext.broadcast((vocabulary, model)), n, types)), f"doc_id {dict(docs.dtypes)['doc_id']}, _row long, n_tokens long, n_known long, base_score double, score double, rare array<struct<token: binary, n: long>>"))
-    rare = first.select("_row", F.inline("rare"))
-    known_at, unknown_at = (F.array(*[F.lit(float(x)) for x in v]) for v in (model.known, model.unknown))
-    if len(tokens) == KNOWN:
-        edge = (int(top_counts[-1]), tokens[-1])
-        tail = counts.filter((F.col("c") < edge[0]) | ((F.col("c") == edge[0]) & (F.col("token") > F.lit(edge[1]))))
-    else:
-        tail = counts.limit(0)
-    gains = tail.withColumn("_g", F.expr(SHAPE_SQL)).select("token", F.log10(F.col("c") + 1).alias("_base"), (F.log10("c") + F.get(known_at, "_g") - F.get(unknown_at, "_g")).alias("_score"))
-    found = rare.join(gains, "token").groupBy("_row").agg(F.sum("n").alias("_n"), F.sum(F.col("n") * F.col("_base")).alias("_base"), F.sum(F.col("n") * F.col("_score")).alias("_more"))
-    out = first.drop("rare").join(found, "_row", "left")
-    zero = F.lit(0.0)
-    return out.select("doc_id", "n_tokens", (F.col("n_known") + F.coalesce("_n", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base_score") + F.coalesce("_base", zero)).alias("base_score"), (F.col("score") + F.coalesce("_more", zero)).alias("score"))
-
-
-def with_id(score):
-    """score's rows, with the doc_id of each row in front."""
-
-    def run(batches):
-        for batch in batches:
-            at = 0
-            for out in score([batch]):
-                ids = batch.column("doc_id").slice(at, out.num_rows)
-                at += out.num_rows
-                yield pa.RecordBatch.from_arrays([ids, *out.columns], names=["doc_id", *out.schema.names])
-
-    return run
+    of = exchanged(pairs)
+
+    def after(place: int):
+        """Whether a word comes after that many in the order of the vocabulary."""
+        c, token = int(top_counts[place - 1]), tokens[place - 1]
+        return (F.col("c") < c) | ((F.col("c") == c) & (F.col("token") > F.lit(token)))
+
+    beyond = counts.filter(F.lit(False) if len(tokens) < CLUSTERED else after(CLUSTERED))
+    tail = counts.filter(after(KNOWN)) if len(tokens) == KNOWN else None
+    classes = of[vocabulary.units]
+    words = beyond.filter(F.col("c") >= LEAST).withColumn("class", F.lit(-1))
+    best, taken, joint = -np.inf, (classes, None), np.zeros((CLASSES + 1, CLASSES + 1))
+    for turn in range(SETTLE + 1):
+        rare = words.filter(after(KNOWN)) if tail is not None and turn else None
+        state = spark.sparkContext.broadcast((vocabulary, classes, of))
+        beside = with_found(learnt, rare).mapInArrow(neighbours(state, tail is not None and not turn, turn == SETTLE), "token binary, slot int, n long")
+        beside = written(beside.repartition("token").groupBy("token", "slot").agg(F.sum("n").alias("n")))
+        met = beside.filter("length(token) = 0").toArrow()
+        now = np.zeros(joint.size)
+        now[met["slot"].to_numpy()] = met["n"].to_numpy()
+        now = now.reshape(joint.shape)
+        if turn and information(now) <= best:
+            break
+        best, taken, joint = information(now), (classes, rare), now
+        if turn == SETTLE:
+            break
+        moved = beside.filter("length(token) > 0").groupBy("token").agg(F.collect_list(F.struct("slot", "n")).alias("beside")).join(words, "token")
+        words = written(moved.select("token", "c", "class", "beside").mapInArrow(settled(joint, of), "token binary, c long, class int"))
+        known = (words if tail is None else words.filter(~after(KNOWN))).select("token", "class").toArrow()  # KNOWN words at most
+        classes = classes.copy()
+        classes[vocabulary.ranks(known["token"].to_pylist())] = known["class"].to_numpy()
+    classes, rare = taken
+    once = np.zeros(SHAPES)
+    for r in beyond.filter(F.col("c") < LEAST).groupBy(F.expr(SHAPE_SQL).alias("g")).agg(F.sum("c").alias("c")).collect():
+        once[r.g] = r.c
+    heads = np.zeros(CLUSTERED)
+    heads[: len(tokens)] = top_counts[:CLUSTERED]
+    model = Model(pairs, of, once, once, joint=joint, units=np.concatenate([heads, once, [ends]]))
+    if tail is not None:
+        tail = tail.withColumn("class", F.lit(-1)) if rare is None else tail.join(rare.select("token", "class"), "token", "left").fillna(-1, "class")
+    kind = f"doc_id {dict(docs.dtypes)['doc_id']}"
+    rows = docs.select(row, "doc_id", "text").mapInArrow(encoded(shared), f"_row long, {kind}, {ENCODED}")
+    rows = rows if tail is None else with_found(written(rows), tail)
+    out = rows.mapInArrow(scored(spark.sparkContext.broadcast((vocabulary, model, classes)), n, types), f"{kind}, n_tokens long, n_known long, base_score double, score double")
+    return out.select("doc_id", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op3_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Cases that are easily got wrong, on rows made by hand."""
 
+import difflib
 import random
 from datetime import datetime, timedelta
 
@@ -178,6 +179,27 @@ def test_alignment_of_missing_first_sentences():
         assert [r["index"] for r in got] == ([0, 1] if strategy == "fuzzy" else [1])
 
 
+@pytest.mark.parametrize("said, heard", [("moroni buried nephite records", "maroni berried nefite record"), ("christs atonement heals everyone", "christ atonements heal every one"), ("remember", "remembers")])
+def test_fuzzy_alignment_of_misspelt_words(said, heard):
+    words = [(w, i * 1.0, i + 0.5) for i, w in enumerate(f"some other talk {heard} quite unlike".split())]
+    got = align.timed([(0, said)], words, "fuzzy")
+    assert [(r["start"], r["end"], r["estimated"]) for r in got] == [(3.0, 2.5 + len(heard.split()), False)]
+
+
+def test_fuzzy_alignment_tries_all_windows():
+    draw = random.Random(5)
+    vocabulary = ["".join(draw.choice("abcde") for _ in range(draw.randint(1, 6))) for _ in range(30)]
+    for _ in range(60):
+        words = draw.choices(vocabulary, k=draw.randint(1, 40))
+        sentence = ["".join(draw.choice("abcde") if draw.random() < 0.2 else c for c in w) for w in words[draw.randrange(len(words)) :][: draw.randint(1, 6)]]
+        best, want = 0.7, None
+        for i in range(len(words)):
+            for n in range(max(1, len(sentence) - 2), len(sentence) + 5):
+                if i + n <= len(words) and (r := difflib.SequenceMatcher(None, " ".join(sentence), " ".join(words[i : i + n])).ratio()) > best:
+                    best, want = r, (i, i + n - 1)
+        assert list(align.by_ratio([" ".join(sentence)], words)) == [want]
+
+
 def test_page_text():
     page = '<body><p>a &amp; b<script>x<</script><a href=1>link</a></p><div data-s><p>in<br>side</p><i data-no>out</i></div><pre>p</pre>tail'
     assert pages.text_nodes(page) == ["a & b", "in", "side", "out", "tail"]

@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -57,25 +58,42 @@ def by_subsequence(sentences: list[str], words: list[str]):
         yield (first, last) if first is not None and i else None
 
 
+def likely(text: str, words: list[str], starts: int, sizes: range) -> list[tuple[float, int, int]]:
+    """Windows (first word, words) by what their share of equal letters can be at most, over LEAST_RATIO; the best first.
+
+    The bound is SequenceMatcher.quick_ratio: the letters in common in whatever order."""
+    letters = sorted(set(text))
+    own = np.array([text.count(c) for c in letters])
+    spaces = np.array([c == " " for c in letters], np.int64)
+    counts = np.zeros((len(words) + 1, len(letters)), np.int64)
+    counts[1:] = np.cumsum([[w.count(c) for c in letters] for w in words], 0)
+    ends = np.concatenate([[0], np.cumsum([len(w) for w in words])])
+    out = []
+    for n in sizes:
+        i = np.arange(min(starts, len(words) - n + 1))
+        if len(i):
+            same = np.minimum(counts[i + n] - counts[i] + (n - 1) * spaces, own).sum(1)
+            bound = 2.0 * same / (len(text) + ends[i + n] - ends[i] + n - 1)
+            out += [(bound[j], int(j), n) for j in np.flatnonzero(bound > LEAST_RATIO)]
+    return sorted(out, key=lambda x: (-x[0], x[1:]))
+
+
 def by_ratio(sentences: list[str], words: list[str]):
     """The window with the greatest share of equal letters, if over LEAST_RATIO; the earliest and shortest of equals."""
     at = 0
     for s in sentences:
         w, best, found = bare(s), LEAST_RATIO, None
-        own, m = set(w), SequenceMatcher()
-        m.set_seq2(" ".join(w))  # what it knows of the second text is kept
-        for i in range(at, min(len(words), at + REACH + 2 * len(w))) if w else ():
-            if 2 * len(own.intersection(words[i : i + len(w) + 4])) < len(own):
-                continue  # too few common words: the letters alone can't be trusted
-            for n in range(max(1, len(w) - 2), len(w) + 5):
-                if i + n > len(words):
+        if w and at < len(words):
+            text, starts = " ".join(w), REACH + 2 * len(w)
+            sizes = range(max(1, len(w) - 2), len(w) + 5)
+            for bound, i, n in likely(text, words[at : at + starts + sizes[-1]], starts, sizes):
+                if bound < best:
                     break
-                m.set_seq1(" ".join(words[i : i + n]))
-                if m.real_quick_ratio() > best and m.quick_ratio() > best and (r := m.ratio()) > best:
-                    best, found = r, (i, i + n - 1)
-            if best == 1.0:
-                break
+                r = SequenceMatcher(None, text, " ".join(words[at + i : at + i + n])).ratio()  # the order counts
+                if r > best or found and r == best and (i, n) < found:
+                    best, found = r, (i, n)
         if found:
+            found = (at + found[0], at + sum(found) - 1)
             at = found[1] + 1
         yield found
 

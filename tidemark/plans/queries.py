@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import numbers, references, text
 from tidemark.operators import align, asof, checks, ordered, pages, report, search, store
 from tidemark.sources import readers
+from tidemark.sources.shared import shared_folder
 from tidemark.streaming import events as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -381,8 +381,7 @@ for _strategy in align.STRATEGIES:
 
 
 def _place(spark) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-")
-    return f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 @query("SELECT user_id, max(value) AS high, min(CASE WHEN value > 5 THEN ts END) AS in_progress, min(CASE WHEN value > 90 THEN ts END) AS completed FROM events GROUP BY user_id")

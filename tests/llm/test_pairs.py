@@ -5,12 +5,13 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import components, jaccard_join, sentence_pieces, suffix_dedup
-from tidemark.llm.common import table
+from tidemark.llm import common, components, jaccard_join, sentence_pieces, suffix_dedup
+from tidemark.llm.common import shingle_sets, table
 
 from .conftest import HARD
 from .test_native import counts, filled
@@ -66,7 +67,7 @@ def test_suffix_dedup_of_hard_rows(hard, none):
 
 
 def joined(rows, k, t):
-    """(doc_id, shingles, smallest linked id) from all pairs."""
+    """(doc_id, shingles, smallest linked id) of each row from all pairs; null ids come last."""
     sets = []
     for _, text in rows:
         w = (text or "").encode().lower().split()
@@ -84,7 +85,7 @@ def joined(rows, k, t):
                 of[top(i)] = top(j)
     least = {}
     for i, (doc_id, _) in enumerate(rows):
-        least[top(i)] = min(least.get(top(i), doc_id), doc_id)
+        least[top(i)] = min((x for x in (least.get(top(i)), doc_id) if x is not None), default=None)
     return [(doc_id, len(s), least[top(i)]) for i, ((doc_id, _), s) in enumerate(zip(rows, sets))]
 
 
@@ -114,6 +115,43 @@ def test_jaccard_join_of_hard_rows(hard, none):
     assert kept.columns == hard.columns and kept.count() == len(HARD) - 2
 
 
+@pytest.mark.parametrize("k", [4, 5])
+@pytest.mark.parametrize("words", range(7))
+def test_jaccard_join_of_short_texts(k, words):
+    """Texts of every number of words up to a shingle's and one more, alone and in front of a text that is cut off by itself."""
+    short, long = " ".join("abcdefgh"[:words]), "long text " * 120_000
+    for texts in ([short], [short, long], [short, short, long, short], ["x y z w v u", short]):
+        data = np.frombuffer("".join(texts).encode(), np.uint8)
+        offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+        batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+        _, ends = shingle_sets(data, offsets, k)
+        want = [n for _, n, _ in joined(list(enumerate(texts)), k, (85, 100))]
+        assert np.diff(ends).tolist() == want
+        assert [n for b in jaccard_join.outlined(k, (85, 100))([batch]) for n in b.column("n_shingles").to_pylist()] == want
+
+
+def test_jaccard_join_tells_rows_apart(spark):
+    """Rows that share an id, ids that are null, rows alike in all: components by all pairs, and exactly one row of each stays."""
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(3, a), (5, a), (5, b), (7, b + " more"), (None, a), (None, "c d e f g"), (None, "c d e f g"), (9, "c d e f g h i j"), (9, "c d e f g h i j"), (9, "c d e f g h i j"), (None, None), (4, "")]
+    docs = spark.createDataFrame([(*r, i, "x", "y", "z") for i, r in enumerate(rows)], "doc_id long, text string, n int, _id string, component_id string, _key string").repartition(3)
+    got = jaccard_join.jaccard_components(docs).collect()
+    want = joined(rows, 4, (85, 100))
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want)) and (7, 58, 5) in want and (None, 57, 3) in want
+    kept = jaccard_join.drop_near_copies(docs)
+    assert kept.columns == docs.columns
+    left = sorted(repr((r.doc_id, r.text)) for r in kept.collect())
+    assert left == sorted(map(repr, [(3, a), (5, b), (None, "c d e f g"), (9, "c d e f g h i j"), (None, None), (4, "")]))
+
+
+def test_heavy_keys_stay_spread(spark, monkeypatch):
+    monkeypatch.setattr(common, "MIN_HEAVY", 5)
+    rows = spark.createDataFrame([(1, i) for i in range(2000)] + [(k, k) for k in range(2, 500)], "k int, v int")
+    keys = rows.groupBy("k").agg(F.count("*").alias("n")).withColumn("w", F.col("k") * 10)
+    got = common.spread_join(rows, keys.filter("k <> 7"), "k", "n", 2498)
+    assert got.columns == ["k", "v", "n", "w"] and got.count() == 2497 and got.filter("w <> k * 10 or (k = 1) <> (n = 2000)").count() == 0
+
+
 def test_tree_finds_what_all_pairs_find():
     draw = np.random.default_rng(3)
     t = (80, 100)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -12,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.shared import shared_folder
+
 #: What separates words, in a regular expression of Java, Python or RE2.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -24,19 +25,49 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A path of its own in the shared checkpoint folder."""
+    return f"{shared_folder(spark)}/tidemark-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame) -> DataFrame:
     """The rows of df, written once as Parquet into the shared checkpoint folder and read back.
 
-    Lost executors then cost no recomputation. The folder is spark.checkpoint.dir; only where that is unset
-    (tests, local runs) a temporary folder is set for the session."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
+    Lost executors then cost no recomputation. The folder is spark.checkpoint.dir; only on a local master where that is
+    unset (tests, local runs) a temporary folder is set for the session."""
+    path = new_folder(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def apart(docs: DataFrame, *own: str) -> tuple[DataFrame, list[Column]]:
+    """docs with every column but own under a name that clashes with nothing, and the columns that bring docs back."""
+    names = {c: c if c in own else f"_own_{i}" for i, c in enumerate(docs.columns)}
+    return docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), [F.col(n).alias(c) for c, n in names.items()]
+
+
+#: A key is heavy from this share of the rows that are joined; so there are few of them, and they are broadcast.
+MAX_HEAVY, MIN_HEAVY = 1000, 64
+#: Most rows of ids, tiles or keys that are broadcast after they were counted.
+MAX_BROADCAST_ROWS = 500_000
+
+
+def bounded(df: DataFrame, n: int) -> DataFrame:
+    """df, to be broadcast if its n rows are few enough."""
+    return F.broadcast(df) if n <= MAX_BROADCAST_ROWS else df
+
+
+def spread_join(rows: DataFrame, keys: DataFrame, on: str, count: str, total: int) -> DataFrame:
+    """rows joined with keys, one row per key; count is the number of rows with that key, total that of all rows.
+
+    At most MAX_HEAVY keys can hold 1 / MAX_HEAVY of the rows each. Those are broadcast, so no task gets all rows of
+    one; the rows of all other keys shuffle."""
+    limit = max(MIN_HEAVY, total // MAX_HEAVY)
+    heavy = F.broadcast(keys.filter(F.col(count) > limit).withColumn("_heavy", F.lit(True)))
+    marked = rows.join(heavy, on, "left")
+    names = [*rows.columns, *[c for c in keys.columns if c != on]]
+    light = marked.filter("_heavy is null").select(*rows.columns).join(keys.filter(F.col(count) <= limit), on)
+    return marked.filter("_heavy").select(*names).unionByName(light.select(*names))
 
 
 def texts(docs: DataFrame, text: str = "text") -> Column:
@@ -123,6 +154,32 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return mix((total[ends] - total[starts]) * powers(len(data), True)[starts] + (ends - starts).astype(np.uint64)), counts
 
 
+def word_codes(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """The texts' words as places in an array of distinct words, that array, and the n + 1 offsets of the texts' words."""
+    starts, ends, counts = word_spans(data, offsets)
+    bytes_ = (_LOWER[data] if lower else data)[~_SPACE[data]]
+    bounds = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(ends - starts, out=bounds[1:])
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(bytes_)])
+    coded = words.dictionary_encode()
+    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary, counts
+
+
+def sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The sum of values between each two of the ends."""
+    return np.bincount(np.repeat(np.arange(len(ends) - 1), np.diff(ends)), values, minlength=len(ends) - 1)
+
+
+def gathered(parts: np.ndarray, ends: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The chosen stretches of parts (from ends[i] to ends[i + 1]) end to end, and the n + 1 offsets of these."""
+    sizes = np.diff(ends)[which]
+    out = np.zeros(len(which) + 1, np.int64)
+    np.cumsum(sizes, out=out[1:])
+    at = np.repeat(ends[:-1][which] - out[:-1], sizes)
+    at += np.arange(out[-1])
+    return parts[at], out
+
+
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct hashes of each text's k-word shingles, and the n + 1 offsets of the texts' sets.
 
@@ -132,7 +189,8 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndar
     roll = np.zeros(len(words), np.uint64)
     for j in range(k):
         part = mix(words + np.uint64((j + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
-        roll[: len(words) - j] += part[j:]
+        m = max(0, len(words) - j)
+        roll[:m] += part[j : j + m]
     for i, n in enumerate(sizes):
         at = counts[i]
         if n >= k:

@@ -5,30 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import spread_join, written
 
 
 def components(edges: DataFrame) -> DataFrame:
     """id and component (the smallest reachable id) for every id on an edge (columns a and b).
 
     Alternates large-star and small-star steps: each joins the edges with the smallest neighbour of each id, so the
-    number of rows never exceeds that of the edges, and written tables cut the lineage."""
+    number of rows never exceeds that of the edges, and written tables cut the lineage. An id with a large share of
+    the edges is broadcast with its smallest neighbour, so its edges stay spread over tasks."""
 
-    def star(sym: DataFrame, keep) -> DataFrame:
-        least = sym.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        return sym.join(least, "a").filter(keep).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    def hung(rows: DataFrame, n: int) -> DataFrame:
+        """rows with m: the smallest of a and its neighbours."""
+        least = rows.groupBy("a").agg(F.min("b").alias("_b"), F.count("*").alias("_n"))
+        least = least.select("a", F.least("a", "_b").alias("m"), "_n")
+        return spread_join(rows, least, "a", "_n", n).select("a", "b", "m")
 
     now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
-    before = None
+    n, before = now.count(), None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = star(both, "b > a").filter("a <> b").distinct()  # every larger neighbour hangs on the smallest one
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        now = written(small.filter("a <> b").distinct())
+        large = hung(both, 2 * n).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")  # every larger neighbour hangs on the smallest one
+        down = written(large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        small = hung(down, n)
+        now = written(small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).filter("a <> b").distinct())
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(state) == before:
             break
-        before = tuple(state)
+        n, before = state[0], tuple(state)
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())

@@ -7,33 +7,34 @@ partner, and of the others' shared keys the rarest, all but g - 1, must hit one
 key are chained to the key's smallest set, and the connected groups of that are where links can be. Equal sets are one
 set from the start.
 
-Within a group, sets stand in a tree whose nodes hold the OR of their sets' bitmaps and their range of sizes. The tree
-is traversed against itself, level by level; a pair of nodes goes no further if its sizes or the bits it
-shares can't give the overlap, or if all its sets are joined already. What is left at the leaves is counted exactly. A group of more
-than TILE shingles is dealt out over tiles, which are linked within and then by probes; see large_group_links().
+Within a group, sets stand in a tree whose nodes hold the OR of their sets' bitmaps and their range of sizes. A dual
+traversal visits each leaf against itself, then the pairs of siblings, level by level upwards, each from the top down; a
+pair of nodes goes no further if its sizes or the bits it shares can't give the overlap, or if all its sets are joined
+already. What is left at the leaves is counted exactly. A group of more than TILE shingles is dealt out over tiles,
+which are linked within and then by probes; see large_group_links().
 
 Defined cases: a null or empty text, or one without words, has the empty set and is linked with nothing; a text of
-fewer words than a shingle has its whole sequence as one shingle; rows that share a
-doc_id are told apart by their sets; a null doc_id is linked with nothing (its component is null); an empty table gives an empty
-result; other columns of the input are ignored."""
+fewer words than a shingle has its whole sequence as one shingle; rows are told apart by themselves, not by doc_id, so
+rows of one doc_id can be in different components; a row with a null doc_id is linked like others, and gives a
+component its id only if all its ids are null (then null); an empty table gives an empty result; other columns of the
+input are ignored."""
 
 from __future__ import annotations
 
 import hashlib
-import math
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, mix, shingle_sets, table, written
+from .common import apart, bounded, chunks, mix, shingle_sets, spread_join, table, texts, written
 from .components import components
 
-#: Shingles of a tile, sets of a leaf, children of a node, bits of a bitmap.
-TILE, LEAF, FAN, BITS = 1 << 19, 8, 8, 1 << 13
-#: Most documents that need their sets again for which their ids are broadcast.
-MAX_BROADCAST_IDS = 500_000
+#: Shingles of a tile, sets of a leaf, children of a node, bits of a bitmap, pairs of nodes that are followed at once.
+TILE, LEAF, FAN, BITS, PAIRS = 1 << 19, 8, 8, 1 << 13, 64
+#: Stands for a null doc_id where texts are found again; the text's hash stands beside it.
+NO_ID = -(1 << 63)
 
 
 def shares(n: int, t: tuple[int, int]) -> tuple[int, int]:
@@ -43,30 +44,21 @@ def shares(n: int, t: tuple[int, int]) -> tuple[int, int]:
     return n - least + part(n), part(least)
 
 
-def outlined(k: int):
-    """doc_id, the number of shingles and a digest of the set."""
+def outlined(k: int, t: tuple[int, int]):
+    """The columns in front of text, the number of shingles, a digest of the set, its keys (48 bits of a hash) and g."""
 
     def run(batches):
         for batch, data, offsets in chunks(batches):
             sets, ends = shingle_sets(data, offsets, k)
-            out = [hashlib.blake2b(sets[a:b].tobytes(), digest_size=16).digest() if b > a else None for a, b in zip(ends[:-1], ends[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(ends)), pa.array(out, pa.binary())], names=["doc_id", "n_shingles", "digest"])
-
-    return run
-
-
-def keyed(k: int, t: tuple[int, int]):
-    """A row for each key of each set: key (48 bits of the hash), doc_id and g."""
-
-    def run(batches):
-        for batch, data, offsets in chunks(batches):
-            sets, ends = shingle_sets(data, offsets, k)
-            sizes = [shares(n, t) if n else (0, 0) for n in np.diff(ends).tolist()]
-            keys = [sets[a : a + p] for a, (p, _) in zip(ends, sizes)]
-            each = [p for p, _ in sizes]
-            if sum(each):
-                ids = np.repeat(batch.column("doc_id").to_numpy(), each).astype(np.int64)
-                yield pa.RecordBatch.from_pydict({"key": (np.concatenate(keys) >> np.uint64(16)).view(np.int64), "doc_id": ids, "g": np.repeat([g for _, g in sizes], each).astype(np.int32)})
+            sizes = np.diff(ends)
+            digests = [hashlib.blake2b(sets[a:b].tobytes(), digest_size=16).digest() if b > a else None for a, b in zip(ends[:-1], ends[1:])]
+            share = [shares(n, t) if n else (0, 0) for n in sizes.tolist()]
+            take = np.array([p for p, _ in share], np.int64)
+            at, bounds = np.arange(take.sum()), np.concatenate([[0], take.cumsum()])
+            keys = (sets[at + np.repeat(ends[:-1] - bounds[:-1], take)] >> np.uint64(16)).view(np.int64)
+            keep = [c for c in batch.schema.names if c != "text"]
+            columns = [pa.array(sizes), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(keys)), pa.array([g for _, g in share], pa.int32())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *columns], names=[*keep, "n_shingles", "digest", "keys", "g"])
 
     return run
 
@@ -156,28 +148,11 @@ def tree_links(sets: list[np.ndarray], t: tuple[int, int], first: int | None = N
     """Links that connect the sets as all links together do; with first, only pairs of one of the first so many sets and one
     of the others are looked at."""
     n, share, forest, out = len(sets), t[0] / t[1], Forest(len(sets)), []
-
-    def try_pair(a: int, b: int) -> None:
-        if forest.label[a] != forest.label[b] and (first is None or (a < first) != (b < first)) and linked(sets[a], sets[b], t):
-            forest.join(a, b)
-            out.append((a, b))
-
     # a clustered order: by least shingles, in which near copies mostly agree
-    key = sorted(range(n), key=lambda i: (int(sets[i][0]), len(sets[i]), i))
-    for a, b in zip(key, key[1:]):
-        try_pair(a, b)
-    heads: dict[int, int] = {}
-    for i in key:
-        for h in sets[i][:3].tolist():
-            try_pair(heads.setdefault(h, i), i)
-    labels = np.unique(forest.label)
-    if len(labels) == 1:
-        return out
-    tree = Tree([sets[i] for i in key])
-    order = np.array(key)
-    x = lambda level: (tree.levels[level][1], tree.levels[level][2], tree.levels[level][3], tree.levels[level][4])
+    order = np.array(sorted(range(n), key=lambda i: (int(sets[i][0]), len(sets[i]), i)))
+    tree = Tree([sets[i] for i in order.tolist()])
+    nodes = [level[1:] for level in tree.levels]
     alone = (tree.maps, tree.sizes, tree.sizes, tree.spare)
-    i = j = np.zeros(1, np.int64)
 
     def open_pairs(i, j, width: int):
         """Without pairs of nodes whose sets are all joined."""
@@ -193,22 +168,36 @@ def tree_links(sets: list[np.ndarray], t: tuple[int, int], first: int | None = N
         ok = (a < count) & (b < count) & (a <= b)
         return a[ok], b[ok]
 
-    for level in range(len(tree.levels) - 1, -1, -1):
-        i, j = open_pairs(i, j, tree.spans(level))
-        ok = possible(x(level), x(level), i, j, share)
-        i, j = i[ok], j[ok]
-        if level:
-            i, j = children(i, j, len(tree.levels[level - 1][0]), FAN)
-    for at in range(0, len(i), 2048):  # leaves, in blocks
-        a, b = open_pairs(i[at : at + 2048], j[at : at + 2048], LEAF)
-        a, b = children(a, b, n, LEAF)
+    def count_exactly(i, j) -> None:
+        """The sets of pairs of leaves."""
+        a, b = children(i, j, n, LEAF)
         ok = (a != b) & (forest.label[order[a]] != forest.label[order[b]])
         if first is not None:
             ok &= (order[a] < first) != (order[b] < first)
         a, b = a[ok], b[ok]
         ok = possible(alone, alone, a, b, share)
         for p, q in zip(order[a[ok]].tolist(), order[b[ok]].tolist()):
-            try_pair(p, q)
+            if forest.label[p] != forest.label[q] and linked(sets[p], sets[q], t):
+                forest.join(p, q)
+                out.append((p, q))
+
+    def follow(level: int, i, j) -> None:
+        """Pairs of nodes of a level, down to their sets; what earlier pairs join closes later ones."""
+        for at in range(0, len(i), PAIRS):
+            a, b = open_pairs(i[at : at + PAIRS], j[at : at + PAIRS], tree.spans(level))
+            ok = possible(nodes[level], nodes[level], a, b, share)
+            a, b = a[ok], b[ok]
+            if len(a) and level:
+                follow(level - 1, *children(a, b, len(nodes[level - 1][1]), FAN))
+            elif len(a):
+                count_exactly(a, b)
+
+    each = np.arange(len(nodes[0][1]))
+    follow(0, each, each)
+    for level in range(1, len(nodes)):
+        each = np.arange(len(nodes[level][1]))
+        a, b = children(each, each, len(nodes[level - 1][1]), FAN)
+        follow(level - 1, a[a < b], b[a < b])
     return out
 
 
@@ -220,7 +209,7 @@ def grouped_links(t: tuple[int, int]):
         group = group.take(pa.array(np.argsort(~home, kind="stable"))).combine_chunks()
         sets = [np.frombuffer(x.as_py(), np.uint64) for x in group["shingles"]]
         pairs = tree_links(sets, t, None if home.all() else int(home.sum())) if len(sets) > 1 else []
-        ids = group["doc_id"].to_numpy()
+        ids = group["cid"].to_numpy()
         a, b = (np.array([p[s] for p in pairs], np.int64) for s in (0, 1))
         return pa.table({"a": pa.array(ids[a], pa.int64()), "b": pa.array(ids[b], pa.int64())})
 
@@ -229,83 +218,109 @@ def grouped_links(t: tuple[int, int]):
 
 def task_links(rows: DataFrame, t: tuple[int, int]) -> DataFrame:
     """Links from one task per component and tile: rows of the tile itself (home is the tile) and probes from others."""
-    return rows.select("component", "tile", "chunk", "home", "doc_id", "shingles").groupBy("component", "tile", "chunk").applyInArrow(grouped_links(t), "a long, b long")
+    return rows.select("component", "tile", "chunk", "home", "cid", "shingles").groupBy("component", "tile", "chunk").applyInArrow(grouped_links(t), "a long, b long")
 
 
-def large_group_links(sets: DataFrame, tiles: DataFrame, t: tuple[int, int], tile: int) -> DataFrame:
-    """Links of the groups that are dealt out over tiles.
+def large_group_links(sets: DataFrame, tiles: DataFrame, n: int, t: tuple[int, int], tile: int) -> DataFrame:
+    """Links of the n groups that are dealt out over tiles.
 
     Each tile is linked within itself; then the first set of each part that came out probes all tiles, which joins the
     parts of near copies. What still isn't in the group's largest part after that probes all tiles in full. A link has
     such a set at one end or joins two sets of the largest part, so none that matters is missed."""
-    own = sets.join(F.broadcast(tiles), "component").withColumn("tile", F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int"))
+    own = sets.join(bounded(tiles, n), "component").withColumn("tile", F.pmod(F.xxhash64("cid"), F.col("tiles")).cast("int"))
     own = own.withColumn("home", F.col("tile"))
 
     def probed(chosen: DataFrame) -> DataFrame:
         """Links between the chosen sets, in chunks of a tile's size, and all tiles."""
-        n = F.ceil(F.sum(F.octet_length("shingles")) / 8 / tile).cast("int")
-        chunks_ = F.broadcast(chosen.groupBy("component").agg(n.alias("chunks")))
+        size = F.ceil(F.sum(F.octet_length("shingles")) / 8 / tile).cast("int")
+        chunks_ = bounded(chosen.groupBy("component").agg(size.alias("chunks")), n)
         base = own.join(chunks_, "component").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         spread = chosen.join(chunks_, "component").withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).filter("tile <> home")
-        spread = spread.withColumns({"home": F.lit(-1), "chunk": F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("chunks")).cast("int")})
+        spread = spread.withColumns({"home": F.lit(-1), "chunk": F.pmod(F.xxhash64("cid", F.lit(1)), F.col("chunks")).cast("int")})
         return written(task_links(base.unionByName(spread), t))
 
     def labelled(links: DataFrame) -> DataFrame:
         parts = components(links).withColumnRenamed("component", "part")
-        return written(own.join(parts, own["doc_id"] == parts["id"], "left").drop("id").withColumn("part", F.coalesce("part", "doc_id")).drop("shingles"))
+        return written(own.join(parts, own["cid"] == parts["id"], "left").drop("id").withColumn("part", F.coalesce("part", "cid")).drop("shingles"))
 
     within = written(task_links(own.withColumn("chunk", F.lit(0)), t))
     parts = labelled(within)
-    heads = parts.groupBy("component", "tile", "part").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")).filter("n > 1").select("doc_id")
-    links = within.unionByName(probed(own.join(heads, "doc_id", "left_semi")))
+    heads = parts.groupBy("component", "tile", "part").agg(F.min("cid").alias("cid"), F.count("*").alias("n")).filter("n > 1").select("cid")
+    links = within.unionByName(probed(own.join(heads, "cid", "left_semi")))
     parts = labelled(links)
     largest = parts.groupBy("component", "part").agg(F.count("*").alias("n")).groupBy("component").agg(F.max_by("part", F.struct("n", "part")).alias("part"))
-    left = parts.join(F.broadcast(largest), ["component", "part"], "left_anti").select("doc_id")
-    return links.unionByName(probed(own.join(left, "doc_id", "left_semi")))
+    left = parts.join(bounded(largest, n), ["component", "part"], "left_anti").select("cid")
+    return links.unionByName(probed(own.join(left, "cid", "left_semi")))
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with _id and _key, by which the text of a row is found again; rows that agree in both have one text."""
+    return docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_key": F.xxhash64(texts(docs))})
+
+
+def linked_rows(docs: DataFrame, k: int, t: tuple[int, int], tile: int) -> DataFrame:
+    """A row for each row of keyed docs: rid (its number), doc_id, _id, _key, n_shingles, root (the number that stands for
+    its component; null for the empty set) and component_id (the component's smallest doc_id)."""
+    docs = docs.select("doc_id", "_id", "_key", "text")
+    columns = f"doc_id {dict(docs.dtypes)['doc_id']}, _id long, _key long, n_shingles long, digest binary, keys array<long>, g int"
+    outline = written(docs.mapInArrow(outlined(k, t), columns).withColumn("rid", F.monotonically_increasing_id()))
+    n = outline.count()
+    # equal sets are one: the row with the smallest number stands for them
+    classes = written(outline.filter("digest is not null").groupBy("digest").agg(F.min("rid").alias("cid"), F.min("doc_id").alias("least"), F.count("*").alias("n")))
+    members = outline.filter("digest is not null")
+    later = written(spread_join(members.select("rid", "digest"), classes.filter("n > 1").select("digest", "cid", "n"), "digest", "n", n).filter("rid <> cid").select("rid"))
+    known = members.join(bounded(later, later.count()), "rid", "left_anti")
+    total = known.agg(F.sum(F.size("keys"))).first()[0] or 0
+    keys = known.select(F.col("rid").alias("cid"), "g", F.explode("keys").alias("key"))
+    counts = keys.groupBy("key").agg(F.count("*").alias("df")).filter("df > 1")
+    own = spread_join(keys, counts, "key", "df", total).groupBy("cid").agg(F.min("g").alias("g"), F.array_sort(F.collect_list(F.struct("df", "key"))).alias("keys")).filter("size(keys) >= g")
+    rare = written(own.select("cid", F.explode(F.slice("keys", F.lit(1), F.size("keys") - F.col("g") + 1)).alias("_k")).select("cid", "_k.key"))
+    shared = rare.groupBy("key").agg(F.min("cid").alias("m"), F.max("cid").alias("_last"), F.count("*").alias("_n")).filter("m < _last")
+    star = spread_join(rare, shared, "key", "_n", rare.count()).filter("cid <> m").select(F.col("cid").alias("a"), F.col("m").alias("b")).distinct()
+    near = written(components(star).select(F.col("id").alias("cid"), "component"))  # where links can be
+    n_near = near.count()
+    wanted = outline.select(F.col("rid").alias("cid"), "_id", "_key").join(bounded(near, n_near), "cid")
+    sets = written(docs.join(bounded(wanted, n_near), ["_id", "_key"]).select("cid", "component", "text").mapInArrow(listed(k), "cid long, component long, shingles binary"))
+    if sets.count() > n_near:  # rows alike in id and text
+        sets = written(sets.dropDuplicates(["cid"]))
+    sizes = sets.groupBy("component").agg((F.sum(F.octet_length("shingles")) / 8).alias("s"))
+    tiles = written(sizes.filter(F.col("s") > tile).select("component", F.ceil(F.col("s") / tile).cast("int").alias("tiles")))
+    n_large = tiles.count()
+    small = sets.join(bounded(tiles.select("component"), n_large), "component", "left_anti") if n_large else sets
+    links = task_links(small.withColumns({"tile": F.lit(0), "chunk": F.lit(0), "home": F.lit(0)}), t)
+    if n_large:
+        links = links.unionByName(large_group_links(sets, tiles, n_large, t, tile))
+    reached = components(links).join(classes.select(F.col("cid").alias("id"), "least"), "id")
+    best = reached.groupBy("component").agg(F.min("least").alias("best"), F.count("*").alias("_n"))
+    named = spread_join(reached, best, "component", "_n", n_near).select(F.col("id").alias("cid"), F.col("component").alias("root"), "best")
+    of_class = classes.join(named, "cid", "left").select("digest", "n", F.coalesce("root", "cid").alias("root"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("best")).alias("component_id"))
+    front = ["rid", "doc_id", "_id", "_key", "n_shingles"]
+    rows = spread_join(members.select(*front, "digest"), of_class, "digest", "n", n).select(*front, "root", "component_id")
+    empty = outline.filter("digest is null").select(*front, F.lit(None).cast("long").alias("root"), F.col("doc_id").alias("component_id"))
+    return rows.unionByName(empty)
 
 
 def jaccard_components(docs: DataFrame, k: int = 4, t: tuple[int, int] = (85, 100), tile: int = TILE) -> DataFrame:
-    """doc_id, n_shingles and component_id: the smallest doc_id that links reach. docs: doc_id (long) and text."""
-    docs = docs.select("doc_id", "text")
-    outline = written(docs.mapInArrow(outlined(k), "doc_id long, n_shingles long, digest binary"))
-    # equal sets are one: its smallest id stands for them
-    classes_of = outline.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("_last"))
-    heads = written(classes_of)
-    copies = heads.filter("head < _last").select("digest", "head")
-    firsts = heads.select(F.col("head").alias("doc_id"))
-    later = written(outline.join(copies, "digest").filter("doc_id <> head").select("doc_id"))
-    known = docs.filter("doc_id is not null")
-    if later.count() <= MAX_BROADCAST_IDS:
-        known = known.join(F.broadcast(later), "doc_id", "left_anti")
-    keys = known.mapInArrow(keyed(k, t), "key long, doc_id long, g int")
-    counts = keys.groupBy("key").agg(F.count("*").alias("df")).filter("df > 1")
-    own = keys.join(counts, "key").groupBy("doc_id").agg(F.min("g").alias("g"), F.array_sort(F.collect_list(F.struct("df", "key"))).alias("keys")).filter("size(keys) >= g")
-    rare = written(own.select("doc_id", F.explode(F.slice("keys", F.lit(1), F.size("keys") - F.col("g") + 1)).alias("_k")).select("doc_id", "_k.key"))
-    shared = rare.groupBy("key").agg(F.min("doc_id").alias("m"), F.max("doc_id").alias("_last")).filter("m < _last").select("key", "m")
-    star = rare.join(shared, "key").filter("doc_id <> m").select(F.col("doc_id").alias("a"), F.col("m").alias("b")).distinct()
-    near = components(star)  # where links can be
-    near = written(near.join(firsts, near["id"] == firsts["doc_id"], "left_semi"))
-    n = near.count()
-    many = near.groupBy("component").agg(F.count("*").alias("sets")).filter("sets > 1")
-    near = near.join(many.select("component"), "component", "left_semi")
-    wanted = near.select(F.col("id").alias("doc_id"), "component")
-    chosen = docs.join(F.broadcast(wanted) if n <= MAX_BROADCAST_IDS else wanted, "doc_id")
-    sets = written(chosen.mapInArrow(listed(k), "doc_id long, component long, shingles binary"))
-    sizes = sets.groupBy("component").agg((F.sum(F.octet_length("shingles")) / 8).alias("s"))
-    tiles = written(sizes.filter(F.col("s") > tile).select("component", F.ceil(F.col("s") / tile).cast("int").alias("tiles")))  # few: each has over tile shingles
-    links = task_links(sets.join(F.broadcast(tiles.select("component")), "component", "left_anti").withColumns({"tile": F.lit(0), "chunk": F.lit(0), "home": F.lit(0)}), t)
-    if not tiles.isEmpty():
-        links = links.unionByName(large_group_links(sets, tiles, t, tile))
-    reached = components(links)
-    by_id = outline.join(copies, "digest", "left").withColumn("_head", F.coalesce("head", "doc_id"))
-    out = by_id.join(reached, F.col("_head") == F.col("id"), "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "_head").alias("component_id"))
-
-
-def drop_near_copies(docs: DataFrame, k: int = 5, t: tuple[int, int] = (80, 100)) -> DataFrame:
-    """docs without those that share a component with a smaller doc_id, whole rows and columns as they are."""
-    gone = jaccard_components(docs, k, t).filter("component_id < doc_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
+    """doc_id, n_shingles and component_id, the smallest doc_id that links reach, for each row of docs (doc_id and text)."""
+    return linked_rows(keyed(docs.select("doc_id", "text")), k, t, tile).select("doc_id", "n_shingles", "component_id")
+
+
+def drop_near_copies(docs: DataFrame, k: int = 5, t: tuple[int, int] = (80, 100), tile: int = TILE) -> DataFrame:
+    """One row of each component of docs: that of the smallest doc_id, whole rows and columns as they are."""
+    inner, back = apart(docs, "doc_id", "text")
+    inner = keyed(inner)
+    rows = written(linked_rows(inner, k, t, tile).filter("root is not null").select("rid", "_id", "_key", "root", "doc_id"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("rid").alias("c")))
+    stays = written(rows.groupBy("root").agg(first.getField("c").alias("rid"), F.count("*").alias("n")).filter("n > 1").select("rid", "root"))
+    gone = rows.join(stays.select("root", F.col("rid").alias("_stays")), "root").filter("rid <> _stays")
+    gone = written(gone.select("_id", "_key").distinct())
+    # a row that stays can be alike in id and text to rows that go: of these one is left
+    twins = written(gone.join(rows.join(stays.select("rid"), "rid", "left_semi").select("_id", "_key"), ["_id", "_key"], "left_semi"))
+    n_gone, n_twins = gone.count(), twins.count()
+    out = inner.join(bounded(gone, n_gone), ["_id", "_key"], "left_anti")
+    if n_twins:
+        out = out.unionByName(inner.join(bounded(twins, n_twins), ["_id", "_key"], "left_semi").dropDuplicates(["_id", "_key"]))
+    return out.select(*back)
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

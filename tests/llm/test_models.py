@@ -8,6 +8,7 @@ from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -191,6 +192,34 @@ def test_pieces_equal_the_library(spark, docs, hard, none):
     assert rows[4].n_pieces == 0 and rows[4].round_trip and not rows[6].round_trip and rows[6].n_byte_pieces > 0
 
 
+def test_words_in_step_equal_words_alone(docs, monkeypatch):
+    """All texts at once against one word at a time; with words over the bound, and with a model without byte pieces."""
+    with open(sentence_pieces.MODEL, "rb") as f:
+        data = f.read()
+    texts = [r.text for r in docs.limit(80).collect()] + [t for _, t, *_ in HARD] + ["", " ", "  a  b ", "日本語 😀é", "q\x00w", "x" * 300 + " y", "▁x ▁"]
+    column = pa.array(texts, pa.string())
+    for change in ("none", "short", "no bytes", "squeeze"):
+        pieces = sentence_pieces.Pieces(data)
+        if change == "short":
+            monkeypatch.setattr(sentence_pieces, "LONG", 6)
+        elif change == "no bytes":
+            pieces.byte = {}
+        elif change == "squeeze":
+            pieces.squeeze = True
+        encoder = sentence_pieces.Encoder(pieces)
+        ids, ends = pieces.encode_all(column)
+        want = [encoder.encode(t or "") for t in texts]
+        assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])] == want
+        back, bounds = pieces.decode_all(ids, ends)
+        assert [back[a:b].tobytes().decode() for a, b in zip(bounds[:-1], bounds[1:])] == [pieces.decode(w) for w in want]
+
+
+def test_own_columns_of_encoded_rows(spark):
+    rows = spark.createDataFrame([(1, "a b", "x", "y")], "doc_id long, text string, piece_ids string, decoded string")
+    out = sentence_pieces.decoded(sentence_pieces.encoded(rows))
+    assert out.columns == ["doc_id", "text", "piece_ids", "decoded"] and out.first().decoded == "a b"
+
+
 def test_trie():
     words = {b"a": 1, b"ab": 2, b"abc": 3, b"b": 4, b"\xff\x00": 5}
     trie = sentence_pieces.Trie(words)

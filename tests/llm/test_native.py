@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import exact_dedup, mixing, quality_rules, registry
 
@@ -62,10 +63,33 @@ def test_quality_rules(hard, none):
 
 
 def test_order_of_rules_never_changes_the_verdict(docs):
+    rules, names = quality_rules.RULES, list(quality_rules.RULES)
     rows = quality_rules.with_counts(docs.select("doc_id", "text"))
-    names = list(quality_rules.RULES)
-    verdicts = [{r.doc_id for r in quality_rules.cascade(rows, quality_rules.RULES, order).filter("rejected_by is null").collect()} for order in (names, names[::-1])]
-    assert verdicts[0] == verdicts[1] and 0 < len(verdicts[0]) < docs.count()
+    found = [{r.doc_id for r in quality_rules.cascade(rows, rules, order, quality_rules.from_counts).filter("rejected_by is null").collect()} for order in (names, names[::-1])]
+    raw = quality_rules.cascade(docs, rules, names, lambda r: quality_rules.from_text(docs, r)).filter("rejected_by is null").collect()
+    assert found[0] == found[1] == {r.doc_id for r in raw} == {r.doc_id for r in quality_rules.keep_good(docs).collect()} and 0 < len(found[0]) < docs.count()
+
+
+def test_cascade_stops_at_the_first_rejection(spark, monkeypatch):
+    """A later rule that fails on every row is never reached by rows that an earlier one rejects."""
+    rows = spark.createDataFrame([(1, "a b"), (2, "c")], "doc_id long, text string")
+    rules = {"early": (("n_words",), lambda n: n < 10), "late": (("n_repeat_words",), lambda n: F.raise_error(F.lit("reached")).isNull() | (n > 0))}
+    monkeypatch.setattr(quality_rules, "order_for", lambda *_: ["early", "late"])
+    assert quality_rules.keep_good(rows, rules).count() == 0
+    monkeypatch.setattr(quality_rules, "order_for", lambda *_: ["late", "early"])
+    with pytest.raises(Exception, match="reached"):
+        quality_rules.keep_good(rows, rules).collect()
+
+
+def test_rules_are_ordered_by_rejection_per_cost(spark, monkeypatch):
+    rows = spark.createDataFrame([("a b",)] * 30 + [("# " * 40,)] * 10 + [("one two three " * 10,)] * 10, "text string")
+    cost = {"few_words": 1.0, "symbols": 1.0, "repeats": 9.0}
+    rules = {n: quality_rules.RULES[n] for n in cost}
+    took = iter([0.5, *(0.5 + cost[n] for n in rules)])
+    monkeypatch.setattr(quality_rules, "seconds", lambda *_: next(took))
+    assert quality_rules.ordered(rows, rules) == ["few_words", "symbols", "repeats"]
+    took = iter([0.5, 100.5, 1.5, 1.5])
+    assert quality_rules.ordered(rows, rules) == ["repeats", "few_words", "symbols"]
 
 
 def filled(sizes, weights, cap=3):

@@ -4,14 +4,16 @@ The pieces come from a public model file, whose path is a parameter. A unigram f
 are; a BPE file holds merge ranks instead of probabilities, which Zipf's law turns into log scores: -ln(rank + 2), rounded to 1/1024 so that
 sums are exact and equal paths tie.
 Characters without a piece fall back to byte pieces. A space is the piece character U+2581, and a text gets one in
-front, as the file's normaliser says. No piece of such files runs across the start of a word, so words are encoded one
-by one and remembered; for a file where one does, whole texts are.
+front, as the file's normaliser says. No piece of such files runs across the start of a word, so each distinct word of
+a chunk of texts is encoded once, all of them in step: the Viterbi recursion moves on by one byte for all words
+together, in arrays. For a file where a piece does run across, whole texts are encoded one by one.
 
 Decoding joins the pieces' bytes, turns markers into spaces and drops the one in front: the text comes back as it
 was, but for characters U+2581 in it, which become spaces.
 
 Defined cases: null and empty texts have no pieces and decode to an empty text; a null id passes through; an empty
-table gives an empty result; other columns of the input pass through encoded()."""
+table gives an empty result; other columns of the input pass through encoded() and decoded(), whose own column takes
+the place of one of the same name."""
 
 from __future__ import annotations
 
@@ -22,14 +24,16 @@ import struct
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import chunks, gathered, packed, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Distinct words whose pieces a task remembers.
-MEMO = 250_000
+#: Bytes of text that are encoded at once, distinct words that a task remembers where texts are encoded one by one, and
+#: bytes of a word up to which words move in step.
+CHUNK, MEMO, LONG = 1 << 22, 250_000, 96
 MARK = "▁"
 #: Kinds of pieces in a model file (fixed values): normal, unknown, control, user-defined, unused, byte.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -133,9 +137,14 @@ class Pieces:
         self.byte = {int(p[0][3:5], 16): i for i, p in enumerate(pieces) if p[2] == BYTE}
         mark = MARK.encode()
         self.trie = Trie({pieces[i][0]: i for i in matched})
-        self.across = any(mark in pieces[i][0].lstrip(mark) for i in matched if pieces[i][0].lstrip(mark))
+        self.across = any(mark in pieces[i][0].replace(mark, b" ").lstrip(b" ").replace(b" ", mark) for i in matched)
         shown = {i: bytes([b]) for b, i in self.byte.items()}
         self.shown = [b"" if p[2] in (CONTROL, UNKNOWN) else shown.get(i, p[0]) for i, p in enumerate(pieces)]
+        # the same as arrays
+        self.arrays = [np.array(x, np.int32) for x in (self.trie.base, self.trie.check, self.trie.value)] + [np.array(self.scores)]
+        self.byte_ids = np.array([self.byte.get(b, self.unknown) for b in range(256)], np.int32)
+        spaced = [x.replace(mark, b" ") for x in self.shown]
+        self.spaced, self.spaced_ends = np.frombuffer(b"".join(spaced), np.uint8), np.cumsum([0, *map(len, spaced)])
 
     def best(self, word: str) -> list[int]:
         """Pieces of the best segmentation of a marked word (Viterbi); the earliest found wins among equals."""
@@ -177,6 +186,110 @@ class Pieces:
             n = came[n]
         return out[::-1]
 
+    def best_of_all(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """best() of marked words (bytes), LONG bytes each at most: pieces end to end, and the n + 1 offsets of the words' pieces.
+
+        Words lie in one array with an end after each. At step c the c-th byte of every word is the start of the pieces
+        that the trie finds there; so starts are met in order, as in best()."""
+        base, check, value, scores = self.arrays
+        data, offsets = packed(words)
+        n, sizes = len(offsets) - 1, np.diff(offsets)
+        begin = offsets[:-1] + np.arange(n)
+        text = np.full(len(data) + n + 1, 256, np.int32)
+        text[np.arange(len(data)) + np.repeat(np.arange(n), sizes)] = data
+        starts = (text & 0xC0) != 0x80  # of characters, and ends
+        starts[begin] = True
+        after = np.flatnonzero(starts)
+        step = np.ones(len(text), np.int64)  # bytes of the character
+        step[after[:-1]] = np.diff(after)
+        total, came, by = np.full(len(text), -np.inf), np.zeros(len(text), np.int64), np.zeros(len(text), np.int32)
+        total[begin] = 0.0
+        order = np.argsort(-sizes, kind="stable")
+        firsts, falling = begin[order], -sizes[order]
+
+        def reach(ends, score, origin, piece):
+            better = score > total[ends]
+            ends = ends[better]
+            total[ends], came[ends], by[ends] = score[better], origin[better], piece[better]
+
+        for c in range(int(sizes.max(initial=0))):
+            at = firsts[: np.searchsorted(falling, -c)] + c
+            at = at[starts[at]]
+            alone, left, state, d = np.ones(len(at), bool), np.arange(len(at)), np.zeros(len(at), np.int32), 0
+            while len(left):
+                here = at[left]
+                to = base[state] + text[here + d] + 1
+                ok = check[to] == state
+                left, state, here, d = left[ok], to[ok], here[ok], d + 1
+                found = value[state]
+                hit = found >= 0
+                if hit.any():
+                    origin, piece = here[hit], found[hit]
+                    reach(origin + d, total[origin] + scores[piece], origin, piece)
+                    alone[left[hit][step[origin] == d]] = False
+            lone = at[alone]
+            reach(lone + step[lone], total[lone] + self.floor, lone, np.full(len(lone), -1, np.int32))
+        out = np.full(len(text), -1, np.int32)
+        low, at = begin, begin + sizes
+        while True:  # back from the ends
+            on = at > low
+            low, at = low[on], at[on]
+            if not len(at):
+                break
+            origin, piece = came[at], by[at]
+            out[origin[piece >= 0]] = piece[piece >= 0]
+            lost, until = origin[piece < 0], at[piece < 0]
+            if self.byte:
+                while len(lost):
+                    out[lost] = self.byte_ids[text[lost]]
+                    lost, until = lost[lost + 1 < until] + 1, until[lost + 1 < until]
+            else:
+                out[lost] = self.unknown
+            at = origin
+        number = np.concatenate([[0], np.cumsum(out >= 0)])
+        return out[out >= 0], np.append(number[begin], number[-1])
+
+    def encode_all(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces of all texts of a column end to end, and the n + 1 offsets of the texts' pieces."""
+        column = pc.replace_substring(pc.fill_null(column.cast(pa.large_string()), ""), MARK, " ")
+        if self.squeeze:
+            column = pc.utf8_trim(pc.replace_substring_regex(column, " +", " "), " ")
+        data, offsets = packed(column)
+        if self.prefix:  # a space in front of each text that isn't empty
+            some = np.diff(offsets) > 0
+            data = np.insert(data, offsets[:-1][some], 32)
+            offsets = offsets + np.concatenate([[0], np.cumsum(some)])
+        space = data == 32
+        begins = space.copy()
+        begins[1:] &= ~space[:-1]
+        begins[offsets[:-1][offsets[:-1] < len(data)]] = True
+        bounds = np.append(np.flatnonzero(begins), len(data))
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+        distinct = pc.replace_substring(words.dictionary, b" ", MARK.encode())
+        usual = pc.less_equal(pc.binary_length(distinct), LONG)
+        pieces, ends = self.best_of_all(distinct.filter(usual))
+        usual = usual.to_numpy(zero_copy_only=False)
+        if not usual.all():
+            rare = [self.best(w.decode(errors="replace")) for w in distinct.filter(pa.array(~usual)).to_pylist()]
+            sizes = np.zeros(len(usual), np.int64)
+            sizes[usual], sizes[~usual] = np.diff(ends), [len(r) for r in rare]
+            mixed, own = np.zeros(sizes.sum(), np.int32), np.repeat(usual, sizes)
+            mixed[own], mixed[~own] = pieces, np.concatenate(rare)
+            pieces, ends = mixed, np.concatenate([[0], np.cumsum(sizes)])
+        ids, bounds_of_ids = gathered(pieces, ends, words.indices.to_numpy(zero_copy_only=False))
+        return ids, bounds_of_ids[np.searchsorted(bounds[:-1], offsets)]
+
+    def decode_all(self, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """decode() of many texts: bytes end to end, and the n + 1 offsets of the texts."""
+        data, bounds = gathered(self.spaced, self.spaced_ends, ids)
+        ends = bounds[ends]
+        if self.prefix:
+            front = ends[:-1][np.diff(ends) > 0]
+            front = front[data[front] == 32]
+            data = np.delete(data, front)
+            ends = ends - np.searchsorted(front, ends)
+        return data, ends
+
     def marked(self, text: str) -> str:
         if self.squeeze:
             text = re.sub(" +", " ", text.strip(" "))
@@ -222,35 +335,49 @@ def loaded(spark: SparkSession, model: str = MODEL):
     return spark.sparkContext.broadcast(Pieces(data))
 
 
+def encoded_chunks(pieces: Pieces, batches):
+    """Each batch in chunks, with the pieces of its texts end to end and their offsets."""
+    encoder = Encoder(pieces)
+    for batch, _, _ in chunks(batches, limit=CHUNK):
+        column = batch.column(batch.schema.get_field_index("text"))
+        if pieces.across:
+            each = [encoder.encode(t or "") for t in column.to_pylist()]
+            yield batch, np.array([p for e in each for p in e], np.int32), np.cumsum([0, *map(len, each)])
+        else:
+            yield batch, *pieces.encode_all(column)
+
+
+def with_column(df: DataFrame, shared, name: str, kind: str, run):
+    """df with one more column, or another in the place of one of that name, from a function of batches."""
+    rest = [c for c in df.columns if c != name]
+
+    def each(batches):
+        for batch, column in run(shared.value, batches):
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in rest), column], names=[*rest, name])
+
+    return df.mapInArrow(each, df.select(*[f"`{c}`" for c in rest], F.lit(None).cast(kind).alias(name)).schema)
+
+
 def encoded(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """docs with piece_ids."""
-    shared = loaded(docs.sparkSession, model)
-    names = docs.columns
 
-    def run(batches):
-        encoder = Encoder(shared.value)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                ids = pa.array([encoder.encode(t.as_py() or "") for t in part.column(names.index("text"))], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([*part.columns, ids], names=[*names, "piece_ids"])
+    def run(pieces, batches):
+        for batch, ids, ends in encoded_chunks(pieces, batches):
+            yield batch, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
 
-    return docs.mapInArrow(run, docs.select("*", F.lit(None).cast("array<int>").alias("piece_ids")).schema)
+    return with_column(docs, loaded(docs.sparkSession, model), "piece_ids", "array<int>", run)
 
 
 def decoded(rows: DataFrame, model: str = MODEL) -> DataFrame:
     """rows, which have piece_ids, with decoded: the text of those pieces."""
-    shared = loaded(rows.sparkSession, model)
-    names = rows.columns
 
-    def run(batches):
+    def run(pieces, batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                out = pa.array([shared.value.decode(x or []) for x in part.column(names.index("piece_ids")).to_pylist()], pa.string())
-                yield pa.RecordBatch.from_arrays([*part.columns, out], names=[*names, "decoded"])
+                yield part, pa.array([pieces.decode(x or []) for x in part.column(part.schema.get_field_index("piece_ids")).to_pylist()], pa.string())
 
-    return rows.mapInArrow(run, rows.select("*", F.lit(None).cast("string").alias("decoded")).schema)
+    return with_column(rows, loaded(rows.sparkSession, model), "decoded", "string", run)
 
 
 def digested(docs: DataFrame, model: str = MODEL) -> DataFrame:
@@ -258,18 +385,18 @@ def digested(docs: DataFrame, model: str = MODEL) -> DataFrame:
     shared = loaded(docs.sparkSession, model)
 
     def run(batches):
-        encoder = Encoder(shared.value)
         pieces = shared.value
         is_byte = np.zeros(len(pieces.scores), bool)
         is_byte[list(pieces.byte.values())] = True
-        for batch in batches:
-            rows = []
-            for text in batch.column("text"):
-                text = text.as_py() or ""
-                ids = encoder.encode(text)
-                back, array = pieces.decode(ids), np.array(ids, "<i4")
-                rows.append((len(ids), int(is_byte[array].sum()), hashlib.sha256(array.tobytes()).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), back == text))
-            columns = [pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 5, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_()))]
+        for batch, ids, ends in encoded_chunks(pieces, batches):
+            back, back_ends = pieces.decode_all(ids, ends)
+            data, offsets = packed(batch.column(batch.schema.get_field_index("text")))
+            ids, numbers, rows = ids.astype("<i4"), np.concatenate([[0], np.cumsum(is_byte[ids])]), []
+            for i in range(batch.num_rows):
+                text = back[back_ends[i] : back_ends[i + 1]].tobytes()
+                rows.append((hashlib.sha256(ids[ends[i] : ends[i + 1]]).hexdigest(), hashlib.sha256(text).hexdigest(), text == data[offsets[i] : offsets[i + 1]].tobytes()))
+            ids_sha, text_sha, same = zip(*rows)
+            columns = [pa.array(np.diff(ends)), pa.array(np.diff(numbers[ends])), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string()), pa.array(same, pa.bool_())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "n_pieces", "n_byte_pieces", "ids_sha256", "decoded_sha256", "round_trip"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_pieces long, n_byte_pieces long, ids_sha256 string, decoded_sha256 string, round_trip boolean")

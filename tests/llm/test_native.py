@@ -25,22 +25,42 @@ def test_same_rows_as_sql(spark, sf, name):
     assert sorted(repr([plain(r[c]) for c in columns]) for r in df.collect()) == sorted(repr([plain(r[i]) for i in at]) for r in found.fetchall())
 
 
-@pytest.mark.parametrize("bits", [exact_dedup.MAX_BROADCAST_BITS, 0])
-def test_exact_groups(hard, none, bits):
+@pytest.mark.parametrize("range_rows", [exact_dedup.RANGE_ROWS, 4])
+def test_exact_groups(spark, hard, none, range_rows):
+    more = [(1, "same text here"), (1, "same text here"), (1, "same  text here"), (1, "same  text here"), (None, "alone"), (None, "alone"), (11, "alone")]
+    rows = [(i, t) for i, t, *_ in HARD] + more
+    docs = hard.select("doc_id", "text", F.lit(1).alias("_id"), F.lit(2).alias("_sha"), F.lit(3).alias("kept"), F.lit(4).alias("_range"))
+    docs = docs.unionByName(spark.createDataFrame([(*r, 1, 2, 3, 4) for r in more], docs.schema))
     groups = defaultdict(list)
-    for i, t, *_ in HARD:
-        groups[re.sub(r"[\x20\x09-\x0D]", "", t or "")].append((-len(t or ""), i is None, i))
-    want = []
-    for i, t, *_ in HARD:
+    for at, (i, t) in enumerate(rows):
+        groups[re.sub(r"[\x20\x09-\x0D]", "", t or "")].append((-len(t or ""), i is None, i or 0, at, i))
+    want, stay = [], []
+    for at, (i, t) in enumerate(rows):
         s = re.sub(r"[\x20\x09-\x0D]", "", t or "")
-        keep = min(groups[s], key=lambda x: (x[0], x[1], x[2] or 0))[2]
-        want.append((i, keep, len(groups[s]), i == keep, hashlib.sha256(s.encode()).hexdigest()))
-    got = [(r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact_dedup.exact_groups(hard, bits).collect()]
+        keep = min(groups[s])
+        want.append((i, keep[4], len(groups[s]), at == keep[3], hashlib.sha256(s.encode()).hexdigest()))
+        stay += [(i, t)] if at == keep[3] else []
+    got = [(r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact_dedup.exact_groups(docs, range_rows).collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr)
-    assert exact_dedup.exact_groups(none, bits).count() == 0
-    kept = exact_dedup.drop_copies(hard)
-    assert kept.columns == hard.columns
-    assert sorted([r.doc_id for r in kept.collect()], key=repr) == sorted([i for i, _, _, k, _ in want if k], key=repr)
+    assert exact_dedup.exact_groups(none, range_rows).count() == 0 and exact_dedup.drop_copies(none, range_rows).count() == 0
+    kept = exact_dedup.drop_copies(docs, range_rows)
+    assert kept.columns == docs.columns
+    assert sorted([(r.doc_id, len(r.text or "")) for r in kept.collect()], key=repr) == sorted([(i, len(t or "")) for i, t in stay], key=repr)
+
+
+def test_rows_that_pass_the_filter_never_shuffle(docs, monkeypatch):
+    """Neither the test nor what leaves it has an exchange but broadcasts, with one range or many."""
+    rows = docs.select("doc_id", exact_dedup.digest(docs).alias("s"))
+    for range_rows in (exact_dedup.RANGE_ROWS, 50):
+        ranges, blocks = exact_dedup.ranges_of(200, range_rows)
+        rows_ = exact_dedup.placed(rows, "s", ranges, blocks)
+        plan = exact_dedup.tested(rows_.filter("_range = 0"), exact_dedup.written(exact_dedup.repeated_bits(rows_, "s")), "s")._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastExchange" in plan and "Exchange hashpartitioning" not in plan and "Python" not in plan
+        flags = exact_dedup.flagged(rows, "s", 200, range_rows)
+        once = {r.s for r in rows.groupBy("s").count().filter("count = 1").collect()}
+        got = flags.collect()
+        assert len(got) == docs.count() and all(r.maybe_repeated for r in got if r.s not in once)
+        assert sum(r.maybe_repeated for r in got if r.s in once) < 0.2 * len(got)
 
 
 def counts(text):

@@ -2,15 +2,15 @@
 
 Exchange clustering assigns the CLUSTERED most frequent words, and the shape groups that hold all other words, to
 classes so that the mutual information of adjacent classes grows. That is the start: then every other word seen LEAST
-times or more moves in SETTLE rounds from its shape group's class to its best one, by the classes it has before and
-after it; the words of a round move at once, and a round that does not raise the mutual information is not taken.
-Only words seen less often, and unknown ones, stay with their shape group. A text's probability is the product of class
-transitions and word emissions. Transitions are smoothed towards class frequencies; in a shape group, unknown words
-together have the Good-Turing mass of words seen once, half of the group at most.
+times or more moves from its shape group's class to its best one, by the classes it has before and after it; they move
+at once, and that is taken back if it does not raise the mutual information. Only words seen less often, and unknown
+ones, stay with their shape group. A text's probability is the product of class transitions and word emissions.
+Transitions are smoothed towards class frequencies; in a shape group, unknown words together have the Good-Turing mass
+of words seen once, half of the group at most.
 
 Counts of words, of words beside classes and of adjacent classes are taken over all training texts. The KNOWN most
-frequent words' counts and classes are broadcast, a fixed number; those of a text's rarer words are joined. Tokens are
-words of A-Z lower-cased, and one end per text.
+frequent words' counts and classes are broadcast, a fixed number; those of a text's rarer words are joined. Texts are
+encoded as ranks of words once, and written. Tokens are words of A-Z lower-cased, and one end per text.
 
 Defined cases: a null text is empty and has the one token end; with no training text every token is unknown; a null
 doc_id counts as an empty id where rows are split, and stays null; repeated rows are scored one by one; an empty
@@ -19,36 +19,28 @@ table gives an empty result; other columns of the input are ignored."""
 from __future__ import annotations
 
 import zlib
-from collections import Counter
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, remainder, table, texts, written
+from .common import chunks, packed, remainder, table, texts, word_codes, word_hashes, written
 
 #: Words that are clustered, shape groups of the others, classes, rounds of exchange at most.
 CLUSTERED, SHAPES, CLASSES, ROUNDS = 1000, 32, 64, 8
 #: Most frequent words whose counts are broadcast, pseudo-count of class frequencies in a transition.
 KNOWN, BACK_OFF = 200_000, 50.0
-#: Occurrences from which a word has a class of its own, rounds in which the words beyond the clustered ones move.
-LEAST, SETTLE = 2, 2
-#: Distinct words that a task counts before it passes the counts on.
-FLUSH = 300_000
-#: Texts that numpy works on at once, words whose best classes are sought at once, pairs kept before they are passed on.
-TEXTS, WORDS, PAIRS = 1000, 500, 1 << 21
+#: Occurrences from which a word has a class of its own.
+LEAST = 2
+#: Bytes of text that are split into words at once, texts and words that numpy works on at once, pairs kept before they are passed on.
+CHUNK, TEXTS, WORDS, PAIRS = 1 << 23, 1000, 500, 1 << 21
 END = CLUSTERED + SHAPES
 #: Places of a word's neighbours: a class after it, then a class before it.
 SLOTS = 2 * (CLASSES + 1)
 
 
-def split_words(batch: pa.RecordBatch) -> list[list[bytes]]:
-    return [(x or b"").lower().split() for x in pc.cast(batch.column("text"), pa.large_binary()).to_pylist()]
-
-
 def shape(word: bytes) -> int:
     return zlib.crc32(word[-2:]) % SHAPES
 
@@ -57,30 +49,24 @@ SHAPE_SQL = f"cast(pmod(crc32(substring(token, greatest(length(token) - 1, 1), 2
 
 
 def counted(batches):
-    """Counts of words, and of texts under the empty word."""
-    c: Counter = Counter()
-    out = lambda: pa.RecordBatch.from_pydict({"token": pa.array(list(c), pa.binary()), "c": pa.array(list(c.values()), pa.int64())})
-    for batch, _, _ in chunks(batches):
-        for words in split_words(batch):
-            c.update(words)
-            c[b""] += 1
-        if len(c) > FLUSH:
-            yield out()
-            c.clear()
-    yield out()
+    """Counts of the words of each chunk, and of its texts under the empty word."""
+    for batch, data, offsets in chunks(batches, limit=CHUNK):
+        codes, words, _ = word_codes(data, offsets, lower=True)
+        counts = np.bincount(codes, minlength=len(words))
+        tokens = pa.concat_arrays([words.cast(pa.binary()), pa.array([b""], pa.binary())])
+        yield pa.RecordBatch.from_arrays([tokens, pa.array(np.append(counts, batch.num_rows))], names=["token", "c"])
 
 
 class Vocabulary:
     """The most frequent words in order of their rank, with counts; the first CLUSTERED have a unit of their own."""
 
     def __init__(self, tokens: list[bytes], counts: np.ndarray):
-        self.tokens = tokens
-        self.rank = {t: i for i, t in enumerate(tokens)}
-        self.counts = counts
+        self.tokens, self.counts = pa.array(tokens, pa.large_binary()), counts
         self.units = np.array([i if i < CLUSTERED else CLUSTERED + shape(t) for i, t in enumerate(tokens)] or [0], np.int64)
 
-    def ranks(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.rank.get, words, repeat(-1)), np.int64, len(words))
+    def ranks(self, words: pa.Array) -> np.ndarray:
+        """Of each word; -1 for those that are none of the vocabulary."""
+        return pc.fill_null(pc.index_in(words.cast(pa.large_binary()), self.tokens), -1).to_numpy().astype(np.int64)
 
 
 ENCODED = "ids array<int>, rare array<binary>, groups array<int>"
@@ -90,32 +76,53 @@ def encoded(shared):
     """Each text as ranks of its words, where below zero -1 less the place in rare; rare words with their shape groups.
 
     The columns in front of text are kept."""
-    lists = {"ids": pa.list_(pa.int32()), "rare": pa.list_(pa.binary()), "groups": pa.list_(pa.int32())}
 
     def encode(batches):
         vocabulary = shared.value
-        for batch, _, _ in chunks(batches):
-            ids, rares, groups = [], [], []
-            for words in split_words(batch):
-                ranks, places = vocabulary.ranks(words), {}
-                for i in np.flatnonzero(ranks < 0).tolist():
-                    ranks[i] = -1 - places.setdefault(words[i], len(places))
-                ids.append(ranks.astype(np.int32))
-                rares.append(list(places))
-                groups.append([shape(w) for w in places])
+        for batch, data, offsets in chunks(batches, limit=CHUNK):
+            codes, words, counts = word_codes(data, offsets, lower=True)
+            ranks = vocabulary.ranks(words)
+            ids, of = ranks[codes], np.repeat(np.arange(batch.num_rows), np.diff(counts))
+            # the distinct rare words of each text
+            low = np.flatnonzero(ids < 0)
+            pairs, place = np.unique(of[low] * max(1, len(words)) + codes[low], return_inverse=True)
+            ends = np.searchsorted(pairs, np.arange(batch.num_rows + 1) * max(1, len(words)))
+            ids[low] = -1 - (place - ends[of[low]])
+            rare = pairs % max(1, len(words))
+            missing = np.flatnonzero(ranks < 0)
+            groups = np.zeros(max(1, len(words)), np.int32)
+            groups[missing] = [shape(w) for w in words.take(pa.array(missing)).to_pylist()]
+            lists = lambda ends, values: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+            columns = [lists(counts, pa.array(ids, pa.int32())), lists(ends, words.take(pa.array(rare)).cast(pa.binary())), lists(ends, pa.array(groups[rare]))]
             keep = [n for n in batch.schema.names if n != "text"]
-            columns = [pa.array(c, k) for c, k in zip((ids, rares, groups), lists.values())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), *columns], names=[*keep, *lists])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), *columns], names=[*keep, "ids", "rare", "groups"])
 
     return encode
 
 
+def numbers(words: pa.Array) -> np.ndarray:
+    """A number below zero for each word, by its hash; words of the vocabulary go by their ranks instead."""
+    return -1 - (word_hashes(*packed(words))[0] >> np.uint64(1)).view(np.int64)
+
+
+def numbered(shared):
+    """token, c and word: its rank in the vocabulary, else its number."""
+
+    def number(batches):
+        for batch in batches:
+            tokens = batch.column("token")
+            ranks = shared.value.ranks(tokens)
+            yield pa.RecordBatch.from_arrays([tokens, batch.column("c"), pa.array(np.where(ranks < 0, numbers(tokens), ranks))], names=["token", "c", "word"])
+
+    return number
+
+
 class Texts:
     """Encoded texts end to end: ranks, place of rare words (-1: none), and the text that each word is of.
 
-    found, where it is there, has c and class of rare words (class -1: their shape group's)."""
+    found, where it is there, has c and class of rare words (class -1: their shape group's); moved: whether classes count."""
 
-    def __init__(self, batch: pa.RecordBatch):
+    def __init__(self, batch: pa.RecordBatch, moved: bool = True):
         lists = {n: pc.fill_null(batch.column(n), []) for n in batch.schema.names if n in ("ids", "rare", "groups", "found")}
         flat = lambda n: lists[n].flatten()
         sizes = lambda n: pc.list_value_length(lists[n]).to_numpy().astype(np.int64)
@@ -128,7 +135,9 @@ class Texts:
         if "found" in lists:
             found = flat("found")
             at = np.repeat(begin, sizes("found")) + found.field("at").to_numpy()
-            self.rare_counts[at], self.rare_classes[at] = found.field("c").to_numpy(), found.field("class").to_numpy()
+            self.rare_counts[at] = found.field("c").to_numpy()
+            if moved:
+                self.rare_classes[at] = found.field("class").to_numpy()
 
     def units(self, vocabulary: Vocabulary) -> np.ndarray:
         units = vocabulary.units[np.maximum(self.ranks, 0)]
@@ -148,21 +157,23 @@ class Texts:
         return np.insert(values, np.cumsum(self.sizes), end)
 
 
-def parts(batches):
+def parts(batches, moved: bool = True):
     for batch in batches:
         for at in range(0, batch.num_rows, TEXTS):
-            yield Texts(batch.slice(at, TEXTS)), batch.slice(at, TEXTS)
+            yield Texts(batch.slice(at, TEXTS), moved), batch.slice(at, TEXTS)
 
 
-def adjacent(shared):
-    """Counts of adjacent units, each text between two ends."""
+def adjacent(shared, size: int):
+    """Counts of adjacent codes below size, each text between two ends, which have the last code.
+
+    shared: the vocabulary, and the classes of ranks and of units, or None where units themselves are counted."""
 
     def count(batches):
-        vocabulary, size = shared.value, END + 1
+        vocabulary, classes, of = shared.value
         total = np.zeros(size * size, np.int64)
         for t, _ in parts(batches):
-            ends = t.ended(t.units(vocabulary), END)
-            total += np.bincount(np.concatenate([[END], ends[:-1]]) * size + ends, minlength=size * size)
+            ends = t.ended(t.units(vocabulary) if of is None else t.classes(classes, of), size - 1)
+            total += np.bincount(np.concatenate([[size - 1], ends[:-1]]) * size + ends, minlength=size * size)
         pairs = np.flatnonzero(total)
         for at in range(0, len(pairs), 1 << 16):
             p = pairs[at : at + (1 << 16)]
@@ -171,46 +182,46 @@ def adjacent(shared):
     return count
 
 
-def neighbours(shared, every: bool, last: bool):
-    """Counts of words beyond the clustered ones beside classes, unless last; under the empty word those of adjacent classes.
+def adjacent_counts(learnt: DataFrame, state, size: int) -> np.ndarray:
+    cells = learnt.mapInArrow(adjacent(state, size), "a int, b int, c long").groupBy("a", "b").agg(F.sum("c").alias("c")).toArrow()  # size ** 2 at most
+    out = np.zeros((size, size))
+    out[cells["a"].to_numpy(), cells["b"].to_numpy()] = cells["c"].to_numpy()
+    return out
 
-    every: also of rare words whose counts aren't joined yet."""
+
+def neighbours(shared):
+    """Counts (word, slot, n) of words beyond the clustered ones beside classes; words by rank or number."""
 
     def count(batches):
         vocabulary, classes, of = shared.value
-        words, size = pa.array(vocabulary.tokens, pa.binary()), CLASSES + 1
-        total, kept, n = np.zeros(size * size, np.int64), [], 0
+        size, kept, n = CLASSES + 1, [], 0
         moving = vocabulary.counts >= LEAST
         moving[:CLUSTERED] = False
+        ranks = np.arange(len(moving))
 
-        def rows(tokens, codes, counts=None):
-            codes, counts = np.unique(codes, return_counts=True) if counts is None else (codes, counts)
+        def rows(words, codes):
+            codes, counts = np.unique(codes, return_counts=True)
             for at in range(0, len(codes), 1 << 16):
                 word, slot = np.divmod(codes[at : at + (1 << 16)], SLOTS)
-                yield pa.RecordBatch.from_arrays([tokens.take(pa.array(word)), pa.array(slot.astype(np.int32)), pa.array(counts[at : at + (1 << 16)], pa.int64())], names=["token", "slot", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(words[word]), pa.array(slot.astype(np.int32)), pa.array(counts[at : at + (1 << 16)], pa.int64())], names=["word", "slot", "n"])
 
         for t, _ in parts(batches):
             ends = np.concatenate([[CLASSES], t.ended(t.classes(classes, of), CLASSES)])
-            total += np.bincount(ends[:-1] * size + ends[1:], minlength=size * size)
-            if last:
-                continue
-            at = np.arange(len(t.of)) + t.of + 1
-            for known in (True, False):
-                chosen = np.flatnonzero((t.ranks >= 0) & moving[np.maximum(t.ranks, 0)] if known else (t.ranks < 0) & (every | (t.rare_counts[t.place] >= LEAST) if len(t.groups) else False))
-                word = (t.ranks if known else t.place)[chosen] * SLOTS
-                codes = np.concatenate([word + ends[at[chosen] + 1], word + size + ends[at[chosen] - 1]])
-                if known:
-                    kept.append(codes)
-                    n += len(codes)
-                else:
-                    yield from rows(t.tokens, codes)
+            at, low = np.arange(len(t.of)) + t.of + 1, t.ranks < 0
+
+            def codes(chosen, words):
+                return np.concatenate([words * SLOTS + ends[at[chosen] + 1], words * SLOTS + size + ends[at[chosen] - 1]])
+
+            known, rare = np.flatnonzero(~low & moving[np.maximum(t.ranks, 0)]), np.flatnonzero(low)
+            kept.append(codes(known, t.ranks[known]))
+            n += len(kept[-1])
+            if len(rare):
+                yield from rows(numbers(t.tokens), codes(rare, t.place[rare]))
             if n > PAIRS:
-                yield from rows(words, np.concatenate(kept))
+                yield from rows(ranks, np.concatenate(kept))
                 kept, n = [], 0
         if n:
-            yield from rows(words, np.concatenate(kept))
-        pairs = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array([b""] * len(pairs), pa.binary()), pa.array(pairs.astype(np.int32)), pa.array(total[pairs])], names=["token", "slot", "n"])
+            yield from rows(ranks, np.concatenate(kept))
 
     return count
 
@@ -246,17 +257,17 @@ def best_classes(joint: np.ndarray, was: np.ndarray, word: np.ndarray, slot: np.
 
 
 def settled(joint: np.ndarray, of: np.ndarray):
-    """token, c and class of each word, from what is counted beside it."""
+    """token, c, word and class of each word, from what is counted beside it."""
 
     def settle(batches):
         for whole in batches:
             for at in range(0, whole.num_rows, WORDS):
                 batch = whole.slice(at, WORDS)
-                was = np.array([of[CLUSTERED + shape(t)] if c < 0 else c for t, c in zip(batch.column("token").to_pylist(), batch.column("class").to_pylist())], np.int64)
+                was = np.array([of[CLUSTERED + shape(t)] for t in batch.column("token").to_pylist()], np.int64)
                 beside = batch.column("beside")
                 word, beside = np.repeat(np.arange(batch.num_rows), pc.list_value_length(beside).to_numpy()), beside.flatten()
                 to = best_classes(joint, was, word, beside.field("slot").to_numpy().astype(np.int64), beside.field("n").to_numpy())
-                yield pa.RecordBatch.from_arrays([batch.column("token"), batch.column("c"), pa.array(to.astype(np.int32))], names=["token", "c", "class"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("token", "c", "word")), pa.array(to.astype(np.int32))], names=["token", "c", "word", "class"])
 
     return settle
 
@@ -327,13 +338,13 @@ class Model:
 
 
 def scored(shared, words: int, types: int):
-    """Per text: doc_id, n_tokens, n_known, base_score and score."""
+    """Per text: doc_id, n_tokens, n_known, base_score and score. shared: vocabulary, model, classes of ranks, whether words moved."""
     base_log = np.log10(float(words + types + 1))
 
     def score(batches):
-        vocabulary, model, classes = shared.value
+        vocabulary, model, classes, moved = shared.value
         end_count = vocabulary.ends
-        for t, batch in parts(batches):
+        for t, batch in parts(batches, moved):
             units, c, rare = t.units(vocabulary), t.classes(classes, model.of), t.ranks < 0
             n = vocabulary.counts[np.maximum(t.ranks, 0)].astype(np.int64)
             n[rare] = t.rare_counts[t.place[rare]]
@@ -351,19 +362,24 @@ def scored(shared, words: int, types: int):
     return score
 
 
-def with_found(rows: DataFrame, words: DataFrame | None) -> DataFrame:
+def with_found(rows: DataFrame, words: DataFrame) -> DataFrame:
     """Encoded texts with c and class of their rare words that are among words (token, c, class)."""
-    if words is None:
-        return rows
     found = rows.select("_row", F.posexplode("rare").alias("at", "token")).join(words, "token")
     found = found.groupBy("_row").agg(F.collect_list(F.struct("at", "c", "class")).alias("found"))
     return rows.join(found, "_row", "left")
 
 
-def scores(docs: DataFrame, train: DataFrame) -> DataFrame:
-    """docs' doc_id with n_tokens, n_known, train_tokens, base_score (add-one unigrams) and score, learning from train."""
+def scores(docs: DataFrame, train: DataFrame | Column) -> DataFrame:
+    """docs' doc_id with n_tokens, n_known, train_tokens, base_score (add-one unigrams) and score, learning from train:
+    texts of its own, or a condition on docs."""
     spark = docs.sparkSession
-    counts = written(train.select("text").mapInArrow(counted, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c")))
+    kind = f"doc_id {dict(docs.dtypes)['doc_id']}"
+    if isinstance(train, Column):
+        both = docs.select("doc_id", F.lit(True).alias("_asked"), train.alias("_train"), "text")
+    else:
+        own = train.select(F.lit(None).cast(dict(docs.dtypes)["doc_id"]).alias("doc_id"), F.lit(False).alias("_asked"), F.lit(True).alias("_train"), "text")
+        both = docs.select("doc_id", F.lit(True).alias("_asked"), F.lit(False).alias("_train"), "text").unionByName(own)
+    counts = written(both.filter("_train").select("text").mapInArrow(counted, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c")))
     ends = sum(r.c for r in counts.filter("length(token) = 0").collect())
     counts = counts.filter("length(token) > 0")
     totals = counts.agg(F.sum("c"), F.count("*")).first()
@@ -373,12 +389,14 @@ def scores(docs: DataFrame, train: DataFrame) -> DataFrame:
     vocabulary = Vocabulary(tokens, top_counts if len(tokens) else np.zeros(1))
     vocabulary.ends = ends
     shared = spark.sparkContext.broadcast(vocabulary)
-    row = F.monotonically_increasing_id().alias("_row")
-    learnt = written(train.select(row, "text").mapInArrow(encoded(shared), f"_row long, {ENCODED}"))
-    cells = learnt.mapInArrow(adjacent(shared), "a int, b int, c long").groupBy("a", "b").agg(F.sum("c").alias("c")).toArrow()  # (END + 1) ** 2 cells at most
-    pairs = np.zeros((END + 1, END + 1))
-    pairs[cells["a"].to_numpy(), cells["b"].to_numpy()] = cells["c"].to_numpy()
+    front = f"_row long, {kind}, _asked boolean, _train boolean"
+    rows = both.select(F.monotonically_increasing_id().alias("_row"), "*").mapInArrow(encoded(shared), f"{front}, {ENCODED}")
+    rows = written(rows.filter("_asked or _train"))
+    learnt = rows.filter("_train")
+    pairs = adjacent_counts(learnt, spark.sparkContext.broadcast((vocabulary, None, None)), END + 1)
     of = exchanged(pairs)
+    hot = np.eye(CLASSES + 1)[of]
+    start = hot.T @ pairs @ hot
 
     def after(place: int):
         """Whether a word comes after that many in the order of the vocabulary."""
@@ -386,46 +404,31 @@ def scores(docs: DataFrame, train: DataFrame) -> DataFrame:
         return (F.col("c") < c) | ((F.col("c") == c) & (F.col("token") > F.lit(token)))
 
     beyond = counts.filter(F.lit(False) if len(tokens) < CLUSTERED else after(CLUSTERED))
-    tail = counts.filter(after(KNOWN)) if len(tokens) == KNOWN else None
     classes = of[vocabulary.units]
-    words = beyond.filter(F.col("c") >= LEAST).withColumn("class", F.lit(-1))
-    best, taken, joint = -np.inf, (classes, None), np.zeros((CLASSES + 1, CLASSES + 1))
-    for turn in range(SETTLE + 1):
-        rare = words.filter(after(KNOWN)) if tail is not None and turn else None
-        state = spark.sparkContext.broadcast((vocabulary, classes, of))
-        beside = with_found(learnt, rare).mapInArrow(neighbours(state, tail is not None and not turn, turn == SETTLE), "token binary, slot int, n long")
-        beside = written(beside.repartition("token").groupBy("token", "slot").agg(F.sum("n").alias("n")))
-        met = beside.filter("length(token) = 0").toArrow()
-        now = np.zeros(joint.size)
-        now[met["slot"].to_numpy()] = met["n"].to_numpy()
-        now = now.reshape(joint.shape)
-        if turn and information(now) <= best:
-            break
-        best, taken, joint = information(now), (classes, rare), now
-        if turn == SETTLE:
-            break
-        moved = beside.filter("length(token) > 0").groupBy("token").agg(F.collect_list(F.struct("slot", "n")).alias("beside")).join(words, "token")
-        words = written(moved.select("token", "c", "class", "beside").mapInArrow(settled(joint, of), "token binary, c long, class int"))
-        known = (words if tail is None else words.filter(~after(KNOWN))).select("token", "class").toArrow()  # KNOWN words at most
-        classes = classes.copy()
-        classes[vocabulary.ranks(known["token"].to_pylist())] = known["class"].to_numpy()
-    classes, rare = taken
+    words = beyond.filter(F.col("c") >= LEAST).mapInArrow(numbered(shared), "token binary, c long, word long")
+    beside = learnt.mapInArrow(neighbours(spark.sparkContext.broadcast((vocabulary, classes, of))), "word long, slot int, n long")
+    beside = beside.repartition("word").groupBy("word", "slot").agg(F.sum("n").alias("n")).groupBy("word").agg(F.collect_list(F.struct("slot", "n")).alias("beside"))
+    words = written(beside.join(words, "word").select("token", "c", "word", "beside").mapInArrow(settled(start, of), "token binary, c long, word long, class int"))
+    known = words.filter("word >= 0").select("word", "class").toArrow()  # KNOWN words at most
+    moved = classes.copy()
+    moved[known["word"].to_numpy()] = known["class"].to_numpy()
+    if len(tokens) == KNOWN:  # there may be rarer words
+        rare = counts.filter(after(KNOWN)).join(words.filter("word < 0").select("token", "class"), "token", "left").fillna(-1, "class")
+        rows = written(with_found(rows, rare))
+    joint = adjacent_counts(rows.filter("_train"), spark.sparkContext.broadcast((vocabulary, moved, of)), CLASSES + 1)
+    better = information(joint) > information(start)
     once = np.zeros(SHAPES)
     for r in beyond.filter(F.col("c") < LEAST).groupBy(F.expr(SHAPE_SQL).alias("g")).agg(F.sum("c").alias("c")).collect():
         once[r.g] = r.c
     heads = np.zeros(CLUSTERED)
     heads[: len(tokens)] = top_counts[:CLUSTERED]
-    model = Model(pairs, of, once, once, joint=joint, units=np.concatenate([heads, once, [ends]]))
-    if tail is not None:
-        tail = tail.withColumn("class", F.lit(-1)) if rare is None else tail.join(rare.select("token", "class"), "token", "left").fillna(-1, "class")
-    kind = f"doc_id {dict(docs.dtypes)['doc_id']}"
-    rows = docs.select(row, "doc_id", "text").mapInArrow(encoded(shared), f"_row long, {kind}, {ENCODED}")
-    rows = rows if tail is None else with_found(written(rows), tail)
-    out = rows.mapInArrow(scored(spark.sparkContext.broadcast((vocabulary, model, classes)), n, types), f"{kind}, n_tokens long, n_known long, base_score double, score double")
+    model = Model(pairs, of, once, once, joint=joint if better else start, units=np.concatenate([heads, once, [ends]]))
+    state = spark.sparkContext.broadcast((vocabulary, model, moved if better else classes, better))
+    out = rows.filter("_asked").mapInArrow(scored(state, n, types), f"{kind}, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op3_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", texts(table(spark, sf_dir, "documents")).alias("text"))
-    out = scores(docs, docs.filter(remainder("doc_id", 7) != 2))
+    out = scores(docs, remainder("doc_id", 7) != 2)
     return out.withColumn("held_out", remainder("doc_id", 7) == 2).withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))

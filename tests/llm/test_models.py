@@ -14,7 +14,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 
 from tidemark.llm import brown_lm, quality_model, sentence_pieces, toxicity, warc
-from tidemark.llm.common import table
+from tidemark.llm.common import mix, table
 
 from .conftest import HARD
 
@@ -73,6 +73,74 @@ def test_quality_model(spark, hard, none):
     assert {r.score for r in quality_model.quality(hard, train.limit(0)).collect()} == {0.5}
 
 
+def features(text):
+    """Buckets of a text by the book: each word, its character n-grams, and each pair of neighbours."""
+    as_words = lambda *w: pa.array(w, pa.large_binary())
+    words = (text or "").encode().split()
+    out = Counter()
+    for w in words:
+        _, buckets, ends = quality_model.subwords(as_words(w))
+        assert ends.tolist() == [0, 1 + sum(max(0, len(w) + 3 - g) for g in quality_model.GRAMS)]
+        out.update(buckets.tolist())
+    for a, b in zip(words, words[1:]):
+        ha, hb = (int(quality_model.subwords(as_words(w))[0][0]) for w in (a, b))
+        out[int(mix(np.array([(hb - ha) % 2**64], np.uint64))[0]) % quality_model.BUCKETS] += 1
+    return out
+
+
+def test_quality_features_and_scores(spark, docs):
+    """Features of whole chunks against one text at a time, and scores as sums of their parts."""
+    texts = [r.text for r in docs.limit(12).collect()] + [None, "", " ", "one", "a a a b", "Ünïcode é", "x" * 3000]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts, "label": [0] * len(texts), "_order": list(range(len(texts)))})
+    rows = [r for b in quality_model.hashed([batch]) for r in b.to_pylist()]
+    for text, row in zip(texts, rows):
+        want = features(text)
+        assert row["ids"] == sorted(want) and row["shares"] == pytest.approx([want[i] / want.total() for i in row["ids"]], rel=1e-5)
+    parts = np.random.default_rng(1).normal(size=quality_model.BUCKETS)
+    got = [x for b in quality_model.scored(parts, 0.25)([batch]) for x in b.column("score").to_pylist()]
+    for text, x in zip(texts, got):
+        want = features(text)
+        mean = sum(parts[i] * n for i, n in want.items()) / max(1, want.total())
+        assert x == pytest.approx(1 / (1 + math.exp(-mean - 0.25)))
+
+
+def test_quality_step_follows_the_gradient():
+    """A step against numerical differences of the loss, summed over documents for vectors and averaged for the rest."""
+    draw = np.random.default_rng(3)
+    vectors, out, bias = draw.normal(size=(7, 4)), draw.normal(size=(4, 2)), draw.normal(size=2)
+    ids, sizes, y = np.array([0, 2, 5, 2, 3]), np.array([3, 0, 2]), np.array([1, 0, 0])
+    shares = np.array([0.5, 0.2, 0.3, 0.9, 0.1])
+
+    def loss(v, o, b):
+        total, at = 0.0, 0
+        for n, label in zip(sizes, y):
+            x = (shares[at : at + n, None] * v[ids[at : at + n]]).sum(0) @ o + b
+            total, at = total - x[label] + np.log(np.exp(x).sum()), at + n
+        return total
+
+    def slope(which):
+        args, grad = [vectors.copy(), out.copy(), bias.copy()], np.zeros_like((vectors, out, bias)[which])
+        for i in np.ndindex(grad.shape):
+            for sign in (1, -1):
+                args[which][i] += sign * 1e-5
+                grad[i] += sign * loss(*args) / 2e-5
+                args[which][i] -= sign * 1e-5
+        return grad
+
+    want = vectors - 0.3 * slope(0), out - 0.3 / 3 * slope(1), bias - 0.03 / 3 * slope(2)
+    quality_model.step(vectors, out, bias, ids, shares, sizes, y, 0.3)
+    assert all(np.allclose(a, b, atol=1e-7) for a, b in zip((vectors, out, bias), want))
+
+
+def test_quality_sample_is_bounded(spark, monkeypatch):
+    train = spark.createDataFrame([("%%% &&& $$$", 0)] * 8 + [("good words", 1)] * 8, "text string, label int")
+    seen = []
+    monkeypatch.setattr(quality_model, "MAX_PAIRS", 60)
+    monkeypatch.setattr(quality_model, "trained", lambda t: seen.append(t) or (np.zeros(quality_model.BUCKETS), 0.0))
+    quality_model.quality(train.select(F.lit(1).alias("doc_id"), "text"), train)
+    assert 0 < sum(map(len, seen[0]["ids"].to_pylist())) <= 60
+
+
 @pytest.fixture()
 def small_vocabulary(monkeypatch):
     monkeypatch.setattr(brown_lm, "KNOWN", 1200)

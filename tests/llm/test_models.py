@@ -51,6 +51,25 @@ def held_out(spark, name, query, label):
     return sum(r.predicted == r[label] for r in rows) / len(rows), rows
 
 
+def test_expected_numbers_hold_for_chance():
+    """Random tokens: after a fit to one half, as many texts of the other half have a segment of that expectation as it says."""
+    draw = np.random.default_rng(8)
+    scores = draw.choice([3.5, 2.25, toxicity.DRIFT], (6000, 300), p=[0.002, 0.006, 0.992])
+    n = draw.integers(50, 300, 6000)
+    best = np.array([max((s for *_, s in toxicity.segments(x[:k])), default=0.0) for x, k in zip(scores, n)])
+    rate, k = toxicity.extreme_values(n[:3000], best[:3000], 2.25)
+    for expected in (0.02, 0.1, 0.3):
+        chance = np.mean(k * n[3000:] * np.exp(-rate * best[3000:]) < expected)
+        assert 0.5 * expected < chance < 1.6 * expected
+    assert toxicity.extreme_values(n, np.zeros(6000), 2.0)[0] == 1.0
+
+
+def test_toxicity_recall(spark):
+    rows = toxicity.op1_toxicity(spark, "/root/testdata/sf0.1").join(table(spark, "/root/testdata/sf0.1", "labels"), "doc_id").filter("held_out").collect()
+    toxic = [r for r in rows if r.toxic]
+    assert sum(r.predicted for r in toxic) >= 0.9 * len(toxic) and sum(r.predicted for r in rows if not r.toxic) <= 0.01 * len(rows)
+
+
 def test_toxicity(spark, hard, none):
     right, rows = held_out(spark, "op1", toxicity.op1_toxicity, "toxic")
     assert not any(r.predicted and not r.toxic for r in rows) and right > 0.93  # 0.84 are not toxic

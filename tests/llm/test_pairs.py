@@ -48,7 +48,7 @@ def test_two_stage_sorting():
             assert got.tolist() == want
 
 
-@pytest.mark.parametrize("hot", [16_000, 3])
+@pytest.mark.parametrize("hot", [8_000, 3])
 def test_suffix_dedup(spark, docs, monkeypatch, hot):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
     draw = random.Random(4)
@@ -60,6 +60,23 @@ def test_suffix_dedup(spark, docs, monkeypatch, hot):
     assert sorted(tuple(r) for r in got) == sorted(want)
 
 
+def test_header_that_goes_on_differently(spark, monkeypatch):
+    """Texts that share 100 or 230 bytes in front: their anchor has a run for each text, and is counted by hashes."""
+    draw = random.Random(6)
+    word = lambda n: "".join(draw.choice("abcdefghij ") for _ in range(n))
+    short, long = word(100), word(230)
+    made = [(short if i % 2 else long) + word(260) for i in range(300)]
+    want = sorted((i, *x) for i, x in enumerate(removed(made)))
+    rows = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string").repartition(3)
+    seen = []
+    hot_spans = suffix_dedup.hot_spans
+    monkeypatch.setattr(suffix_dedup, "hot_spans", lambda *a: seen.append(1) or hot_spans(*a))
+    for hot in (8000, 20):
+        monkeypatch.setattr(suffix_dedup, "HOT", hot)
+        assert sorted(tuple(r) for r in suffix_dedup.removed(rows).collect()) == want
+        assert len(seen) == (hot == 20)
+
+
 def test_suffix_dedup_of_hard_rows(hard, none):
     got = suffix_dedup.removed(hard).collect()
     assert sorted(repr(tuple(r)) for r in got) == sorted(repr((i, *x)) for (i, *_), x in zip(HARD, removed([t for _, t, *_ in HARD])))

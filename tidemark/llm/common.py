@@ -57,15 +57,15 @@ def bounded(df: DataFrame, n: int) -> DataFrame:
     return F.broadcast(df) if n <= MAX_BROADCAST_ROWS else df
 
 
-def spread_join(rows: DataFrame, keys: DataFrame, on: str, count: str, total: int) -> DataFrame:
-    """rows joined with keys, one row per key; count is the number of rows with that key, total that of all rows.
+def spread_join(rows: DataFrame, keys: DataFrame, on: str | list[str], count: str, total: int) -> DataFrame:
+    """rows joined with keys, one row per key (of one column or several); count is the number of rows with that key, total that of all rows.
 
     At most MAX_HEAVY keys can hold 1 / MAX_HEAVY of the rows each. Those are broadcast, so no task gets all rows of
     one; the rows of all other keys shuffle."""
     limit = max(MIN_HEAVY, total // MAX_HEAVY)
     heavy = F.broadcast(keys.filter(F.col(count) > limit).withColumn("_heavy", F.lit(True)))
     marked = rows.join(heavy, on, "left")
-    names = [*rows.columns, *[c for c in keys.columns if c != on]]
+    names = [*rows.columns, *[c for c in keys.columns if c not in ([on] if isinstance(on, str) else on)]]
     light = marked.filter("_heavy is null").select(*rows.columns).join(keys.filter(F.col(count) <= limit), on)
     return marked.filter("_heavy").select(*names).unionByName(light.select(*names))
 

@@ -5,8 +5,9 @@ neighbouring strings with one anchor form a run. Runs whose anchor occurs once h
 The distinct runs of the other anchors, with the number of their occurrences, are dealt out by anchor; each task
 builds suffix arrays over them in blocks by two-stage sorting: only suffixes smaller than their successors are
 sorted directly, the rest is induced by scanning the buckets in order; then adjacent common prefixes are computed.
-A string is repeated if its run occurs twice or its suffix shares LENGTH bytes with a neighbour. Where one anchor has
-over HOT distinct runs, its suffixes are dealt out further by the hash of their first 16 bytes, which equals share.
+A string is repeated if its run occurs twice or its suffix shares LENGTH bytes with a neighbour. An anchor of over HOT
+distinct runs, as a header has that goes on differently in each text, fits no suffix array of bounded size; its strings
+are counted by two 64-bit hashes of all their bytes instead, which are added up before they shuffle.
 
 Defined cases: a null text is empty; texts shorter than LENGTH keep all bytes; repeated rows repeat each other; rows
 that share a doc_id are told apart by their texts; a null doc_id is a row like others; an empty table gives an empty
@@ -21,13 +22,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _BYTE, chunks, mix, powers, table, texts, written
+from .common import _BYTE, bounded, chunks, mix, powers, spread_join, table, texts, written
 
 LENGTH, GRAM = 200, 48
-#: Bytes of runs in one suffix array, distinct runs from which an anchor's suffixes are dealt out further.
-BLOCK, HOT = 1 << 22, 16_000
-#: Bytes of one long text that anchors are searched in at once, most rows whose keys are broadcast.
-WINDOW, MAX_BROADCAST_ROWS = 1 << 20, 500_000
+#: Bytes of runs in one suffix array, distinct runs of an anchor beyond which its strings are counted by their hashes.
+BLOCK, HOT = 1 << 22, 8_000
+#: Bytes of one long text that anchors are searched in at once.
+WINDOW = 1 << 20
 _C = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F], np.uint64)
 
 
@@ -83,28 +84,70 @@ def anchored(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["anchor", "content", "strings", "_id", "_key", "start"])
 
 
-def cut_out(batches):
-    """The bytes of the listed runs; for hot anchors a row for each share of the starts."""
-    kind = pa.schema([("anchor", pa.int64()), ("content", pa.int64()), ("strings", pa.int32()), ("sub", pa.int32()), ("copies", pa.int64()), ("starts", pa.binary()), ("data", pa.binary())])
+RUN = ["anchor", "content", "strings"]
+_RUN = [("anchor", pa.int64()), ("content", pa.int64()), ("strings", pa.int32()), ("copies", pa.int64())]
+
+
+def listed_runs(batches):
+    """The runs listed beside each text, with their bytes."""
     for batch, data, offsets in chunks(batches):
-        rows = []
         for i, found in enumerate(batch.column("runs").to_pylist()):
             text = data[offsets[i] : offsets[i + 1]]
             for r in found:
-                part = text[r["start"] : r["start"] + r["strings"] + LENGTH - 1]
-                subs = np.zeros(r["strings"], np.int64)
-                if r["subs"] > 1:
-                    h = _BYTE[part[: r["strings"] + 15]]
-                    for c, width in zip(_C, (1, 2, 4, 8)):
-                        h = h[:-width] * c + h[width:]
-                    subs = (mix(h) % np.uint64(r["subs"])).astype(np.int64)
-                for sub in np.unique(subs).tolist():
-                    rows.append({"anchor": r["anchor"], "content": r["content"], "strings": r["strings"], "sub": sub, "copies": r["copies"], "starts": np.flatnonzero(subs == sub).astype(np.uint8).tobytes(), "data": part.tobytes()})
-                if len(rows) >= 10_000:
-                    yield pa.RecordBatch.from_pylist(rows, kind)
-                    rows = []
-        if rows:
+                yield r, text[r["start"] : r["start"] + r["strings"] + LENGTH - 1]
+
+
+def cut_out(batches):
+    """The listed runs with their bytes."""
+    kind, rows = pa.schema([*_RUN, ("data", pa.binary())]), []
+    for r, part in listed_runs(batches):
+        rows.append({n: r[n] for n, _ in _RUN} | {"data": part.tobytes()})
+        if len(rows) >= 10_000:
             yield pa.RecordBatch.from_pylist(rows, kind)
+            rows = []
+    if rows:
+        yield pa.RecordBatch.from_pylist(rows, kind)
+
+
+def string_hashes(data: np.ndarray, seed: int) -> np.ndarray:
+    """The hash of the LENGTH = 128 + 64 + 8 bytes from each position on."""
+    h, width, at = _BYTE[data] ^ np.uint64(seed * 0x9E3779B97F4A7C15 % (1 << 64)), 1, {}
+    while width < 128:
+        h = mix(h[:-width] * _C[0] + h[width:])
+        width *= 2
+        at[width] = h
+    n = len(data) - LENGTH + 1
+    return mix(at[128][:n] * _C[1] + at[64][128 : 128 + n] * _C[2] + at[8][192 : 192 + n])
+
+
+def strings_of(batches):
+    """A row for each string of the listed runs: its place in the run and two hashes."""
+    kind, rows, n = pa.schema([*_RUN, ("place", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64())]), [], 0
+    for r, part in listed_runs(batches):
+        each = [np.full(r["strings"], r[c]) for c, _ in _RUN]
+        rows.append([*each, np.arange(r["strings"]), string_hashes(part, 1).view(np.int64), string_hashes(part, 2).view(np.int64)])
+        n += r["strings"]
+        if n >= 100_000:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), k.type) for c, k in zip(zip(*rows), kind)], schema=kind)
+            rows, n = [], 0
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), k.type) for c, k in zip(zip(*rows), kind)], schema=kind)
+
+
+def stretches(places: np.ndarray) -> list[dict]:
+    """Spans of places (sorted) that follow each other: first and last."""
+    cut = np.flatnonzero(np.diff(places) > 1)
+    return [{"low": low, "high": high} for low, high in zip(places[np.concatenate([[0], cut + 1])].tolist(), places[np.append(cut, len(places) - 1)].tolist())]
+
+
+_SPANS = pa.schema([*_RUN, ("found", pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32())])))])
+
+
+def spanned(batches):
+    """Runs with the spans of their listed places."""
+    for batch in batches:
+        found = [stretches(np.sort(np.array(p))) for p in batch.column("places").to_pylist()]
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n, _ in _RUN), pa.array(found, _SPANS.field("found").type)], schema=_SPANS)
 
 
 def eights(text: np.ndarray) -> np.ndarray:
@@ -224,29 +267,21 @@ def repeated_in_block(rows: list[tuple[np.ndarray, np.ndarray, int]]) -> list[np
 
 
 def searched(batches):
-    """Spans of repeated strings in each run; the rows of one anchor come together."""
-    kind = pa.schema([("anchor", pa.int64()), ("content", pa.int64()), ("strings", pa.int32()), ("low", pa.int32()), ("high", pa.int32())])
+    """Runs with the spans of their repeated strings; the rows of one anchor come together."""
     rows: list[dict] = []
-    size = 0
+    size, last = 0, None
 
     def block():
-        found = repeated_in_block([(np.frombuffer(r["data"], np.uint8), np.frombuffer(r["starts"], np.uint8).astype(np.int64), r["copies"]) for r in rows])
-        out = []
-        for r, f in zip(rows, found):
-            if len(f):
-                cut = np.flatnonzero(np.diff(f) > 1)
-                for low, high in zip(f[np.concatenate([[0], cut + 1])].tolist(), f[np.append(cut, len(f) - 1)].tolist()):
-                    out.append({"anchor": r["anchor"], "content": r["content"], "strings": r["strings"], "low": low, "high": high})
-        return pa.RecordBatch.from_pylist(out, kind)
-
-    last = None
+        found = repeated_in_block([(np.frombuffer(r["data"], np.uint8), np.arange(r["strings"]), r["copies"]) for r in rows])
+        return pa.RecordBatch.from_pylist([{n: r[n] for n, _ in _RUN} | {"found": stretches(f)} for r, f in zip(rows, found) if len(f)], _SPANS)
+
     for batch in batches:
         for r in batch.to_pylist():
-            if size >= BLOCK and (r["anchor"], r["sub"]) != last:
+            if size >= BLOCK and r["anchor"] != last:
                 yield block()
                 rows.clear()
                 size = 0
-            last = (r["anchor"], r["sub"])
+            last = r["anchor"]
             rows.append(r)
             size += len(r["data"])
     if rows:
@@ -287,26 +322,37 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 def of_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """docs joined with rows on their identity, where few enough by a broadcast of the keys first, so other texts don't move."""
-    keys = rows.select("_id", "_key")
-    if rows.count() <= MAX_BROADCAST_ROWS:
-        docs = docs.join(F.broadcast(keys), ["_id", "_key"], "left_semi")
+    docs = docs.join(bounded(rows.select("_id", "_key"), rows.count()), ["_id", "_key"], "left_semi")
     return docs.join(rows, ["_id", "_key"])
 
 
+def hot_spans(docs: DataFrame, runs: DataFrame) -> DataFrame:
+    """Spans of repeated strings in runs of anchors that have too many, by counts of the strings' hashes."""
+    kind = "anchor long, content long, strings int, copies long"
+    by_text = written(runs.groupBy("_id", "_key").agg(F.collect_list(F.struct(*RUN, "copies", "start")).alias("runs")))
+    each = written(of_rows(docs, by_text).mapInArrow(strings_of, f"{kind}, place int, h1 long, h2 long"))
+    twice = each.groupBy("h1", "h2").agg(F.sum("copies").alias("_all"), F.count("*").alias("_n")).filter("_all > 1")
+    found = spread_join(each, twice, ["h1", "h2"], "_n", each.count()).groupBy(*RUN, "copies").agg(F.collect_list("place").alias("places"))
+    return found.mapInArrow(spanned, f"{kind}, found array<struct<low: int, high: int>>")
+
+
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """_id, _key and spans (low and high byte) of all texts of keyed() that have repeated strings; spans may touch."""
     found = written(docs.mapInArrow(anchored, "anchor long, content long, strings int, _id long, _key long, start long"))
-    twice = found.groupBy("anchor").count().filter("count > 1").select("anchor")
-    places = written(found.join(twice, "anchor"))
-    distinct = places.groupBy("anchor", "content", "strings").agg(F.count("*").alias("copies"), F.min(F.struct("_id", "_key", "start")).alias("at"))
-    distinct = written(distinct.select("anchor", "content", "strings", "copies", "at.*"))
-    hot = distinct.groupBy("anchor").agg(F.ceil(F.count("*") / HOT).cast("int").alias("subs")).filter("subs > 1")
-    run = F.struct("anchor", "content", "strings", "copies", F.coalesce("subs", F.lit(1)).alias("subs"), "start")
-    by_text = written(distinct.join(hot, "anchor", "left").groupBy("_id", "_key").agg(F.collect_list(run).alias("runs")))
-    one = of_rows(docs.drop("doc_id"), by_text)
-    data = one.mapInArrow(cut_out, "anchor long, content long, strings int, sub int, copies long, starts binary, data binary")
-    spans = data.repartition("anchor", "sub").sortWithinPartitions("anchor", "sub").mapInArrow(searched, "anchor long, content long, strings int, low int, high int")
-    back = places.join(spans, ["anchor", "content", "strings"])
+    twice = found.groupBy("anchor").agg(F.count("*").alias("_n")).filter("_n > 1")
+    places = written(spread_join(found, twice, "anchor", "_n", found.count()).drop("_n"))
+    distinct = places.groupBy(*RUN).agg(F.count("*").alias("copies"), F.min(F.struct("_id", "_key", "start")).alias("at"))
+    distinct = written(distinct.select(*RUN, "copies", "at.*"))
+    hot = written(distinct.groupBy("anchor").agg(F.count("*").alias("_n")).filter(F.col("_n") > HOT))
+    n_hot = hot.count()
+    usual = distinct.join(bounded(hot.select("anchor"), n_hot), "anchor", "left_anti") if n_hot else distinct
+    by_text = written(usual.groupBy("_id", "_key").agg(F.collect_list(F.struct(*RUN, "copies", "start")).alias("runs")))
+    kind = "anchor long, content long, strings int, copies long"
+    data = of_rows(docs.drop("doc_id"), by_text).mapInArrow(cut_out, f"{kind}, data binary")
+    spans = data.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(searched, f"{kind}, found array<struct<low: int, high: int>>")
+    if n_hot:
+        spans = spans.unionByName(hot_spans(docs.drop("doc_id"), distinct.join(bounded(hot.select("anchor"), n_hot), "anchor", "left_semi")))
+    back = spread_join(places, written(spans), RUN, "copies", places.count()).select("_id", "_key", "start", F.inline("found"))
     span = F.struct((F.col("start") + F.col("low")).alias("low"), (F.col("start") + F.col("high") + LENGTH).alias("high"))
     return back.groupBy("_id", "_key").agg(F.collect_set(span).alias("spans"))
 
@@ -317,8 +363,7 @@ def removed(docs: DataFrame) -> DataFrame:
     spans = written(repeated_spans(docs))
     columns = f"doc_id {dict(docs.dtypes)['doc_id']}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     touched = of_rows(docs, spans).select("doc_id", "text", "spans").mapInArrow(cleaned, columns)
-    keys = spans.select("_id", "_key")
-    rest = docs.join(F.broadcast(keys) if spans.count() <= MAX_BROADCAST_ROWS else keys, ["_id", "_key"], "left_anti")
+    rest = docs.join(bounded(spans.select("_id", "_key"), spans.count()), ["_id", "_key"], "left_anti")
     size = F.octet_length("text").cast("long")
     whole = rest.select("doc_id", size.alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
     return touched.unionByName(whole)

@@ -3,9 +3,9 @@
 Tokens (words, and prefixes of longer words as a back-off for inflections) get log-odds between toxic and other
 documents under an informative Dirichlet prior; those that are significantly toxic score their log-odds, every other
 token a small negative drift. A linear-time scan (Ruzzo and Tompa) finds every maximal scoring segment; a segment of
-score S in n tokens has the expected number n * exp(-lambda * S) by extreme-value theory, with lambda from the scores'
-background distribution, and is significant below MAX_E. A logistic curve, fitted to the training rows, turns a
-document's best and summed evidence into a probability.
+score S in n tokens has the expected number K * n * exp(-lambda * S) by extreme-value theory, and is significant below
+MAX_E. lambda and K are those under which the best segments of the training rows that aren't toxic are likeliest. A
+logistic curve, fitted to the training rows, turns a document's best and summed evidence into a probability.
 
 Labels are learned from at most MAX_LABELLED rows, in the order of a hash of their ids. Defined cases: null and
 empty texts have no passages and get the probability of no evidence; rows with a null label or id teach nothing;
@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import remainder, table
 
-#: Labelled rows learned from, features kept, least z of a toxic feature, prior's share of all counts.
-MAX_LABELLED, MAX_FEATURES, MIN_Z, PRIOR = 60_000, 50_000, 3.0, 0.05
+#: Labelled rows learned from, fewest toxic documents with a feature, least z of a toxic feature, prior's share of all counts.
+MAX_LABELLED, MIN_TOXIC, MIN_Z, PRIOR = 60_000, 3, 3.0, 0.05
 #: Lengths of the prefixes that back off, score of other tokens, most expected chance segments of a significant one.
 PREFIXES, DRIFT, MAX_E = (6, 5, 4), -0.25, 0.05
 #: Distinct words whose scores a task remembers.
@@ -70,9 +70,9 @@ def feature_counts(batches):
 
 
 def learned(train: DataFrame) -> dict[str, float]:
-    """The significantly toxic features with their log-odds; MAX_FEATURES at most."""
+    """The significantly toxic features of the bounded training rows with their log-odds."""
     counts = train.select("text", "label").mapInArrow(feature_counts, "feature string, toxic long, other long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-    counts = counts.filter("toxic > 2 or feature = ''").cache()
+    counts = counts.filter(f"toxic >= {MIN_TOXIC} or feature = ''").cache()
     docs = counts.filter("feature = ''").collect()
     if not docs or not docs[0].toxic or not docs[0].other:
         counts.unpersist()
@@ -83,22 +83,31 @@ def learned(train: DataFrame) -> dict[str, float]:
     a = F.lit(prior) * a / (n1 + n0)
     odds = F.log((F.col("toxic") + a) / (n1 + 2 * prior - F.col("toxic") - a)) - F.log((F.col("other") + a) / (n0 + 2 * prior - F.col("other") - a))
     z = odds / F.sqrt(1 / (F.col("toxic") + a) + 1 / (F.col("other") + a))
-    best = counts.filter("feature <> ''").select("feature", odds.alias("odds"), z.alias("z")).filter(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "feature").limit(MAX_FEATURES).collect()
+    best = counts.filter("feature <> ''").select("feature", odds.alias("odds"), z.alias("z")).filter(F.col("z") >= MIN_Z).collect()
     counts.unpersist()
     return {r.feature: r.odds for r in best}
 
 
-def decay(weights: dict[str, float], share: float) -> float:
-    """lambda: the positive root of sum of p * exp(lambda * s) = 1 if toxic tokens are that share of clean text."""
-    if not weights:
-        return 1.0
-    s = np.array(list(weights.values()))
-    lo, hi = 1e-6, 50.0
-    for _ in range(80):
-        mid = (lo + hi) / 2
-        total = share * np.exp(np.minimum(mid * s, 600)).mean() + (1 - share) * math.exp(mid * DRIFT)
-        lo, hi = (mid, hi) if total < 1 else (lo, mid)
-    return lo
+def extreme_values(n: np.ndarray, best: np.ndarray, least: float) -> tuple[float, float]:
+    """lambda and K under which the best scores of texts of n tokens are likeliest: P(best < x) = exp(-K n exp(-lambda x)).
+
+    Texts without a segment have a best score below least, that of any positive token. For each lambda the likeliest K
+    has a closed form; lambda is found by golden-section search. Without segments, one above the least score is as
+    rare as one in all tokens."""
+    some, n = best > 0, np.maximum(n, 1).astype(float)
+    x = np.where(some, best, least)
+    if not some.any():
+        return 1.0, math.exp(least) / (1 + n.sum())
+
+    def fit(rate: float) -> tuple[float, float]:
+        k = some.sum() / (n * np.exp(-rate * (x - least))).sum()
+        return some.sum() * (math.log(k * rate) + rate * least) - rate * x[some].sum(), k * math.exp(rate * least)
+
+    low, high, golden = 1e-2, 5.0, (math.sqrt(5) - 1) / 2
+    while high - low > 1e-4:
+        a, b = high - golden * (high - low), low + golden * (high - low)
+        low, high = (a, high) if fit(a)[0] < fit(b)[0] else (low, b)
+    return low, fit(low)[1]
 
 
 class Memo(dict):
@@ -136,33 +145,50 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(a, b, float(r - l)) for a, b, l, r, _ in stack]
 
 
-def passages(text: str, memo: Memo, rate: float) -> tuple[int, list[tuple[int, int, float, float]]]:
+def best_segment(text: str, memo: Memo) -> tuple[int, float]:
+    """Number of tokens, and the score of the best segment."""
+    words = _TOKEN.findall(text.lower())
+    return len(words), max((s for _, _, s in segments(np.fromiter(map(memo.__getitem__, words), float, len(words)))), default=0.0)
+
+
+def passages(text: str, memo: Memo, rate: float, k: float) -> tuple[int, list[tuple[int, int, float, float]]]:
     """Number of tokens, and the significant segments: first token, token after the last, score, expected number."""
     words = _TOKEN.findall(text.lower())
     scores = np.fromiter(map(memo.__getitem__, words), float, len(words))
-    found = ((a, b, s, len(words) * math.exp(-rate * s)) for a, b, s in segments(scores))
+    found = ((a, b, s, k * len(words) * math.exp(-rate * s)) for a, b, s in segments(scores))
     return len(words), [x for x in found if x[3] < MAX_E]
 
 
-def evidence(n: int, found: list, rate: float) -> tuple[float, float]:
+def evidence(found: list) -> tuple[float, float]:
     """Evidence of the best segment and of all, in nats beyond chance, on a log scale."""
-    extra = [rate * x[2] - math.log(max(n, 1)) for x in found]
+    extra = [-math.log(max(x[3], 1e-300)) for x in found]
     return (math.log1p(max(extra)), math.log1p(sum(extra))) if extra else (0.0, 0.0)
 
 
-def scanned(weights: dict[str, float], rate: float, curve: list[float] | None = None):
+def measured(weights: dict[str, float]):
+    """label, number of tokens and best score of each text."""
+
+    def measure(batches):
+        memo = Memo(weights)
+        for batch in batches:
+            rows = [best_segment(t.as_py() or "", memo) for t in batch.column("text")]
+            n, best = zip(*rows) if rows else ((), ())
+            yield pa.RecordBatch.from_pydict({"label": batch.column("label"), "_n": pa.array(n, pa.int64()), "_best": pa.array(best, pa.float64())})
+
+    return measure
+
+
+def scanned(weights: dict[str, float], rate: float, k: float, curve: list[float] | None = None):
     def scan(batches):
         memo = Memo(weights)
         for batch in batches:
             rows = []
             for text in batch.column("text"):
-                n, found = passages(text.as_py() or "", memo, rate)
-                x = evidence(n, found, rate)
-                rows.append((*x, [dict(zip(("start", "end", "score", "expected"), f)) for f in found]))
+                _, found = passages(text.as_py() or "", memo, rate, k)
+                rows.append((*evidence(found), [dict(zip(("start", "end", "score", "expected"), f)) for f in found]))
             best, total, found = zip(*rows) if rows else ((), (), ())
-            out = {"_best": pa.array(best, pa.float64()), "_total": pa.array(total, pa.float64())}
             if curve is None:
-                yield pa.RecordBatch.from_pydict({"label": batch.column("label")} | out)
+                yield pa.RecordBatch.from_pydict({"label": batch.column("label"), "_best": pa.array(best, pa.float64()), "_total": pa.array(total, pa.float64())})
                 continue
             score = [1 / (1 + math.exp(-(curve[0] + curve[1] * b + curve[2] * t))) for b, t in zip(best, total)]
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64()), ("expected", pa.float64())]))
@@ -184,11 +210,13 @@ def fitted(x: np.ndarray, y: np.ndarray) -> list[float]:
 def toxic_passages(docs: DataFrame, train: DataFrame) -> DataFrame:
     """doc_id, score and passages (token spans) of every text; train: text and label."""
     weights = learned(train)
-    rate = decay(weights, 1e-4)
-    sample = train.select("text", "label").mapInArrow(scanned(weights, rate), "label int, _best double, _total double").toArrow()
+    train = train.select("text", "label")
+    met = train.filter("label <= 0").mapInArrow(measured(weights), "label int, _n long, _best double").toArrow()
+    rate, k = extreme_values(met["_n"].to_numpy(), met["_best"].to_numpy(), min(weights.values(), default=1.0))
+    sample = train.mapInArrow(scanned(weights, rate, k), "label int, _best double, _total double").toArrow()
     y = (pc.fill_null(sample["label"], 0).to_numpy() > 0).astype(float)
     curve = fitted(np.column_stack([sample["_best"].to_numpy(), sample["_total"].to_numpy()]), y) if 0 < y.sum() < len(y) else [-30.0, 0.0, 0.0]
-    return docs.select("doc_id", "text").mapInArrow(scanned(weights, rate, curve), f"doc_id {dict(docs.dtypes)['doc_id']}, score double, passages array<struct<start: long, end: long, score: double, expected: double>>")
+    return docs.select("doc_id", "text").mapInArrow(scanned(weights, rate, k, curve), f"doc_id {dict(docs.dtypes)['doc_id']}, score double, passages array<struct<start: long, end: long, score: double, expected: double>>")
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -362,16 +362,39 @@ def test_warc(spark, sf, tmp_path):
     odd = spark.createDataFrame([(1, None, None), (2, "u", "<a href=x>t<p>a &lt; b<"), (2, "u", "<a href=x>t<p>a &lt; b<"), (None, "v", "")], "page_id long, url string, html string")
     out = warc.derivatives(warc.responses(odd), ("page_id",)).collect()
     assert len(out) == 8 and [r.block for r in out if r.type == "conversion"] == ["", "t\na < b<", "t\na < b<", ""]
-    warc.write_warc(warc.derivatives(warc.responses(odd)).coalesce(1), str(tmp_path / "w"))
-    import gzip
-
-    data = gzip.decompress(next((tmp_path / "w").glob("*.gz")).read_bytes())
-    records = 0
-    while data:  # each record is as long as it says, and two line ends follow
-        head, _, data = data.partition(b"\r\n\r\n")
-        assert head.startswith(b"WARC/1.1\r\n")
-        n = int(dict(x.split(b": ", 1) for x in head.split(b"\r\n")[1:])[b"Content-Length"])
-        assert data[n : n + 4] == b"\r\n\r\n"
-        data, records = data[n + 4 :], records + 1
-    assert records == 8
     assert warc.derivatives(warc.responses(odd.limit(0))).count() == 0
+
+
+def records_of(path):
+    """(headers, block) of each record; every gzip member must hold exactly one."""
+    out = []
+    for file in sorted(path.glob("part-*")):
+        data = file.read_bytes()
+        while data:
+            member = zlib.decompressobj(31)
+            record = member.decompress(data)
+            assert member.eof
+            data = member.unused_data
+            if not record:
+                continue
+            head, _, rest = record.partition(b"\r\n\r\n")
+            first, *lines = head.split(b"\r\n")
+            headers = dict(x.split(b": ", 1) for x in lines)
+            n = int(headers[b"Content-Length"])
+            assert first == b"WARC/1.1" and len(headers) == len(lines) and rest[n:] == b"\r\n\r\n"
+            out.append(({k.decode(): v.decode() for k, v in headers.items()}, rest[:n]))
+    return out
+
+
+def test_warc_files(spark, tmp_path):
+    """A gzip member for each record, digests of the blocks, and no header that a URL brings in."""
+    big = "".join(chr(97 + i % 23) for i in range(17_000_000))
+    pages = spark.createDataFrame([(1, "http://a/b c\r\nX-Evil: 1", "<p>x"), (2, None, None), (3, "http://ü/", "<a href=y>é</a>"), (4, "http://long", big)], "page_id long, url string, html string")
+    warc.write_warc(warc.derivatives(warc.responses(pages)).repartition(2), str(tmp_path / "w"))
+    found = records_of(tmp_path / "w")
+    assert len(found) == 8 and not any("X-Evil" in h for h, _ in found)
+    for h, block in found:
+        assert h["WARC-Payload-Digest"] == h["WARC-Block-Digest"] == warc.digest(block)
+    uris = Counter(h.get("WARC-Target-URI") for h, _ in found)
+    assert uris == {"http://a/b%20c%0D%0AX-Evil:%201": 2, None: 2, "http://ü/": 2, "http://long": 2}
+    assert sorted(len(b) for h, b in found if h["WARC-Type"] == "conversion")[-1] == len(big)

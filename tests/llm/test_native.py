@@ -8,7 +8,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dedup, mixing, quality_rules, registry
+from tidemark.llm import exact_dedup, jaccard_join, mixing, quality_rules, registry, sentence_pieces
 
 from .conftest import HARD
 
@@ -112,6 +112,18 @@ def test_rules_are_ordered_by_rejection_per_cost(spark, monkeypatch):
     assert quality_rules.ordered(rows, rules) == ["repeats", "few_words", "symbols"]
 
 
+def test_clashing_names(spark):
+    """Every stage leaves columns of the names that it uses inside as they are, with their values."""
+    names = "_id _sha _s _n _key _row _range _block _words _lines n_words n_lines _end _start _bucket _draw kept keep_row group_size component_id root rid digest keys piece_ids size taken target _own_0 _own_7".split()
+    rows = spark.createDataFrame([(i, f"document {i} " + "with some words that are not like those of others " * (1 + i % 2) + f"and {i}", f"s{i % 2}", *[f"{n}{i}" for n in names]) for i in range(8)], "doc_id long, text string, source string, " + ", ".join(f"{n} string" for n in names))
+    for stage in (exact_dedup.drop_copies, jaccard_join.drop_near_copies, quality_rules.keep_good, mixing.mixture, mixing.planned, quality_rules.judged, sentence_pieces.encoded):
+        out = stage(rows)
+        new = {"planned": ["size", "source_size", "target", "taken"], "judged": [*quality_rules.counts(rows), "rejected_by", "kept"], "encoded": ["piece_ids"]}.get(stage.__name__, [])
+        assert out.columns == [c for c in rows.columns if c not in new] + new, stage
+        got = out.collect()
+        assert got and all(r[n] == f"{n}{r.doc_id}" for r in got for n in names if n not in new), stage
+
+
 def filled(sizes, weights, cap=3):
     """Water-filling by the book: clamp what is above its cap, share the rest again, until nothing is."""
     total, fixed = sum(sizes), {}

@@ -7,14 +7,15 @@ the word.
 
 Defined cases: a null text has no words; a null source is a source of its own, last in order; a null doc_id is
 ordered like an empty one; repeated rows are documents of their own; a source without words has target 0; an empty
-table gives an empty result; other columns pass through."""
+table gives an empty result; other columns pass through, but for those named size, source_size, target or taken, which
+the plan replaces in planned()."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, table, texts
+from .common import WORD, apart, table, texts
 
 MAX_EPOCHS, SEED = 3, 17
 #: Rows of a source's bucket, on average, and the least number of buckets.
@@ -40,7 +41,11 @@ def targets(sources: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
 
 
 def planned(docs: DataFrame, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
-    """docs with size, source_size, target and taken."""
+    """docs with size, source_size, target and taken.
+
+    A source's rows are summed by bucket of their draw, so a large source is many tasks; one row per source and bucket is
+    what the windows of a source run over."""
+    docs, back = apart(docs.drop("size", "source_size", "target", "taken"), "doc_id", "text", "source")
     buckets = max(MIN_BUCKETS, -(-docs.count() // BUCKET_ROWS))
     draw = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     rows = docs.withColumns({"size": F.regexp_count(texts(docs), F.lit(WORD)).cast("long"), "_null": F.col("source").isNull(), "_source": F.coalesce("source", F.lit("")), "_draw": draw})
@@ -56,20 +61,20 @@ def planned(docs: DataFrame, max_epochs: int = MAX_EPOCHS, seed: int = SEED) ->
     out = out.withColumn("_whole", whole).withColumn("_extra", F.round("target").cast("long") - F.col("_whole") * F.col("source_size"))
     begin = F.col("_start") + F.col("_end") - F.col("size")
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("_extra") - begin))
-    return out.withColumn("taken", F.col("_whole") * F.col("size") + part).drop("_null", "_source", "_draw", "_bucket", "_end", "_start", "_whole", "_extra")
+    return out.withColumn("taken", F.col("_whole") * F.col("size") + part).select(*back, "size", "source_size", "target", "taken")
 
 
 def mixture(docs: DataFrame, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
     """The mixed rows: each document as often as it is taken whole, and once more its first words if it is taken in part."""
-    own = docs.columns
-    plan = planned(docs.select(*[F.col(f"`{c}`").alias(c if c in ("doc_id", "text", "source") else f"_own_{i}") for i, c in enumerate(own)]), max_epochs, seed)
+    inner, back = apart(docs, "doc_id", "text", "source")
+    plan = planned(inner, max_epochs, seed)
     rest = F.when(F.col("size") > 0, F.col("taken") % F.col("size")).otherwise(F.lit(0))
     whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(F.lit(0))
     copies = plan.withColumn("_rest", rest).withColumn("_copies", F.concat(F.array_repeat(F.lit(False), whole.cast("int")), F.array_repeat(F.lit(True), (F.col("_rest") > 0).cast("int"))))
     rows = copies.withColumn("_part", F.explode("_copies"))
     cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.col("_rest").cast("int")), "")
     rows = rows.withColumn("text", F.when(F.col("_part"), cut).otherwise(F.col("text")))
-    return rows.select(*[F.col(c if c in ("doc_id", "text", "source") else f"_own_{i}").alias(c) for i, c in enumerate(own)])
+    return rows.select(*back)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -84,10 +84,10 @@ def counts(docs: DataFrame, words: Column | None = None, lines: Column | None =
 
 def with_counts(docs: DataFrame) -> DataFrame:
     """docs with all counts, in the place of columns of the same names."""
-    names = {"_words", "_lines", *counts(docs)}
-    read = once(docs.drop(*names), words_of(docs).alias("_words"), lines_of(docs).alias("_lines"))
+    inner, back = apart(docs.drop(*counts(docs)), "text")
+    read = once(inner, words_of(inner).alias("_words"), lines_of(inner).alias("_lines"))
     every = counts(read, F.col("_words"), F.col("_lines"))
-    return once(read, *[c.cast("long").alias(n) for n, c in every.items()]).drop("_words", "_lines")
+    return once(read, *[c.cast("long").alias(n) for n, c in every.items()]).select(*back, *every)
 
 
 def from_text(docs: DataFrame, rule: tuple) -> Column:
@@ -142,7 +142,7 @@ def cascade(rows: DataFrame, rules: dict, order: list[str], test: Callable[[tupl
 
 def judged(docs: DataFrame, rules: dict = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """docs with all their counts, rejected_by and kept: a report, so every count is taken, once, and rules read these."""
-    rows = with_counts(docs)
+    rows = with_counts(docs.drop("rejected_by", "kept"))
     return cascade(rows, rules, order_for(docs, rules, sample_rows), from_counts).withColumn("kept", F.col("rejected_by").isNull())
 
 

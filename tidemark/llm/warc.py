@@ -3,15 +3,16 @@
 Each response gets one metadata record (JSON: its WARC and HTTP headers, title, base, meta tags and links) and one
 conversion record (plain text). Both name the response in WARC-Refers-To, with its URI and date, and carry block
 digests; the response's payload digest is kept in the metadata. Record ids are derived from the response's id, so
-reruns agree.
+reruns agree. Files hold one gzip member for each record.
 
 Defined cases: null HTML is an empty payload, with empty text and no links; a null URL is an empty target URI, as
-which the header is left out; repeated pages give repeated records with equal ids; an empty table gives an empty
+which the header is left out; control characters and spaces of a URL are percent-encoded in headers; repeated pages give repeated records with equal ids; an empty table gives an empty
 result; other columns are ignored."""
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import html as entities
 import json
@@ -19,7 +20,7 @@ import re
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
@@ -133,21 +134,44 @@ def derivatives(found: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return found.mapInArrow(run, f"{front}{RECORD}, title string, n_links long")
 
 
+def header_safe(value: Column) -> Column:
+    """A header's value without what could end it: control characters and spaces percent-encoded (bytes of UTF-8)."""
+    parts = F.transform(F.split(value, ""), lambda c: F.when(c.rlike(r"[\x00-\x20\x7F]"), F.concat(F.lit("%"), F.lpad(F.hex(c), 2, "0"))).otherwise(c))
+    return F.when(value.rlike(r"[\x00-\x20\x7F]"), F.array_join(parts, "")).otherwise(value)
+
+
 def serialised(records: DataFrame) -> DataFrame:
-    """One string per record: a whole WARC record but for its last line end, which the text writer adds."""
+    """One string per record: a whole WARC record."""
+    uri = header_safe(F.col("target_uri"))
+    line = lambda name, value: F.concat(F.lit(f"{name}: "), value)
     lines = F.concat_ws(
         "\r\n",
-        F.lit("WARC/1.1"), F.concat(F.lit("WARC-Type: "), "type"), F.concat(F.lit("WARC-Record-ID: "), "record_id"), F.concat(F.lit("WARC-Refers-To: "), "refers_to"),
-        F.when(F.col("target_uri") != "", F.concat(F.lit("WARC-Refers-To-Target-URI: "), "target_uri")), F.when(F.col("target_uri") != "", F.concat(F.lit("WARC-Target-URI: "), "target_uri")),
-        F.concat(F.lit("WARC-Refers-To-Date: "), "date"), F.concat(F.lit("WARC-Date: "), "date"), F.concat(F.lit("WARC-Block-Digest: "), "block_digest"),
-        F.concat(F.lit("Content-Type: "), "content_type"), F.concat(F.lit("Content-Length: "), F.col("n_bytes").cast("string")),
+        F.lit("WARC/1.1"), line("WARC-Type", F.col("type")), line("WARC-Record-ID", F.col("record_id")), line("WARC-Refers-To", F.col("refers_to")),
+        F.when(uri != "", line("WARC-Refers-To-Target-URI", uri)), F.when(uri != "", line("WARC-Target-URI", uri)),
+        line("WARC-Refers-To-Date", header_safe(F.col("date"))), line("WARC-Date", header_safe(F.col("date"))),
+        line("WARC-Block-Digest", F.col("block_digest")), line("WARC-Payload-Digest", F.col("block_digest")),
+        line("Content-Type", F.col("content_type")), line("Content-Length", F.col("n_bytes").cast("string")),
     )
-    return records.select(F.concat(lines, F.lit("\r\n\r\n"), "block", F.lit("\r\n")).alias("value"))
+    return records.select(F.concat(lines, F.lit("\r\n\r\n"), "block", F.lit("\r\n\r\n")).alias("value"))
+
+
+def members(batches):
+    """Each record as a gzip member, without its last byte.
+
+    That byte is the highest of the record's length, and 0 up to 16 MB; a longer record is followed by an empty member,
+    which ends with 0 as well. The text writer's line separator puts the 0 back."""
+    for batch in batches:
+        out = []
+        for value in batch.column("value"):
+            data = gzip.compress(value.as_py().encode(), 6, mtime=0)
+            out.append((data if data[-1] == 0 else data + gzip.compress(b"", mtime=0))[:-1])
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
 
 def write_warc(records: DataFrame, path: str) -> None:
-    """Writes records as gzipped WARC files, one per partition."""
-    serialised(records).write.option("lineSep", "\r\n").option("compression", "gzip").text(path)
+    """Writes records as WARC files, one per partition and one gzip member per record."""
+    rows = serialised(records).mapInArrow(members, "value binary").select(F.col("value").cast("string"))
+    rows.write.option("lineSep", "\x00").text(path)
 
 
 def op6_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:

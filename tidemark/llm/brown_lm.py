@@ -101,8 +101,8 @@ def encoded(shared):
 
 
 def numbers(words: pa.Array) -> np.ndarray:
-    """A number below zero for each word, by its hash; words of the vocabulary go by their ranks instead."""
-    return -1 - (word_hashes(*packed(words))[0] >> np.uint64(1)).view(np.int64)
+    """A number below zero for each word, by 55 bits of its hash; words of the vocabulary go by their ranks instead."""
+    return -1 - (word_hashes(*packed(words))[0] >> np.uint64(9)).view(np.int64)
 
 
 def numbered(shared):
@@ -128,8 +128,8 @@ class Texts:
         sizes = lambda n: pc.list_value_length(lists[n]).to_numpy().astype(np.int64)
         self.rows, self.sizes = batch.num_rows, sizes("ids")
         self.of, self.ranks = np.repeat(np.arange(self.rows), self.sizes), flat("ids").to_numpy().astype(np.int64)
-        begin = np.cumsum(sizes("rare")) - sizes("rare")
-        self.tokens, self.groups = flat("rare"), flat("groups").to_numpy().astype(np.int64)
+        begin = np.cumsum(sizes("groups")) - sizes("groups")
+        self.tokens, self.groups = flat("rare") if "rare" in lists else None, flat("groups").to_numpy().astype(np.int64)
         self.place = np.where(self.ranks < 0, begin[self.of] - 1 - self.ranks, -1)
         self.rare_counts, self.rare_classes = np.zeros(len(self.groups), np.int64), np.full(len(self.groups), -1)
         if "found" in lists:
@@ -190,7 +190,7 @@ def adjacent_counts(learnt: DataFrame, state, size: int) -> np.ndarray:
 
 
 def neighbours(shared):
-    """Counts (word, slot, n) of words beyond the clustered ones beside classes; words by rank or number."""
+    """Counts of words beyond the clustered ones beside classes: code (256 * rank or number of the word + slot) and n."""
 
     def count(batches):
         vocabulary, classes, of = shared.value
@@ -203,7 +203,7 @@ def neighbours(shared):
             codes, counts = np.unique(codes, return_counts=True)
             for at in range(0, len(codes), 1 << 16):
                 word, slot = np.divmod(codes[at : at + (1 << 16)], SLOTS)
-                yield pa.RecordBatch.from_arrays([pa.array(words[word]), pa.array(slot.astype(np.int32)), pa.array(counts[at : at + (1 << 16)], pa.int64())], names=["word", "slot", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(words[word] * 256 + slot), pa.array(counts[at : at + (1 << 16)], pa.int32())], names=["code", "n"])
 
         for t, _ in parts(batches):
             ends = np.concatenate([[CLASSES], t.ended(t.classes(classes, of), CLASSES)])
@@ -366,7 +366,7 @@ def with_found(rows: DataFrame, words: DataFrame) -> DataFrame:
     """Encoded texts with c and class of their rare words that are among words (token, c, class)."""
     found = rows.select("_row", F.posexplode("rare").alias("at", "token")).join(words, "token")
     found = found.groupBy("_row").agg(F.collect_list(F.struct("at", "c", "class")).alias("found"))
-    return rows.join(found, "_row", "left")
+    return rows.drop("rare").join(found, "_row", "left")
 
 
 def scores(docs: DataFrame, train: DataFrame | Column) -> DataFrame:
@@ -406,8 +406,9 @@ def scores(docs: DataFrame, train: DataFrame | Column) -> DataFrame:
     beyond = counts.filter(F.lit(False) if len(tokens) < CLUSTERED else after(CLUSTERED))
     classes = of[vocabulary.units]
     words = beyond.filter(F.col("c") >= LEAST).mapInArrow(numbered(shared), "token binary, c long, word long")
-    beside = learnt.mapInArrow(neighbours(spark.sparkContext.broadcast((vocabulary, classes, of))), "word long, slot int, n long")
-    beside = beside.repartition("word").groupBy("word", "slot").agg(F.sum("n").alias("n")).groupBy("word").agg(F.collect_list(F.struct("slot", "n")).alias("beside"))
+    beside = learnt.mapInArrow(neighbours(spark.sparkContext.broadcast((vocabulary, classes, of))), "code long, n int")
+    word = F.shiftright("code", 8)
+    beside = beside.repartition(word).groupBy(word.alias("word"), F.col("code").bitwiseAND(F.lit(255)).cast("int").alias("slot")).agg(F.sum("n").alias("n")).groupBy("word").agg(F.collect_list(F.struct("slot", "n")).alias("beside"))
     words = written(beside.join(words, "word").select("token", "c", "word", "beside").mapInArrow(settled(start, of), "token binary, c long, word long, class int"))
     known = words.filter("word >= 0").select("word", "class").toArrow()  # KNOWN words at most
     moved = classes.copy()

@@ -19,7 +19,7 @@ def test_cards(spark):
 
 
 def test_links(spark):
-    pages, links = spark.createDataFrame([("/",), ("/read/one/",)], "page_url string"), spark.createDataFrame([("/",), ("/read/",)], "link_url string")
+    pages, links = spark.createDataFrame([("/",), ("/read/one/",)], "page_url string"), ["/", "/read/"]
     assert sorted(tuple(r) for r in catalog.active_links(pages, links).collect()) == [("/", "/"), ("/read/one/", "/read/")]
     assert [tuple(r) for r in catalog.active_links(pages, links, "equal").collect()] == [("/", "/")]
     chain = spark.createDataFrame([("a", None, "b"), ("b", "a", "c"), ("c", "x", None)], "url string, prev_url string, next_url string")

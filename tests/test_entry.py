@@ -7,7 +7,7 @@ import sys
 import pytest
 
 import __spark_entry__ as entry
-from tidemark.plans import queries as plans
+from tidemark.plans import registered as plans
 from tidemark.sources.shared import shared_folder
 
 from .conftest import ROOT

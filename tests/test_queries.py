@@ -6,7 +6,8 @@ import math
 import duckdb
 import pytest
 
-from tidemark.plans.queries import QUERIES, SQL
+from tidemark.plans import more, queries  # noqa: F401
+from tidemark.plans.registered import QUERIES, SQL
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 

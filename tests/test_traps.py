@@ -95,7 +95,7 @@ def test_references(spark, words, dialect, want):
 
 def test_reference_links(spark):
     books = spark.createDataFrame([("Luke", "nt/luke")], "name string, path string")
-    rows = references.linked(spark.createDataFrame([("luke 2:4-4; Luke 2:4-9; John 1:1",)], "t string"), "t", books, NAMES, "strict").orderBy("ref_no").collect()
+    rows = references.linked(spark.createDataFrame([("luke 2:4-4; Luke 2:4-9; John 1:1",)], "t string"), "t", books, NAMES, "/study/scriptures/", "strict").orderBy("ref_no").collect()
     assert [r.url for r in rows] == ["/study/scriptures/nt/luke/2?id=p4#p4", "/study/scriptures/nt/luke/2?id=p4-p9#p4-p9", None]
     # what lies between the matches and the matches make up the text
     t, at = "luke 2:4-4; Luke 2:4-9; John 1:1", 0

@@ -52,3 +52,17 @@ def relative_time(at: Column, now: Column) -> Column:
 def to_timestamp(value: Column) -> Column:
     """ISO text or epoch milliseconds as text, tolerantly."""
     return F.coalesce(F.when(value.rlike("^[0-9]{10,}$"), F.timestamp_millis(value.try_cast("long"))), F.try_to_timestamp(value))
+
+
+#: How dates are shown (fixed values): in lists, without the year, with the time, in full.
+DATE_STYLES = {"medium": "MMM d, yyyy", "short": "MMM d", "timed": "MMM d, yyyy, h:mm a", "long": "EEEE, MMMM d, yyyy"}
+
+
+def shown_date(at: Column, style: str = "medium") -> Column:
+    """A time in one of the styles; — where there is none."""
+    return F.coalesce(F.date_format(at, DATE_STYLES[style]), F.lit("—"))
+
+
+def increment(number: Column) -> Column:
+    """One more; a missing number counts as 0."""
+    return F.coalesce(number, F.lit(0)) + 1

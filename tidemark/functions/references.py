@@ -45,17 +45,50 @@ def extracted(df: DataFrame, text: str, names: list[str], dialect: str = "loose"
     return rows.select("*", part(1).alias("name"), part(2).cast("int").alias("chapter"), part(3).cast("int").alias("verse"), part(4).try_cast("int").alias("last_verse"))
 
 
-def url(path: Column, dialect: str = "loose", root: str = "/study/scriptures/") -> Column:
-    """Link of a resolved reference; null where its name is unknown."""
-    verse, last = F.col("verse").cast("string"), F.col("last_verse").cast("string")
+def url(path: Column, root: str, dialect: str = "loose", chapter: Column | None = None, verse: Column | None = None, last: Column | None = None) -> Column:
+    """Link of a resolved reference below root; null where its name is unknown. Its parts, or the columns of that name."""
+    chapter, verse, last = ((F.col(n) if c is None else c).cast("string") for c, n in ((chapter, "chapter"), (verse, "verse"), (last, "last_verse")))
     ranged = last.isNotNull() & (last != verse)
     ids = F.concat(F.lit("p"), verse, F.when(ranged, F.concat(F.lit("-p"), last)).otherwise(""))
     anchor = F.concat(F.lit("#p"), verse, F.when(ranged, F.concat(F.lit("-p"), last)).otherwise("")) if DIALECTS[dialect].range_anchor else F.concat(F.lit("#p"), verse)
-    return F.when(path.isNotNull(), F.concat(F.lit(root), path, F.lit("/"), F.col("chapter").cast("string"), F.lit("?id="), ids, anchor))
+    return F.when(path.isNotNull(), F.concat(F.lit(root), path, F.lit("/"), chapter, F.lit("?id="), ids, anchor))
 
 
-def linked(df: DataFrame, text: str, books: DataFrame, names: list[str], dialect: str = "loose") -> DataFrame:
+def linked(df: DataFrame, text: str, books: DataFrame, names: list[str], root: str, dialect: str = "loose") -> DataFrame:
     """References of the text with path and url; books: name and path, one row per name."""
     keys = books.select(F.lower("name").alias("_key"), "path")
     found = extracted(df, text, names, dialect)
-    return found.join(F.broadcast(keys), F.lower(F.col("name")) == F.col("_key"), "left").drop("_key").withColumn("url", url(F.col("path"), dialect))
+    return found.join(keys, F.lower(F.col("name")) == F.col("_key"), "left").drop("_key").withColumn("url", url(F.col("path"), root, dialect))
+
+
+def url_of(matched: Column, books: dict[str, str], root: str, dialect: str = "loose") -> Column:
+    """Link of one reference, given as the words that matched; books: path by name, None where it has none."""
+    p = "(?i)" + pattern(list(books), dialect)
+    part = lambda i: F.regexp_extract(matched, p, i)
+    paths = F.create_map(*[F.lit(x) for name, path in books.items() if path is not None for x in (name.lower(), path)])
+    number = lambda i: part(i).try_cast("int")
+    return url(F.try_element_at(paths, F.lower(part(1))), root, dialect, number(2), number(3), number(4))
+
+
+def ref_url(text: Column, books: dict[str, str], root: str, dialect: str = "loose") -> Column:
+    """Link of the first reference in a text, or null."""
+    found = F.regexp_extract(text, "(?i)" + pattern(list(books), dialect), 0)
+    return F.when(found != "", url_of(found, books, root, dialect))
+
+
+def segments(text: Column, books: dict[str, str], root: str, dialect: str = "loose") -> Column:
+    """The text in parts (value, url) that put together are the text; url is null for what is no link.
+
+    Links that the text has already (a elements) are one part, and nothing in them is linked again."""
+    p = "(?is)<a\\b[^>]*>.*?</a>|" + pattern(list(books), dialect)
+    between, found = F.split(text, p), F.regexp_extract_all(text, F.lit(p), F.lit(0))
+    plain = lambda x: F.struct(x.alias("value"), F.lit(None).cast("string").alias("url"))
+    link = lambda x: F.struct(x.alias("value"), F.when(~x.rlike("(?i)^<a"), url_of(x, books, root, dialect)).alias("url"))
+    both = F.transform(between, lambda x, i: F.array(plain(x), link(F.get(found, i))))
+    return F.filter(F.flatten(both), lambda s: F.coalesce(s["value"] != "", F.lit(False)))
+
+
+def spliced(text: Column, books: dict[str, str], root: str, dialect: str = "loose") -> Column:
+    """The text with its references as a elements; what is linked already stays."""
+    one = lambda s: F.when(s["url"].isNotNull(), F.concat(F.lit('<a href="'), s["url"], F.lit('">'), s["value"], F.lit("</a>"))).otherwise(s["value"])
+    return F.array_join(F.transform(segments(text, books, root, dialect), one), "")

@@ -84,3 +84,46 @@ def leading_int(text: Column) -> Column:
 def last_items(items: Column, n: int) -> Column:
     """The last n items, or all of fewer."""
     return F.slice(items, F.greatest(F.size(items) - n + 1, F.lit(1)), F.lit(n))
+
+
+def capitalised(text: Column) -> Column:
+    """The first letter a capital, all others small."""
+    return F.concat(F.upper(F.substring(text, 1, 1)), F.lower(F.substring(text, 2, 2**30)))
+
+
+def occurrences(text: Column, part: str) -> Column:
+    """How often part is in text, without overlaps."""
+    return ((F.length(text) - F.length(F.replace(text, F.lit(part), F.lit("")))) / len(part)).cast("int")
+
+
+def with_prefix(text: Column, prefix: str) -> Column:
+    """The text with that in front, unless it is there."""
+    return F.when(F.startswith(text, F.lit(prefix)), text).otherwise(F.concat(F.lit(prefix), text))
+
+
+def without_suffix(text: Column, suffix: str) -> Column:
+    """The text without that at its end."""
+    return F.when(F.endswith(text, F.lit(suffix)), F.substring(text, F.lit(1), F.length(text) - len(suffix))).otherwise(text)
+
+
+def first_case(cases: list[tuple[Column, str]], otherwise: str | None = None) -> Column:
+    """The word of the first case that holds."""
+    out = F.when(F.lit(False), F.lit(None).cast("string"))
+    for holds, word in cases:
+        out = out.when(holds, F.lit(word))
+    return out.otherwise(F.lit(otherwise))
+
+
+def inner_json(text: Column, kind: str) -> Column:
+    """JSON that stands in a string of JSON, parsed; text that is JSON itself is taken as it is."""
+    return F.from_json(F.coalesce(F.from_json(F.concat(F.lit('{"v":'), text, F.lit("}")), "v string")["v"], text), kind)
+
+
+def inverted(values: Column) -> Column:
+    """A map's entries with key and value exchanged, in the order of the values."""
+    return F.array_sort(F.transform(F.map_entries(values), lambda e: F.struct(e["value"].alias("key"), e["key"].alias("value"))))
+
+
+def reading_minutes(text: Column, words_a_minute: int = 200) -> Column:
+    """Whole minutes, one at least."""
+    return F.greatest(F.lit(1), F.ceil(F.size(tokens(text)) / words_a_minute)).cast("int")

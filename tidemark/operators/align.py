@@ -9,14 +9,13 @@ from __future__ import annotations
 import re
 from difflib import SequenceMatcher
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 STRATEGIES = ("exact_prefix5", "exact_prefix4", "subsequence", "fuzzy")
-#: Seconds of a sentence that isn't found, seconds a word, least share of equal letters, starts tried.
-GUESS, GUESS_PER_WORD, LEAST_RATIO, REACH = 3.0, 0.15, 0.7, 100
+#: Seconds of a sentence that isn't found, seconds a word, least share of equal letters, starts tried, words that end a sentence.
+GUESS, GUESS_PER_WORD, LEAST_RATIO, REACH, TAIL = 3.0, 0.15, 0.7, 100, 3
 
 
 def bare(text: str) -> list[str]:
@@ -24,18 +23,22 @@ def bare(text: str) -> list[str]:
 
 
 def by_text(sentences: list[str], words: list[str], prefix: int):
-    """First and last word of each sentence: its whole words, else its first few, from the cursor on."""
+    """First and last word of each sentence: its whole words, else its first few, from the cursor on; then it ends with its
+    last TAIL words, else as many words on as it has."""
     at = 0
+
+    def place(want: list[str], start: int) -> int | None:
+        n = len(want)
+        return next((i for i in range(start, len(words) - n + 1) if words[i : i + n] == want), None) if n else None
+
     for s in sentences:
-        w = bare(s)
-        found = None
-        for want, size in ((w, len(w)), (w[:prefix], len(w))):
-            n = len(want)
-            if n:
-                hit = next((i for i in range(at, len(words) - n + 1) if words[i : i + n] == want), None)
-                if hit is not None:
-                    found = (hit, min(len(words), hit + size) - 1)
-                    break
+        w, found = bare(s), None
+        if (hit := place(w, at)) is not None:
+            found = (hit, hit + len(w) - 1)
+        elif (hit := place(w[:prefix], at)) is not None:
+            tail = w[-TAIL:]
+            end = place(tail, hit + len(w[:prefix]))
+            found = (hit, min(len(words), hit + len(w) if end is None else end + len(tail)) - 1)
         if found:
             at = found[1] + 1
         yield found
@@ -61,20 +64,24 @@ def by_subsequence(sentences: list[str], words: list[str]):
 def likely(text: str, words: list[str], starts: int, sizes: range) -> list[tuple[float, int, int]]:
     """Windows (first word, words) by what their share of equal letters can be at most, over LEAST_RATIO; the best first.
 
-    The bound is SequenceMatcher.quick_ratio: the letters in common in whatever order."""
-    letters = sorted(set(text))
-    own = np.array([text.count(c) for c in letters])
-    spaces = np.array([c == " " for c in letters], np.int64)
-    counts = np.zeros((len(words) + 1, len(letters)), np.int64)
-    counts[1:] = np.cumsum([[w.count(c) for c in letters] for w in words], 0)
-    ends = np.concatenate([[0], np.cumsum([len(w) for w in words])])
+    SequenceMatcher's matching blocks are a common subsequence, so none is above the longest one's share. That is found
+    for all windows with one start in one pass, with a bit for each letter of the text (Hyyrö)."""
+    every = (1 << len(text)) - 1
+    letters: dict[str, int] = {}
+    for i, c in enumerate(text):
+        letters[c] = letters.get(c, 0) | 1 << i
     out = []
-    for n in sizes:
-        i = np.arange(min(starts, len(words) - n + 1))
-        if len(i):
-            same = np.minimum(counts[i + n] - counts[i] + (n - 1) * spaces, own).sum(1)
-            bound = 2.0 * same / (len(text) + ends[i + n] - ends[i] + n - 1)
-            out += [(bound[j], int(j), n) for j in np.flatnonzero(bound > LEAST_RATIO)]
+    for i in range(min(starts, len(words) - sizes[0] + 1)):
+        free, size = every, -1
+        for n, word in enumerate(words[i : i + sizes[-1]], 1):
+            for c in word if n == 1 else " " + word:
+                met = free & letters.get(c, 0)
+                free = ((free + met) | (free - met)) & every
+            size += len(word) + 1
+            if n >= sizes[0]:
+                bound = 2.0 * (len(text) - free.bit_count()) / (len(text) + size)
+                if bound > LEAST_RATIO:
+                    out.append((bound, i, n))
     return sorted(out, key=lambda x: (-x[0], x[1:]))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,13 +33,12 @@ def card_items(cards: DataFrame, keys: list[str]) -> DataFrame:
     return a.unionByName(b)
 
 
-def active_links(pages: DataFrame, links: DataFrame, mode: str = "contains") -> DataFrame:
-    """Pages with the navigation links that are active on them: an equal address, or one the page's address contains;
-    the root only by equality. links is a menu, so it is broadcast."""
-    on = F.col("page_url") == F.col("link_url")
-    if mode == "contains":
-        on = on | ((F.col("link_url") != "/") & F.contains(F.col("page_url"), F.col("link_url")))
-    return pages.join(F.broadcast(links), on)
+def active_links(pages: DataFrame, links: list[str], mode: str = "contains") -> DataFrame:
+    """Pages with the navigation links (a menu) that are active on them: an equal address, or one the page's address
+    contains; the root only by equality."""
+    menu = F.array(*[F.lit(x) for x in links]).cast("array<string>")
+    on = lambda x: (F.col("page_url") == x) | ((x != "/") & F.contains(F.col("page_url"), x)) if mode == "contains" else F.col("page_url") == x
+    return pages.withColumn("link_url", F.explode(F.filter(menu, on)))
 
 
 def broken_links(chapters: DataFrame) -> DataFrame:
@@ -51,12 +51,36 @@ def broken_links(chapters: DataFrame) -> DataFrame:
 def replayed(events: DataFrame, keys: list[str], order: list[str], last: int = 5) -> DataFrame:
     """Where readers stand after each step: events next, back and go (with target) move between 1 and last.
 
-    A clamped walk has no closed form over a frame, so the moves so far are folded; a key is one reader's session."""
-    step = F.when(F.col("action") == "next", 1).when(F.col("action") == "back", -1).otherwise(0)
-    rows = events.withColumn("_m", F.struct(step.alias("add"), F.when(F.col("action") == "go", F.col("target")).alias("go")))
-    so_far = F.collect_list("_m").over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    place = F.aggregate(so_far, F.lit(1), lambda at, m: F.greatest(F.lit(1), F.least(F.lit(last), F.coalesce(m["go"], at + m["add"]))))
-    return rows.withColumn("place", place).drop("_m")
+    Each step is a clamp, so a walk needs its last place alone: rows lie sorted by key and order, and a task goes through
+    them batch by batch."""
+    names = events.columns
+
+    def run(batches):
+        key, at = None, 1
+        for batch in batches:
+            places = []
+            for row in zip(batch["action"], batch["target"], *(batch[k] for k in keys)):
+                if row[2:] != key:
+                    key, at = row[2:], 1
+                go, move = row[1], {"next": 1, "back": -1}.get(row[0], 0)
+                at = max(1, min(last, int(go) if row[0] == "go" and not pd.isna(go) else at + move))
+                places.append(at)
+            yield batch.assign(place=pd.Series(places, dtype="int32", index=batch.index))[[*names, "place"]]
+
+    sorted_ = events.repartition(*keys).sortWithinPartitions(*keys, *order)
+    return sorted_.mapInPandas(run, events.select("*", F.lit(0).alias("place")).schema)
+
+
+def titles(chapters: DataFrame) -> DataFrame:
+    """chapters with the title that search shows: Chapter N: T, or T alone without a number."""
+    return chapters.withColumn("shown_title", F.when(F.col("chapter").isNotNull(), F.concat(F.lit("Chapter "), F.col("chapter").cast("string"), F.lit(": "), F.col("title"))).otherwise(F.col("title")))
+
+
+def shortcodes(df: DataFrame, text: str, name: str) -> DataFrame:
+    """A row for each paired code of that name in the text: its argument, and what it wraps."""
+    p = rf"(?s)\{{%-?\s*{name}\s+([^%]*?)\s*-?%\}}(.*?)\{{%-?\s*end{name}\s*-?%\}}"
+    found = df.select("*", F.posexplode(F.regexp_extract_all(text, F.lit(p), F.lit(0))).alias("code_no", "_code"))
+    return found.withColumns({"argument": F.regexp_extract("_code", p, 1), "content": F.regexp_extract("_code", p, 2)}).drop("_code")
 
 
 def error_text(body: Column) -> Column:

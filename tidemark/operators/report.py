@@ -38,6 +38,23 @@ def interval_literal(df: DataFrame, chapter: str) -> DataFrame:
 
 
 def with_dimension(df: DataFrame, dimension: DataFrame, key: str, columns: dict[str, Column]) -> DataFrame:
-    """df with the dimension's columns by key; where the key isn't there, the computed ones."""
-    hit = df.join(F.broadcast(dimension), key, "left")
+    """df with the dimension's columns by key; where the key isn't there, the computed ones. Spark broadcasts the dimension
+    if its size is known to be small."""
+    hit = df.join(dimension, key, "left")
     return hit.withColumns({c: F.coalesce(F.col(c), fallback) for c, fallback in columns.items()})
+
+
+def export(entries: DataFrame, goals: DataFrame, user: str, made: Column) -> DataFrame:
+    """One text per user: a header, the entries under their headings, and the goals with their states.
+
+    entries: user, heading, at and content; goals: user, text, status and created. Sections come in the order of their
+    headings, entries by time, goals newest first. One user's export is small."""
+    line = F.concat(F.date_format("at", "MMM d, yyyy"), F.lit(": "), F.col("content"))
+    sections = entries.groupBy(user, "heading").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", line.alias("_line")))), lambda x: x["_line"]), "\n").alias("lines"))
+    block = F.concat(F.col("heading"), F.lit("\n" + "-" * 30 + "\n"), F.col("lines"))
+    texts = sections.groupBy(user).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("heading", block.alias("_b")))), lambda x: x["_b"]), "\n\n").alias("body"))
+    state = F.concat(F.when(F.col("status") == "completed", "[COMPLETED] ").otherwise("[ACTIVE] "), F.col("text"))
+    listed = goals.groupBy(user).agg(F.array_join(F.transform(F.reverse(F.array_sort(F.collect_list(F.struct("created", state.alias("_s"))))), lambda x: x["_s"]), "\n").alias("goals"))
+    header = F.concat(F.lit("MY ENTRIES\nExported "), F.date_format(made, "MMMM d, yyyy"), F.lit("\n" + "=" * 50 + "\n"))
+    goals_part = F.when(F.col("goals").isNotNull(), F.concat(F.lit("\n\nGOALS\n" + "-" * 30 + "\n"), F.col("goals"))).otherwise("")
+    return texts.join(listed, user, "full").select(user, F.concat(header, F.coalesce("body", F.lit("")), goals_part).alias("report"))

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from tidemark.functions.text import normalise, tokens
 
 
-def index(docs: DataFrame, doc_id: str, text: str, terms: DataFrame | None = None) -> DataFrame:
-    """term, doc_id and tf. With terms (a small table, one row per term), only their postings are built."""
-    words = docs.select(doc_id, F.explode(tokens(F.col(text))).alias("term"))
+def index(docs: DataFrame, doc_id: str, text: str, terms: DataFrame | None = None, section: list[str] = []) -> DataFrame:
+    """term, doc_id, the columns of a section and tf. With terms (one row per term), only their postings are built."""
+    words = docs.select(doc_id, *section, F.explode(tokens(F.col(text))).alias("term"))
     if terms is not None:
-        words = words.join(F.broadcast(terms.select("term")), "term", "left_semi")
-    return words.groupBy("term", doc_id).agg(F.count("*").alias("tf"))
+        words = words.join(terms.select("term"), "term", "left_semi")
+    return words.groupBy("term", doc_id, *section).agg(F.count("*").alias("tf"))
 
 
 def top_documents(postings: DataFrame, queries: DataFrame, n_docs: int, k: int, doc_id: str = "doc_id", query_id: str = "query_id") -> DataFrame:
@@ -22,23 +22,42 @@ def top_documents(postings: DataFrame, queries: DataFrame, n_docs: int, k: int,
     queries: query_id and term, one row per distinct term of a query. The ranking is this library's own choice."""
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     weighted = queries.join(df, "term").select(query_id, "term", F.log(F.lit(float(n_docs)) / F.col("df")).alias("w"))
-    hits = postings.join(F.broadcast(weighted), "term").groupBy(query_id, doc_id).agg(F.round(F.sum(F.col("tf") * F.col("w")), 6).alias("score"))
+    hits = postings.join(weighted, "term").groupBy(query_id, doc_id).agg(F.round(F.sum(F.col("tf") * F.col("w")), 6).alias("score"))
     rank = F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc("score"), doc_id))
     return hits.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
 def located(passages: DataFrame, docs: DataFrame, passage_id: str, doc_id: str, words: int = 5) -> DataFrame:
-    """passage_id, doc_id and the 1-based place of each passage (of that many words or more) in the normalised texts.
+    """passage_id, doc_id and the 1-based place of each passage in the normalised texts, where it stands as whole words.
 
-    Documents meet a passage by its first words, so no pair without them is formed; the whole passage is then sought.
-    The passages' side is broadcast: it holds search requests, not the corpus."""
-    p = passages.select(passage_id, normalise(F.col("text")).alias("passage")).withColumn("_w", F.split("passage", " "))
-    p = p.filter(F.size("_w") >= words).select(passage_id, "passage", F.array_join(F.slice("_w", 1, words), " ").alias("_key"))
+    Documents meet a passage by a hash of its first words (that many, or all of a shorter one), so no pair without them
+    is formed; the whole passage is then sought. Empty passages are nowhere."""
+    p = passages.select(passage_id, normalise(F.col("text")).alias("passage")).filter("passage <> ''").withColumn("_w", F.split("passage", " "))
+    p = p.withColumn("_n", F.least(F.size("_w"), F.lit(words)))
+    sizes = sorted(r[0] for r in p.select("_n").distinct().collect())  # words at most
+    gram = lambda w, i, n: F.xxhash64(F.lit(n), *[F.get(w, i + j) for j in range(n)])
+    key = F.coalesce(*[F.when(F.col("_n") == n, gram(F.col("_w"), F.lit(0), n)) for n in sizes], F.lit(0))
+    p = p.select(passage_id, "passage", key.alias("_key"))
     d = docs.select(doc_id, normalise(F.col("text")).alias("whole")).withColumn("_w", F.split("whole", " "))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("_w") - words + 1, F.lit(1))), lambda i: F.array_join(F.slice("_w", i, F.lit(words)), " ")))
-    keys = F.broadcast(p.select("_key").distinct())
-    hit = d.select(doc_id, F.explode(grams).alias("_key")).join(keys, "_key", "left_semi").join(F.broadcast(p), "_key").select(doc_id, passage_id, "passage")
-    return hit.join(d.select(doc_id, "whole"), doc_id).withColumn("position", F.instr(F.col("whole"), F.col("passage"))).filter("position > 0").select(passage_id, doc_id, "position")
+
+    def grams_of(n: int):
+        return F.transform(F.filter(F.sequence(F.lit(0), F.greatest(F.size("_w") - n, F.lit(0))), lambda i: i + n <= F.size("_w")), lambda i: gram(F.col("_w"), i, n))
+
+    met = d.select(doc_id, F.explode(F.array_distinct(F.concat(F.array().cast("array<bigint>"), *map(grams_of, sizes)))).alias("_key")).join(p, "_key").select(doc_id, passage_id, "passage")
+    place = F.instr(F.concat(F.lit(" "), F.col("whole"), F.lit(" ")), F.concat(F.lit(" "), F.col("passage"), F.lit(" ")))
+    return met.join(d.select(doc_id, "whole"), doc_id).withColumn("position", place).filter("position > 0").select(passage_id, doc_id, "position")
+
+
+def sub_results(hits: DataFrame, sections: DataFrame, queries: DataFrame, doc_id: str = "doc_id", query_id: str = "query_id", section: str = "index", text: str = "text") -> DataFrame:
+    """The best section of each hit, with its words and the query's marked: most distinct terms, then the first one."""
+    terms = queries.groupBy(query_id).agg(F.collect_set("term").alias("_terms"))
+    rows = hits.select(query_id, doc_id, "rank").join(terms, query_id).join(sections.select(doc_id, section, text), doc_id)
+    words = tokens(F.col(text))
+    rows = rows.withColumn("n_terms", F.size(F.array_intersect(words, "_terms"))).filter("n_terms > 0")
+    best = F.min(F.struct((-F.col("n_terms")).alias("n"), F.col(section).alias("at"), F.col(text).alias("text"), F.col("_terms").alias("terms"))).alias("_b")
+    found = rows.groupBy(query_id, doc_id, "rank").agg(best)
+    marked = F.array_join(F.transform(tokens(F.col("_b.text")), lambda w: F.when(F.array_contains("_b.terms", w), F.concat(F.lit("<mark>"), w, F.lit("</mark>"))).otherwise(w)), " ")
+    return found.select(query_id, doc_id, "rank", F.col("_b.at").alias(section), (-F.col("_b.n")).alias("n_terms"), marked.alias("excerpt"))
 
 
 def without_dismissed(hits: DataFrame, dismissed: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,36 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import numbers, references, text
 from tidemark.operators import align, asof, checks, ordered, pages, report, search, store
+from tidemark.plans.registered import QUERIES, SQL, query, table
 from tidemark.sources import readers
 from tidemark.sources.shared import shared_folder
 from tidemark.streaming import events as streams
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 # Summaries and groups
 
 
@@ -240,13 +220,13 @@ _NORMAL = "trim(regexp_replace(lower(text), '[\\x20\\x09-\\x0D]+', ' ', 'g'))"
 
 @query(f"""
 WITH p AS (SELECT item_id, {_NORMAL} AS p FROM benchmark), d AS (SELECT doc_id, {_NORMAL} AS t FROM documents)
-SELECT item_id, doc_id, instr(t, p)::INTEGER AS position FROM p JOIN d ON contains(t, p) WHERE len(string_split(p, ' ')) >= 5""")
+SELECT item_id, doc_id, instr(' ' || t || ' ', ' ' || p || ' ')::INTEGER AS position FROM p JOIN d ON contains(' ' || t || ' ', ' ' || p || ' ') WHERE p <> ''""")
 def passage_locate(spark, sf_dir):
     return search.located(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), "item_id", "doc_id")
 
 
 @query(f"""
-WITH q AS (SELECT DISTINCT item_id AS query_id, unnest(list_slice(list_filter(string_split({_NORMAL}, ' '), lambda w: w <> ''), 1, 4)) AS term FROM benchmark),
+WITH q AS (SELECT DISTINCT item_id AS query_id, unnest(list_filter(string_split({_NORMAL}, ' '), lambda w: w <> '')) AS term FROM benchmark),
 w AS (SELECT doc_id, unnest(string_split({_NORMAL}, ' ')) AS term FROM documents),
 t AS (SELECT term, doc_id, count(*) AS tf FROM w WHERE term <> '' AND term IN (SELECT term FROM q) GROUP BY ALL),
 f AS (SELECT term, ln((SELECT count(*) FROM documents)::DOUBLE / count(*)) AS w FROM t GROUP BY term),
@@ -255,7 +235,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, do
 SELECT query_id, doc_id, score, rank FROM r WHERE rank <= 3""")
 def search_topk(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.slice(text.tokens(F.col("text")), 1, 4)).alias("term")).distinct()
+    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(text.tokens(F.col("text"))).alias("term")).distinct()
     postings = search.index(docs, "doc_id", "text", queries.select("term").distinct())
     return search.top_documents(postings, queries, docs.count(), 3)
 
@@ -285,7 +265,7 @@ def reference_links(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").join(people, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", words.alias("t"))
     books = nations.select(F.col("n_name").alias("name"), F.lower("r_name").alias("path"))
     names = [r.name for r in books.select("name").collect()]  # the dictionary: a fixed number of nations
-    return references.linked(orders, "t", books, names).select("o_orderkey", "ref_no", "chapter", "verse", "last_verse", "url")
+    return references.linked(orders, "t", books, names, "/study/scriptures/").select("o_orderkey", "ref_no", "chapter", "verse", "last_verse", "url")
 
 
 @query("""
@@ -381,7 +361,7 @@ for _strategy in align.STRATEGIES:
 
 
 def _place(spark) -> str:
-    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{streams.new_name()}"
 
 
 @query("SELECT user_id, max(value) AS high, min(CASE WHEN value > 5 THEN ts END) AS in_progress, min(CASE WHEN value > 90 THEN ts END) AS completed FROM events GROUP BY user_id")
@@ -397,7 +377,7 @@ def stream_change_points(spark, sf_dir):
     return streams.run_to_table(stream, _place(spark)).select("user_id", "event_id", "event_type", "previous")
 
 
-@query()
+@query(_BURSTS + " HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)")
 def stream_debounced(spark, sf_dir):
     """Bursts that the watermark has closed; the last ones of the table stay open."""
     stream = streams.debounced_stream(streams.read_events(spark, f"{sf_dir}/events.parquet"), ["user_id", "event_type"], "ts", "value", "6 hours", "1 hour")

@@ -4,6 +4,7 @@ Event times without a zone are cast on reading, as watermarks need instants."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -55,12 +56,23 @@ def changes_stream(events: DataFrame, key: str, order: list[str], value: str) ->
     return events.groupBy(key).applyInPandasWithState(run, columns, f"last {kind[value]}", "append", GroupStateTimeout.NoTimeout)
 
 
+def periodic_stream(events: DataFrame, keys: list[str], time: str, order: list[str], value: str, period: str, late: str) -> DataFrame:
+    """The last value of each period in which there was one, once the watermark has passed the period's end."""
+    rows = events.withWatermark(time, late).groupBy(*keys, F.window(time, period).alias("_w"))
+    out = rows.agg(F.max_by(value, F.struct(*order)).alias(value), F.count("*").alias("n_events"))
+    return out.withColumn("flushed_at", F.col("_w.end")).drop("_w")
+
+
 def marks_stream(events: DataFrame, keys: list[str], time: str, value: str, thresholds: dict[str, float]) -> DataFrame:
     """High-water mark and first crossing of each threshold per key."""
     firsts = [F.min(F.when(F.col(value) > t, F.col(time))).alias(name) for name, t in thresholds.items()]
     return events.groupBy(*keys).agg(F.max(value).alias("high"), *firsts)
 
 
+def new_name() -> str:
+    return f"stream-{uuid.uuid4().hex}"
+
+
 def run_to_table(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
     """Runs the stream over all that is there now and reads what it wrote under the path."""
     spark = stream.sparkSession

@@ -19,7 +19,7 @@ from .common import WORD, apart, table, texts
 
 MAX_EPOCHS, SEED = 3, 17
 #: Rows of a source's bucket, on average, and the least number of buckets.
-BUCKET_ROWS, MIN_BUCKETS = 20_000, 64
+BUCKET_ROWS, MIN_BUCKETS = 20_000, 1024
 
 
 def targets(sources: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:

@@ -202,16 +202,21 @@ def tree_links(sets: list[np.ndarray], t: tuple[int, int], first: int | None = N
 
 
 def grouped_links(t: tuple[int, int]):
-    """Links within one task's sets: those of a tile with each other or, if there are probes, with these alone."""
+    """Links within one task's sets, those of a tile with each other or, if there are probes, with these alone; each part
+    that they connect comes out as a star around its smallest set."""
 
     def run(group: pa.Table) -> pa.Table:
         home = group["home"].to_numpy() == group["tile"].to_numpy()
         group = group.take(pa.array(np.argsort(~home, kind="stable"))).combine_chunks()
         sets = [np.frombuffer(x.as_py(), np.uint64) for x in group["shingles"]]
-        pairs = tree_links(sets, t, None if home.all() else int(home.sum())) if len(sets) > 1 else []
-        ids = group["cid"].to_numpy()
-        a, b = (np.array([p[s] for p in pairs], np.int64) for s in (0, 1))
-        return pa.table({"a": pa.array(ids[a], pa.int64()), "b": pa.array(ids[b], pa.int64())})
+        forest = Forest(len(sets))
+        for a, b in tree_links(sets, t, None if home.all() else int(home.sum())) if len(sets) > 1 else []:
+            forest.join(a, b)
+        ids, least = group["cid"].to_numpy(), np.full(len(sets), np.iinfo(np.int64).max)
+        np.minimum.at(least, forest.label, ids)
+        hub = least[forest.label]
+        rest = ids != hub
+        return pa.table({"a": pa.array(ids[rest], pa.int64()), "b": pa.array(hub[rest], pa.int64())})
 
     return run
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import brown_lm, exact_dedup, jaccard_join, mixing, quality_model, quality_rules, sentence_pieces, suffix_dedup, toxicity, warc
+from . import brown_lm, exact_dedup, fill_middle, jaccard_join, mixing, quality_model, quality_rules, sentence_pieces, suffix_dedup, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_mixing": mixing.op9_mixing,
     "op10_jaccard_join": jaccard_join.op10_jaccard_join,
+    "op11_fill_middle": fill_middle.op11_fill_middle,
 }
-SQL = {"op5_exact_dedup": exact_dedup.SQL, "op8_quality_rules": quality_rules.SQL, "op9_mixing": mixing.SQL, "op10_jaccard_join": jaccard_join.SQL}
+SQL = {"op5_exact_dedup": exact_dedup.SQL, "op8_quality_rules": quality_rules.SQL, "op9_mixing": mixing.SQL, "op10_jaccard_join": jaccard_join.SQL, "op11_fill_middle": fill_middle.SQL}

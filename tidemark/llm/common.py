@@ -130,11 +130,11 @@ def powers(n: int, inverse: bool = False) -> np.ndarray:
     return _powers[key][:n]
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of each word of the texts, and the n + 1 offsets of the texts' words."""
+def word_spans(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each word of the texts, and the n + 1 offsets of the texts' words; between: flags of the bytes that separate words."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    space = _SPACE[data]
+    space = between[data]
     before, after = np.empty_like(space), np.empty_like(space)
     before[0], before[1:] = True, space[:-1]
     after[-1], after[:-1] = True, space[1:]

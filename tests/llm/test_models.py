@@ -3,6 +3,7 @@
 import json
 import math
 import struct
+import time
 import zlib
 from collections import Counter
 from html.parser import HTMLParser
@@ -365,6 +366,15 @@ def test_warc(spark, sf, tmp_path):
     assert warc.derivatives(warc.responses(odd.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize("part", ["<a ", '<a b="c ', "<a '", "<!--", "<script>", "<a href='", "<title>", "&#9", "</"])
+def test_a_megabyte_of_hostile_markup(part):
+    """Each is read in a time in proportion to its length."""
+    page = "<p>x</p>" + part * (1_000_000 // len(part))
+    began = time.process_time()
+    title, base, text, metas, links = warc.read_html(page)
+    assert text.startswith("x") and not links and time.process_time() - began < 3
+
+
 def records_of(path):
     """(headers, block) of each record; every gzip member must hold exactly one."""
     out = []
@@ -395,6 +405,12 @@ def test_warc_files(spark, tmp_path):
     assert len(found) == 8 and not any("X-Evil" in h for h, _ in found)
     for h, block in found:
         assert h["WARC-Payload-Digest"] == h["WARC-Block-Digest"] == warc.digest(block)
+        if h["WARC-Type"] == "metadata":
+            assert h["WARC-Refers-To-Payload-Digest"] == json.loads(block)["Envelope"]["WARC-Header"]["WARC-Payload-Digest"]
+    sources = {}
+    for h, _ in found:
+        sources.setdefault(h["WARC-Refers-To"], set()).add(h["WARC-Refers-To-Payload-Digest"])
+    assert len(sources) == 4 and all(len(x) == 1 for x in sources.values())
     uris = Counter(h.get("WARC-Target-URI") for h, _ in found)
     assert uris == {"http://a/b%20c%0D%0AX-Evil:%201": 2, None: 2, "http://ü/": 2, "http://long": 2}
     assert sorted(len(b) for h, b in found if h["WARC-Type"] == "conversion")[-1] == len(big)

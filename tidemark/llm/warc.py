@@ -2,7 +2,8 @@
 
 Each response gets one metadata record (JSON: its WARC and HTTP headers, title, base, meta tags and links) and one
 conversion record (plain text). Both name the response in WARC-Refers-To, with its URI and date, and carry block
-digests; the response's payload digest is kept in the metadata. Record ids are derived from the response's id, so
+digests; the response's payload digest is kept in the metadata, and in written records as WARC-Refers-To-Payload-Digest, an
+extension header. Pages are scanned once from front to back, so that hostile markup costs no more than other text. Record ids are derived from the response's id, so
 reruns agree. Files hold one gzip member for each record.
 
 Defined cases: null HTML is an empty payload, with empty text and no links; a null URL is an empty target URI, as
@@ -14,9 +15,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
-import html as entities
 import json
-import re
 import uuid
 
 import pyarrow as pa
@@ -24,13 +23,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .markup import CLOSE, RAW, TEXT, attributes, decoded, tokens
 
 #: Date of responses that come without one.
 DATE = "1970-01-01T00:00:00Z"
 RECORD = "type string, record_id string, refers_to string, target_uri string, date string, content_type string, block_digest string, payload_digest string, n_bytes long, block string"
 
-_PART = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea)\b[^>]*>.*?(?:</\1\s*>|\Z)|<title\b[^>]*>(.*?)(?:</title\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<", re.S | re.I)
-_ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 #: Elements that begin a new line of plain text, and where links stand (fixed values).
 BLOCKS = frozenset("address article aside blockquote body br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol p pre section table tbody td tfoot th thead tr ul".split())
 LINKS = {"a": "href", "area": "href", "link": "href", "img": "src", "script": "src", "iframe": "src", "source": "src", "video": "src", "audio": "src", "embed": "src", "form": "action"}
@@ -44,13 +42,6 @@ def derived_id(kind: str, record_id: str) -> str:
     return f"<urn:uuid:{uuid.UUID(bytes=hashlib.sha256(f'{kind} {record_id}'.encode()).digest()[:16], version=5)}>"
 
 
-def attributes(text: str) -> dict[str, str]:
-    out: dict[str, str] = {}
-    for name, *values in _ATTRIBUTE.findall(text):
-        out.setdefault(name.lower(), entities.unescape(next((v for v in values if v), "")))
-    return out
-
-
 def read_html(page: str) -> tuple[str, str, str, dict[str, str], list[dict]]:
     """Title, base, plain text (one line per block, white space collapsed), meta tags and links of a page."""
     title, base, metas, links, lines, line = "", "", {}, [], [], []
@@ -60,27 +51,25 @@ def read_html(page: str) -> tuple[str, str, str, dict[str, str], list[dict]]:
             lines.append(" ".join(words))
         line.clear()
 
-    for m in _PART.finditer(page):
-        hidden, head, close, name, rest = m.groups()
-        if hidden:
-            if hidden.lower() == "script" and (src := attributes(m[0][: m[0].find(">")]).get("src")):
-                links.append({"path": "script/src", "url": src})
-        elif head is not None:
-            title = title or " ".join(entities.unescape(head).split())
-        elif name:
-            name = name.lower()
+    for kind, name, rest in tokens(page):
+        if kind == TEXT:
+            line.append(decoded(rest))
+        elif kind == RAW:
+            if name == "title":
+                title = title or " ".join(decoded(rest).split())
+        else:
             if name in BLOCKS:
                 end_line()
-            if not close and rest and (name in LINKS or name in ("meta", "base")):
-                found = attributes(rest)
-                if name == "meta" and (key := found.get("name") or found.get("property") or found.get("http-equiv")):
+            if kind == CLOSE or not rest or name not in LINKS and name not in ("meta", "base"):
+                continue
+            found = attributes(rest)
+            if name == "meta":
+                if key := found.get("name") or found.get("property") or found.get("http-equiv"):
                     metas.setdefault(key.lower(), found.get("content", ""))
-                elif name == "base":
-                    base = base or found.get("href", "")
-                elif (url := found.get(LINKS.get(name, ""), "").strip()) and url:
-                    links.append({"path": f"{name}/{LINKS[name]}", "url": url} | ({"rel": found["rel"]} if found.get("rel") else {}))
-        elif m[0][0] != "<" or m[0] == "<":
-            line.append(entities.unescape(m[0]) if "&" in m[0] else m[0])
+            elif name == "base":
+                base = base or found.get("href", "")
+            elif url := found.get(LINKS[name], "").strip():
+                links.append({"path": f"{name}/{LINKS[name]}", "url": url} | ({"rel": found["rel"]} if found.get("rel") and name != "script" else {}))
     end_line()
     return title, base, "\n".join(lines), metas, links
 
@@ -150,6 +139,7 @@ def serialised(records: DataFrame) -> DataFrame:
         F.when(uri != "", line("WARC-Refers-To-Target-URI", uri)), F.when(uri != "", line("WARC-Target-URI", uri)),
         line("WARC-Refers-To-Date", header_safe(F.col("date"))), line("WARC-Date", header_safe(F.col("date"))),
         line("WARC-Block-Digest", F.col("block_digest")), line("WARC-Payload-Digest", F.col("block_digest")),
+        line("WARC-Refers-To-Payload-Digest", F.col("payload_digest")),
         line("Content-Type", F.col("content_type")), line("Content-Length", F.col("n_bytes").cast("string")),
     )
     return records.select(F.concat(lines, F.lit("\r\n\r\n"), "block", F.lit("\r\n\r\n")).alias("value"))

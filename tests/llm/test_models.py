@@ -302,6 +302,23 @@ def test_words_in_step_equal_words_alone(docs, monkeypatch):
         assert [back[a:b].tobytes().decode() for a, b in zip(bounds[:-1], bounds[1:])] == [pieces.decode(w) for w in want]
 
 
+def test_squeezed_spaces_against_the_library():
+    """A file that squeezes spaces: the normalised text is what the library makes of it, alone and in a batch."""
+    with open(sentence_pieces.MODEL, "rb") as f:
+        data = f.read() + bytes([0x1A, 2, 0x20, 1])  # normaliser: remove extra white space
+    library, pieces = sentencepiece.SentencePieceProcessor(model_proto=data), sentence_pieces.Pieces(data)
+    texts = ["und ▁", "▁x ▁", "a ▁ b", " ▁a", "a▁▁b", "a  ▁b ", "▁", "  ", "▁ a", "", "  a   b  c ", " ▁ ▁ ", "x", "\t a \n"]
+    assert pieces.squeeze and [pieces.marked(t) for t in texts] == [library.normalize(t) for t in texts]
+    ids, ends = pieces.encode_all(pa.array(texts, pa.string()))
+    assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])] == [pieces.best(pieces.marked(t)) if t.strip(" ▁") else [] for t in texts]
+
+
+@pytest.mark.parametrize("more", [bytes([0x1A, 3, 0x12, 1, 65]), bytes([0x0A, 5, 0x0A, 1, 65, 0x18, 4])])
+def test_files_that_need_more_are_refused(more):
+    with open(sentence_pieces.MODEL, "rb") as f, pytest.raises(ValueError):
+        sentence_pieces.Pieces(f.read() + more)
+
+
 def test_own_columns_of_encoded_rows(spark):
     rows = spark.createDataFrame([(1, "a b", "x", "y")], "doc_id long, text string, piece_ids string, decoded string")
     out = sentence_pieces.decoded(sentence_pieces.encoded(rows))

@@ -126,8 +126,12 @@ class Pieces:
             elif number == 3:
                 spec = dict(fields(value))
                 self.prefix, self.squeeze = bool(spec.get(3, 1)), bool(spec.get(4, 1))
+                if spec.get(2) or not spec.get(5, 1):
+                    raise ValueError("this model file maps characters before it encodes, or keeps spaces as they are; only files that do neither are read")
+        if any(p[2] == USER for p in pieces):
+            raise ValueError("this model file has user-defined pieces, which go before all others; only files without them are read")
         self.unknown = next((i for i, p in enumerate(pieces) if p[2] == UNKNOWN), 0)
-        matched = [i for i, p in enumerate(pieces) if p[2] in (NORMAL, USER)]
+        matched = [i for i, p in enumerate(pieces) if p[2] == NORMAL]
         self.scores = [p[1] for p in pieces]
         if kind != 1:
             best = max((pieces[i][1] for i in matched), default=0.0)
@@ -251,10 +255,10 @@ class Pieces:
 
     def encode_all(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Pieces of all texts of a column end to end, and the n + 1 offsets of the texts' pieces."""
-        column = pc.replace_substring(pc.fill_null(column.cast(pa.large_string()), ""), MARK, " ")
+        column = pc.fill_null(column.cast(pa.large_string()), "")
         if self.squeeze:
-            column = pc.utf8_trim(pc.replace_substring_regex(column, " +", " "), " ")
-        data, offsets = packed(column)
+            column = pc.utf8_rtrim(pc.utf8_ltrim(pc.replace_substring_regex(column, " +", " "), " "), " " + MARK)
+        data, offsets = packed(pc.replace_substring(column, MARK, " "))
         if self.prefix:  # a space in front of each text that isn't empty
             some = np.diff(offsets) > 0
             data = np.insert(data, offsets[:-1][some], 32)
@@ -291,8 +295,8 @@ class Pieces:
         return data, ends
 
     def marked(self, text: str) -> str:
-        if self.squeeze:
-            text = re.sub(" +", " ", text.strip(" "))
+        if self.squeeze:  # markers of the text itself stay, but for those at its end
+            text = re.sub(" +", " ", text).lstrip(" ").rstrip(" " + MARK)
         text = text.replace(" ", MARK)
         return MARK + text if self.prefix and text else text
 

@@ -320,17 +320,18 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", texts(docs).alias("text"), identity.alias("_id"), F.xxhash64(texts(docs)).alias("_key"))
 
 
-def of_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """docs joined with rows on their identity, where few enough by a broadcast of the keys first, so other texts don't move."""
+def of_rows(docs: DataFrame, rows: DataFrame, alike: bool = True) -> DataFrame:
+    """docs joined with rows on their identity, where few enough by a broadcast of the keys first, so other texts don't move; alike: with all
+    of the docs that share an identity, and else with one of them."""
     docs = docs.join(bounded(rows.select("_id", "_key"), rows.count()), ["_id", "_key"], "left_semi")
-    return docs.join(rows, ["_id", "_key"])
+    return (docs if alike else docs.dropDuplicates(["_id", "_key"])).join(rows, ["_id", "_key"])
 
 
 def hot_spans(docs: DataFrame, runs: DataFrame) -> DataFrame:
     """Spans of repeated strings in runs of anchors that have too many, by counts of the strings' hashes."""
     kind = "anchor long, content long, strings int, copies long"
     by_text = written(runs.groupBy("_id", "_key").agg(F.collect_list(F.struct(*RUN, "copies", "start")).alias("runs")))
-    each = written(of_rows(docs, by_text).mapInArrow(strings_of, f"{kind}, place int, h1 long, h2 long"))
+    each = written(of_rows(docs, by_text, False).mapInArrow(strings_of, f"{kind}, place int, h1 long, h2 long"))
     twice = each.groupBy("h1", "h2").agg(F.sum("copies").alias("_all"), F.count("*").alias("_n")).filter("_all > 1")
     found = spread_join(each, twice, ["h1", "h2"], "_n", each.count()).groupBy(*RUN, "copies").agg(F.collect_list("place").alias("places"))
     return found.mapInArrow(spanned, f"{kind}, found array<struct<low: int, high: int>>")
@@ -348,7 +349,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     usual = distinct.join(bounded(hot.select("anchor"), n_hot), "anchor", "left_anti") if n_hot else distinct
     by_text = written(usual.groupBy("_id", "_key").agg(F.collect_list(F.struct(*RUN, "copies", "start")).alias("runs")))
     kind = "anchor long, content long, strings int, copies long"
-    data = of_rows(docs.drop("doc_id"), by_text).mapInArrow(cut_out, f"{kind}, data binary")
+    data = of_rows(docs.drop("doc_id"), by_text, False).mapInArrow(cut_out, f"{kind}, data binary")
     spans = data.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(searched, f"{kind}, found array<struct<low: int, high: int>>")
     if n_hot:
         spans = spans.unionByName(hot_spans(docs.drop("doc_id"), distinct.join(bounded(hot.select("anchor"), n_hot), "anchor", "left_semi")))

@@ -93,6 +93,17 @@ def migrated_cards(buckets: DataFrame, prefix: str) -> DataFrame:
     return out.select(F.sha2(F.concat_ws("|", "chapterId", "cardId", "type"), 256).alias("id"), "type", "chapterId", "cardId", "content", F.when(F.col("type") == "commitment", F.col("tier")).alias("tier"), F.when(F.col("type") == "commitment", F.col("confidence")).alias("confidence"), "timestamp")
 
 
+def migration(buckets: DataFrame, numbered: str, chapter: str, stepwise: str, paths: list[str], steps: list[str], cards: str, unified: str = "entry/") -> DataFrame:
+    """The changes (key, value, gone) that bring key and value rows of three older layouts into one: an entry under <unified><id> for each of
+    migrated(), migrated_steps() and migrated_cards(), and the end of each key that gave its entries. Keys whose values can't be read stay."""
+    first, second, third = migrated(buckets, numbered), migrated_steps(buckets, stepwise, chapter, paths, steps), migrated_cards(buckets, cards)
+    new = first.unionByName(second, True).unionByName(third, True)
+    new = new.select(F.concat(F.lit(unified), "id").alias("key"), F.to_json(F.struct(*new.columns)).alias("value"), F.lit(False).alias("gone"))
+    whole = F.col("key").startswith(cards) & F.from_json("value", "map<string, string>").isNotNull()
+    old = buckets.join(first.unionByName(second, True).select("id").distinct(), F.sha2("key", 256) == F.col("id"), "left_semi").unionByName(buckets.filter(whole)).distinct()
+    return new.unionByName(old.select("key", "value", F.lit(True).alias("gone")))
+
+
 def for_service(entries: DataFrame, titles: DataFrame) -> DataFrame:
     """Entries as a service takes them: the numbered prompt's title (by chapterId and promptLabel, else the label itself), the
     chapter's slug and the content. Every entry with content goes, whether a title is known or not."""

@@ -5,13 +5,15 @@ Event times without a zone are cast on reading, as watermarks need instants."""
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from .ordered import states_on_disk
+
 
 def read_events(spark: SparkSession, path: str, time: str = "ts") -> DataFrame:
     """Events of the Parquet files under the path, or of the one file it names; a stream reads folders alone."""
@@ -73,6 +75,17 @@ def new_name() -> str:
     return f"stream-{uuid.uuid4().hex}"
 
 
+def run_over_slices(slices: list[DataFrame], stream_of: Callable[[DataFrame], DataFrame], path: str) -> DataFrame:
+    """Writes one slice after the other as files, and runs the stream over what is there after each, from where it left off; what it gave out."""
+    spark = slices[0].sparkSession
+    for i, part in enumerate(slices):
+        part.write.parquet(f"{path}/in/slice={i}")
+        stream = stream_of(spark.readStream.schema(part.schema).option("recursiveFileLookup", True).parquet(f"{path}/in"))
+        with states_on_disk(spark):
+            run_to_table(stream, path)
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows")
+
+
 def run_to_table(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
     """Runs the stream over all that is there now and reads what it wrote under the path."""
     spark = stream.sparkSession

@@ -429,10 +429,14 @@ def main_texts(model: Model, pages: list[str]) -> list[str]:
 
 
 def learned(pages: DataFrame, html: str = "html", sample: int = SAMPLE) -> Model:
-    """A model of at most sample pages with an article element, taken in the order of a hash of their html."""
+    """A model of at most sample different pages with an article element, taken in the order of a hash of their html.
+
+    The hashes are ordered first, so only the pages that are taken go to the driver."""
     column = F.col(html)
     some = pages.filter(column.contains("<article") & (F.length(column) <= SAMPLE_CHARS)).select(column.alias("html"), F.xxhash64(column).alias("draw"))
-    return fitted([r.html for r in some.orderBy("draw", "html").limit(sample).select("html").collect()])
+    last = some.select("draw").distinct().orderBy("draw").limit(sample).agg(F.max("draw")).first()[0]
+    taken = some.filter(F.col("draw") <= F.lit(last)).groupBy("draw").agg(F.first("html").alias("html")) if last is not None else some.limit(0)
+    return fitted([r.html for r in sorted(taken.collect(), key=lambda r: r.draw)])
 
 
 def extracted(pages: DataFrame, model: Model | None = None, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

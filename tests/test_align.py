@@ -52,3 +52,19 @@ def test_prefix_ends_with_the_last_words():
 def test_subsequence_begins_anew():
     words = "a b x a b c".split()
     assert list(align.by_subsequence(["a b c"], words)) == [(3, 5)]
+
+
+@pytest.mark.parametrize("strategy", align.STRATEGIES)
+def test_chapters_side_by_side_are_as_each_alone(spark, strategy):
+    """Sentences that aren't found in front, in between, at the end and everywhere."""
+    draw, sentences, words, want = random.Random(5), [], [], {}
+    for chapter in range(6):
+        said = [" ".join(draw.choice(WORDS) for _ in range(draw.randint(0, 6))) for _ in range(12)]
+        heard = [(w, i * 0.37, i * 0.37 + 0.2) for i, w in enumerate(" ".join(said[2:5] + said[6:9]).split())] if chapter else []
+        sentences += [(chapter, i, t) for i, t in enumerate(said)]
+        words += [(chapter, i, *w) for i, w in enumerate(heard)]
+        want |= {(chapter, r["index"]): (r["start"], r["end"], r["estimated"]) for r in align.timed(list(enumerate(said)), heard, strategy)}
+    out = align.aligned(spark.createDataFrame(sentences, "chapter_id int, index int, text string"), spark.createDataFrame(words, "chapter_id int, pos int, word string, start double, end double"), strategy).collect()
+    assert {(r.chapter_id, r["index"]) for r in out} == set(want) and len(out) == len(want)
+    for r in out:
+        assert (r.start, r.end, r.estimated) == want[r.chapter_id, r["index"]]

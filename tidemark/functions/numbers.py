@@ -66,3 +66,18 @@ def shown_date(at: Column, style: str = "medium") -> Column:
 def increment(number: Column) -> Column:
     """One more; a missing number counts as 0."""
     return F.coalesce(number, F.lit(0)) + 1
+
+
+def rounded(x: Column, places: int = 3) -> Column:
+    """x to that many decimal places (7 at most) by its exact binary value, a tie to the even digit, as a program that prints the number rounds it.
+
+    F.round goes by the shortest decimal that stands for x, so it takes 2.6745, which is a little less, for a tie. Here the part of x * 10 ** places
+    that the product of doubles loses is found by splitting x (Dekker), and decides where the product looks like a tie."""
+    by = float(10**places)
+    p, c = x * by, x * 134217729.0
+    high = c - (c - x)
+    lost = (high * by - p) + (x - high) * by
+    whole = F.floor(p)
+    over = p - whole
+    up = (over > 0.5) | ((over == 0.5) & ((lost > 0) | ((lost == 0) & (F.pmod(whole, F.lit(2)) == 1))))
+    return (whole + F.when(up, 1).otherwise(0)) / by

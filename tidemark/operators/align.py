@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.numbers import rounded
+
 STRATEGIES = ("exact_prefix5", "exact_prefix4", "subsequence", "fuzzy")
 #: Seconds of a sentence that isn't found, seconds a word, least share of equal letters, starts tried, words that end a sentence.
 GUESS, GUESS_PER_WORD, LEAST_RATIO, REACH, TAIL = 3.0, 0.15, 0.7, 100, 3
@@ -105,12 +107,16 @@ def by_ratio(sentences: list[str], words: list[str]):
         yield found
 
 
+def spans(sentences: list[str], words: list[str], strategy: str):
+    """First and last word of each sentence that is found, None for others."""
+    plain = ["".join(bare(w)) for w in words]
+    return {"exact_prefix5": lambda: by_text(sentences, plain, 5), "exact_prefix4": lambda: by_text(sentences, plain, 4), "subsequence": lambda: by_subsequence(sentences, plain), "fuzzy": lambda: by_ratio(sentences, plain)}[strategy]()
+
+
 def timed(sentences: list[tuple[int, str]], words: list[tuple[str, float, float]], strategy: str) -> list[dict]:
-    plain = ["".join(bare(w)) for w, _, _ in words]
-    texts = [t for _, t in sentences]
-    spans = {"exact_prefix5": lambda: by_text(texts, plain, 5), "exact_prefix4": lambda: by_text(texts, plain, 4), "subsequence": lambda: by_subsequence(texts, plain), "fuzzy": lambda: by_ratio(texts, plain)}[strategy]()
+    """One chapter by itself: what aligned() gives for it."""
     out: list[dict] = []
-    for (index, text), span in zip(sentences, spans):
+    for (index, text), span in zip(sentences, spans([t for _, t in sentences], [w for w, _, _ in words], strategy)):
         if span:
             out.append({"index": index, "start": round(words[span[0]][1], 3), "end": round(words[span[1]][2], 3), "estimated": False})
         elif out:
@@ -122,6 +128,33 @@ def timed(sentences: list[tuple[int, str]], words: list[tuple[str, float, float]
     return out
 
 
+def imputed(found: DataFrame, strategy: str, chapter: str = "chapter_id") -> DataFrame:
+    """Intervals of all sentences from those of the found ones (chapter, index, start, end, words; start is null where a sentence wasn't found).
+
+    What is not found hangs on the last one found and on those in between alone. So each found sentence and those after it up to the
+    next are folded by themselves; "subsequence" needs the number of sentences before as well, the mean being the last end over it."""
+    kept, so_far = F.col("_run") > 0, Window.partitionBy(chapter).orderBy("index")
+    rows = found.withColumn("_run", F.count("start").over(so_far.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows if strategy == "fuzzy" else rows.filter(kept)
+    rows = rows.withColumn("_n", F.row_number().over(so_far) - 1)
+    each = F.struct("index", F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"), "words", "_n")
+    runs = rows.groupBy(chapter, "_run").agg(F.array_sort(F.collect_list(each)).alias("_rows"))
+    kind = "array<struct<index: int, start: double, end: double, estimated: boolean>>"
+
+    def step(acc, r):
+        last = F.element_at(acc, -1)["end"]
+        length = F.lit(GUESS) if strategy.startswith("exact") else last / r["_n"] if strategy == "subsequence" else F.greatest(F.lit(1.0), GUESS_PER_WORD * r["words"])
+        there, first = r["start"].isNotNull(), F.size(acc) == 1
+        start = F.when(there, rounded(r["start"])).when(first, 0.0).otherwise(last)
+        end = F.when(there, rounded(r["end"])).when(first, 1.0).otherwise(rounded(last + length))
+        return F.concat(acc, F.array(F.struct(r["index"].cast("int").alias("index"), start.alias("start"), end.alias("end"), (~there).alias("estimated"))).cast(kind))
+
+    # element_at of an empty array is an error, so the fold begins with a row that is dropped
+    seed = F.array(F.struct(F.lit(-1).alias("index"), F.lit(0.0).alias("start"), F.lit(0.0).alias("end"), F.lit(True).alias("estimated"))).cast(kind)
+    folded = F.aggregate("_rows", seed, lambda acc, r: step(acc, r))
+    return runs.select(chapter, F.inline(F.slice(folded, 2, F.size("_rows"))))
+
+
 def words_of_characters(characters: DataFrame, chapter: str = "chapter_id") -> DataFrame:
     """Words with times from timed characters (chapter, pos, character, start, end).
 
@@ -138,16 +171,15 @@ def aligned(sentences: DataFrame, words: DataFrame, strategy: str = "fuzzy", cha
 
     def run(s: pd.DataFrame, w: pd.DataFrame) -> pd.DataFrame:
         s, w = s.sort_values("index"), w.sort_values("pos")
-        rows = timed(list(zip(s["index"], s["text"].fillna(""))), list(zip(w["word"].fillna(""), w["start"], w["end"])), strategy)
-        out = pd.DataFrame(rows, columns=["index", "start", "end", "estimated"])
-        out.insert(0, chapter, s[chapter].iloc[0] if len(s) else None)
-        return out
+        texts, starts, ends = s["text"].fillna("").tolist(), w["start"].tolist(), w["end"].tolist()
+        hits = list(spans(texts, w["word"].fillna("").tolist(), strategy))
+        return pd.DataFrame({chapter: s[chapter], "index": s["index"], "start": [starts[h[0]] if h else None for h in hits], "end": [ends[h[1]] if h else None for h in hits], "words": [len(bare(t)) for t in texts]})
 
-    columns = f"{chapter} {kind}, index int, start double, end double, estimated boolean"
+    columns = f"{chapter} {kind}, index int, start double, end double, words int"
     # small tables, much work: a fixed number of partitions, which adaptive execution doesn't merge
     n = int(sentences.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sentences, words = sentences.repartition(n, chapter), words.repartition(n, chapter)
-    return sentences.groupBy(chapter).cogroup(words.groupBy(chapter)).applyInPandas(run, columns)
+    return imputed(sentences.groupBy(chapter).cogroup(words.groupBy(chapter)).applyInPandas(run, columns), strategy, chapter)
 
 
 def match_report(intervals: DataFrame, chapter: str = "chapter_id") -> DataFrame:

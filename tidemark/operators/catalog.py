@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import scans
+
 
 def has(path: str) -> Column:
     """Whether every step of a nested path is there and its end is not empty."""
@@ -48,27 +49,42 @@ def broken_links(chapters: DataFrame) -> DataFrame:
     return hit.filter(~F.col("_back").eqNullSafe(F.col("url"))).select("url", "next_url", "_back")
 
 
-def replayed(events: DataFrame, keys: list[str], order: list[str], last: int = 5) -> DataFrame:
-    """Where readers stand after each step: events next, back and go (with target) move between 1 and last.
+def replayed(events: DataFrame, keys: list[str], order: list[str], last: int = 5, block: int = scans.BLOCK) -> DataFrame:
+    """Where readers stand after each step: events next, back and go (with target) move between 1 and last; they begin at 1.
+
+    Each step is a clamp, so a reader's walk is a scan."""
+    jump = (F.col("action") == "go") & F.col("target").isNotNull()
+    to = F.greatest(F.lit(1), F.least(F.lit(last), F.col("target")))
+    step = F.when(F.col("action") == "next", 1).when(F.col("action") == "back", -1).otherwise(0)
+    maps = {"low": F.when(jump, to).otherwise(1), "high": F.when(jump, to).otherwise(last), "step": step}
+    return scans.scanned(events, keys, order, scans.Clamps, maps, F.lit(1), "place", block)
+
+
+#: What happens at the end of the tracks, in the order in which the button goes through them (fixed values).
+REPEATS = ("none", "all", "one")
+
+
+def played(events: DataFrame, keys: list[str], order: list[str], tracks: int, block: int = scans.BLOCK) -> DataFrame:
+    """What a player of that many tracks plays after each event, and how it repeats: -1 is nothing, as in the beginning.
 
-    Each step is a clamp, so a walk needs its last place alone: rows lie sorted by key and order, and a task goes through
-    them batch by batch."""
-    names = events.columns
+    Events: play (with target), next, back, repeat (the button), ended (the track came to its end). next and back go round if all tracks
+    repeat, and else stay at the ends; at an end, one repeats itself, the next one follows, or after the last the first one or nothing. A
+    state is a track and a way to repeat; each event is a table from state to state, so a listener's events are a scan."""
+    n = len(REPEATS)
 
-    def run(batches):
-        key, at = None, 1
-        for batch in batches:
-            places = []
-            for row in zip(batch["action"], batch["target"], *(batch[k] for k in keys)):
-                if row[2:] != key:
-                    key, at = row[2:], 1
-                go, move = row[1], {"next": 1, "back": -1}.get(row[0], 0)
-                at = max(1, min(last, int(go) if row[0] == "go" and not pd.isna(go) else at + move))
-                places.append(at)
-            yield batch.assign(place=pd.Series(places, dtype="int32", index=batch.index))[[*names, "place"]]
+    def table(change) -> Column:
+        """to[state] for each state, where a state is (track + 1) * n + repeat."""
+        to = [(t + 1, r) for t in range(-1, tracks) for r in range(n)]
+        return F.array(*[F.lit((a + 1) * n + b) for a, b in (change(t - 1, r) for t, r in to)])
 
-    sorted_ = events.repartition(*keys).sortWithinPartitions(*keys, *order)
-    return sorted_.mapInPandas(run, events.select("*", F.lit(0).alias("place")).schema)
+    turn = lambda by: lambda t, r: (t, r) if t < 0 else (t + by if 0 <= t + by < tracks else (t + by) % tracks if REPEATS[r] == "all" else t, r)
+    end = lambda t, r: (t, r) if t < 0 or REPEATS[r] == "one" else (t + 1 if t + 1 < tracks else 0 if REPEATS[r] == "all" else -1, r)
+    action = F.col("action")
+    to = F.when(action == "next", table(turn(1))).when(action == "back", table(turn(-1))).when(action == "ended", table(end)).when(action == "repeat", table(lambda t, r: (t, (r + 1) % n)))
+    for i in range(tracks):
+        to = to.when((action == "play") & (F.col("target") == i), table(lambda t, r, i=i: (i, r)))
+    out = scans.scanned(events, keys, order, scans.Tables, {"to": to.otherwise(table(lambda t, r: (t, r)))}, F.lit(0), "_state", block)
+    return out.withColumns({"track": F.floor(F.col("_state") / n).cast("int") - 1, "repeat": F.element_at(F.array(*map(F.lit, REPEATS)), F.pmod("_state", F.lit(n)) + 1)}).drop("_state")
 
 
 def titles(chapters: DataFrame) -> DataFrame:

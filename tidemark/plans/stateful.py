@@ -1,17 +1,17 @@
-"""Queries on streams whose rows come out of order, in several files one after the other."""
+"""Queries on states: streams whose rows come out of order, a table that batches are merged into, machines and imputed times within a key."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators import store
+from tidemark.operators import align, catalog, store
 from tidemark.sources.shared import shared_folder
 from tidemark.sources.versioned import Versioned
 from tidemark.streaming import events as streams
 from tidemark.streaming.ordered import Letters, Machine, Periods, Saves, in_order
 
-from .registered import query, table
+from .registered import QUERIES, SQL, query, table
 
 #: Hours that a row may come late, microseconds in an hour.
 LATE, HOUR = 12, 3_600_000_000
@@ -122,3 +122,54 @@ def migrated_store(spark, sf_dir):
     fields = ["type", "chapterId", "promptLabel", "content", "cardId", "pathway", "step", "tier", "id"]
     entry = F.from_json(F.when(F.col("key").startswith("entry/"), F.col("value")), ", ".join(f"{f} string" for f in fields))
     return kept.rows().select(entry.alias("e"), "key").select(*[F.when(F.col("e").isNull(), F.col("key")).otherwise(F.col("e.chapterId")).alias(f) if f == "chapterId" else F.col(f"e.{f}").alias(f) for f in fields])
+
+
+# States within a key
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT user_id, event_id, event_type, (event_id % 7)::INTEGER AS target, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+w AS (SELECT user_id, 0::BIGINT AS n, 0::BIGINT AS event_id, -1 AS track, 0 AS mode FROM (SELECT DISTINCT user_id FROM events)
+      UNION ALL SELECT e.user_id, e.n, e.event_id,
+        CASE WHEN event_type = 'purchase' THEN CASE WHEN target < 5 THEN target ELSE track END
+             WHEN track < 0 THEN track
+             WHEN event_type = 'view' THEN CASE WHEN track < 4 THEN track + 1 WHEN mode = 1 THEN 0 ELSE track END
+             WHEN event_type = 'error' THEN CASE WHEN track > 0 THEN track - 1 WHEN mode = 1 THEN 4 ELSE track END
+             WHEN event_type = 'click' AND mode <> 2 THEN CASE WHEN track < 4 THEN track + 1 WHEN mode = 1 THEN 0 ELSE -1 END
+             ELSE track END,
+        CASE WHEN event_type = 'signup' THEN (mode + 1) % 3 ELSE mode END
+      FROM w JOIN e ON e.user_id = w.user_id AND e.n = w.n + 1)
+SELECT user_id, event_id, track, ['none', 'all', 'one'][mode + 1] AS repeat FROM w WHERE n > 0""")
+def played_tracks(spark, sf_dir):
+    """Purchases choose a track, views go on, errors back, clicks are ends of tracks, signups press the button for repeats."""
+    kind = F.col("event_type")
+    action = F.when(kind == "purchase", "play").when(kind == "view", "next").when(kind == "error", "back").when(kind == "click", "ended").otherwise("repeat")
+    rows = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", action.alias("action"), (F.col("event_id") % 7).cast("int").alias("target"))
+    return catalog.played(rows, ["user_id"], ["ts", "event_id"], 5).select("user_id", "event_id", "track", "repeat")
+
+
+def _imputed_sql(length: str, front: bool) -> str:
+    """Intervals of purchases and views of each user, and of what comes between; front: those before the first count as well. Rounded by exact binary values."""
+    return f"""
+WITH RECURSIVE a AS (SELECT user_id, event_id, event_type IN ('purchase', 'view') AS found, event_id * 0.5::DOUBLE AS s, event_id * 0.5::DOUBLE + 0.25 AS e, event_id % 30 AS words, count(*) FILTER (event_type IN ('purchase', 'view')) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM events),
+k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM a WHERE run > 0 OR {front}),
+w AS (SELECT user_id, event_id, n, CASE WHEN found THEN s ELSE 0 END AS start, CASE WHEN found THEN e ELSE 1 END AS e, NOT found AS estimated FROM k WHERE n = 1
+      UNION ALL SELECT user_id, event_id, n, CASE WHEN found THEN s ELSE last END,
+        CASE WHEN found THEN e ELSE (r + CASE WHEN p - r > 0.5 OR p - r = 0.5 AND (lost > 0 OR lost = 0 AND r % 2 = 1) THEN 1 ELSE 0 END) / 1000::DOUBLE END, NOT found
+      FROM (SELECT *, floor(p) AS r, (high * 1000::DOUBLE - p) + (x - high) * 1000::DOUBLE AS lost
+            FROM (SELECT *, x * 1000::DOUBLE AS p, x * 134217729::DOUBLE - (x * 134217729::DOUBLE - x) AS high
+                  FROM (SELECT k.*, w.e AS last, w.e + {length} AS x FROM w JOIN k ON k.user_id = w.user_id AND k.n = w.n + 1))))
+SELECT user_id, event_id::INTEGER AS index, start, e AS "end", estimated FROM w"""
+
+
+def _imputed(strategy):
+    def run(spark, sf_dir):
+        found = F.col("event_type").isin("purchase", "view")
+        rows = table(spark, sf_dir, "events").select("user_id", F.col("event_id").cast("int").alias("index"), F.when(found, F.col("event_id") * 0.5).alias("start"), F.when(found, F.col("event_id") * 0.5 + 0.25).alias("end"), (F.col("event_id") % 30).cast("int").alias("words"))
+        return align.imputed(rows, strategy, "user_id")
+
+    return run
+
+
+for _name, _strategy, _length, _front in (("imputed_seconds", "exact_prefix5", "3.0::DOUBLE", False), ("imputed_means", "subsequence", "w.e / w.n", False), ("imputed_by_words", "fuzzy", "greatest(1.0::DOUBLE, 0.15::DOUBLE * k.words)", True)):
+    QUERIES[_name], SQL[_name] = _imputed(_strategy), _imputed_sql(_length, _front)

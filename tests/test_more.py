@@ -75,3 +75,18 @@ def test_walks_of_many_keys(spark):
         for i in range(30):
             at = max(1, min(5, at + (1 if (k + i) % 3 else -1)))
             assert got[k, i] == at
+
+
+def test_linking_takes_time_in_proportion(spark):
+    """As many references in long texts as in short ones take about as long: the text isn't matched again for each of them."""
+    import time
+
+    took = {}
+    for each in (10, 10, 160):
+        rows = spark.range(3200 // each).select(F.repeat(F.lit("see Luke 2:4, "), each).alias("t")).repartition(1).cache()
+        rows.count()
+        began = time.perf_counter()
+        n = rows.select(F.regexp_count(references.spliced(F.col("t"), BOOKS, "/r/"), F.lit("<a ")).alias("n")).agg(F.sum("n")).first()[0]
+        took[each] = time.perf_counter() - began
+        assert n == 3200
+    assert took[160] < 4 * took[10] + 1

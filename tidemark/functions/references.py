@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import bound
+
 
 @dataclass(frozen=True)
 class Dialect:
@@ -63,11 +65,11 @@ def linked(df: DataFrame, text: str, books: DataFrame, names: list[str], root: s
 
 def url_of(matched: Column, books: dict[str, str], root: str, dialect: str = "loose") -> Column:
     """Link of one reference, given as the words that matched; books: path by name, None where it has none."""
-    p = "(?i)" + pattern(list(books), dialect)
-    part = lambda i: F.regexp_extract(matched, p, i)
+    # one match gives all groups
+    groups = F.split(F.regexp_replace(matched, "(?i)" + pattern(list(books), dialect), "$1\u0001$2\u0001$3\u0001$4"), "\u0001", -1)
     paths = F.create_map(*[F.lit(x) for name, path in books.items() if path is not None for x in (name.lower(), path)])
-    number = lambda i: part(i).try_cast("int")
-    return url(F.try_element_at(paths, F.lower(part(1))), root, dialect, number(2), number(3), number(4))
+    number = lambda g, i: F.get(g, i).try_cast("int")
+    return bound(groups, lambda g: url(F.try_element_at(paths, F.lower(F.get(g, 0))), root, dialect, number(g, 1), number(g, 2), number(g, 3)))
 
 
 def ref_url(text: Column, books: dict[str, str], root: str, dialect: str = "loose") -> Column:
@@ -81,11 +83,12 @@ def segments(text: Column, books: dict[str, str], root: str, dialect: str = "loo
 
     Links that the text has already (a elements) are one part, and nothing in them is linked again."""
     p = "(?is)<a\\b[^>]*>.*?</a>|" + pattern(list(books), dialect)
-    between, found = F.split(text, p), F.regexp_extract_all(text, F.lit(p), F.lit(0))
+    parts = F.struct(F.split(text, p).alias("between"), F.regexp_extract_all(text, F.lit(p), F.lit(0)).alias("found"))
     plain = lambda x: F.struct(x.alias("value"), F.lit(None).cast("string").alias("url"))
     link = lambda x: F.struct(x.alias("value"), F.when(~x.rlike("(?i)^<a"), url_of(x, books, root, dialect)).alias("url"))
-    both = F.transform(between, lambda x, i: F.array(plain(x), link(F.get(found, i))))
-    return F.filter(F.flatten(both), lambda s: F.coalesce(s["value"] != "", F.lit(False)))
+    # the text is matched once, and not again for each of its parts
+    both = bound(parts, lambda t: F.flatten(F.transform(t["between"], lambda x, i: F.array(plain(x), link(F.get(t["found"], i))))))
+    return F.filter(both, lambda s: F.coalesce(s["value"] != "", F.lit(False)))
 
 
 def spliced(text: Column, books: dict[str, str], root: str, dialect: str = "loose") -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -127,3 +129,8 @@ def inverted(values: Column) -> Column:
 def reading_minutes(text: Column, words_a_minute: int = 200) -> Column:
     """Whole minutes, one at least."""
     return F.greatest(F.lit(1), F.ceil(F.size(tokens(text)) / words_a_minute)).cast("int")
+
+
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """What body makes of a value that is evaluated once, however often body names it."""
+    return F.transform(F.array(value), body)[0]

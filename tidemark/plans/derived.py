@@ -282,3 +282,30 @@ def parsed_values(spark, sf_dir):
 @query("SELECT page_id, url_encode(url) AS part FROM pages")
 def encoded_urls(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.uri_component(F.col("url")).alias("part"))
+
+
+@query("""
+SELECT r_name AS region, i::INTEGER AS place, n[i].name AS nation, n[i].k AS key, 'about ' || r_name AS note
+FROM (SELECT r_name, list({'name': n_name, 'k': n_nationkey} ORDER BY n_nationkey) AS n FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY ALL), unnest(range(1, len(n) + 1)) AS u(i)""")
+def global_data(spark, sf_dir):
+    """Regions as JSON files with nested lists of their nations, written, and read as global data."""
+    nations = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    lists = nations.groupBy("r_name").agg(F.array_sort(F.collect_list(F.struct(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name")))).alias("items"))
+    path = f"{shared_folder(spark)}/globals-{new_name()}"
+    lists.select("r_name", F.to_json(F.struct(F.struct(F.concat(F.lit("about "), "r_name").alias("note"), "items").alias("menu"))).alias("value")).write.partitionBy("r_name").text(path)
+    data = readers.read_globals(spark, path, "r_name=([^/]+)/").withColumn("region", F.url_decode("name"))
+    items = F.variant_get("data", "$.menu.items", "array<struct<key: int, name: string>>")
+    rows = data.select("region", F.posexplode(items).alias("place", "i"), F.variant_get("data", "$.menu.note", "string").alias("note"))
+    return rows.select("region", (F.col("place") + 1).alias("place"), F.col("i.name").alias("nation"), F.col("i.key").alias("key"), "note")
+
+
+@query("""
+SELECT o_orderkey, u.k AS key, u.v AS value FROM orders, unnest([
+  {'k': 'title', 'v': 'Order ' || o_orderkey}, {'k': 'nav.prev.url', 'v': '/orders/' || (o_orderkey - 1)}, {'k': 'nav.prev.title', 'v': o_orderpriority}, {'k': 'nav.next', 'v': '/orders/' || (o_orderkey + 1)},
+  {'k': 'tags', 'v': o_orderstatus}, {'k': 'tags', 'v': 'c' || o_custkey}, {'k': 'draft', 'v': 'false'}]) AS t(u)""")
+def front_matter_rows(spark, sf_dir):
+    """Orders as pages with nested keys in front, and what these say."""
+    p = "\n".join(["---", "# of an order", 'title: "Order %d"', "nav:", "  prev:", "    url: /orders/%d", "    title: '%s'", "  next: /orders/%d", "tags:", "  - %s", "  - %s", "draft: false", "---", "text: none", ""])
+    key = F.col("o_orderkey")
+    page = F.format_string(p, key, key - 1, F.col("o_orderpriority"), key + 1, F.col("o_orderstatus"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.inline(readers.front_matter(page)))

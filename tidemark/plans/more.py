@@ -285,9 +285,9 @@ def search_sections(spark, sf_dir):
     return search.sub_results(hits, readers.lines(docs, "text", ["doc_id"]), queries)
 
 
-@query("SELECT conv_id, 'Chapter ' || conv_id || ': ' || substr(text, 1, 20) AS shown_title FROM conversations WHERE turn = 0")
+@query("SELECT conv_id, 'Chapter ' || conv_id || ': ' || text AS shown_title FROM conversations WHERE turn = 0")
 def chapter_titles(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").filter("turn = 0").select("conv_id", F.col("conv_id").alias("chapter"), F.substring("text", 1, 20).alias("title"))
+    rows = table(spark, sf_dir, "conversations").filter("turn = 0").select("conv_id", F.col("conv_id").alias("chapter"), F.col("text").alias("title"))
     return catalog.titles(rows).select("conv_id", "shown_title")
 
 

@@ -77,3 +77,51 @@ def with_defaults(pages: DataFrame, defaults: dict[str, object]) -> DataFrame:
     """Directory defaults under the pages' own values; pages marked as excluded go."""
     kept = pages.filter(~F.coalesce(F.col("excluded"), F.lit(False))) if "excluded" in pages.columns else pages
     return kept.withColumns({c: F.coalesce(F.col(c), F.lit(v)) if c in pages.columns else F.lit(v) for c, v in defaults.items()})
+
+
+def named_files(spark: SparkSession, path: str, name: str = r"([^/]+?)(?:\.[a-z]+)?$") -> DataFrame:
+    """name and value of whole text files; name: a pattern whose first group is taken from a file's path, its name without its ending if not given."""
+    return spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), name, 1).alias("name"), "value")
+
+
+def read_globals(spark: SparkSession, path: str, name: str = r"([^/]+?)(?:\.[a-z]+)?$") -> DataFrame:
+    """name and data of JSON files that hold data for all pages; data is a variant, null where a file is no JSON.
+
+    Parts are read by paths, as F.variant_get("data", "$.a.b[0]", "string"); each row is small, and there are few."""
+    return named_files(spark, path, name).select("name", F.try_parse_json("value").alias("data"))
+
+
+_LINE = r"^( *)([^:#\s][^:]*?)\s*:(?:\s+(.*?))?\s*$"
+_ITEM = r"^( *)-\s+(.*?)\s*$"
+
+
+def front_matter(text: Column) -> Column:
+    """What a page says in front of its text, between two lines of three hyphens: an array of (key, value) in order, keys of nested ones
+    joined by dots; an item of a list has its list's key. Quotes around values are taken off. null where there is nothing in front."""
+    head = F.regexp_extract(text, r"(?s)\A(?:﻿)?---[ \t]*\r?\n(.*?)(?:\r?\n)?---[ \t]*(?:\r?\n|\z)", 1)
+    there = text.rlike(r"(?s)\A(?:﻿)?---[ \t]*\r?\n(.*?\n)?---[ \t]*(?:\r?\n|\z)")
+    start = F.struct(F.array().cast("array<struct<depth: int, key: string>>").alias("open"), F.array().cast("array<struct<key: string, value: string>>").alias("out"))
+
+    def value(raw: Column) -> Column:
+        quoted = F.regexp_extract(raw, r"^(?:\"(.*)\"|'(.*)')$", 1)
+        return F.when(raw.rlike(r"^\".*\"$"), quoted).when(raw.rlike(r"^'.*'$"), F.regexp_extract(raw, r"^'(.*)'$", 1)).otherwise(raw)
+
+    def step(acc: Column, line: Column) -> Column:
+        depth = F.length(F.regexp_extract(line, r"^( *)", 1))
+        is_item, is_key = line.rlike(_ITEM), line.rlike(_LINE)
+        above = F.filter(acc["open"], lambda o: F.when(is_item, o["depth"] <= depth).otherwise(o["depth"] < depth))
+        key, raw = F.regexp_extract(line, _LINE, 2), F.when(is_item, F.regexp_extract(line, _ITEM, 2)).otherwise(F.regexp_extract(line, _LINE, 3))
+        path = F.array_join(F.transform(above, lambda o: o["key"]), ".")
+        path = F.when(is_item, path).when(path == "", key).otherwise(F.concat(path, F.lit("."), key))
+        given = F.array(F.struct(path.alias("key"), value(raw).alias("value"))).cast("array<struct<key: string, value: string>>")
+        out = F.when(raw != "", F.concat(acc["out"], given)).otherwise(acc["out"])
+        open_ = F.when(is_item, above).otherwise(F.concat(above, F.array(F.struct(depth.alias("depth"), key.alias("key")))))
+        skip = ~is_item & ~is_key | line.rlike(r"^\s*#")
+        return F.struct(F.when(skip, acc["open"]).otherwise(open_).alias("open"), F.when(skip, acc["out"]).otherwise(out).alias("out"))
+
+    return F.when(there, F.aggregate(F.split(head, r"\r?\n"), start, step)["out"])
+
+
+def page_text(text: Column) -> Column:
+    """A page without what stands in front of it."""
+    return F.regexp_replace(text, r"(?s)\A(?:﻿)?---[ \t]*\r?\n(.*?\n)?---[ \t]*(?:\r?\n|\z)", "")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import normalise, tokens
@@ -62,3 +62,50 @@ def sub_results(hits: DataFrame, sections: DataFrame, queries: DataFrame, doc_id
 
 def without_dismissed(hits: DataFrame, dismissed: DataFrame, keys: list[str]) -> DataFrame:
     return hits.join(dismissed.select(*keys), keys, "left_anti")
+
+
+# An index that is kept
+
+#: Parts of an index by a hash of the term; a search reads those of its terms.
+PARTS = 16
+
+
+def _part(term: str = "term"):
+    return F.pmod(F.xxhash64(term), F.lit(PARTS)).cast("int")
+
+
+def add_segment(docs: DataFrame, path: str, segment: int, doc_id: str = "doc_id", text: str = "text", gone: Column | None = None) -> None:
+    """Adds documents to the index under a path, or puts them in the place of those with their ids; gone: which of them only leave it.
+
+    A segment holds the places of each term in each of its documents, sorted by term, so that a search reads few row groups; files
+    that are there aren't touched. Segments are numbered upwards; one that was written already is an error."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), tokens(F.col(text)).alias("_w"), (F.lit(False) if gone is None else F.coalesce(gone, F.lit(False))).alias("gone"))
+    words = rows.filter("not gone").select("doc_id", F.posexplode("_w").alias("place", "term"))
+    postings = words.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("place")).alias("places")).withColumn("part", _part())
+    postings.repartition("part", "term").sortWithinPartitions("part", "term").write.partitionBy("part").parquet(f"{path}/postings/segment={segment}")
+    rows.select("doc_id", "gone", F.coalesce(F.size("_w"), F.lit(0)).alias("n_words")).write.parquet(f"{path}/docs/segment={segment}")
+
+
+def indexed(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, segment and n_words of the documents in an index, each in the last segment that has it."""
+    docs = spark.read.parquet(f"{path}/docs")
+    newest = docs.groupBy("doc_id").agg(F.max(F.struct("segment", "gone", "n_words")).alias("_d"))
+    return newest.select("doc_id", "_d.segment", "_d.n_words", "_d.gone").filter("not gone").drop("gone")
+
+
+def kept_postings(spark: SparkSession, path: str, terms: DataFrame) -> DataFrame:
+    """term, doc_id, tf and places of the terms (one row each) in an index."""
+    wanted = [r[0] for r in terms.select(_part()).distinct().collect()]  # PARTS at most
+    rows = spark.read.parquet(f"{path}/postings").filter(F.col("part").isin(wanted)).join(terms.select("term"), "term", "left_semi")
+    return rows.join(indexed(spark, path).select("doc_id", "segment"), ["doc_id", "segment"], "left_semi").select("term", "doc_id", "tf", "places")
+
+
+def phrases(postings: DataFrame, queries: DataFrame, query_id: str = "query_id") -> DataFrame:
+    """query_id, doc_id and the places (from 0) at which all terms of a query stand one after the other, by the stored places alone.
+
+    queries: query_id, term and at, its place in the query from 0."""
+    size = queries.groupBy(query_id).agg(F.count("*").alias("_size"))
+    rows = queries.join(postings, "term").select(query_id, "doc_id", F.transform("places", lambda p: p - F.col("at")).alias("_starts"))
+    met = rows.groupBy(query_id, "doc_id").agg(F.collect_list("_starts").alias("_all")).join(size, query_id).filter(F.size("_all") == F.col("_size"))
+    starts = F.array_sort(F.aggregate("_all", F.get("_all", F.lit(0)), lambda a, x: F.array_intersect(a, x)))
+    return met.select(query_id, "doc_id", starts.alias("places")).filter(F.size("places") > 0)

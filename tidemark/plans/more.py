@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import numbers, references, text
 from tidemark.operators import catalog, ordered, report, search, store
+from tidemark.plans import queries
 from tidemark.plans.registered import query, table
 from tidemark.sources import readers
 from tidemark.sources.shared import shared_folder
@@ -294,3 +295,39 @@ def chapter_titles(spark, sf_dir):
 @query("SELECT doc_id, greatest(1, ceil(len(list_filter(string_split(trim(regexp_replace(lower(text), '[\\x20\\x09-\\x0D]+', ' ', 'g')), ' '), lambda w: w <> '')) / 200.0))::INTEGER AS minutes FROM documents")
 def reading_times(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.reading_minutes(F.col("text")).alias("minutes"))
+
+
+# An index that is kept
+
+
+def _kept_index(spark, sf_dir) -> str:
+    """An index of the documents in three segments: nine tenths, of which some have an older text, then those as they are now and the rest, and some that leave."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = f"{shared_folder(spark)}/index-{streams.new_name()}"
+    older = F.when(F.col("doc_id") % 10 == 3, F.concat(F.lit("an older text of "), F.col("text"))).otherwise(F.col("text"))
+    search.add_segment(docs.filter("doc_id % 10 < 9").withColumn("text", older), path, 1)
+    search.add_segment(docs.filter("doc_id % 10 in (3, 9)"), path, 2)
+    search.add_segment(docs.filter("doc_id % 50 = 7"), path, 3, gone=F.lit(True))
+    return path
+
+
+@query(queries.SQL["search_topk"].replace("FROM documents", "FROM (SELECT * FROM documents WHERE doc_id % 50 <> 7)"))
+def kept_index_topk(spark, sf_dir):
+    """search_topk over an index that was kept and updated."""
+    path = _kept_index(spark, sf_dir)
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(text.tokens(F.col("text"))).alias("term")).distinct()
+    postings = search.kept_postings(spark, path, asked.select("term").distinct())
+    return search.top_documents(postings, asked, search.indexed(spark, path).count(), 3)
+
+
+@query(f"""
+WITH q AS (SELECT item_id AS query_id, list_filter({_WORDS}, lambda w: w <> '')[4:6] AS q FROM benchmark), d AS (SELECT doc_id, list_filter({_WORDS}, lambda w: w <> '') AS w FROM documents WHERE doc_id % 50 <> 7),
+g AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM d WHERE len(w) > 2)
+SELECT query_id, doc_id, array_to_string(list((i - 1)::INTEGER ORDER BY i), ' ') AS places FROM g JOIN q ON q = w[i:i + 2] GROUP BY ALL""")
+def kept_index_phrases(spark, sf_dir):
+    """Where the fourth to sixth word of each benchmark text stand in the documents, by the places in the index."""
+    path = _kept_index(spark, sf_dir)
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.posexplode(F.slice(text.tokens(F.col("text")), 4, 3)).alias("at", "term"))
+    asked = asked.join(asked.groupBy("query_id").agg(F.count("*").alias("n")).filter("n = 3").select("query_id"), "query_id", "left_semi")
+    found = search.phrases(search.kept_postings(spark, path, asked.select("term").distinct()), asked)
+    return found.select("query_id", "doc_id", F.array_join(F.col("places").cast("array<string>"), " ").alias("places"))

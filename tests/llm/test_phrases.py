@@ -86,5 +86,35 @@ def test_a_bitmap_holds_all_its_fingerprints(spark):
     assert bits.holds(prints).all() and bits.holds(other).mean() < 0.02
 
 
+def test_rows_are_added_up(monkeypatch):
+    draw, want, least = np.random.default_rng(2), Counter(), {}
+    monkeypatch.setattr(phrases, "HELD", 100)
+
+    def parts():
+        for _ in range(40):
+            a, n, d = draw.integers(0, 30, 50), draw.integers(1, 5, 50), draw.integers(0, 1000, 50)
+            for x, y, z in zip(a.tolist(), n.tolist(), d.tolist()):
+                want[x] += y
+                least[x] = min(least.get(x, z), z)
+            yield a, n, n * 3, d
+
+    got, low = Counter(), {}
+    for a, n, c, d in phrases.added_up(parts()):
+        assert len(a) <= 60 and (c == n * 3).all()
+        for x, y, z in zip(a.tolist(), n.tolist(), d.tolist()):
+            got[x] += y
+            low[x] = min(low.get(x, z), z)
+    assert got == want and low == least and list(phrases.added_up(iter([]))) == []
+    assert [len(x[0]) for x in phrases.added_up(iter([tuple(np.zeros(0, int) for _ in range(4))]))] == [0]
+
+
+def test_pointers_that_several_documents_share(docs, monkeypatch):
+    """With two bits of a pointer each leads to a quarter of the documents; the result is the same."""
+    some = docs.filter("doc_id < 60")
+    want = found(some, 15, 4, 500)
+    monkeypatch.setattr(phrases, "POINTER", 2)
+    assert want and found(some, 15, 4, 500) == want
+
+
 def test_extra_columns_are_ignored(hard):
     assert found(hard, 2, 4) == found(hard.select("doc_id", "lang", "text"), 2, 4) and len(HARD) == hard.count()

@@ -2,14 +2,15 @@
 
 Each task numbers the words of its texts and has prefix polynomials of the words' digests, so that the fingerprint of
 any n-gram is one difference of two prefixes. Equal fingerprints of a chunk are counted together after the words
-themselves were compared; a row with the count and a pointer to one occurrence (document, byte, words) shuffles, added
-up before it does. Fingerprints that occur too rarely end there. Three passes, words, pairs and longer ones, take this
-course: an n-gram whose words or pairs are not all frequent cannot be frequent, and a bitmap of fixed size, which may
-let more through but holds back nothing frequent, keeps it from the shuffle.
+themselves were compared; a row with the count, a pointer to a document where it occurs and a check shuffles, added
+up within the task first. The check is the count times DIGIT bits of a second digest, which is made from the words' bytes in
+another way. Three passes, words, pairs and longer ones, take this course: an n-gram whose words or pairs are not all
+frequent cannot be frequent, and a bitmap of fixed size, which may let more through but holds back nothing frequent,
+keeps it from the shuffle.
 
-A fingerprint that stands for different texts in different chunks shows by a second digest, made from the words' bytes
-in another way; the phrases of such a fingerprint are counted by their texts. Phrases themselves are read only for
-frequent fingerprints, where their pointers lead, and are held against both digests there.
+Phrases are read for frequent fingerprints alone, in the documents that their pointers name. If count times digest of what
+is read there isn't the check, then the fingerprint stands for different texts (or the pointer's for several documents, of which another fits),
+and its phrases are counted by their texts.
 
 Defined cases: a null text is empty, a null lang is the one in UNKNOWN; empty texts and empty tables have no phrases; repeated
 rows count as often as they occur; equal ids are no matter, since a pointer goes by a hash of the whole row; very
@@ -33,7 +34,11 @@ LONGEST, MINIMUM, TOP, UNKNOWN = 5, 100, 2000, "und"
 #: Bytes of text in one chunk, and in one window of a longer text.
 CHUNK = 1 << 22
 #: Bits of a bitmap of fingerprints: so many for each, within these bounds; it is broadcast, 32 MB at most.
-BITS_EACH, LEAST_BITS, MOST_BITS = 32, 1 << 20, 1 << 28
+BITS_EACH, LEAST_BITS, MOST_BITS = 128, 1 << 20, 1 << 28
+#: Bits of the second digest in a check, and of a pointer.
+DIGIT, POINTER = 16, 32
+#: Rows that a task holds and adds up before it hands them on.
+HELD = 1_500_000
 #: Parts that a language's phrases are ranked in before the best of each are ranked together.
 PARTS = 64
 
@@ -43,7 +48,6 @@ _BETWEEN = _BREAK | _SPACE
 _END = re.compile(rb"[\x20\x09.,;:!?\x0A-\x0D]")
 _WORD = re.compile(rb"[^\x20\x09.,;:!?\x0A-\x0D]+")
 _K = np.uint64(0x9E3779B97F4A7C15)
-_ROW = "print long, n long, doc long, at long, digest long"
 
 
 def seeds(langs: list[str]) -> np.ndarray:
@@ -173,74 +177,115 @@ def parted(batches, longest: int, bits: int):
             yield Grams(part, ends, languages, own, bits), languages, docs, ends, begin, names
 
 
-def rows_of(grams: Grams, k: int, at: np.ndarray, docs: np.ndarray, offsets: np.ndarray, begin: int) -> pa.RecordBatch:
-    prints, number, lead = grams.counted(k, at)
-    text = grams.text[lead]
-    columns = [prints.view(np.int64), number, docs[text], (begin + grams.starts[lead] - offsets[text]) * 8 + k, grams.seconds(k, lead).view(np.int64)]
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[x.split()[0] for x in _ROW.split(", ")])
+def added_up(parts: Iterator[tuple[np.ndarray, ...]]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Rows of fingerprints, counts, checks and pointers with one row for each fingerprint: the sums, and the least pointer."""
+    held, size = [], 0
 
-
-def occurrences(docs: DataFrame, lengths: list[int], longest: int, bits: int, words=None, pairs=None) -> DataFrame:
-    """A row for each distinct n-gram of these lengths in each chunk; 0 stands for all words of a language.
-
-    words and pairs: bitmaps of those that are frequent, so that n-grams with others are passed over."""
-
-    def run(batches):
-        for grams, languages, docs, offsets, begin, _ in parted(batches, longest, bits):
-            good = np.ones(len(grams.codes), bool)
-            if words is not None:
-                good = words.value.holds(grams.prints(1, np.arange(len(good))))
-            if pairs is not None:  # from each word on
-                at = np.arange(max(0, len(good) - 1))
-                at = at[(grams.piece[at] == grams.piece[at + 1]) & good[:-1] & good[1:]]
-                good = np.zeros(len(good), bool)
-                good[at[pairs.value.holds(grams.prints(2, at))]] = True
+    def whole():
+        prints, *sums, docs = [np.concatenate(c) for c in zip(*held)]
+        order = np.argsort(prints, kind="stable")
+        prints = prints[order]
+        first = np.flatnonzero(np.concatenate([[True], prints[1:] != prints[:-1]])[: len(order)])
+        if not len(first):
+            return prints, *sums, docs
+        return prints[first], *[np.add.reduceat(c[order], first) for c in sums], np.minimum.reduceat(docs[order], first)
+
+    for part in parts:
+        held.append(part)
+        size += len(part[0])
+        if size > HELD:
+            held = [whole()]
+            size = len(held[0][0])
+            if size > HELD // 2:
+                yield held[0]
+                held, size = [], 0
+    if held:
+        yield whole()
+
+
+def pruned(grams: Grams, words, pairs) -> np.ndarray:
+    """Flags of the words that are frequent or, with pairs, of those that begin a frequent pair of frequent words; words and pairs: bitmaps."""
+    good = np.ones(len(grams.codes), bool)
+    if words is not None:
+        good = words.value.holds(grams.prints(1, np.arange(len(good))))
+    if pairs is not None:
+        at = np.arange(max(0, len(good) - 1))
+        at = at[(grams.piece[at] == grams.piece[at + 1]) & good[:-1] & good[1:]]
+        good = np.zeros(len(good), bool)
+        good[at[pairs.value.holds(grams.prints(2, at))]] = True
+    return good
+
+
+def possible(grams: Grams, k: int, good: np.ndarray, of_pairs: bool) -> np.ndarray:
+    """The words from which a k-gram can be frequent."""
+    at = grams.starting(k)
+    for j in range(k - of_pairs):
+        at = at[good[at + j]]
+    return at
+
+
+def digits(seconds: np.ndarray) -> np.ndarray:
+    """What checks hold of second digests."""
+    return (seconds & np.uint64((1 << DIGIT) - 1)).astype(np.int64)
+
+
+def frequent(docs: DataFrame, lengths: list[int], longest: int, bits: int, minimum: int, words=None, pairs=None) -> DataFrame:
+    """The fingerprints of n-grams of these lengths that occur often enough, as far as fingerprints tell, with counts, checks and pointers; 0
+    stands for all words of a language."""
+
+    def found(batches):
+        for grams, languages, docs, *_ in parted(batches, longest, bits):
+            good = pruned(grams, words, pairs)
             for k in lengths:
                 if not k:
                     prints, number, first = grams.sizes(languages)
-                    columns = [prints.view(np.int64), number, docs[first], np.zeros(len(first), np.int64), mix(languages[first]).view(np.int64)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[x.split()[0] for x in _ROW.split(", ")])
+                    yield prints.view(np.int64), number, number * digits(mix(languages[first])), docs[first]
                     continue
-                at = grams.starting(k)
-                for j in range(k if pairs is None else k - 1):
-                    at = at[good[at + j]]
-                if len(at):
-                    yield rows_of(grams, k, at, docs, offsets, begin)
+                prints, number, lead = grams.counted(k, possible(grams, k, good, pairs is not None))
+                yield prints.view(np.int64), number, number * digits(grams.seconds(k, lead)), docs[grams.text[lead]]
 
-    return docs.mapInArrow(run, _ROW)
+    def run(batches):
+        for columns in added_up(found(batches)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["print", "n", "sum", "doc"])
 
+    rows = docs.mapInArrow(run, "print long, n long, sum long, doc long").groupBy("print")
+    return written(rows.agg(F.sum("n").alias("n"), F.sum("sum").alias("sum"), F.min("doc").alias("doc")).filter(F.col("n") >= minimum))
 
-def frequent(rows: DataFrame, minimum: int) -> DataFrame:
-    """The fingerprints that occur often enough, each with a pointer and the least and greatest of its second digests."""
-    found = rows.groupBy("print").agg(F.sum("n").alias("n"), F.first("doc").alias("doc"), F.first("at").alias("at"), F.min("digest").alias("digest"), F.max("digest").alias("other"))
-    return written(found.filter(F.col("n") >= minimum))
 
+def read_out(docs: DataFrame, rows: DataFrame, longest: int, bits: int) -> DataFrame:
+    """print, lang, k, phrase and f of fingerprints, from the documents that their pointers name, where their texts fit the check."""
 
-def read_out(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """lang, k, phrase and f of fingerprints, from the texts that their pointers lead to; texts that don't fit the digest are none."""
+    def fitting(prints, digit, wanted):
+        """Which prints have that digit, and how often they occur."""
+        place = np.minimum(np.searchsorted(wanted[0], prints), len(wanted[0]) - 1)
+        fits = (wanted[0][place] == prints) & (wanted[1][place] * digit == wanted[2][place])
+        return np.flatnonzero(fits), wanted[1][place]
 
     def run(batches):
-        kind = pa.schema([("lang", pa.string()), ("k", pa.int32()), ("phrase", pa.string()), ("f", pa.int64())])
-        for batch, data, offsets in chunks(batches):
-            lang, out = batch.column(batch.schema.get_field_index("lang")).to_pylist(), []
-            seed = seeds(lang)
-            for i, found in enumerate(batch.column(batch.schema.get_field_index("found")).to_pylist()):
-                text = memoryview(np.ascontiguousarray(_LOWER[data[offsets[i] : offsets[i + 1]]]))
-                for x in found:
-                    words = [bytes(m[0]) for m in islice(_WORD.finditer(text, x["at"] // 8), x["at"] % 8)]
-                    if len(words) < x["at"] % 8:
-                        continue
-                    check = seed[i : i + 1]
-                    for second in digests(words)[:, 1:]:
-                        check = mix(check * _K + second)
-                    if int((check if words else mix(check)).view(np.int64)[0]) == x["digest"]:
-                        out.append({"lang": lang[i], "k": len(words), "phrase": b" ".join(words).decode(), "f": x["n"]})
-            yield pa.RecordBatch.from_pylist(out, kind)
-
-    by_doc = written(rows.groupBy("doc").agg(F.collect_list(F.struct("n", "at", "digest")).alias("found")))
-    n = by_doc.count()
-    some = docs.join(bounded(by_doc.select("doc"), n), "doc", "left_semi").dropDuplicates(["doc", "proof"])
-    return some.join(bounded(by_doc, n), "doc").select("lang", "text", "found").mapInArrow(run, "lang string, k int, phrase string, f long").distinct()
+        for batch in batches:
+            found = batch.column(batch.schema.get_field_index("found")).flatten()
+            listed = [found.field(i).to_numpy() for i in range(3)]
+            order = np.argsort(listed[0].view(np.uint64), kind="stable")
+            wanted = [listed[0].view(np.uint64)[order], listed[1][order], listed[2][order]]
+            for grams, languages, _, _, _, names in parted([batch], longest, bits):
+                for k in range(longest + 1):
+                    if not k:
+                        prints, _, first = grams.sizes(languages)
+                        good, n = fitting(prints, digits(mix(languages[first])), wanted)
+                        lang, phrases = [names[i] for i in first[good]], pa.array([""] * len(good), pa.string())
+                    else:
+                        at = grams.starting(k)
+                        at = at[np.isin(grams.prints(k, at), wanted[0])]
+                        prints, _, lead = grams.counted(k, at)
+                        good, n = fitting(prints, digits(grams.seconds(k, lead)), wanted)
+                        lang, phrases = [names[i] for i in grams.text[lead[good]]], grams.phrases(k, lead[good])
+                    if len(good):
+                        columns = [pa.array(prints[good].view(np.int64)), pa.array(lang, pa.string()), pa.array(np.full(len(good), k, np.int32)), phrases, pa.array(n[good])]
+                        yield pa.RecordBatch.from_arrays(columns, names=["print", "lang", "k", "phrase", "f"])
+
+    by_doc = written(rows.groupBy("doc").agg(F.collect_list(F.struct("print", "n", "sum")).alias("found")))
+    some = docs.join(bounded(by_doc.select("doc"), by_doc.count()), "doc", "left_semi").dropDuplicates(["doc", "proof"])
+    return written(some.join(by_doc, "doc").select("doc", "lang", "text", "found").mapInArrow(run, "print long, lang string, k int, phrase string, f long").distinct())
 
 
 def by_text(docs: DataFrame, rows: DataFrame, longest: int, bits: int, minimum: int) -> DataFrame:
@@ -271,20 +316,17 @@ def by_text(docs: DataFrame, rows: DataFrame, longest: int, bits: int, minimum:
 def frequent_phrases(docs: DataFrame, minimum: int = MINIMUM, longest: int = LONGEST, bits: int = 64) -> DataFrame:
     """lang, k, phrase and f of all phrases of 1 to longest words (7 at most) that occur at least minimum times, and the number of a language's
     words as f of its phrase of no words. bits: of a fingerprint; fewer give more collisions, and the same result."""
-    identity = [F.col("doc_id").cast("string"), F.col("lang").cast("string"), texts(docs)]
-    docs = docs.select(F.xxhash64(*identity).alias("doc"), F.xxhash64(F.lit(1), *identity).alias("proof"), F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), texts(docs).alias("text"))
+    identity = F.xxhash64(F.col("doc_id").cast("string"), F.col("lang").cast("string"), texts(docs))
+    docs = docs.select(identity.bitwiseAND((1 << POINTER) - 1).alias("doc"), identity.alias("proof"), F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), texts(docs).alias("text"))
     source = docs.select("doc", "lang", "text")
-    levels = [frequent(occurrences(source, [0, 1], longest, bits), minimum)]
-    words = bitmap(levels[0])
-    levels.append(frequent(occurrences(source, [2], longest, bits, words), minimum))
-    if longest > 2:
-        levels.append(frequent(occurrences(source, [*range(3, longest + 1)], longest, bits, words, bitmap(levels[1])), minimum))
-    found = levels[0]
-    for more in levels[1:]:
-        found = found.unionByName(more)
-    alike = F.col("digest") == F.col("other")
-    out = read_out(docs, found.filter(alike))
-    twofold = written(found.filter(~alike))
+    one = frequent(source, [0, 1], longest, bits, minimum)
+    words = bitmap(one)
+    two = frequent(source, [2], longest, bits, minimum, words)
+    more = frequent(source, [*range(3, longest + 1)], longest, bits, minimum, words, bitmap(two))
+    found = one.unionByName(two).unionByName(more)
+    out = read_out(docs, found, longest, bits)
+    twofold = written(found.join(out.select("print"), "print", "left_anti"))
+    out = out.drop("print")
     if twofold.count():
         out = out.unionByName(by_text(source, twofold, longest, bits, minimum))
     return written(out)

@@ -157,3 +157,20 @@ def test_mixture(hard, none, docs):
     words = sum(len((r.text or "").split()) for r in mixed.collect())
     assert abs(words - sum(r.taken for r in rows)) <= 0.01 * words
     assert mixing.mixture(hard).columns == hard.columns and mixing.mixture(hard).count() > 0 and mixing.planned(none).count() == 0
+
+
+def test_counts_that_nobody_asked_for_stand_behind_the_rules(docs, hard):
+    """The same verdicts as with all counts; rules whose counts are at hand come first and aren't timed."""
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    for rows in (docs.select("doc_id", "text"), hard.select("doc_id", "text")):
+        want = sorted((repr(r.doc_id), r.n_words, r.n_repeat_words, r.kept) for r in quality_rules.judged(rows).collect())
+        out = quality_rules.reported(rows, names)
+        assert out.columns == ["doc_id", "text", *names, "rejected_by", "kept"]
+        assert sorted((repr(r.doc_id), r.n_words, r.n_repeat_words, r.kept) for r in out.collect()) == want
+    seen, timed = quality_rules.seconds, []
+    quality_rules.seconds = lambda rows, tested: timed.append(1) or seen(rows, tested)
+    try:
+        order = quality_rules.order_for(docs, quality_rules.RULES, 100, names)
+    finally:
+        quality_rules.seconds = seen
+    assert len(timed) == 3 and set(order[-2:]) == {"duplicate_lines", "shouting"}

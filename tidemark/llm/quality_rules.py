@@ -82,19 +82,20 @@ def counts(docs: DataFrame, words: Column | None = None, lines: Column | None =
     }
 
 
-def with_counts(docs: DataFrame) -> DataFrame:
-    """docs with all counts, in the place of columns of the same names."""
+def with_counts(docs: DataFrame, only: tuple[str, ...] = ()) -> DataFrame:
+    """docs with all counts, or only some, in the place of columns of the same names."""
     inner, back = apart(docs.drop(*counts(docs)), "text")
     read = once(inner, words_of(inner).alias("_words"), lines_of(inner).alias("_lines"))
-    every = counts(read, F.col("_words"), F.col("_lines"))
+    every = {n: c for n, c in counts(read, F.col("_words"), F.col("_lines")).items() if n in only or not only}
     return once(read, *[c.cast("long").alias(n) for n, c in every.items()]).select(*back, *every)
 
 
-def from_text(docs: DataFrame, rule: tuple) -> Column:
-    """Whether a rule rejects a text, from the text itself: only what the rule reads is counted, each count once."""
+def from_text(docs: DataFrame, rule: tuple, taken: tuple[str, ...] = ()) -> Column:
+    """Whether a rule rejects a text, from the text itself: only what the rule reads is counted, each count once; those taken already are columns."""
     names, test = rule
     every = counts(docs)
-    return F.coalesce(let(F.struct(*[every[n].cast("long").alias(n) for n in names]), lambda x: test(*[x[n] for n in names])), F.lit(False))
+    read = F.struct(*[(F.col(n) if n in taken else every[n].cast("long")).alias(n) for n in names])
+    return F.coalesce(let(read, lambda x: test(*[x[n] for n in names])), F.lit(False))
 
 
 def from_counts(rule: tuple) -> Column:
@@ -113,11 +114,14 @@ def seconds(rows: DataFrame, tested: Column) -> float:
     return min(took[1:])
 
 
-def ordered(sample: DataFrame, rules: dict = RULES) -> list[str]:
-    """The rules' names by rejections per second on the sample of raw texts; each next one among the rows that are left."""
-    scan = seconds(sample, F.octet_length(texts(sample)) < 0)
-    cost = {name: max(1e-3, seconds(sample, from_text(sample, rule)) - scan) for name, rule in rules.items()}
-    seen = sample.groupBy(*[from_text(sample, rule).alias(name) for name, rule in rules.items()]).count().collect()  # 2 ** rules rows at most
+def ordered(sample: DataFrame, rules: dict = RULES, taken: tuple[str, ...] = ()) -> list[str]:
+    """The rules' names by rejections per second on the sample of raw texts; each next one among the rows that are left.
+
+    taken: counts that the sample has as columns; a rule that reads no other costs nothing and isn't timed."""
+    timed = [name for name, (names, _) in rules.items() if not set(names) <= set(taken)]
+    scan = seconds(sample, F.octet_length(texts(sample)) < 0) if timed else 0.0
+    cost = {name: max(1e-3, seconds(sample, from_text(sample, rule, taken)) - scan) if name in timed else 1e-6 for name, rule in rules.items()}
+    seen = sample.groupBy(*[from_text(sample, rule, taken).alias(name) for name, rule in rules.items()]).count().collect()  # 2 ** rules rows at most
     order, left = [], list(seen)
     while len(order) < len(rules):
         best = max((n for n in rules if n not in order), key=lambda n: (sum(r["count"] for r in left if r[n]) / cost[n], -cost[n]))
@@ -126,9 +130,10 @@ def ordered(sample: DataFrame, rules: dict = RULES) -> list[str]:
     return order
 
 
-def order_for(docs: DataFrame, rules: dict, sample_rows: int) -> list[str]:
+def order_for(docs: DataFrame, rules: dict, sample_rows: int, taken: tuple[str, ...] = ()) -> list[str]:
     share = min(1.0, sample_rows / max(1, docs.count()))
-    return ordered(written(docs.select("text").sample(share, SEED)), rules)
+    sample = docs.select("text").sample(share, SEED)
+    return ordered(written(with_counts(sample, taken) if taken else sample), rules, taken)
 
 
 def cascade(rows: DataFrame, rules: dict, order: list[str], test: Callable[[tuple], Column]) -> DataFrame:
@@ -146,6 +151,13 @@ def judged(docs: DataFrame, rules: dict = RULES, sample_rows: int = SAMPLE_ROWS)
     return cascade(rows, rules, order_for(docs, rules, sample_rows), from_counts).withColumn("kept", F.col("rejected_by").isNull())
 
 
+def reported(docs: DataFrame, names: tuple[str, ...], rules: dict = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """docs with the named counts, which every document gets, rejected_by and kept; what else a rule counts is counted only where no rule before it rejects."""
+    rows = with_counts(docs.drop("rejected_by", "kept"), names)
+    order = order_for(docs, rules, sample_rows, names)
+    return cascade(rows, rules, order, lambda rule: from_text(rows, rule, names)).withColumn("kept", F.col("rejected_by").isNull())
+
+
 def keep_good(docs: DataFrame, rules: dict = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The documents that no rule rejects, with their own columns; a rejected one meets no rule after the first that does so.
 
@@ -158,9 +170,9 @@ def keep_good(docs: DataFrame, rules: dict = RULES, sample_rows: int = SAMPLE_RO
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     base_failed = (from_counts(RULES["few_words"]) | from_counts(RULES["repeats"])).alias("base_failed")
-    return judged(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed, "kept")
+    return reported(table(spark, sf_dir, "documents").select("doc_id", "text"), names).select("doc_id", *names, base_failed, "kept")
 
 
 SQL = r"""

@@ -42,3 +42,26 @@ def test_words_of_characters(spark):
     rows = [("c", i, ch, i * 0.1, i * 0.1 + 0.1) for i, ch in enumerate("ab  cd e")]
     got = align.words_of_characters(spark.createDataFrame(rows, "chapter_id string, pos int, character string, start double, end double")).orderBy("start").collect()
     assert [(r.word, round(r.start, 1), round(r.end, 1)) for r in got] == [("ab", 0.0, 0.2), ("cd", 0.4, 0.6), ("e", 0.7, 0.8)]
+
+
+def test_nested_codes(spark):
+    """Codes in codes, inline ones, and texts whose codes don't match."""
+    rows = [
+        ("deep", "a{% note x %}b{% box %}c{% ref 1:2 %}d{% tip %}e{% endtip %}{% endbox %}f{% endnote %}g"),
+        ("cross", "{% note %}a{% box %}b{% endnote %}c{% endbox %}"),
+        ("open", "x{%- note 'q' -%}y{% ref %}"),
+        ("stray", "{% endnote %}text{% note %}{% endnote %}"),
+        ("twice", "{% note 1 %}a{% note 2 %}b{% endnote %}c{% endnote %}"),
+        ("none", "no codes { % note % }"), ("null", None), ("broken", "{% note"),
+    ]
+    out = catalog.nested_codes(spark.createDataFrame(rows, "id string, t string"), "t", ["ref"]).orderBy("id", "code_no").collect()
+    got = {}
+    for r in out:
+        got.setdefault(r.id, []).append((r.code_no, r.depth, r.name, r.argument, r.content, r.state))
+    assert got == {
+        "deep": [(0, 0, "note", "x", "bcdef", "closed"), (1, 1, "box", "", "cde", "closed"), (2, 2, "ref", "1:2", None, "inline"), (3, 2, "tip", "", "e", "closed")],
+        "cross": [(0, 0, "note", "", "ab", "closed"), (1, 1, "box", "", "b", "unclosed"), (2, 0, "box", None, None, "stray")],
+        "open": [(0, 0, "note", "'q'", "y", "unclosed"), (1, 1, "ref", "", None, "inline")],
+        "stray": [(0, 0, "note", None, None, "stray"), (1, 0, "note", "", "", "closed")],
+        "twice": [(0, 0, "note", "1", "abc", "closed"), (1, 1, "note", "2", "b", "closed")],
+    }

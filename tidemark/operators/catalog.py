@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import bound
 from tidemark.operators import scans
 
 
@@ -99,6 +100,66 @@ def shortcodes(df: DataFrame, text: str, name: str) -> DataFrame:
     return found.withColumns({"argument": F.regexp_extract("_code", p, 1), "content": F.regexp_extract("_code", p, 2)}).drop("_code")
 
 
+CODE = r"(?s)\{%-?\s*(end)?([A-Za-z_]\w*)\s*(.*?)\s*-?%\}"
+_OPEN = "struct<code_no: int, name: string, argument: string, content: string>"
+_FOUND = "struct<code_no: int, depth: int, name: string, argument: string, content: string, state: string>"
+
+
+def nested_codes(df: DataFrame, text: str, inline: list[str]) -> DataFrame:
+    """A row for each code of the text: its number in the order in which codes begin, depth (0 outside of others), name, argument, content and state.
+
+    A code is paired, and ends with the end of its name, or inline, if its name is one of those, without content. content is what a
+    paired one wraps, without the codes in it but with what they wrap. States: closed, inline, unclosed (another's end or the text's end came
+    first), stray (an end of nothing that is open). A fold over the text's pieces with a stack; each text is one row."""
+    arrays = F.struct(F.split(F.col(text), CODE).alias("between"), F.regexp_extract_all(F.col(text), F.lit(CODE), F.lit(0)).alias("codes"))
+    start = F.struct(F.array().cast(f"array<{_OPEN}>").alias("open"), F.array().cast(f"array<{_FOUND}>").alias("out"), F.lit(0).alias("n"))
+    top = lambda stack: F.get(stack, F.size(stack) - 1)
+    below = lambda stack: F.slice(stack, 1, F.greatest(F.size(stack) - 1, F.lit(0)))
+
+    def added(stack: Column, more: Column) -> Column:
+        """The stack with more text in what its top wraps."""
+        t = top(stack)
+        new = F.struct(t["code_no"].alias("code_no"), t["name"].alias("name"), t["argument"].alias("argument"), F.concat(t["content"], more).alias("content")).cast(_OPEN)
+        return F.when(F.size(stack) > 0, F.concat(below(stack), F.array(new))).otherwise(stack)
+
+    def given(no: Column, depth: Column, name: Column, argument: Column, content: Column, state: Column) -> Column:
+        return F.array(F.struct(no.alias("code_no"), depth.alias("depth"), name.alias("name"), argument.alias("argument"), content.alias("content"), state.alias("state")).cast(_FOUND))
+
+    def shut(acc: Column, state: Column) -> Column:
+        """The top comes to its end, and what it wraps belongs to the one below."""
+        t = top(acc["open"])
+        out = given(t["code_no"], F.size(acc["open"]) - 1, t["name"], t["argument"], t["content"], state)
+        return F.struct(added(below(acc["open"]), t["content"]).alias("open"), F.concat(acc["out"], out).alias("out"), acc["n"].alias("n"))
+
+    def ended(acc: Column, name: Column) -> Column:
+        """Everything down to the last open one of that name; all of the stack without a name."""
+        places = F.transform(acc["open"], lambda o: o["name"])
+        last = F.array_position(F.reverse(places), name)  # 1 is the top
+        number = F.when(name.isNull(), F.size(acc["open"])).otherwise(last.cast("int"))
+        stray = F.struct(acc["open"].alias("open"), F.concat(acc["out"], given(acc["n"], F.size(acc["open"]), name, F.lit(None), F.lit(None), F.lit("stray"))).alias("out"), (acc["n"] + 1).alias("n"))
+        each = F.filter(F.sequence(F.lit(1), F.greatest(number, F.lit(1))), lambda i: i <= number)
+        closed = F.aggregate(each, acc, lambda a, i: shut(a, F.when((i == number) & name.isNotNull(), "closed").otherwise("unclosed")))
+        return F.when(name.isNotNull() & (last == 0), stray).otherwise(closed)
+
+    def step(acc: Column, piece: Column) -> Column:
+        acc = F.struct(added(acc["open"], piece["between"]).alias("open"), acc["out"].alias("out"), acc["n"].alias("n"))
+        part = lambda i: F.regexp_extract(piece["code"], CODE, i)
+
+        def coded(a: Column) -> Column:
+            name, argument = part(2), part(3)
+            row = given(a["n"], F.size(a["open"]), name, argument, F.lit(None), F.lit("inline"))
+            pushed = F.concat(a["open"], F.array(F.struct(a["n"].alias("code_no"), name.alias("name"), argument.alias("argument"), F.lit("").alias("content")).cast(_OPEN)))
+            one = name.isin(inline)
+            begun = F.struct(F.when(one, a["open"]).otherwise(pushed).alias("open"), F.when(one, F.concat(a["out"], row)).otherwise(a["out"]).alias("out"), (a["n"] + 1).alias("n"))
+            return F.when(piece["code"].isNull(), a).when(part(1) != "", ended(a, name)).otherwise(begun)
+
+        return bound(acc, coded)
+
+    pieces = bound(arrays, lambda x: F.transform(x["between"], lambda b, i: F.struct(b.alias("between"), F.get(x["codes"], i).alias("code"))))
+    whole = F.aggregate(pieces, start, step, lambda acc: ended(acc, F.lit(None).cast("string"))["out"])
+    return df.filter(F.col(text).contains("{%")).select("*", F.inline(whole))
+
+
 def error_text(body: Column) -> Column:
     """What an error body says: its detail, else its general errors, else "field: message" for each field."""
     detail, general = F.get_json_object(body, "$.detail"), F.from_json(F.get_json_object(body, "$.non_field_errors"), "array<string>")

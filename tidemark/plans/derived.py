@@ -309,3 +309,17 @@ def front_matter_rows(spark, sf_dir):
     key = F.col("o_orderkey")
     page = F.format_string(p, key, key - 1, F.col("o_orderpriority"), key + 1, F.col("o_orderstatus"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")))
     return table(spark, sf_dir, "orders").select("o_orderkey", F.inline(readers.front_matter(page)))
+
+
+@query("""
+SELECT o_orderkey, u.n::INTEGER AS code_no, u.d::INTEGER AS depth, u.m AS name, u.a AS argument, u.c AS content, u.s AS state FROM orders, unnest([
+  {'n': 0, 'd': 0, 'm': 'note', 'a': o_orderstatus, 'c': 'key ' || o_orderkey || ' of ' || o_orderpriority || '!', 's': 'closed'},
+  {'n': 1, 'd': 1, 'm': 'box', 'a': 'wide', 'c': o_orderkey || ' of ' || o_orderpriority, 's': 'closed'},
+  {'n': 2, 'd': 2, 'm': 'ref', 'a': 'c' || o_custkey, 'c': NULL, 's': 'inline'},
+  {'n': 3, 'd': 2, 'm': 'tip', 'a': '', 'c': o_orderpriority, 's': 'closed'},
+  {'n': 4, 'd': 0, 'm': 'box', 'a': '', 'c': CASE WHEN o_orderkey % 3 = 0 THEN 'end' ELSE ' end' END, 's': CASE WHEN o_orderkey % 3 = 0 THEN 'closed' ELSE 'unclosed' END}]) AS t(u)""")
+def nested_code_rows(spark, sf_dir):
+    """Codes within codes, three deep, of each order; two thirds of the orders leave the last one open."""
+    t = F.format_string("{%% note %s %%}key {%% box wide %%}%d {%% ref c%d %%}of {%% tip %%}%s{%% endtip %%}{%% endbox %%}!{%% endnote %%}{%% box %%}", "o_orderstatus", "o_orderkey", "o_custkey", "o_orderpriority")
+    t = F.concat(t, F.when(F.col("o_orderkey") % 3 == 0, "end{% endbox %}").otherwise(" end"))
+    return catalog.nested_codes(table(spark, sf_dir, "orders").select("o_orderkey", t.alias("t")), "t", ["ref"]).drop("t")

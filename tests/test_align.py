@@ -10,6 +10,64 @@ from tidemark.operators import align
 WORDS = "organise favourite colours moroni buried nephite records christs atonement heals everyone a the of and in sea deep art some part season here".split()
 
 
+def by_text(sentences, words, prefix):
+    """First and last word of each sentence: where it stands in the words' text, else its first words do; then its last three, or its length."""
+    text, at = " ".join(words), 0
+    for s in sentences:
+        w = align.bare(s)
+        whole, found = " ".join(w), None
+        if w and (hit := text.find(whole, at)) >= 0:
+            found = (hit, hit + len(whole))
+        elif w and (hit := text.find(" ".join(w[:prefix]), at)) >= 0:
+            behind = text.find(" ".join(w[-3:]), hit + len(" ".join(w[:prefix])))
+            found = (hit, min(len(text), hit + len(whole)) if behind < 0 else behind + len(" ".join(w[-3:])))
+        at = found[1] if found else at
+        yield (text[: found[0]].count(" "), text[: found[1] - 1].count(" ")) if found else None
+
+
+def by_subsequence(sentences, words):
+    """First and last of the words that match a sentence's in order; equal, or one the other's beginning."""
+    at = 0
+    for s in sentences:
+        w, i, first, last = align.bare(s), 0, None, None
+        for j in range(max(0, at - 5), len(words)):
+            if i == len(w):
+                break
+            if words[j].startswith(w[i]) or w[i].startswith(words[j]):
+                first, last, i = (j if first is None else first), j, i + 1
+            elif 0 < i <= 2:
+                first, i = None, 0
+        if i == len(w) and w:
+            at = last + 1
+        yield (first, last) if first is not None and i else None
+
+
+def timed(sentences, words, strategy):
+    """One chapter by itself: what aligned() gives for it."""
+    out, texts, plain = [], [t for _, t in sentences], ["".join(align.bare(w)) for w, _, _ in words]
+    spans = by_text(texts, plain, int(strategy[-1])) if strategy.startswith("exact") else by_subsequence(texts, plain) if strategy == "subsequence" else align.by_ratio(texts, plain)
+    for (index, text), span in zip(sentences, spans):
+        if span:
+            out.append({"index": index, "start": round(words[span[0]][1], 3), "end": round(words[span[1]][2], 3), "estimated": False})
+        elif out:
+            start = out[-1]["end"]
+            length = align.GUESS if strategy.startswith("exact") else start / len(out) if strategy == "subsequence" else max(1.0, align.GUESS_PER_WORD * len(align.bare(text)))
+            out.append({"index": index, "start": start, "end": round(start + length, 3), "estimated": True})
+        elif strategy == "fuzzy":
+            out.append({"index": index, "start": 0.0, "end": 1.0, "estimated": True})
+    return out
+
+
+def spans_of(spark, strategy, said, words):
+    """What the library finds for one chapter: first and last word of each sentence, from 0."""
+    s = spark.createDataFrame([(1, i, t) for i, t in enumerate(said)], "chapter_id int, index int, text string")
+    w = spark.createDataFrame([(1, i, x, float(i), float(i)) for i, x in enumerate(words)], "chapter_id int, pos int, word string, start double, end double")
+    if strategy == "subsequence":
+        return [(r["first"] - 1, r["last"] - 1) if r["first"] else None for r in align.in_order(s, w).orderBy("index").collect()]
+    found = {r["index"]: (int(r.start), int(r.end)) for r in align.aligned(s, w, strategy).collect() if not r.estimated}
+    return [found.get(i) for i in range(len(said))]
+
+
 def fuzzy(sentences, words):
     """Every window from the cursor on, by its ratio; the earliest and shortest of equals."""
     at, out = 0, []
@@ -41,17 +99,39 @@ def test_fuzzy_finds_misspelt_words(said, heard):
     assert list(align.by_ratio([said], words)) == [(1, len(words) - 2)]
 
 
-def test_prefix_ends_with_the_last_words():
+def test_prefix_ends_with_the_last_words(spark):
     words = "one two three four five x y z seven eight nine ten eleven".split()
-    said = ["one two three four five six seven eight nine", "ten eleven"]
-    assert list(align.by_text(said, words, 5)) == [(0, 10), (11, 12)]
-    assert list(align.by_text(["one two three four five six six six"], words, 5)) == [(0, 7)]  # no such end: as many words on
-    assert list(align.by_text(["two three four five"], words, 5)) == [(1, 4)] and list(align.by_text(["", "no"], words, 5)) == [None, None]
+    for said, want in (
+        (["one two three four five six seven eight nine", "ten eleven"], [(0, 10), (11, 12)]),
+        (["one two three four five six six six"], [(0, 8)]),  # no such end: as many characters on
+        (["two three four five"], [(1, 4)]),
+        (["", "no"], [None, None]),
+        (["hree fou", "ven e", "four"], [(2, 3), (8, 9), None]),  # within words, and not before the cursor
+    ):
+        assert list(by_text(said, words, 5)) == spans_of(spark, "exact_prefix5", said, words) == want
 
 
-def test_subsequence_begins_anew():
+def test_subsequence_begins_anew(spark):
     words = "a b x a b c".split()
-    assert list(align.by_subsequence(["a b c"], words)) == [(3, 5)]
+    assert list(by_subsequence(["a b c"], words)) == spans_of(spark, "subsequence", ["a b c"], words) == [(3, 5)]
+
+
+def test_subsequence_over_blocks(spark):
+    """Sentences that end in a later block of words than they begin in, partial ones, five words back."""
+    draw = random.Random(9)
+    for n in (align.BLOCK - 1, align.BLOCK, 3 * align.BLOCK + 5):
+        words = [draw.choice(WORDS) for _ in range(n)]
+        said = [" ".join(draw.choice(WORDS) for _ in range(draw.randint(0, 4))) for _ in range(30)] + [" ".join(words[5:8] + words[-2:])]
+        assert spans_of(spark, "subsequence", said, words) == list(by_subsequence(said, words))
+
+
+def test_placed_in_texts(spark):
+    """Punctuation is kept where a sentence is sought whole; chapters without text, sentences without words, equal rows."""
+    s = spark.createDataFrame([(1, 0, "Well, then!"), (1, 1, " ... "), (1, 2, None), (1, 3, "the SEA,  said"), (1, 4, "...Well then"), (2, 0, "x"), (2, 0, "x"), (3, 0, "x")], "chapter_id int, index int, text string")
+    t = spark.createDataFrame([(1, "Oh well, then! The sea, said he ... well then"), (2, "xx"), (3, None), (4, "x")], "chapter_id int, text string")
+    got = sorted(((r.chapter_id, r["index"], r["first"], r["last"]) for r in align.placed(s, t).collect()), key=str)
+    assert got == sorted([(1, 0, 4, 14), (1, 1, 33, 35), (1, 2, None, None), (1, 3, None, None), (1, 4, 37, 45), (2, 0, 1, 1), (2, 0, 2, 2), (3, 0, None, None)], key=str)
+    assert align.placed(s.limit(0), t).count() == 0 and align.in_order(s.limit(0), t.selectExpr("chapter_id", "1 AS pos", "text AS word")).count() == 0
 
 
 @pytest.mark.parametrize("strategy", align.STRATEGIES)
@@ -63,7 +143,7 @@ def test_chapters_side_by_side_are_as_each_alone(spark, strategy):
         heard = [(w, i * 0.37, i * 0.37 + 0.2) for i, w in enumerate(" ".join(said[2:5] + said[6:9]).split())] if chapter else []
         sentences += [(chapter, i, t) for i, t in enumerate(said)]
         words += [(chapter, i, *w) for i, w in enumerate(heard)]
-        want |= {(chapter, r["index"]): (r["start"], r["end"], r["estimated"]) for r in align.timed(list(enumerate(said)), heard, strategy)}
+        want |= {(chapter, r["index"]): (r["start"], r["end"], r["estimated"]) for r in timed(list(enumerate(said)), heard, strategy)}
     out = align.aligned(spark.createDataFrame(sentences, "chapter_id int, index int, text string"), spark.createDataFrame(words, "chapter_id int, pos int, word string, start double, end double"), strategy).collect()
     assert {(r.chapter_id, r["index"]) for r in out} == set(want) and len(out) == len(want)
     for r in out:

@@ -6,7 +6,7 @@ import math
 import duckdb
 import pytest
 
-from tidemark.plans import derived, more, queries, stateful  # noqa: F401
+from tidemark.plans import derived, more, narrated, queries, stateful  # noqa: F401
 from tidemark.plans.registered import QUERIES, SQL
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -1,66 +1,122 @@
-"""Alignment of sentences with timed words: one Spark task per chapter, sequential within it as the cursor demands.
+"""Alignment of sentences with timed words, chapter by chapter: a sentence is sought from where the one before it ended.
 
 Inputs: sentences (chapter, index, text) and words (chapter, pos, word, start, end). Outputs: chapter, index, start, end,
 estimated. A sentence that isn't found starts where the one before it ends and lasts by the strategy's rule; a
-strategy drops such sentences in front of the first found one, but 'fuzzy' gives them a second each from 0."""
+strategy drops such sentences in front of the first found one, but 'fuzzy' gives them a second each from 0. A chapter is
+one row, as its text is; sentences of equal index go by their texts, null texts and words are empty."""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.numbers import rounded
+from tidemark.functions.text import normalise, tokens
 
 STRATEGIES = ("exact_prefix5", "exact_prefix4", "subsequence", "fuzzy")
-#: Seconds of a sentence that isn't found, seconds a word, least share of equal letters, starts tried, words that end a sentence.
-GUESS, GUESS_PER_WORD, LEAST_RATIO, REACH, TAIL = 3.0, 0.15, 0.7, 100, 3
+#: Seconds of a sentence that isn't found, seconds a word, least share of equal letters, starts tried, words that end a sentence, words gone back.
+GUESS, GUESS_PER_WORD, LEAST_RATIO, REACH, TAIL, BACK = 3.0, 0.15, 0.7, 100, 3, 5
+#: What words are made of; words read at a time.
+LETTERS, BLOCK = r"\p{L}\p{M}\p{N}_", 64
 
 
 def bare(text: str) -> list[str]:
     return re.sub(r"[^\w\s]", "", text.lower()).split()
 
 
-def by_text(sentences: list[str], words: list[str], prefix: int):
-    """First and last word of each sentence: its whole words, else its first few, from the cursor on; then it ends with its
-    last TAIL words, else as many words on as it has."""
-    at = 0
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    def place(want: list[str], start: int) -> int | None:
-        n = len(want)
-        return next((i for i in range(start, len(words) - n + 1) if words[i : i + n] == want), None) if n else None
 
-    for s in sentences:
-        w, found = bare(s), None
-        if (hit := place(w, at)) is not None:
-            found = (hit, hit + len(w) - 1)
-        elif (hit := place(w[:prefix], at)) is not None:
-            tail = w[-TAIL:]
-            end = place(tail, hit + len(w[:prefix]))
-            found = (hit, min(len(words), hit + len(w) if end is None else end + len(tail)) - 1)
-        if found:
-            at = found[1] + 1
-        yield found
+def plain(word: Column) -> Column:
+    """A word in lower case without anything but letters, marks, digits and underscores; null is empty."""
+    return F.regexp_replace(F.lower(F.coalesce(word, F.lit(""))), f"[^{LETTERS}]", "")
 
 
-def by_subsequence(sentences: list[str], words: list[str]):
-    """First and last of the words that match a sentence's in order; equal, or one the other's beginning."""
-    at = 0
-    for s in sentences:
-        w, i, first, last = bare(s), 0, None, None
-        for j in range(max(0, at - 5), len(words)):
-            if i == len(w):
-                break
-            if words[j] and (words[j] == w[i] or words[j].startswith(w[i]) or w[i].startswith(words[j])):
-                first, last, i = (j if first is None else first), j, i + 1
-            elif 0 < i <= 2:
-                first, i = None, 0
-        if i == len(w) and w:
-            at = last + 1
-        yield (first, last) if first is not None and i else None
+def plain_words(text: Column) -> Column:
+    """The plain words of a text, no empty ones."""
+    return F.filter(F.transform(tokens(F.coalesce(text, F.lit(""))), plain), lambda w: w != "")
+
+
+def placed(sentences: DataFrame, texts: DataFrame, prefix: int = 5, norm: Callable[[Column], Column] = normalise, chapter: str = "chapter_id") -> DataFrame:
+    """chapter, index, first and last: the places (from 1) of each sentence's first and last character in its chapter's norm(text); null if not found.
+
+    texts: chapter and text, a row each; chapters without one find nothing. A sentence stands where norm() of it does, within words as
+    well, else where its first words do, from the cursor on; then it ends with its last TAIL words behind those, else it is as long as it
+    is by itself. The cursor then moves behind it. Empty sentences are nowhere."""
+    whole = norm(F.coalesce("text", F.lit("")))
+    w = F.regexp_extract_all(whole, F.lit(f"[{LETTERS}]+"), F.lit(0))
+    tail = F.slice(w, F.greatest(F.size(w) - TAIL + 1, F.lit(1)), F.lit(TAIL))
+    said = sentences.select(chapter, F.struct("index", whole.alias("whole"), F.array_join(F.slice(w, 1, prefix), " ").alias("begin"), F.array_join(tail, " ").alias("tail")).alias("_s"))
+    rows = said.groupBy(chapter).agg(F.array_sort(F.collect_list("_s")).alias("_said"))
+    rows = rows.join(texts.select(chapter, norm(F.coalesce("text", F.lit(""))).alias("_text")), chapter, "left").withColumn("_text", F.coalesce("_text", F.lit("")))
+    text, one = F.col("_text"), "struct<index: int, first: int, last: int>"
+
+    def seek(part, at):
+        return F.when(part != "", F.call_function("locate", part, text, at)).otherwise(0)
+
+    def span(r, first, last):
+        return F.struct(r["index"].cast("int").alias("index"), first.alias("first"), last.alias("last")).cast(one)
+
+    def by_first_words(r, hit):
+        behind = hit + F.length(r["begin"])
+        last = _let(seek(r["tail"], behind), lambda t: F.when(t > 0, t + F.length(r["tail"]) - 1).otherwise(F.least(F.length(text), hit + F.length(r["whole"]) - 1)))
+        return F.when(hit > 0, span(r, hit, last)).otherwise(span(r, F.lit(None), F.lit(None)))
+
+    def step(acc, r):
+        exact = lambda hit: F.when(hit > 0, span(r, hit, hit + F.length(r["whole"]) - 1)).otherwise(_let(seek(r["begin"], acc["at"]), lambda h: by_first_words(r, h)))
+        return _let(_let(seek(r["whole"], acc["at"]), exact), lambda x: _moved(acc, x, F.coalesce(x["last"] + 1, acc["at"])))
+
+    return rows.select(chapter, F.inline(F.aggregate("_said", _start(), step, lambda acc: acc["out"])))
+
+
+_STATE = "struct<at: int, out: array<struct<index: int, first: int, last: int>>>"
+
+
+def _start() -> Column:
+    return F.struct(F.lit(1).alias("at"), F.array().alias("out")).cast(_STATE)
+
+
+def _moved(acc: Column, found: Column, at: Column) -> Column:
+    return F.struct(at.alias("at"), F.concat(acc["out"], F.array(found)).alias("out")).cast(_STATE)
+
+
+def in_order(sentences: DataFrame, words: DataFrame, chapter: str = "chapter_id") -> DataFrame:
+    """chapter, index, first and last: which of the chapter's words (from 1, by pos) match a sentence's in order; null if none does.
+
+    Words match that are equal or one the other's beginning; a match of one or two words that breaks off begins anew. A sentence is
+    sought from BACK words before the end of the last one that was matched to its end. Words are read in blocks, so that what follows
+    the last match costs a step a block."""
+    said = sentences.select(chapter, F.struct("index", plain_words(F.col("text")).alias("w")).alias("_s"))
+    heard = words.groupBy(chapter).agg(F.array_sort(F.collect_list(F.struct("pos", plain(F.col("word")).alias("word")))).alias("_heard"))
+    rows = said.groupBy(chapter).agg(F.array_sort(F.collect_list("_s")).alias("_said")).join(heard, chapter, "left")
+    rows = rows.withColumn("_words", F.coalesce(F.transform("_heard", lambda x: x["word"]), F.array().cast("array<string>"))).drop("_heard")
+    n, kind = F.size("_words"), "struct<i: int, first: int, last: int>"
+
+    def matched(w, m, j):
+        word, wanted = F.get("_words", j - 1), F.get(w, m["i"])
+        same = (word != "") & (F.startswith(word, wanted) | F.startswith(wanted, word))
+        onward = F.struct((m["i"] + 1).alias("i"), F.coalesce(m["first"], j).alias("first"), j.alias("last")).cast(kind)
+        anew = F.struct(F.lit(0).alias("i"), F.lit(None).alias("first"), F.lit(None).alias("last")).cast(kind)
+        return F.when(m["i"] >= F.size(w), m).when(same, onward).when(m["i"].between(1, 2), anew).otherwise(m)
+
+    def block(w, m, b):
+        return F.when(m["i"] >= F.size(w), m).otherwise(F.aggregate(F.sequence(b, F.least(b + BLOCK - 1, n)), m, lambda a, j: matched(w, a, j)))
+
+    def step(acc, r):
+        low, none = F.greatest(acc["at"] - BACK, F.lit(1)), F.struct(F.lit(0).alias("i"), F.lit(None).alias("first"), F.lit(None).alias("last")).cast(kind)
+        blocks = F.when(low <= n, F.sequence(low, n, F.lit(BLOCK))).otherwise(F.array().cast("array<int>"))
+        over = F.aggregate(blocks, none, lambda m, b: block(r["w"], m, b))
+        found = lambda m: F.struct(r["index"].cast("int").alias("index"), m["first"].alias("first"), F.when(m["first"].isNotNull(), m["last"]).alias("last"))
+        return _let(over, lambda m: _moved(acc, found(m), F.when((m["i"] == F.size(r["w"])) & (m["i"] > 0), m["last"] + 1).otherwise(acc["at"])))
+
+    return rows.select(chapter, F.inline(F.aggregate("_said", _start(), step, lambda acc: acc["out"])))
 
 
 def likely(text: str, words: list[str], starts: int, sizes: range) -> list[tuple[float, int, int]]:
@@ -107,27 +163,6 @@ def by_ratio(sentences: list[str], words: list[str]):
         yield found
 
 
-def spans(sentences: list[str], words: list[str], strategy: str):
-    """First and last word of each sentence that is found, None for others."""
-    plain = ["".join(bare(w)) for w in words]
-    return {"exact_prefix5": lambda: by_text(sentences, plain, 5), "exact_prefix4": lambda: by_text(sentences, plain, 4), "subsequence": lambda: by_subsequence(sentences, plain), "fuzzy": lambda: by_ratio(sentences, plain)}[strategy]()
-
-
-def timed(sentences: list[tuple[int, str]], words: list[tuple[str, float, float]], strategy: str) -> list[dict]:
-    """One chapter by itself: what aligned() gives for it."""
-    out: list[dict] = []
-    for (index, text), span in zip(sentences, spans([t for _, t in sentences], [w for w, _, _ in words], strategy)):
-        if span:
-            out.append({"index": index, "start": round(words[span[0]][1], 3), "end": round(words[span[1]][2], 3), "estimated": False})
-        elif out:
-            start = out[-1]["end"]
-            length = GUESS if strategy.startswith("exact") else start / len(out) if strategy == "subsequence" else max(1.0, GUESS_PER_WORD * len(bare(text)))
-            out.append({"index": index, "start": start, "end": round(start + length, 3), "estimated": True})
-        elif strategy == "fuzzy":
-            out.append({"index": index, "start": 0.0, "end": 1.0, "estimated": True})
-    return out
-
-
 def imputed(found: DataFrame, strategy: str, chapter: str = "chapter_id") -> DataFrame:
     """Intervals of all sentences from those of the found ones (chapter, index, start, end, words; start is null where a sentence wasn't found).
 
@@ -166,20 +201,48 @@ def words_of_characters(characters: DataFrame, chapter: str = "chapter_id") -> D
     return letters.groupBy(chapter, F.col("pos_").alias("pos")).agg(spelled.alias("word"), F.min("start").alias("start"), F.max("end").alias("end"))
 
 
-def aligned(sentences: DataFrame, words: DataFrame, strategy: str = "fuzzy", chapter: str = "chapter_id") -> DataFrame:
+def _words_of(spans: DataFrame, texts: DataFrame, chapter: str) -> DataFrame:
+    """Spans of characters as those of the words in which they begin and end."""
+    before = lambda c: F.substring("text", F.lit(1), F.col(c) - 1)
+    number = lambda c: (F.length(before(c)) - F.length(F.replace(before(c), F.lit(" "), F.lit(""))) + 1).alias(c)
+    return spans.join(texts, chapter, "left").select(chapter, "index", number("first"), number("last"))
+
+
+def _timed(spans: DataFrame, sentences: DataFrame, words: DataFrame, chapter: str) -> DataFrame:
+    """chapter, index, start, end and words from spans of words."""
+    heard = words.groupBy(chapter).agg(F.array_sort(F.collect_list(F.struct("pos", "start", "end"))).alias("_heard"))
+    said = sentences.groupBy(chapter, F.col("index").cast("int").alias("index")).agg(F.max(F.size(plain_words(F.col("text")))).alias("words"))
+    rows = spans.join(heard, chapter, "left").join(said, [chapter, "index"])
+    return rows.select(chapter, "index", F.get("_heard", F.col("first") - 1)["start"].alias("start"), F.get("_heard", F.col("last") - 1)["end"].alias("end"), "words")
+
+
+def _fuzzy(sentences: DataFrame, words: DataFrame, chapter: str) -> DataFrame:
     kind = dict(sentences.dtypes)[chapter]
 
     def run(s: pd.DataFrame, w: pd.DataFrame) -> pd.DataFrame:
         s, w = s.sort_values("index"), w.sort_values("pos")
         texts, starts, ends = s["text"].fillna("").tolist(), w["start"].tolist(), w["end"].tolist()
-        hits = list(spans(texts, w["word"].fillna("").tolist(), strategy))
+        hits = list(by_ratio(texts, ["".join(bare(x)) for x in w["word"].fillna("")]))
         return pd.DataFrame({chapter: s[chapter], "index": s["index"], "start": [starts[h[0]] if h else None for h in hits], "end": [ends[h[1]] if h else None for h in hits], "words": [len(bare(t)) for t in texts]})
 
     columns = f"{chapter} {kind}, index int, start double, end double, words int"
     # small tables, much work: a fixed number of partitions, which adaptive execution doesn't merge
     n = int(sentences.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sentences, words = sentences.repartition(n, chapter), words.repartition(n, chapter)
-    return imputed(sentences.groupBy(chapter).cogroup(words.groupBy(chapter)).applyInPandas(run, columns), strategy, chapter)
+    return sentences.groupBy(chapter).cogroup(words.groupBy(chapter)).applyInPandas(run, columns)
+
+
+def aligned(sentences: DataFrame, words: DataFrame, strategy: str = "fuzzy", chapter: str = "chapter_id") -> DataFrame:
+    if strategy == "fuzzy":
+        return imputed(_fuzzy(sentences, words, chapter), strategy, chapter)
+    words = words.filter(plain(F.col("word")) != "")
+    if strategy == "subsequence":
+        spans = in_order(sentences, words, chapter)
+    else:
+        said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", plain(F.col("word")).alias("word")))), lambda x: x["word"]), " ")
+        texts = words.groupBy(chapter).agg(said.alias("text"))
+        spans = _words_of(placed(sentences, texts, int(strategy[-1]), lambda t: F.array_join(plain_words(t), " "), chapter), texts, chapter)
+    return imputed(_timed(spans, sentences, words, chapter), strategy, chapter)
 
 
 def match_report(intervals: DataFrame, chapter: str = "chapter_id") -> DataFrame:

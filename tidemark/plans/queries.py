@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import numbers, references, text
-from tidemark.operators import align, asof, checks, ordered, pages, report, search, store
+from tidemark.operators import asof, checks, ordered, pages, report, search, store
 from tidemark.plans.registered import QUERIES, SQL, query, table
 from tidemark.sources import readers
 from tidemark.sources.shared import shared_folder
@@ -336,27 +336,6 @@ def html_text_search(spark, sf_dir):
     return pages.with_text(table(spark, sf_dir, "pages")).select("page_id", F.length("text").alias("n_chars"), F.size(words).alias("n_words"), F.size(F.filter(words, lambda w: w == "the")).alias("n_the"))
 
 
-def _narrated(spark, sf_dir):
-    """Sentences of conversations, and their words with times, of which each seventh is lost."""
-    said = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("chapter_id"), "turn", F.posexplode(F.filter(F.split("text", r"[.!?\n]+"), lambda x: F.trim(x) != "")).alias("at", "text"))
-    turns = said.select("chapter_id", F.row_number().over(Window.partitionBy("chapter_id").orderBy("turn", "at")).alias("index"), "text")
-    words = turns.select("chapter_id", "index", F.posexplode(text.tokens(F.col("text"))).alias("at", "word"))
-    pos = F.row_number().over(Window.partitionBy("chapter_id").orderBy("index", "at"))
-    timed = words.withColumn("pos", pos).filter("pos % 7 <> 0").select("chapter_id", "pos", "word", (F.col("pos") * 0.4).alias("start"), (F.col("pos") * 0.4 + 0.3).alias("end"))
-    return turns, timed
-
-
-def _aligned(strategy):
-    def run(spark, sf_dir):
-        return align.aligned(*_narrated(spark, sf_dir), strategy)
-
-    return run
-
-
-for _strategy in align.STRATEGIES:
-    QUERIES[f"align_{_strategy}"] = _aligned(_strategy)
-
-
 # Streams: what the batch queries give, from a stream of files
 
 

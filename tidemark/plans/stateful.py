@@ -148,18 +148,21 @@ def played_tracks(spark, sf_dir):
     return catalog.played(rows, ["user_id"], ["ts", "event_id"], 5).select("user_id", "event_id", "track", "repeat")
 
 
-def _imputed_sql(length: str, front: bool) -> str:
-    """Intervals of purchases and views of each user, and of what comes between; front: those before the first count as well. Rounded by exact binary values."""
+_GAPS = "SELECT user_id, event_id, event_type IN ('purchase', 'view') AS found, event_id * 0.5::DOUBLE AS s, event_id * 0.5::DOUBLE + 0.25 AS e, event_id % 30 AS words, count(*) FILTER (event_type IN ('purchase', 'view')) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM events"
+
+
+def imputed_sql(length: str, front: bool, before: str = "", rows: str = _GAPS, key: str = "user_id", at: str = "event_id") -> str:
+    """Intervals of what is found in rows, and of what comes between; front: those before the first count as well. Rounded by exact binary values."""
     return f"""
-WITH RECURSIVE a AS (SELECT user_id, event_id, event_type IN ('purchase', 'view') AS found, event_id * 0.5::DOUBLE AS s, event_id * 0.5::DOUBLE + 0.25 AS e, event_id % 30 AS words, count(*) FILTER (event_type IN ('purchase', 'view')) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM events),
-k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM a WHERE run > 0 OR {front}),
-w AS (SELECT user_id, event_id, n, CASE WHEN found THEN s ELSE 0 END AS start, CASE WHEN found THEN e ELSE 1 END AS e, NOT found AS estimated FROM k WHERE n = 1
-      UNION ALL SELECT user_id, event_id, n, CASE WHEN found THEN s ELSE last END,
+WITH RECURSIVE {before} a AS ({rows}),
+k AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY {at}) AS n FROM a WHERE run > 0 OR {front}),
+w AS (SELECT {key}, {at}, n, CASE WHEN found THEN s ELSE 0 END AS start, CASE WHEN found THEN e ELSE 1 END AS e, NOT found AS estimated FROM k WHERE n = 1
+      UNION ALL SELECT {key}, {at}, n, CASE WHEN found THEN s ELSE last END,
         CASE WHEN found THEN e ELSE (r + CASE WHEN p - r > 0.5 OR p - r = 0.5 AND (lost > 0 OR lost = 0 AND r % 2 = 1) THEN 1 ELSE 0 END) / 1000::DOUBLE END, NOT found
       FROM (SELECT *, floor(p) AS r, (high * 1000::DOUBLE - p) + (x - high) * 1000::DOUBLE AS lost
             FROM (SELECT *, x * 1000::DOUBLE AS p, x * 134217729::DOUBLE - (x * 134217729::DOUBLE - x) AS high
-                  FROM (SELECT k.*, w.e AS last, w.e + {length} AS x FROM w JOIN k ON k.user_id = w.user_id AND k.n = w.n + 1))))
-SELECT user_id, event_id::INTEGER AS index, start, e AS "end", estimated FROM w"""
+                  FROM (SELECT k.*, w.e AS last, w.e + {length} AS x FROM w JOIN k ON k.{key} = w.{key} AND k.n = w.n + 1))))
+SELECT {key}, {at}::INTEGER AS index, start, e AS "end", estimated FROM w"""
 
 
 def _imputed(strategy):
@@ -172,4 +175,4 @@ def _imputed(strategy):
 
 
 for _name, _strategy, _length, _front in (("imputed_seconds", "exact_prefix5", "3.0::DOUBLE", False), ("imputed_means", "subsequence", "w.e / w.n", False), ("imputed_by_words", "fuzzy", "greatest(1.0::DOUBLE, 0.15::DOUBLE * k.words)", True)):
-    QUERIES[_name], SQL[_name] = _imputed(_strategy), _imputed_sql(_length, _front)
+    QUERIES[_name], SQL[_name] = _imputed(_strategy), imputed_sql(_length, _front)

@@ -1,7 +1,10 @@
 """Cases that are easily got wrong, on rows made by hand."""
 
 import difflib
+import html.parser
 import random
+import re
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -200,10 +203,72 @@ def test_fuzzy_alignment_tries_all_windows():
         assert list(align.by_ratio([" ".join(sentence)], words)) == [want]
 
 
-def test_page_text():
+def walked(spark, texts, **scope):
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, html string").select("id", pages.nodes(F.col("html"), **scope).alias("n"))
+    return [r.n for r in rows.orderBy("id").collect()]
+
+
+def test_page_text(spark):
     page = '<body><p>a &amp; b<script>x<</script><a href=1>link</a></p><div data-s><p>in<br>side</p><i data-no>out</i></div><pre>p</pre>tail'
-    assert pages.text_nodes(page) == ["a & b", "in", "side", "out", "tail"]
-    assert pages.text_nodes(page, body="data-s", ignore="data-no") == ["in", "side"] and pages.text_nodes(None) == []
+    assert walked(spark, [page, None, "", " "]) == [["a &amp; b", "in", "side", "out", "tail"], [], [], []]
+    assert walked(spark, [page], body="data-s", ignore="data-no") == [["in", "side"]]
+    rows = pages.with_text(spark.createDataFrame([(page, "x")], "html string, text string"))
+    assert [tuple(r) for r in rows.collect()] == [(page, "a & b in side out tail")]
+
+
+def test_pages_that_are_not_well_formed(spark):
+    for page, want in (
+        ("x<a>y</b>z</a>w", ["x", "w"]),  # an end tag without its start closes nothing
+        ("<div><a>x</div>y", ["y"]),  # an end tag closes what is open within
+        ("x<a/>y<A HREF='>'>z</A >w<pre", ["x", "y", "w"]),
+        ("<!-- <a> -->x<!-- y", ["x"]),
+        ("a < b <1> c <", ["a < b <1> c <"]),
+        ('<p title="<a>">x</p></a>y', ["x", "y"]),
+        ("<style>x<b></style >y<script src=1>z</scriptx>w", ["y"]),
+        ("x\u00a0<b>\u00a0\u2003</b>&nbsp;y", ["x\u00a0", "&nbsp;y"]),
+        ("<abbr>x</abbr><article>y</article>", ["x", "y"]),
+    ):
+        assert walked(spark, [page]) == [want], page
+    assert walked(spark, ["<script>x<b>y</b></script>z"], excluded=()) == [["x<b>y</b>", "z"]]
+    assert walked(spark, ["<p id='data-no'>x</p><p class=data-no>y</p><p DATA-NO>z</p><p data-not>w"], ignore="data-no") == [["x", "y", "w"]]
+
+
+def test_pages_as_a_parser_reads_them(spark):
+    """Random trees, with elements that are left open, against a walk of the standard library's parser."""
+
+    class Plain(html.parser.HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=False)
+            self.open, self.out = [], []
+
+        def handle_starttag(self, tag, attrs):
+            if tag not in pages.VOID:
+                self.open.append((tag, tag in pages.EXCLUDED or "n" in dict(attrs), "s" in dict(attrs)))
+
+        def handle_endtag(self, tag):
+            at = max((i for i, x in enumerate(self.open) if x[0] == tag), default=len(self.open))
+            del self.open[at:]
+
+        def handle_data(self, data):
+            if data.strip() and not any(x[1] for x in self.open) and any(x[2] for x in self.open):
+                self.out.append(data)
+
+    draw, texts, want = random.Random(4), [], []
+    for size in [3, 10, 40, pages.BLOCK - 1, pages.BLOCK, 2 * pages.BLOCK + 3] * 8:
+        parts = [draw.choice(["x", "yz ", " ", "<!--c-->", "<br>", "<!doctype html>"] + [f"<{draw.choice('/ /').strip()}{t}>" for t in ("p", "div", "a", "pre", "b")] + ["<p s>", '<div n="1">', "<div s='>'>", "</p>", "</div>"]) for _ in range(size)]
+        page = re.sub("(x|yz | )+", lambda m: m[0], "".join(parts))
+        parser = Plain()
+        parser.feed(page + "<i>")
+        texts.append(page)
+        want.append(parser.out)
+    assert walked(spark, texts, body="s", ignore="n") == want
+
+
+def test_hostile_pages_are_read_once(spark):
+    n = 200_000
+    texts = ["<a " * n, '<a b="' * n, "<!--" * n, "<script>" * n, "<" * n, "<a b='c" + '"' * n, "<p>x</p>" * 20_000, "</p>" * n]
+    began = time.time()
+    assert [len(x) for x in walked(spark, texts)] == [0, 0, 0, 0, 1, 0, 20_000, 0] and time.time() - began < 60
 
 
 def test_debounce_and_changes(spark):

@@ -34,6 +34,11 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def _spread(rows: DataFrame, chapter: str) -> DataFrame:
+    """Rows by chapter, for small tables with much work: a fixed number of partitions, which adaptive execution doesn't merge."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), chapter)
+
+
 def plain(word: Column) -> Column:
     """A word in lower case without anything but letters, marks, digits and underscores; null is empty."""
     return F.regexp_replace(F.lower(F.coalesce(word, F.lit(""))), f"[^{LETTERS}]", "")
@@ -50,11 +55,12 @@ def placed(sentences: DataFrame, texts: DataFrame, prefix: int = 5, norm: Callab
     texts: chapter and text, a row each; chapters without one find nothing. A sentence stands where norm() of it does, within words as
     well, else where its first words do, from the cursor on; then it ends with its last TAIL words behind those, else it is as long as it
     is by itself. The cursor then moves behind it. Empty sentences are nowhere."""
-    whole = norm(F.coalesce("text", F.lit("")))
-    w = F.regexp_extract_all(whole, F.lit(f"[{LETTERS}]+"), F.lit(0))
+    w = F.col("_w")
     tail = F.slice(w, F.greatest(F.size(w) - TAIL + 1, F.lit(1)), F.lit(TAIL))
-    said = sentences.select(chapter, F.struct("index", whole.alias("whole"), F.array_join(F.slice(w, 1, prefix), " ").alias("begin"), F.array_join(tail, " ").alias("tail")).alias("_s"))
-    rows = said.groupBy(chapter).agg(F.array_sort(F.collect_list("_s")).alias("_said"))
+    said = sentences.select(chapter, "index", norm(F.coalesce("text", F.lit(""))).alias("_whole"))
+    said = said.withColumn("_w", F.regexp_extract_all("_whole", F.lit(f"[{LETTERS}]+"), F.lit(0)))
+    said = said.select(chapter, F.struct("index", F.col("_whole").alias("whole"), F.array_join(F.slice(w, 1, prefix), " ").alias("begin"), F.array_join(tail, " ").alias("tail")).alias("_s"))
+    rows = _spread(said, chapter).groupBy(chapter).agg(F.array_sort(F.collect_list("_s")).alias("_said"))
     rows = rows.join(texts.select(chapter, norm(F.coalesce("text", F.lit(""))).alias("_text")), chapter, "left").withColumn("_text", F.coalesce("_text", F.lit("")))
     text, one = F.col("_text"), "struct<index: int, first: int, last: int>"
 
@@ -95,7 +101,7 @@ def in_order(sentences: DataFrame, words: DataFrame, chapter: str = "chapter_id"
     the last match costs a step a block."""
     said = sentences.select(chapter, F.struct("index", plain_words(F.col("text")).alias("w")).alias("_s"))
     heard = words.groupBy(chapter).agg(F.array_sort(F.collect_list(F.struct("pos", plain(F.col("word")).alias("word")))).alias("_heard"))
-    rows = said.groupBy(chapter).agg(F.array_sort(F.collect_list("_s")).alias("_said")).join(heard, chapter, "left")
+    rows = _spread(said, chapter).groupBy(chapter).agg(F.array_sort(F.collect_list("_s")).alias("_said")).join(heard, chapter, "left")
     rows = rows.withColumn("_words", F.coalesce(F.transform("_heard", lambda x: x["word"]), F.array().cast("array<string>"))).drop("_heard")
     n, kind = F.size("_words"), "struct<i: int, first: int, last: int>"
 
@@ -201,19 +207,15 @@ def words_of_characters(characters: DataFrame, chapter: str = "chapter_id") -> D
     return letters.groupBy(chapter, F.col("pos_").alias("pos")).agg(spelled.alias("word"), F.min("start").alias("start"), F.max("end").alias("end"))
 
 
-def _words_of(spans: DataFrame, texts: DataFrame, chapter: str) -> DataFrame:
-    """Spans of characters as those of the words in which they begin and end."""
-    before = lambda c: F.substring("text", F.lit(1), F.col(c) - 1)
-    number = lambda c: (F.length(before(c)) - F.length(F.replace(before(c), F.lit(" "), F.lit(""))) + 1).alias(c)
-    return spans.join(texts, chapter, "left").select(chapter, "index", number("first"), number("last"))
+def _timed(spans: DataFrame, heard: DataFrame, chapter: str, text: Column | None = None) -> DataFrame:
+    """chapter, index, start and end from spans of heard words, or of the characters of a text of these."""
 
+    def number(c):
+        before = F.substring(text, F.lit(1), F.col(c) - 1)
+        return F.length(before) - F.length(F.replace(before, F.lit(" "), F.lit("")))
 
-def _timed(spans: DataFrame, sentences: DataFrame, words: DataFrame, chapter: str) -> DataFrame:
-    """chapter, index, start, end and words from spans of words."""
-    heard = words.groupBy(chapter).agg(F.array_sort(F.collect_list(F.struct("pos", "start", "end"))).alias("_heard"))
-    said = sentences.groupBy(chapter, F.col("index").cast("int").alias("index")).agg(F.max(F.size(plain_words(F.col("text")))).alias("words"))
-    rows = spans.join(heard, chapter, "left").join(said, [chapter, "index"])
-    return rows.select(chapter, "index", F.get("_heard", F.col("first") - 1)["start"].alias("start"), F.get("_heard", F.col("last") - 1)["end"].alias("end"), "words")
+    first, last = (F.col(c) - 1 if text is None else number(c) for c in ("first", "last"))
+    return spans.join(heard, chapter, "left").select(chapter, "index", F.get("_heard", first)["start"].alias("start"), F.get("_heard", last)["end"].alias("end"), F.lit(0).alias("words"))
 
 
 def _fuzzy(sentences: DataFrame, words: DataFrame, chapter: str) -> DataFrame:
@@ -226,23 +228,19 @@ def _fuzzy(sentences: DataFrame, words: DataFrame, chapter: str) -> DataFrame:
         return pd.DataFrame({chapter: s[chapter], "index": s["index"], "start": [starts[h[0]] if h else None for h in hits], "end": [ends[h[1]] if h else None for h in hits], "words": [len(bare(t)) for t in texts]})
 
     columns = f"{chapter} {kind}, index int, start double, end double, words int"
-    # small tables, much work: a fixed number of partitions, which adaptive execution doesn't merge
-    n = int(sentences.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sentences, words = sentences.repartition(n, chapter), words.repartition(n, chapter)
-    return sentences.groupBy(chapter).cogroup(words.groupBy(chapter)).applyInPandas(run, columns)
+    return _spread(sentences, chapter).groupBy(chapter).cogroup(_spread(words, chapter).groupBy(chapter)).applyInPandas(run, columns)
 
 
 def aligned(sentences: DataFrame, words: DataFrame, strategy: str = "fuzzy", chapter: str = "chapter_id") -> DataFrame:
     if strategy == "fuzzy":
         return imputed(_fuzzy(sentences, words, chapter), strategy, chapter)
-    words = words.filter(plain(F.col("word")) != "")
+    words = words.withColumn("word", plain(F.col("word"))).filter("word <> ''")
+    heard = words.groupBy(chapter).agg(F.array_sort(F.collect_list(F.struct("pos", "word", "start", "end"))).alias("_heard"))
     if strategy == "subsequence":
-        spans = in_order(sentences, words, chapter)
-    else:
-        said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", plain(F.col("word")).alias("word")))), lambda x: x["word"]), " ")
-        texts = words.groupBy(chapter).agg(said.alias("text"))
-        spans = _words_of(placed(sentences, texts, int(strategy[-1]), lambda t: F.array_join(plain_words(t), " "), chapter), texts, chapter)
-    return imputed(_timed(spans, sentences, words, chapter), strategy, chapter)
+        return imputed(_timed(in_order(sentences, words, chapter), heard, chapter), strategy, chapter)
+    text = F.array_join(F.transform("_heard", lambda x: x["word"]), " ")
+    spans = placed(sentences, heard.select(chapter, text.alias("text")), int(strategy[-1]), lambda t: F.array_join(plain_words(t), " "), chapter)
+    return imputed(_timed(spans, heard, chapter, text), strategy, chapter)
 
 
 def match_report(intervals: DataFrame, chapter: str = "chapter_id") -> DataFrame:

@@ -326,14 +326,19 @@ def insert_after_marker(spark, sf_dir):
     return store.inserted_after(rows, marker, F.concat(F.lit("back to "), F.col("conv_id").cast("string")), ["conv_id", "turn"])
 
 
-# Python where Spark has no operator
+# Pages
 
 
-@query()
+@query(r"""
+WITH a AS (SELECT page_id, regexp_replace(html, '(?is)<!--.*?(-->|$)|<script[\s>].*?(</script>|$)|<style[\s>].*?(</style>|$)|<(a|code|pre|textarea)(\s[^>]*)?>.*?(</(a|code|pre|textarea)>|$)', ' ', 'g') AS t FROM pages),
+b AS (SELECT page_id, regexp_replace(t, '<[A-Za-z/!][^>]*(>|$)', ' ', 'g') AS t FROM a),
+c AS (SELECT page_id, trim(regexp_replace(regexp_replace(replace(replace(replace(t, '&middot;', chr(183)), '&copy;', chr(169)), '&quot;', '"'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS t FROM b),
+d AS (SELECT page_id, t, list_filter(string_split(lower(t), ' '), lambda w: w <> '') AS w FROM c)
+SELECT page_id, length(t) AS n_chars, len(w) AS n_words, len(list_filter(w, lambda x: x = 'the')) AS n_the, md5(t) AS digest FROM d""")
 def html_text_search(spark, sf_dir):
     """Words of pages' searchable text, and how often "the" is among them."""
     words = text.tokens(F.col("text"))
-    return pages.with_text(table(spark, sf_dir, "pages")).select("page_id", F.length("text").alias("n_chars"), F.size(words).alias("n_words"), F.size(F.filter(words, lambda w: w == "the")).alias("n_the"))
+    return pages.with_text(table(spark, sf_dir, "pages")).select("page_id", F.length("text").alias("n_chars"), F.size(words).alias("n_words"), F.size(F.filter(words, lambda w: w == "the")).alias("n_the"), F.md5("text").alias("digest"))
 
 
 # Streams: what the batch queries give, from a stream of files

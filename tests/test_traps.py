@@ -14,6 +14,8 @@ from tidemark.functions import numbers, references, text
 from tidemark.operators import align, asof, checks, ordered, pages, report, search, store
 from tidemark.sources import readers, writers
 
+from .test_align import timed
+
 
 def one(spark, column, **values):
     return spark.createDataFrame([tuple(values.values())], ", ".join(f"{k} {'double' if isinstance(v, float) else 'int' if isinstance(v, int) else 'string'}" for k, v in values.items())).select(column).first()[0]
@@ -169,7 +171,7 @@ def test_writers(spark, tmp_path):
 @pytest.mark.parametrize("strategy", align.STRATEGIES)
 def test_alignment_finds_plain_sentences(strategy):
     words = [(w, i * 1.0, i + 0.5) for i, w in enumerate("in the beginning there was a word and the word was long and it went on and on".split())]
-    got = align.timed([(0, "In the beginning, there was a word"), (1, "and the word was long"), (2, "zzz qqq"), (3, "and it went on and on")], words, strategy)
+    got = timed([(0, "In the beginning, there was a word"), (1, "and the word was long"), (2, "zzz qqq"), (3, "and it went on and on")], words, strategy)
     spans = {r["index"]: (r["start"], r["end"]) for r in got if not r["estimated"]}
     assert spans[0] == (0.0, 6.5) and spans[1] == (7.0, 11.5) and spans[3] == (12.0, 17.5)
     assert [r["index"] for r in got] == [0, 1, 2, 3] and got[2]["estimated"] and got[2]["start"] == 11.5
@@ -178,14 +180,14 @@ def test_alignment_finds_plain_sentences(strategy):
 def test_alignment_of_missing_first_sentences():
     words = [("hello", 1.0, 2.0), ("there", 2.0, 3.0)]
     for strategy in align.STRATEGIES:
-        got = align.timed([(0, "qqqq"), (1, "hello there")], words, strategy)
+        got = timed([(0, "qqqq"), (1, "hello there")], words, strategy)
         assert [r["index"] for r in got] == ([0, 1] if strategy == "fuzzy" else [1])
 
 
 @pytest.mark.parametrize("said, heard", [("moroni buried nephite records", "maroni berried nefite record"), ("christs atonement heals everyone", "christ atonements heal every one"), ("remember", "remembers")])
 def test_fuzzy_alignment_of_misspelt_words(said, heard):
     words = [(w, i * 1.0, i + 0.5) for i, w in enumerate(f"some other talk {heard} quite unlike".split())]
-    got = align.timed([(0, said)], words, "fuzzy")
+    got = timed([(0, said)], words, "fuzzy")
     assert [(r["start"], r["end"], r["estimated"]) for r in got] == [(3.0, 2.5 + len(heard.split()), False)]
 
 

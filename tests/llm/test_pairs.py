@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -48,6 +49,26 @@ def test_two_stage_sorting():
             assert got.tolist() == want
 
 
+def test_memory_of_a_block():
+    draw, rows = np.random.default_rng(3), []
+    body = draw.integers(97, 123, 200_000).astype(np.uint8)
+    for at in draw.integers(0, len(body) - 400, 3000).tolist():
+        rows.append((body[at : at + 300], np.arange(101), 1))
+    tracemalloc.start()
+    suffix_dedup.repeated_in_block(rows)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 50 * 301 * len(rows)
+
+
+def test_blocks_are_bounded(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 1000)
+    rows = [{"anchor": a, "data": b"x" * 90} for a, n in enumerate((3, 7, 6, 20, 1, 11)) for _ in range(n)]
+    got = list(suffix_dedup.blocks(pa.RecordBatch.from_pylist(rows[i : i + 7]) for i in range(0, len(rows), 7)))
+    assert [r for b in got for r in b] == rows
+    assert [[r["anchor"] for r in b] for b in got] == [[0] * 3 + [1] * 7, [2] * 6, [3] * 20, [4], [5] * 11]
+
+
 @pytest.mark.parametrize("hot", [8_000, 3])
 def test_suffix_dedup(spark, docs, monkeypatch, hot):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)

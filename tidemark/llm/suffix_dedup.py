@@ -162,8 +162,10 @@ def eights(text: np.ndarray) -> np.ndarray:
 
 def next_of(places: np.ndarray, n: int) -> np.ndarray:
     """For each of n positions the first of the (sorted) places that isn't before it; at the end the last one."""
-    out = np.repeat(places, np.diff(places, prepend=-1))[:n]
-    return np.concatenate([out, np.full(n - len(out), places[-1])])
+    places = places.astype(np.int32)
+    number = np.diff(places, prepend=np.int32(-1))
+    number[-1] += max(0, n - 1 - int(places[-1]))
+    return np.repeat(places, number)[:n]
 
 
 def sorted_directly(keys: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
@@ -171,8 +173,9 @@ def sorted_directly(keys: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
     key = keys[at]
     order = np.argsort(key, kind="stable")
     at, key = at[order], key[order]
-    group = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]])) if len(at) else np.zeros(0, np.int64)
-    tied = np.arange(len(at))
+    del order
+    group = np.cumsum(np.concatenate([[False], key[1:] != key[:-1]]), dtype=np.int32) if len(at) else np.zeros(0, np.int32)
+    tied = np.arange(len(at), dtype=np.int32)
     for d in range(8, depth, 8):
         size = np.bincount(group)
         more = size[group] > 1
@@ -183,35 +186,40 @@ def sorted_directly(keys: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
         key = keys[np.minimum(here + d, len(keys) - 1)]
         order = np.lexsort((key, group))
         at[tied], key, group = here[order], key[order], group[order]
-        group = np.cumsum(np.concatenate([[0], (key[1:] != key[:-1]) | (group[1:] != group[:-1])]))
+        group = np.cumsum(np.concatenate([[False], (key[1:] != key[:-1]) | (group[1:] != group[:-1])]), dtype=np.int32)
     return at
 
 
 def suffix_array(text: np.ndarray, wanted: np.ndarray, depth: int, keys: np.ndarray | None = None) -> np.ndarray:
     """The wanted positions (flags) in the order of their suffixes' first depth bytes, by two-stage sorting.
 
-    text: bytes above 0 with a 0 after each string, and depth + 8 zeros at the end."""
+    text: bytes above 0 with a 0 after each string, and depth + 8 zeros at the end. Positions take four bytes each, and what
+    isn't needed any more is freed, as the memory of a block is a multiple of its text."""
     n = int(np.flatnonzero(text)[-1]) + 2  # with the last separator
     t = text[: n + 1]
     change = np.flatnonzero(t[1:] != t[:-1])
     after = next_of(change, n)  # the last place of each run of one byte
-    smaller = t[after] < t[after + 1]  # than its successor: sorted directly
+    smaller = t[after] < t[1:][after]  # than its successor: sorted directly
+    del change, after
     smaller[t[:n] == 0] = True
     # a suffix that isn't smaller is induced from its successor, so that is needed, up to the next smaller one
     follow = next_of(np.flatnonzero(smaller), n)  # the next smaller one from here on
-    needed = np.zeros(n + 1, np.int64)
-    begin = np.flatnonzero(wanted[:n])
-    np.add.at(needed, begin, 1)
-    np.add.at(needed, follow[begin] + 1, -1)
-    needed = np.cumsum(needed)[:n] > 0
-    direct = sorted_directly(eights(text) if keys is None else keys, np.flatnonzero(needed & smaller), depth)
+    depths = np.zeros(n + 1, np.int32)
+    depths[:n] = wanted[:n]
+    np.subtract.at(depths, follow[wanted[:n]] + 1, 1)
+    del follow
+    needed = np.cumsum(depths, out=depths)[:n] > 0
+    del depths
+    direct = sorted_directly(eights(text) if keys is None else keys, np.flatnonzero(needed & smaller).astype(np.int32), depth)
     induced = needed & ~smaller
+    del needed, smaller
     heads = t[direct]
     edges = np.searchsorted(heads, np.arange(257))
     buckets: list[list[np.ndarray]] = [[] for _ in range(256)]
     out = []
     for c in range(256):
-        own = np.concatenate(buckets[c]) if buckets[c] else np.zeros(0, np.int64)
+        own = np.concatenate(buckets[c]) if buckets[c] else np.zeros(0, np.int32)
+        buckets[c].clear()
         waves = [own]
         while len(own):  # predecessors with the same byte follow within the bucket
             own = own[own > 0] - 1
@@ -220,7 +228,7 @@ def suffix_array(text: np.ndarray, wanted: np.ndarray, depth: int, keys: np.ndar
         whole = np.concatenate([*waves, direct[edges[c] : edges[c + 1]]])
         if not len(whole):
             continue
-        out.append(whole)
+        out.append(whole[wanted[whole]])
         before = whole[whole > 0] - 1
         before = before[induced[before] & (t[before] > c)]
         if len(before):
@@ -230,14 +238,13 @@ def suffix_array(text: np.ndarray, wanted: np.ndarray, depth: int, keys: np.ndar
             cuts = np.flatnonzero(head[1:] != head[:-1]) + 1
             for part in np.split(before, cuts):
                 buckets[t[part[0]]].append(part)
-    array = np.concatenate(out)
-    return array[wanted[array]]
+    return np.concatenate(out)
 
 
 def common_prefixes(keys: np.ndarray, array: np.ndarray, limit: int) -> np.ndarray:
     """Bytes that each suffix shares with the next one in the array, in eights, limit at most."""
-    shared = np.zeros(max(0, len(array) - 1), np.int64)
-    left = np.arange(len(shared))
+    shared = np.zeros(max(0, len(array) - 1), np.int32)
+    left = np.arange(len(shared), dtype=np.int32)
     for d in range(0, limit, 8):
         left = left[keys[array[left] + d] == keys[array[left + 1] + d]]
         shared[left] += 8
@@ -251,7 +258,7 @@ def repeated_in_block(rows: list[tuple[np.ndarray, np.ndarray, int]]) -> list[np
     sizes = np.array([len(r[0]) + 1 for r in rows])
     begin = np.concatenate([[0], np.cumsum(sizes)])
     text = np.zeros(begin[-1] + LENGTH + 24, np.uint8)
-    wanted, of = np.zeros(len(text), bool), np.repeat(np.arange(len(rows)), sizes)
+    wanted = np.zeros(len(text), bool)
     for (data, starts, _), at in zip(rows, begin):
         text[at : at + len(data)] = data + 1  # no byte of UTF-8 is 255
         wanted[at + starts] = True
@@ -261,31 +268,34 @@ def repeated_in_block(rows: list[tuple[np.ndarray, np.ndarray, int]]) -> list[np
     again = np.zeros(len(text), bool)
     again[array[:-1][same]] = True
     again[array[1:][same]] = True
-    copies = np.array([r[2] > 1 for r in rows])
-    again[array[copies[of[array]]]] = True
+    copied = np.repeat(np.array([r[2] > 1 for r in rows]), sizes)
+    again[array[copied[array]]] = True
     return [np.flatnonzero(again[at : at + size]) for at, size in zip(begin, sizes)]
 
 
-def searched(batches):
-    """Runs with the spans of their repeated strings; the rows of one anchor come together."""
+def blocks(batches):
+    """The rows of whole anchors, which come together, of BLOCK bytes at most; of one anchor alone if that has more (HOT runs at most)."""
     rows: list[dict] = []
-    size, last = 0, None
-
-    def block():
-        found = repeated_in_block([(np.frombuffer(r["data"], np.uint8), np.arange(r["strings"]), r["copies"]) for r in rows])
-        return pa.RecordBatch.from_pylist([{n: r[n] for n, _ in _RUN} | {"found": stretches(f)} for r, f in zip(rows, found) if len(f)], _SPANS)
-
+    size, own = 0, 0  # bytes of all rows, first row of the last anchor
     for batch in batches:
         for r in batch.to_pylist():
-            if size >= BLOCK and r["anchor"] != last:
-                yield block()
-                rows.clear()
-                size = 0
-            last = r["anchor"]
+            if rows and r["anchor"] != rows[-1]["anchor"]:
+                own = len(rows)
             rows.append(r)
             size += len(r["data"])
+            if size > BLOCK and own:
+                yield rows[:own]
+                rows, own = rows[own:], 0
+                size = sum(len(x["data"]) for x in rows)
     if rows:
-        yield block()
+        yield rows
+
+
+def searched(batches):
+    """Runs with the spans of their repeated strings; the rows of one anchor come together."""
+    for rows in blocks(batches):
+        found = repeated_in_block([(np.frombuffer(r["data"], np.uint8), np.arange(r["strings"]), r["copies"]) for r in rows])
+        yield pa.RecordBatch.from_pylist([{n: r[n] for n, _ in _RUN} | {"found": stretches(f)} for r, f in zip(rows, found) if len(f)], _SPANS)
 
 
 def cleaned(batches):

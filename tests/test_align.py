@@ -1,6 +1,7 @@
 """Alignment strategies against plain loops, on words that are lost, changed or misspelt."""
 
 import random
+import sys
 from difflib import SequenceMatcher
 
 import pytest
@@ -93,6 +94,43 @@ def test_fuzzy_tries_every_window():
         assert list(align.by_ratio(said, heard)) == fuzzy(said, heard)
 
 
+def lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(new[j], row[j + 1]))
+        row = new
+    return row[-1]
+
+
+def test_bounds_of_windows_in_lanes():
+    draw = random.Random(5)
+    for n, starts in ((1, 3), (2, 30), (6, 9), (9, 200)):
+        text, heard = " ".join(draw.choices(WORDS, k=n)), [*draw.choices([*WORDS, ""], k=40)]
+        sizes, want = range(max(1, n - 2), n + 5), []
+        for i in range(min(starts, len(heard) - sizes[0] + 1)):
+            for m in [m for m in sizes if i + m <= len(heard)]:
+                part = " ".join(heard[i : i + m])
+                bound = 2.0 * lcs(text, part) / (len(text) + len(part))
+                want += [(bound, i, m)] if bound > align.LEAST_RATIO else []
+        assert align.likely(text, heard, starts, sizes) == sorted(want, key=lambda x: (-x[0], x[1:]))
+    assert align.likely("a b c", ["a"], 10, range(2, 8)) == []
+
+
+def test_words_are_read_once_for_all_windows():
+    steps, text, heard = [0], " ".join(WORDS), WORDS * 6
+
+    def count(frame, event, arg):
+        steps[0] += event == "line"
+        return count
+
+    sys.settrace(count)
+    align.likely(text, heard, 100, range(len(WORDS) - 2, len(WORDS) + 5))
+    sys.settrace(None)
+    assert steps[0] < 20 * len(" ".join(heard))
+
+
 @pytest.mark.parametrize("said,heard", [("organise favourite colours", "organize favorite colors"), ("moroni buried nephite records", "maroni berried nefite record"), ("christs atonement heals everyone", "christ atonements heal every one"), ("remember", "remembers")])
 def test_fuzzy_finds_misspelt_words(said, heard):
     words = ["zzz", *heard.split(), "qqq"]

@@ -129,23 +129,30 @@ def likely(text: str, words: list[str], starts: int, sizes: range) -> list[tuple
     """Windows (first word, words) by what their share of equal letters can be at most, over LEAST_RATIO; the best first.
 
     SequenceMatcher's matching blocks are a common subsequence, so none is above the longest one's share. That is found
-    for all windows with one start in one pass, with a bit for each letter of the text (Hyyrö)."""
-    every = (1 << len(text)) - 1
+    with a bit for each letter of the text (Hyyrö). The words are read once: windows that a letter lies in take it together, each start
+    in a lane of its own, of the text's bits and one that takes the carry."""
+    width, lanes, last = len(text) + 1, sizes[-1], max(0, min(starts, len(words) - sizes[0] + 1))
+    one, every = sum(1 << k * width for k in range(lanes)), (1 << len(text)) - 1
     letters: dict[str, int] = {}
     for i, c in enumerate(text):
-        letters[c] = letters.get(c, 0) | 1 << i
-    out = []
-    for i in range(min(starts, len(words) - sizes[0] + 1)):
-        free, size = every, -1
-        for n, word in enumerate(words[i : i + sizes[-1]], 1):
-            for c in word if n == 1 else " " + word:
-                met = free & letters.get(c, 0)
-                free = ((free + met) | (free - met)) & every
-            size += len(word) + 1
-            if n >= sizes[0]:
-                bound = 2.0 * (len(text) - free.bit_count()) / (len(text) + size)
-                if bound > LEAST_RATIO:
-                    out.append((bound, i, n))
+        letters[c] = letters.get(c, 0) | one << i
+    out, free, inside, ends = [], 0, every * one, [0]  # ends: letters before each word, with a space each
+
+    def read(part: str, free: int) -> int:
+        for c in part:
+            if c in letters:
+                met = free & letters[c]
+                free = ((free + met) | (free - met)) & inside
+        return free
+
+    for at, word in enumerate(words[: last + lanes - 1]):
+        free = read(" ", free)  # but for the window that begins with this word
+        free = read(word, free | every << at % lanes * width)
+        ends.append(ends[-1] + len(word) + 1)
+        for i in range(max(0, at + 1 - lanes), min(last, at + 2 - sizes[0])):
+            bound = 2.0 * (len(text) - (free >> i % lanes * width & every).bit_count()) / (len(text) + ends[at + 1] - ends[i] - 1)
+            if bound > LEAST_RATIO:
+                out.append((bound, i, at + 1 - i))
     return sorted(out, key=lambda x: (-x[0], x[1:]))
 
 

@@ -2,17 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tidemark.functions.text import normalise, tokens
+from tidemark.sources.shared import new_table
+
+#: Scores of documents for queries that a task holds at once; parts of an index's files by documents, so that a frequent term's rows aren't one task's.
+CELLS, SALTS = 1 << 20, 8
 
 
 def index(docs: DataFrame, doc_id: str, text: str, terms: DataFrame | None = None, section: list[str] = []) -> DataFrame:
     """term, doc_id, the columns of a section and tf. With terms (one row per term), only their postings are built."""
     words = docs.select(doc_id, *section, F.explode(tokens(F.col(text))).alias("term"))
     if terms is not None:
-        words = words.join(terms.select("term"), "term", "left_semi")
+        words = words.join(F.broadcast(terms.select("term")), "term", "left_semi")
     return words.groupBy("term", doc_id, *section).agg(F.count("*").alias("tf"))
 
 
@@ -20,13 +30,72 @@ def top_documents(postings: DataFrame, queries: DataFrame, n_docs: int, k: int,
     """The k best documents of each query by the sum of tf * ln(n_docs / df) over its terms, smaller ids first on ties.
 
     queries: query_id and term, one row per distinct term of a query. The ranking is this library's own choice."""
+    postings = new_table(postings.select("term", doc_id, "tf"))
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     weighted = queries.join(df, "term").select(query_id, "term", F.log(F.lit(float(n_docs)) / F.col("df")).alias("w"))
-    hits = postings.join(weighted, "term").groupBy(query_id, doc_id).agg(F.round(F.sum(F.col("tf") * F.col("w")), 6).alias("score"))
+    kinds = dict(weighted.dtypes) | dict(postings.dtypes)
+    best = Best(weighted.select("term", query_id, "w").collect(), to_arrow_type(weighted.schema[query_id].dataType), k)  # the queries' terms
+    by_document = postings.repartition(doc_id).sortWithinPartitions(doc_id).select(doc_id, "term", "tf")
+    hits = by_document.mapInArrow(best, f"`{query_id}` {kinds[query_id]}, `{doc_id}` {kinds[doc_id]}, score double").withColumn("score", F.round("score", 6))
     rank = F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc("score"), doc_id))
     return hits.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+class Best:
+    """Scores of documents for all queries, from postings that come document by document (id, term, tf).
+
+    A task gives out a score unless k documents that it has seen are above it by more than rounding takes, so ranks are left to Spark."""
+
+    def __init__(self, weights: list[tuple], kind: pa.DataType, k: int):
+        weights = sorted(weights, key=lambda r: r[0])
+        self.k, self.kind, self.ids = k, kind, list(dict.fromkeys(r[1] for r in weights))
+        at = {q: i for i, q in enumerate(self.ids)}
+        self.query, self.weight = np.array([at[r[1]] for r in weights], np.int64), np.array([r[2] for r in weights], float)
+        self.terms = {t: i for i, t in enumerate(dict.fromkeys(r[0] for r in weights))}
+        self.number = np.bincount(np.array([self.terms[r[0]] for r in weights], np.int64), minlength=len(self.terms))
+        self.first = np.cumsum(self.number) - self.number
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        self.top, rest = np.full((self.k, len(self.ids)), -np.inf), None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = pa.concat_tables([rest, rows]).combine_chunks() if rest is not None else rows
+            begins = self.begins(rows)
+            yield from self.scores(rows.slice(0, begins[-1]), begins[:-1])
+            rest = rows.slice(begins[-1])  # its last document may go on
+        if rest is not None:
+            yield from self.scores(rest, self.begins(rest))
+
+    @staticmethod
+    def begins(rows: pa.Table) -> np.ndarray:
+        """The first row of each document."""
+        ids = rows.column(0).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        return np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+
+    def scores(self, rows: pa.Table, begins: np.ndarray):
+        step = max(1, CELLS // max(1, len(self.ids)))
+        for i in range(0, len(begins), step):
+            end = begins[i + step] if i + step < len(begins) else len(rows)
+            yield self.scored(rows.slice(begins[i], end - begins[i]), begins[i : i + step] - begins[i])
+
+    def scored(self, rows: pa.Table, begins: np.ndarray) -> pa.RecordBatch:
+        coded, tf = rows.column(1).combine_chunks().dictionary_encode(), rows.column(2).to_numpy()
+        known = np.array([self.terms.get(t, -1) for t in coded.dictionary.to_pylist()], np.int64)
+        term = known[coded.indices.to_numpy(zero_copy_only=False)]
+        there = np.flatnonzero(term >= 0)
+        term, of = term[there], (np.searchsorted(begins, np.arange(len(rows)), "right") - 1)[there]
+        number = self.number[term]
+        at = np.repeat(self.first[term] - np.cumsum(number) + number, number) + np.arange(number.sum())
+        cell, size = np.repeat(of, number) * len(self.ids) + self.query[at], len(begins) * len(self.ids)
+        met = np.bincount(cell, minlength=size) > 0
+        score = np.where(met, np.bincount(cell, np.repeat(tf[there], number) * self.weight[at], size), -np.inf).reshape(len(begins), len(self.ids))
+        self.top = np.partition(np.concatenate([self.top, score]), len(begins), axis=0)[-self.k :]
+        least = self.top.min(axis=0, initial=np.inf)
+        doc, query = np.nonzero(met.reshape(score.shape) & (score >= least - 2e-6 - np.abs(least) * 1e-12))
+        ids = rows.column(0).combine_chunks().take(pa.array(begins[doc]))
+        return pa.RecordBatch.from_arrays([pa.array(self.ids, self.kind).take(pa.array(query)), ids, pa.array(score[doc, query])], names=["query", "doc", "score"])
+
+
 def located(passages: DataFrame, docs: DataFrame, passage_id: str, doc_id: str, words: int = 5) -> DataFrame:
     """passage_id, doc_id and the 1-based place of each passage in the normalised texts, where it stands as whole words.
 
@@ -80,12 +149,38 @@ def add_segment(docs: DataFrame, path: str, segment: int, doc_id: str = "doc_id"
     A segment holds the places of each term in each of its documents, sorted by term, so that a search reads few row groups; files
     that are there aren't touched. Segments are numbered upwards; one that was written already is an error."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), tokens(F.col(text)).alias("_w"), (F.lit(False) if gone is None else F.coalesce(gone, F.lit(False))).alias("gone"))
-    words = rows.filter("not gone").select("doc_id", F.posexplode("_w").alias("place", "term"))
-    postings = words.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("place")).alias("places")).withColumn("part", _part())
-    postings.repartition("part", "term").sortWithinPartitions("part", "term").write.partitionBy("part").parquet(f"{path}/postings/segment={segment}")
+    live = rows.filter("not gone").select("doc_id", "_w")
+    kind = f"term string, doc_id {dict(rows.dtypes)['doc_id']}, tf long, places array<int>"
+    again = live.groupBy("doc_id").agg(F.count("*").alias("_n")).filter("_n > 1").select(F.col("doc_id").alias("_id"), F.lit(True).alias("_again"))
+    if again.isEmpty():
+        postings = live.mapInArrow(inverted, kind)
+    else:  # the rows of an id are one document
+        marked = live.join(again, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select("doc_id", "_w", "_again")
+        both = marked.filter("_again").drop("_again").mapInArrow(inverted, kind).groupBy("term", "doc_id").agg(F.sum("tf").alias("tf"), F.array_sort(F.flatten(F.collect_list("places"))).alias("places"))
+        postings = marked.filter("_again is null").drop("_again").mapInArrow(inverted, kind).unionByName(both)
+    postings = postings.withColumn("part", _part())
+    postings.repartition("part", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).sortWithinPartitions("part", "term").write.partitionBy("part").parquet(f"{path}/postings/segment={segment}")
     rows.select("doc_id", "gone", F.coalesce(F.size("_w"), F.lit(0)).alias("n_words")).write.parquet(f"{path}/docs/segment={segment}")
 
 
+def inverted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """term, doc_id, tf and places from rows of an id and its words."""
+    for batch in batches:
+        ids, lists = batch.column(0), batch.column(1)
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = lists.flatten().dictionary_encode()
+        of = np.repeat(np.arange(len(sizes)), sizes)
+        place = np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        key = of * max(1, len(coded.dictionary)) + coded.indices.to_numpy(zero_copy_only=False)
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        begins = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        ends = np.append(begins, len(key))
+        at = order[begins]
+        places = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(place[order], pa.int32()))
+        yield pa.RecordBatch.from_arrays([coded.dictionary.take(coded.indices.take(pa.array(at))), ids.take(pa.array(of[at])), pa.array(np.diff(ends)), places], names=["term", "doc_id", "tf", "places"])
+
+
 def indexed(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, segment and n_words of the documents in an index, each in the last segment that has it."""
     docs = spark.read.parquet(f"{path}/docs")
@@ -96,7 +191,7 @@ def indexed(spark: SparkSession, path: str) -> DataFrame:
 def kept_postings(spark: SparkSession, path: str, terms: DataFrame) -> DataFrame:
     """term, doc_id, tf and places of the terms (one row each) in an index."""
     wanted = [r[0] for r in terms.select(_part()).distinct().collect()]  # PARTS at most
-    rows = spark.read.parquet(f"{path}/postings").filter(F.col("part").isin(wanted)).join(terms.select("term"), "term", "left_semi")
+    rows = spark.read.parquet(f"{path}/postings").filter(F.col("part").isin(wanted)).join(F.broadcast(terms.select("term")), "term", "left_semi")
     return rows.join(indexed(spark, path).select("doc_id", "segment"), ["doc_id", "segment"], "left_semi").select("term", "doc_id", "tf", "places")
 
 

@@ -117,3 +117,11 @@ def test_migration_of_odd_values(spark):
     out = store.migration(spark.createDataFrame(rows, "key string, value string"), "r-", "six", "q-", ["p"], ["s"], "c-").collect()
     assert sorted(r.key for r in out if r.gone) == ["c-1", "c-3", "q-p_s", "r-a-1"]
     assert len([r for r in out if not r.gone]) == 4 and all(r.key.startswith("entry/") for r in out if not r.gone)
+
+
+def test_new_buckets_are_written_once(spark, tmp_path):
+    t = Versioned(spark, str(tmp_path / "t"), KIND, ["k"], ["o"], buckets=4)
+    rows = spark.range(20).selectExpr("int(id) AS k", "1 AS o", "'a' AS v", "id = 3 AS gone").select([f.name for f in t.schema.fields])
+    t.merge(rows, "w", 0)
+    assert not (tmp_path / "t" / "data").exists()
+    assert {r["k"] for r in t.rows().collect()} == {*range(20)} - {3}

@@ -90,17 +90,20 @@ class Versioned:
         row = F.struct(*self.order, *self.values)
         folder = f"batches/{uuid.uuid4().hex}"
         newest = batch.groupBy(*self.keys).agg(F.max(row).alias("_new")).withColumn("_bucket", self._bucket())
+        newest = newest.select("_bucket", *self.keys, "_new.*").select("_bucket", *[F.col(f.name).cast(f.dataType) for f in self.schema.fields])
         newest.write.partitionBy("_bucket").parquet(f"{self.path}/{folder}")
-        kind = newest.schema
-        newest = self.spark.read.schema(kind).parquet(f"{self.path}/{folder}")
+        newest = self.spark.read.schema(newest.schema).parquet(f"{self.path}/{folder}").select("_bucket", *self.keys, row.alias("_new"))
         touched = [r[0] for r in newest.select("_bucket").distinct().collect()]
+        # what a batch brings to a bucket that has no rows yet is the bucket
+        buckets = dict(manifest["buckets"]) | {str(b): f"{folder}/_bucket={b}" for b in touched if str(b) not in manifest["buckets"]}
+        touched = [b for b in touched if str(b) in manifest["buckets"]]
+        newest = newest.filter(F.col("_bucket").isin(touched))
         order = lambda c: F.struct(*[F.col(f"{c}.{o}") for o in self.order])
         old = self._read(manifest, touched).select(*self.keys, row.alias("_old")).withColumn("_bucket", self._bucket())
         # the orders of rows tell which buckets change; only these are read and written whole
         dated = old.select("_bucket", *self.keys, order("_old").alias("_was"))
         newer = newest.join(dated, ["_bucket", *self.keys], "left").filter(F.col("_was").isNull() | (order("_new") > F.col("_was")))
-        changed = [r[0] for r in newer.select("_bucket").distinct().collect()]
-        buckets = dict(manifest["buckets"])
+        changed = [r[0] for r in newer.select("_bucket").distinct().collect()] if touched else []
         if changed:
             both = old.filter(F.col("_bucket").isin(changed)).join(newest.filter(F.col("_bucket").isin(changed)), ["_bucket", *self.keys], "full")
             take = F.col("_old").isNull() | (order("_new") > order("_old"))

@@ -1,8 +1,11 @@
 """Streams in order, whatever order rows come in; a table that batches are merged into."""
 
 import random
+from datetime import date, datetime, timezone
+from decimal import Decimal
 from threading import Thread
 
+import pandas as pd
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -10,7 +13,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import store
 from tidemark.sources.versioned import Conflict, Versioned
 from tidemark.streaming import events as streams
-from tidemark.streaming.ordered import PROVIDER, Letters, Periods, Saves, in_order, states_on_disk
+from tidemark.streaming.ordered import PROVIDER, InOrder, Letters, Periods, Saves, coded, codes, decoded, in_order, states_on_disk
 
 
 def walked(machine, rows, marks=()):
@@ -66,6 +69,94 @@ def test_any_order_gives_the_same_rows(spark, tmp_path):
     assert spark.conf.get(PROVIDER) == before
 
 
+class Calls:
+    """A handle, its states and timer values in one, which counts the calls."""
+
+    def __init__(self):
+        self.n, self.held, self.timers = 0, {}, set()
+
+    def getListState(self, name, _):
+        self.held[name] = []
+        return ListCalls(self, name)
+
+    def registerTimer(self, t):
+        self.n += 1
+        self.timers.add(t)
+
+    def listTimers(self):
+        self.n += 1
+        return list(self.timers)
+
+    def deleteTimer(self, t):
+        self.n += 1
+        self.timers.discard(t)
+
+    def getCurrentWatermarkInMs(self):
+        return 1000
+
+
+class ListCalls:
+    def __init__(self, calls, name):
+        self.calls, self.name = calls, name
+
+    def appendValue(self, value):
+        self.calls.n += 1
+        self.calls.held[self.name].append(value)
+
+    def put(self, values):
+        self.calls.n += 1
+        self.calls.held[self.name] = list(values)
+
+    def get(self):
+        self.calls.n += 1
+        return iter(self.calls.held[self.name])
+
+    def clear(self):
+        self.calls.n += 1
+        self.calls.held[self.name] = []
+
+
+def test_calls_to_states_go_by_bucket_not_by_key():
+    """A hundred times the keys and rows of a bucket take no more calls; the second of its timers does nothing."""
+    took = []
+    for n in (3, 300):
+        calls = Calls()
+        p = InOrder(Saves("string", 7), ["int"], ["int", "string", "boolean"], ["id", "value", "save"], 1)
+        p.init(calls)
+        rows = pd.DataFrame([(at, f'{{"c0":{k}}}', f'{{"c0":{at},"c1":"a","c2":{str(at == 20).lower()}}}') for k in range(n) for at in (30, 20, 10, 2_000_000)], columns=["at", "key", "row"])
+        assert list(p.handleInputRows((0,), iter([rows]), calls)) == []
+        out = [tuple(r) for part in p.handleExpiredTimer((0,), calls, None) for r in part.itertuples(index=False)]
+        assert sorted(out) == sorted(x for k in range(n) for x in [(k, "a", 10, 1, False), (k, "a", 20, 1, True), (k, "a", 30, 1, False)])
+        assert sum(len(c[0]) for c in calls.held["waiting"]) == n and calls.held["kept"] == [] and calls.timers == {2001}
+        took.append(calls.n)
+        assert list(p.handleExpiredTimer((0,), calls, None)) == [] and calls.n == took[-1]
+    assert took[0] == took[1]
+
+
+def test_strings_of_rows_are_exact(spark):
+    """What goes to a machine comes as it was."""
+    row = [2**63 - 1, None, "\x00\"\u2028é\U0001f30a", "", True, 0.1, float("inf"), -1e-320, Decimal("12345678901234567890.0123456789"), date(1, 1, 1), datetime(2024, 2, 29, 1, 2, 3, 456789), datetime(1969, 1, 1, 0, 0, 0, 1), b"\xff\x00", None]
+    df = spark.createDataFrame([row], "a long, b long, c string, d string, e boolean, f double, g double, h double, i decimal(38,10), j date, k timestamp_ntz, l timestamp_ntz, m binary, n double")
+    df = df.withColumn("o", F.timestamp_seconds(F.lit(-1.5))).withColumn("p", F.lit("NaN").cast("double"))
+    kinds = [k for _, k in df.dtypes]
+    got = decoded(df.select(coded([F.col(c) for c in df.columns], kinds)).first()[0], [code and code[1] for code in codes(kinds)])
+    assert got[:-2] == row and [type(x) for x in got[:-2]] == [type(x) for x in row]
+    assert got[-2] == datetime(1969, 12, 31, 23, 59, 58, 500000, timezone.utc) and got[-1] != got[-1]
+    with pytest.raises(ValueError):
+        codes(["array<int>"])
+
+
+def test_odd_keys_and_values(spark, tmp_path):
+    """Keys that Spark groups together stay together, in one bucket or many; numbers beside nulls keep their digits."""
+    big, nan = 2**60 + 1, float("nan")
+    keys = [0.0, -0.0, nan, nan, None, None, 1.5, 1.5]
+    rows = [(k, 60 + 60 * (i % 2), i, big + i if i % 2 == 0 and i != 4 else None, "back" if i % 2 else "kept") for i, k in enumerate(keys)] + [(9.0, 9999, 99, None, "rejected")]
+    df = spark.createDataFrame(rows, "k double, s long, id int, v long, outcome string").select("k", F.timestamp_seconds("s").alias("ts"), "id", "v", "outcome")
+    for buckets in (1, 1000):
+        out = streams.run_over_slices([df], lambda s: in_order(s, ["k"], "ts", ["id"], Letters("long"), "1 minute", buckets, value=F.col("v"), outcome=F.col("outcome")), str(tmp_path / str(buckets)))
+        assert sorted(map(repr, out.collect())) == sorted(f"Row(k={k}, value={v}, at=60000000, sent_at=120000000)" for k, v in [(0.0, big), (nan, big + 2), (None, None), (1.5, big + 6)])
+
+
 KIND = "k int, o int, v string"
 
 

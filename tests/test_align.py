@@ -6,7 +6,7 @@ from difflib import SequenceMatcher
 
 import pytest
 
-from tidemark.operators import align
+from tidemark.operators import align, windows
 
 WORDS = "organise favourite colours moroni buried nephite records christs atonement heals everyone a the of and in sea deep art some part season here".split()
 
@@ -131,6 +131,95 @@ def test_words_are_read_once_for_all_windows():
     assert steps[0] < 20 * len(" ".join(heard))
 
 
+def changed(draw, text, letters):
+    """A text with some letters lost, some put in and a stretch that is moved."""
+    out = list(text)
+    for _ in range(draw.randint(0, 6)):
+        at = draw.randint(0, len(out))
+        out[at : at + draw.randint(0, 8)] = draw.choices(letters, k=draw.randint(0, 5))
+    return "".join(out)
+
+
+def test_ratio_is_that_of_the_standard_library():
+    draw = random.Random(11)
+    for length in (0, 1, 2, 20, 90, 199, 200, 201, 320):
+        for letters in ("ab", "abc ", "etaoin shrdlu q\u00e9\u00df", "abcdefghijklmnopqrstuvwxyz  \u03c3\U0001f600"):
+            for _ in range(12):
+                a = "".join(draw.choices(letters, k=length))
+                b = changed(draw, a, letters) if draw.random() < 0.7 else "".join(draw.choices(letters, k=draw.randint(0, 2 * length)))
+                want = SequenceMatcher(None, a, b).ratio()
+                assert windows.ratio(a, b) == windows.ratio(a, b, want) == want
+                assert windows.ratio(a, b, want + 0.05) in (0.0, want)
+
+
+def story(draw, sentences):
+    """Sentences of one word to sixty and what was heard of them, some of it lost, misspelt or empty."""
+    vocabulary = ["".join(draw.choices("etaoinshrdlucmfwypvbgkjqxz\u00e9\u0436", k=draw.randint(1, 9))) for _ in range(80)] + WORDS
+    said = [draw.choices(vocabulary, k=draw.choice([1, 2, 4, 8, 8, 12, 20, 40, 60])) for _ in range(sentences)]
+    heard = []
+    for w in (w for s in said if draw.random() < 0.9 for w in s):
+        heard += [] if draw.random() < 0.12 else [draw.choice(["", "zz", w[1:], w + "s"])] if draw.random() < 0.1 else [w]
+    return [" ".join(s) for s in said], heard
+
+
+def test_windows_side_by_side_lose_none():
+    """Every window whose ratio is above over is there, by no less than its ratio, whatever stands beside it."""
+    draw, asks = random.Random(13), []
+    for _ in range(30):
+        said, words = story(draw, 6)
+        heard = windows.Heard(words)
+        for s in said:
+            n, first = len(s.split()), draw.randrange(len(words))
+            sizes = range(max(1, n - 2), n + 5)
+            starts = range(first, min(first + 30, len(words) - sizes[0] + 1))
+            asks += [windows.Ask(s, heard, starts, sizes, draw.choice([0.7, 0.8, 0.9]))] if starts else []
+    for limbs in {a.limbs() for a in asks}:
+        some = [a for a in asks if a.limbs() == limbs]
+        for a, got in zip(some, windows.likely(some * windows.FEW)):
+            bounds = {(i, n): bound for bound, i, n in got}
+            assert got == sorted(got, key=lambda x: (-x[0], x[1:])) and all(i in a.starts and n in a.sizes and i + n <= len(a.heard.words) for i, n in bounds)
+            for i in a.starts[::3]:
+                for n in a.sizes:
+                    part = a.heard.words[i : i + n]
+                    if len(part) == n and SequenceMatcher(None, a.text, " ".join(part)).quick_ratio() > a.over:
+                        r = SequenceMatcher(None, a.text, " ".join(part)).ratio()
+                        assert r <= a.over or bounds[i, n] >= r
+
+
+def test_chapters_side_by_side_are_as_by_themselves():
+    draw = random.Random(17)
+    chapters = [(k, *story(draw, 8)) for k in range(40)]
+    got = dict(align.side_by_side(chapters))
+    assert got == {k: list(align.by_ratio(said, heard)) for k, said, heard in chapters}
+    assert all(got[k] == fuzzy(said, heard) for k, said, heard in chapters[:8])
+
+
+def test_chapters_are_read_side_by_side():
+    """Steps don't grow with the letters of a sentence's windows, as they did before."""
+    draw, steps, chapters = random.Random(19), [0], []
+    for k in range(60):
+        said = [draw.choices(WORDS, k=8) for _ in range(20)]
+        chapters.append((k, [" ".join(s) for s in said], [w for s in said for w in s if draw.random() < 0.9]))
+
+    def count(frame, event, arg):
+        steps[0] += event == "line"
+        return count
+
+    sys.settrace(count)
+    got = dict(align.side_by_side(chapters))
+    sys.settrace(None)
+    assert sum(len(x) for x in got.values()) == 1200
+    assert steps[0] < 1200 * 800
+
+
+def test_fuzzy_by_odd_chapters(spark):
+    """A null chapter is one of its own; null words and texts, sentences without words and words without sentences."""
+    s = spark.createDataFrame([(None, 1, "the sea"), (None, 0, None), (1, 0, "deep sea"), (2, 5, "x")], "chapter_id string, index int, text string")
+    w = spark.createDataFrame([(None, 2, "sea", 2.0, 2.5), (None, 1, "the", 1.0, 1.5), (1, 3, "sea", 3.0, None), (1, 2, None, 2.0, 2.5), (1, 1, "Deep!", 1.0, 1.5), (3, 0, "x", 0.0, 1.0)], "chapter_id string, pos int, word string, start double, end double")
+    got = {(r.chapter_id, r["index"]): (r.start, r.end, r.estimated) for r in align.aligned(s, w).collect()}
+    assert got == {(None, 0): (0.0, 1.0, True), (None, 1): (1.0, 2.5, False), ("1", 0): (1.0, None, False), ("2", 5): (0.0, 1.0, True)}
+
+
 @pytest.mark.parametrize("said,heard", [("organise favourite colours", "organize favorite colors"), ("moroni buried nephite records", "maroni berried nefite record"), ("christs atonement heals everyone", "christ atonements heal every one"), ("remember", "remembers")])
 def test_fuzzy_finds_misspelt_words(said, heard):
     words = ["zzz", *heard.split(), "qqq"]

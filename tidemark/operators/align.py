@@ -8,21 +8,24 @@ one row, as its text is; sentences of equal index go by their texts, null texts
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
-from difflib import SequenceMatcher
+from collections.abc import Callable, Generator, Iterable, Iterator
+from itertools import islice
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.numbers import rounded
 from tidemark.functions.text import normalise, tokens
+from tidemark.operators import windows
 
 STRATEGIES = ("exact_prefix5", "exact_prefix4", "subsequence", "fuzzy")
 #: Seconds of a sentence that isn't found, seconds a word, least share of equal letters, starts tried, words that end a sentence, words gone back.
 GUESS, GUESS_PER_WORD, LEAST_RATIO, REACH, TAIL, BACK = 3.0, 0.15, 0.7, 100, 3, 5
 #: What words are made of; words read at a time.
 LETTERS, BLOCK = r"\p{L}\p{M}\p{N}_", 64
+#: Chapters that a task aligns side by side.
+BESIDE = 512
 
 
 def bare(text: str) -> list[str]:
@@ -34,7 +37,7 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _spread(rows: DataFrame, chapter: str) -> DataFrame:
+def _spread(rows: DataFrame, chapter: str | Column) -> DataFrame:
     """Rows by chapter, for small tables with much work: a fixed number of partitions, which adaptive execution doesn't merge."""
     return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), chapter)
 
@@ -126,54 +129,60 @@ def in_order(sentences: DataFrame, words: DataFrame, chapter: str = "chapter_id"
 
 
 def likely(text: str, words: list[str], starts: int, sizes: range) -> list[tuple[float, int, int]]:
-    """Windows (first word, words) by what their share of equal letters can be at most, over LEAST_RATIO; the best first.
-
-    SequenceMatcher's matching blocks are a common subsequence, so none is above the longest one's share. That is found
-    with a bit for each letter of the text (Hyyrö). The words are read once: windows that a letter lies in take it together, each start
-    in a lane of its own, of the text's bits and one that takes the carry."""
-    width, lanes, last = len(text) + 1, sizes[-1], max(0, min(starts, len(words) - sizes[0] + 1))
-    one, every = sum(1 << k * width for k in range(lanes)), (1 << len(text)) - 1
-    letters: dict[str, int] = {}
-    for i, c in enumerate(text):
-        letters[c] = letters.get(c, 0) | one << i
-    out, free, inside, ends = [], 0, every * one, [0]  # ends: letters before each word, with a space each
-
-    def read(part: str, free: int) -> int:
-        for c in part:
-            if c in letters:
-                met = free & letters[c]
-                free = ((free + met) | (free - met)) & inside
-        return free
-
-    for at, word in enumerate(words[: last + lanes - 1]):
-        free = read(" ", free)  # but for the window that begins with this word
-        free = read(word, free | every << at % lanes * width)
-        ends.append(ends[-1] + len(word) + 1)
-        for i in range(max(0, at + 1 - lanes), min(last, at + 2 - sizes[0])):
-            bound = 2.0 * (len(text) - (free >> i % lanes * width & every).bit_count()) / (len(text) + ends[at + 1] - ends[i] - 1)
-            if bound > LEAST_RATIO:
-                out.append((bound, i, at + 1 - i))
-    return sorted(out, key=lambda x: (-x[0], x[1:]))
-
-
-def by_ratio(sentences: list[str], words: list[str]):
-    """The window with the greatest share of equal letters, if over LEAST_RATIO; the earliest and shortest of equals."""
-    at = 0
+    """Windows (first word, words) by what their share of equal letters can be at most, over LEAST_RATIO; the best first."""
+    first = range(min(starts, len(words) - sizes[0] + 1))
+    return windows.likely([windows.Ask(text, windows.Heard(words), first, sizes, LEAST_RATIO)])[0] if first else []
+
+
+def _spans(sentences: list[str], words: list[str]) -> Generator:
+    """by_ratio's list for a chapter, as a generator that asks for likely windows."""
+    heard, at, out = windows.Heard(words), 0, []
     for s in sentences:
         w, best, found = bare(s), LEAST_RATIO, None
-        if w and at < len(words):
-            text, starts = " ".join(w), REACH + 2 * len(w)
-            sizes = range(max(1, len(w) - 2), len(w) + 5)
-            for bound, i, n in likely(text, words[at : at + starts + sizes[-1]], starts, sizes):
+        text, sizes = " ".join(w), range(max(1, len(w) - 2), len(w) + 5)
+        starts = range(at, min(at + REACH + 2 * len(w), len(words) - sizes[0] + 1)) if w else range(0)
+        if w and len(text) < windows.JUNK and at + len(w) <= len(words) and heard.window(at, len(w)) == text:
+            best, found = 1.0, (at, len(w))
+        letters = windows.places_of(text) if 2 * len(text) >= windows.JUNK else None
+        # most stand at the cursor, and their ratio leaves little else to look at
+        for part in (starts[:1], starts[1:]):
+            for bound, i, n in (yield windows.Ask(text, heard, part, sizes, best)) if part and best < 1.0 else ():
                 if bound < best:
                     break
-                r = SequenceMatcher(None, text, " ".join(words[at + i : at + i + n])).ratio()  # the order counts
+                r = windows.ratio(text, heard.window(i, n), best, letters)  # the order counts
                 if r > best or found and r == best and (i, n) < found:
                     best, found = r, (i, n)
         if found:
-            found = (at + found[0], at + sum(found) - 1)
+            found = (found[0], sum(found) - 1)
             at = found[1] + 1
-        yield found
+        out.append(found)
+    return out
+
+
+def side_by_side(chapters: Iterable[tuple]) -> Iterator[tuple]:
+    """Keys with by_ratio's lists, from keys with sentences and words. Chapters wait until most of those that run ask for texts as long as theirs."""
+    chapters, waiting, asking, running = iter(chapters), {}, [], 0
+    while True:
+        for key, spans, answer in asking:
+            try:
+                ask = spans.send(answer)
+                waiting.setdefault(ask.limbs(), []).append((key, spans, ask))
+            except StopIteration as end:
+                running -= 1
+                yield key, end.value
+        asking = [(key, _spans(*chapter), None) for key, *chapter in islice(chapters, BESIDE - running)]
+        running += len(asking)
+        if not asking:
+            if not waiting:
+                return
+            chosen = waiting.pop(max(waiting, key=lambda limbs: len(waiting[limbs])))
+            asking = [(key, spans, answer) for (key, spans, _), answer in zip(chosen, windows.likely([ask for *_, ask in chosen]))]
+
+
+def by_ratio(sentences: list[str], words: list[str]) -> Iterator[tuple[int, int] | None]:
+    """The window with the greatest share of equal letters, if over LEAST_RATIO; the earliest and shortest of equals."""
+    for _, found in side_by_side([(None, sentences, words)]):
+        yield from found
 
 
 def imputed(found: DataFrame, strategy: str, chapter: str = "chapter_id") -> DataFrame:
@@ -226,16 +235,35 @@ def _timed(spans: DataFrame, heard: DataFrame, chapter: str, text: Column | None
 
 
 def _fuzzy(sentences: DataFrame, words: DataFrame, chapter: str) -> DataFrame:
-    kind = dict(sentences.dtypes)[chapter]
-
-    def run(s: pd.DataFrame, w: pd.DataFrame) -> pd.DataFrame:
-        s, w = s.sort_values("index"), w.sort_values("pos")
-        texts, starts, ends = s["text"].fillna("").tolist(), w["start"].tolist(), w["end"].tolist()
-        hits = list(by_ratio(texts, ["".join(bare(x)) for x in w["word"].fillna("")]))
-        return pd.DataFrame({chapter: s[chapter], "index": s["index"], "start": [starts[h[0]] if h else None for h in hits], "end": [ends[h[1]] if h else None for h in hits], "words": [len(bare(t)) for t in texts]})
-
-    columns = f"{chapter} {kind}, index int, start double, end double, words int"
-    return _spread(sentences, chapter).groupBy(chapter).cogroup(_spread(words, chapter).groupBy(chapter)).applyInPandas(run, columns)
+    """What _timed() gives for by_ratio's spans. A null chapter is one like others."""
+    said = F.struct(F.col("index").cast("int").alias("index"), F.coalesce("text", F.lit("")).alias("text"))
+    heard = F.struct("pos", F.coalesce("word", F.lit("")).alias("word"), F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"))
+    rows = sentences.groupBy(chapter).agg(F.array_sort(F.collect_list(said)).alias("_said"))
+    rows = rows.unionByName(words.groupBy(chapter).agg(F.array_sort(F.collect_list(heard)).alias("_heard")), allowMissingColumns=True)
+    rows = rows.groupBy(chapter).agg(F.first("_said", True).alias("_said"), F.first("_heard", True).alias("_heard")).filter("_said IS NOT NULL")
+
+    def chapters(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                said, heard = batch.column(1)[k].values, batch.column(2)[k].values
+                texts, plain = said.field("text").to_pylist(), [] if heard is None else ["".join(bare(w)) for w in heard.field("word").to_pylist()]
+                yield (batch.column(0)[k], said, heard), texts, plain
+
+    def run(batches):
+        parts, columns = [], [chapter, "index", "start", "end", "words"]
+        for (key, said, heard), found in side_by_side(chapters(batches)):
+            starts, ends = ([], []) if heard is None else (heard.field("start").to_pylist(), heard.field("end").to_pylist())
+            times = [pa.array([x and side[x[k]] for x in found], pa.float64(), from_pandas=True) for k, side in enumerate((starts, ends))]
+            count = pa.array([len(bare(t)) for t in said.field("text").to_pylist()], pa.int32())
+            parts.append(pa.RecordBatch.from_arrays([pa.repeat(key, len(said)), said.field("index"), *times, count], columns))
+            if len(parts) == BESIDE:
+                yield from pa.Table.from_batches(parts).combine_chunks().to_batches()
+                parts = []
+        if parts:
+            yield from pa.Table.from_batches(parts).combine_chunks().to_batches()
+
+    # by a hash, as rows that lie by chapter already would stay in the few partitions that adaptive execution merged them into
+    return _spread(rows, F.xxhash64(chapter)).mapInArrow(run, f"{chapter} {dict(sentences.dtypes)[chapter]}, index int, start double, end double, words int")
 
 
 def aligned(sentences: DataFrame, words: DataFrame, strategy: str = "fuzzy", chapter: str = "chapter_id") -> DataFrame:

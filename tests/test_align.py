@@ -212,6 +212,19 @@ def test_chapters_are_read_side_by_side():
     assert steps[0] < 1200 * 800
 
 
+def test_words_are_bared_together():
+    for words in ([], [""], ["A\u03a3", "\u0391\u03a3 \u0391", "don't", " x y ", "...", "\u0130"], ["a\nb", "c"], ["\n", "\r\u2028z"]):
+        assert align.bare_words(words) == ["".join(align.bare(w)) for w in words]
+
+
+def test_one_chapter_alone_is_as_among_others():
+    """A chapter that nothing stands beside, as the last of a task, with starts left out by pairs and triples of letters."""
+    draw = random.Random(23)
+    said, heard = story(draw, 40)
+    among = dict(align.side_by_side([(k, said, heard) for k in range(windows.FEW)]))
+    assert list(align.by_ratio(said, heard)) == fuzzy(said, heard) == among[0] == among[windows.FEW - 1]
+
+
 def test_fuzzy_by_odd_chapters(spark):
     """A null chapter is one of its own; null words and texts, sentences without words and words without sentences."""
     s = spark.createDataFrame([(None, 1, "the sea"), (None, 0, None), (1, 0, "deep sea"), (2, 5, "x")], "chapter_id string, index int, text string")

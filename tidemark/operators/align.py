@@ -32,6 +32,12 @@ def bare(text: str) -> list[str]:
     return re.sub(r"[^\w\s]", "", text.lower()).split()
 
 
+def bare_words(words: list[str]) -> list[str]:
+    """Each word without what bare() leaves out."""
+    lines = re.sub(r"[^\w\s]", "", "\n".join(words).lower()).split("\n")
+    return ["".join(x.split()) for x in (lines if len(lines) == len(words) else map(" ".join, map(bare, words)))]
+
+
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body of a value that is computed once."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -246,7 +252,7 @@ def _fuzzy(sentences: DataFrame, words: DataFrame, chapter: str) -> DataFrame:
         for batch in batches:
             for k in range(batch.num_rows):
                 said, heard = batch.column(1)[k].values, batch.column(2)[k].values
-                texts, plain = said.field("text").to_pylist(), [] if heard is None else ["".join(bare(w)) for w in heard.field("word").to_pylist()]
+                texts, plain = said.field("text").to_pylist(), [] if heard is None else bare_words(heard.field("word").to_pylist())
                 yield (batch.column(0)[k], said, heard), texts, plain
 
     def run(batches):
